@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, decontaminate, line_dedup, sharding
+from tessel.llm import byte_bpe, decontaminate, line_dedup, sharding, substring_dedup
 from tessel.llm.common import table
 
 
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = substring_dedup.mark_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select(
+        "row.doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.size("covered").cast("long").alias("n_removed"),
+        F.sha2(substring_dedup.kept_text().cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.mark_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return marked.select(
@@ -53,6 +63,7 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": spans,
     "op2_line_dedup": line,
     "op3_byte_bpe": bpe,
     "op4_sharding": shards,
@@ -60,6 +71,22 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+WITH parted AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t-\r]+|\n[ \t-\r]*)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+listed AS (SELECT doc_id, CASE WHEN len(p) > 1 AND p[-1] = '' THEN p[: len(p) - 1] ELSE p END AS s FROM parted),
+keyed AS (
+  SELECT doc_id, s, list_transform(s, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k FROM listed),
+spans AS (
+  SELECT doc_id, i, array_to_string(k[i : i + 2], chr(1)) AS span, length(array_to_string(k[i : i + 2], '')) AS chars
+  FROM keyed, unnest(range(1, greatest(len(k) - 2, 1) + 1)) AS t(i)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS nth FROM spans WHERE chars >= 40),
+covered AS (SELECT DISTINCT doc_id, j FROM ranked, unnest(range(i, i + 3)) AS t(j) WHERE nth > 1),
+sentences AS (SELECT doc_id, j, s[j] AS sentence FROM keyed, unnest(range(1, len(s) + 1)) AS t(j))
+SELECT s.doc_id, count(*) AS n_sentences, count(c.j) AS n_removed,
+       sha256(coalesce(string_agg(sentence, '' ORDER BY s.j) FILTER (WHERE c.j IS NULL), '')) AS kept_sha256
+FROM sentences s LEFT JOIN covered c ON c.doc_id = s.doc_id AND c.j = s.j GROUP BY s.doc_id""",
     "op2_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
