@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, decontaminate, line_dedup, sharding, substring_dedup
+from tessel.llm import byte_bpe, decontaminate, language, line_dedup, sharding, substring_dedup
 from tessel.llm.common import table
 
 
@@ -49,6 +49,13 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -67,6 +74,7 @@ QUERIES = {
     "op2_line_dedup": line,
     "op3_byte_bpe": bpe,
     "op4_sharding": shards,
+    "op6_language_id": languages,
     "op9_decontamination": contamination,
 }
 
