@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, decontaminate, language, line_dedup, sharding, substring_dedup
+from tessel.llm import byte_bpe, decontaminate, language, line_dedup, quality, sharding, substring_dedup
 from tessel.llm.common import table
 
 
@@ -56,6 +56,18 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    network = quality.fit(docs, labels.where(~language.held_out(F.col("doc_id"))))
+    return quality.predict(docs, network).select(
+        "row.doc_id",
+        language.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.KEEP).cast("int").alias("predicted"),
+    )
+
+
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -75,6 +87,7 @@ QUERIES = {
     "op3_byte_bpe": bpe,
     "op4_sharding": shards,
     "op6_language_id": languages,
+    "op7_quality_mil": qualities,
     "op9_decontamination": contamination,
 }
 
