@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import content_key, pack
+from tessel.llm.common import content_key, keep, pack
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -48,9 +48,11 @@ def mark_repeated_lines(
         key = line_key(line)
         return F.struct(pos.alias("pos"), F.length(key).alias("chars"), *content_key(key))
 
-    lines = packed.select(
-        "id", "t1", "t2", F.inline(F.filter(F.transform("lines", described), lambda x: x["chars"] >= min_chars))
-    ).drop("chars")
+    lines = keep(
+        packed.select(
+            "id", "t1", "t2", F.inline(F.filter(F.transform("lines", described), lambda x: x["chars"] >= min_chars))
+        ).drop("chars")
+    )
     repeated = (
         lines.groupBy("k1", "k2")
         .agg(F.count_distinct("id").alias("docs"), F.min("id").alias("first_id"))
