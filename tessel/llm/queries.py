@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, decontaminate, language, line_dedup, quality, sharding, substring_dedup
+from tessel.llm import ann, byte_bpe, decontaminate, language, line_dedup, quality, sharding, substring_dedup
 from tessel.llm.common import table
 
 
@@ -49,6 +49,11 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
@@ -86,6 +91,7 @@ QUERIES = {
     "op2_line_dedup": line,
     "op3_byte_bpe": bpe,
     "op4_sharding": shards,
+    "op5_ann_hnsw": neighbours,
     "op6_language_id": languages,
     "op7_quality_mil": qualities,
     "op9_decontamination": contamination,
