@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, byte_bpe, decontaminate, language, line_dedup, quality, sharding, substring_dedup
+from tessel.llm import ann, byte_bpe, decontaminate, language, line_dedup, quality, sharding, substring_dedup, suffix_dedup
 from tessel.llm.common import table
 
 
@@ -73,6 +73,17 @@ def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bytes_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "row.doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -94,6 +105,7 @@ QUERIES = {
     "op5_ann_hnsw": neighbours,
     "op6_language_id": languages,
     "op7_quality_mil": qualities,
+    "op8_suffix_dedup": bytes_cut,
     "op9_decontamination": contamination,
 }
 
@@ -131,6 +143,27 @@ SELECT k.doc_id, count(*) AS n_lines,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE r.first_id IS NULL OR k.doc_id = r.first_id), '')) AS kept_sha256
 FROM keyed k LEFT JOIN repeated r USING (line_key)
 GROUP BY k.doc_id""",
+    "op8_suffix_dedup": r"""
+WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS string
+  FROM hexed, unnest(range(0, length(h) // 2 - 49)) AS t(i) WHERE length(h) >= 100),
+firsts AS (SELECT string, min(doc_id) AS first_id FROM strings GROUP BY string HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM strings JOIN firsts USING (string) WHERE doc_id > first_id),
+islands AS (
+  SELECT doc_id, i, sum(CASE WHEN i - before > 50 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hit)),
+spans AS (SELECT doc_id, island, min(i) AS a, max(i) + 50 AS b FROM islands GROUP BY doc_id, island),
+edges AS (
+  SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+  UNION ALL SELECT d.doc_id, length(h) // 2, coalesce((SELECT max(b) FROM spans s WHERE s.doc_id = d.doc_id), 0) FROM hexed d),
+kept AS (
+  SELECT e.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, before) AS k
+  FROM edges e JOIN hexed USING (doc_id) GROUP BY e.doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(k)) AS kept_sha256
+FROM hexed JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""",
     "op9_decontamination": r"""
 WITH item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
