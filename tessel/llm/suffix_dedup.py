@@ -9,9 +9,7 @@ a 50-byte string, the one with the smallest fingerprint is always in it, and equ
 3. The others are extended to all 50-byte strings around them (offsets 0 to 18) and sorted again, with the smallest
    document of each string; that is past the threshold, so doubling ends.
 
-Documents are dealt into blocks by a hash of the id.  Blocks and sorters exchange packed arrays, one row for each pair of
-them: a block sends a name once, however often it has it, so a hot passage costs a sorter one entry a block.  Texts are
-shuffled once (the exchange is reused), and a document's results are put together in its own block.
+Texts are shuffled once, into blocks (see blocks.py), and a document's results are put together in its own block.
 """
 
 from __future__ import annotations
@@ -19,10 +17,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import pack, partitions, ship
+from tessel.llm.blocks import MESSAGE, Block, heads_of, into_blocks, is_shared, messages, place, send_unique, sort_names
+from tessel.llm.common import partitions, ship
 from tessel.llm.text_arrays import U, mix, runs, slices
 
 LENGTH = 50
@@ -30,8 +28,7 @@ PREFIX = 32
 FLANK = LENGTH - PREFIX
 #: Bytes that go through the array operations at once, small enough for the processor's cache.
 CHUNK = 300_000
-MESSAGE = "dest int, src int, kind int, data binary"
-NAMES, SHARED_IN_BLOCK, RECORDS, MEMO, FOUND = range(5)
+RECORDS, MEMO, FOUND = range(2, 5)
 RECORD = np.dtype([("name", "<u8"), ("doc", "<i8"), ("left", "u1", FLANK), ("right", "u1", FLANK), ("before", "u1"), ("after", "u1")])
 NONE = 255
 
@@ -73,16 +70,7 @@ def sampled(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np
     return at, name[at]
 
 
-class Block:
-    """The documents of a block, in one array of bytes."""
-
-    def __init__(self, table: pa.Table) -> None:
-        texts = table["text"].to_pylist()
-        self.ids = table["id"].to_numpy()
-        self.stops = np.cumsum([len(x) for x in texts])
-        self.starts = self.stops - [len(x) for x in texts]
-        self.data = np.frombuffer(b"".join(texts), "u1")
-
+class Suffixes(Block):
     def sample(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions, names, rows of the documents)."""
         at, names = [], []
@@ -96,53 +84,10 @@ class Block:
         return at, names, np.searchsorted(self.stops, at, side="right")
 
 
-def place(names: np.ndarray, parts: int) -> np.ndarray:
-    """Which sorter has a name (from other bits than the low 32, which are sent)."""
-    return ((names >> U(32)) % U(parts)).astype("i8")
-
-
-def short(names: np.ndarray, parts: int) -> np.ndarray:
-    """Sorter and low 32 bits of a name as one number."""
-    return place(names, parts).astype(U) << U(32) | (names & U(0xFFFFFFFF))
-
-
-def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    dest, src, kind, data = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.table([pa.array(dest, pa.int32()), pa.array(src, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["dest", "src", "kind", "data"])
-
-
-def heads_of(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, "i8")
-
-
 def send_names(table: pa.Table, parts: int) -> pa.Table:
-    block = Block(table)
-    number = table["block"][0].as_py()
+    block = Suffixes(table)
     _, names, rows = block.sample()
-    key, doc = short(names, parts), block.ids[rows]
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    heads = heads_of(key)
-    if not len(heads):
-        return messages([])
-    lasts = np.append(heads[1:], len(key)) - 1
-    own, several = key[heads], doc[heads] != doc[lasts]
-    out = []
-    for kind, some in ((NAMES, own[~several]), (SHARED_IN_BLOCK, own[several])):
-        bounds = np.searchsorted(some >> U(32), np.arange(parts + 1).astype(U))
-        low = (some & U(0xFFFFFFFF)).astype("<u4")
-        out += [(p, number, kind, low[bounds[p] : bounds[p + 1]].tobytes()) for p in range(parts) if bounds[p] < bounds[p + 1]]
-    return messages(out)
-
-
-def sort_names(table: pa.Table) -> pa.Table:
-    """Tell each block which of its names another document has too."""
-    sorter = table["dest"][0].as_py()
-    sent = [(s, k, np.frombuffer(d, "<u4")) for s, k, d in zip(*(table[c].to_pylist() for c in ("src", "kind", "data")), strict=True)]
-    everything = np.sort(np.concatenate([d for _, _, d in sent]))
-    again = everything[1:][everything[1:] == everything[:-1]]
-    shared = np.unique(np.concatenate([again, *(d for _, k, d in sent if k == SHARED_IN_BLOCK)]))
-    return messages([(s, sorter, NAMES, own.tobytes()) for s, _, d in sent if len(own := d[np.isin(d, shared, assume_unique=False)])])
+    return send_unique(names, block.ids[rows], table["block"][0].as_py(), parts)
 
 
 def flank_hash(record: np.ndarray) -> np.ndarray:
@@ -159,13 +104,9 @@ def send_records(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     """Send the surroundings of names that others have too; what the block can tell by itself goes into a memo."""
     if not docs.num_rows or not told.num_rows:
         return messages([])
-    block, number = Block(docs), docs["block"][0].as_py()
+    block, number = Suffixes(docs), docs["block"][0].as_py()
     at, names, rows = block.sample()
-    shared = np.concatenate([np.frombuffer(d, "<u4").astype(U) | U(s << 32) for s, d in zip(told["src"].to_pylist(), told["data"].to_pylist(), strict=True)])
-    shared.sort()
-    key = short(names, parts)
-    near = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
-    some = shared[near] == key
+    some = is_shared(names, told, parts)
     at, names, rows = at[some], names[some], rows[some]
     record = np.zeros(len(at), RECORD)
     record["name"], record["doc"] = names, block.ids[rows]
@@ -274,10 +215,7 @@ def cut_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship(spark)
     n = blocks or partitions(spark)
-    packed = pack(docs, id_col, text_col)
-    texts = packed.select(
-        F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", F.struct(F.col(f"row.`{id_col}`").alias(id_col)).alias("row"), F.col("text").cast("binary").alias("text")
-    ).repartition(n, "block")
+    texts = into_blocks(docs, id_col, text_col, n)
     names = texts.groupBy("block").applyInArrow(lambda t: send_names(t, n), MESSAGE)
     shared = names.groupBy("dest").applyInArrow(sort_names, MESSAGE)
     records = texts.groupBy("block").cogroup(shared.groupBy("dest")).applyInArrow(lambda t, m: send_records(t, m, n), MESSAGE)
