@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, byte_bpe, decontaminate, language, line_dedup, quality, sharding, substring_dedup, suffix_dedup
-from tessel.llm.common import table
+from tessel.llm import ann, byte_bpe, decontaminate, jaccard_join, language, line_dedup, quality, sharding, substring_dedup, suffix_dedup
+from tessel.llm.common import LAST_ID, table
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,12 @@ def bytes_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard_join.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    given = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    return linked.select(given("id").alias("doc_id"), "n_shingles", given("component").alias("component_id"))
+
+
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -107,6 +113,7 @@ QUERIES = {
     "op7_quality_mil": qualities,
     "op8_suffix_dedup": bytes_cut,
     "op9_decontamination": contamination,
+    "op10_jaccard_join": components,
 }
 
 ORACLE_SQL = {
@@ -146,8 +153,9 @@ GROUP BY k.doc_id""",
     "op8_suffix_dedup": r"""
 WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 strings AS (
-  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS string
-  FROM hexed, unnest(range(0, length(h) // 2 - 49)) AS t(i) WHERE length(h) >= 100),
+  SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS i,
+         unnest(list_transform(range(0, length(h) // 2 - 49), lambda x: md5_number(substr(h, 2 * x + 1, 100)))) AS string
+  FROM hexed WHERE length(h) >= 100),
 firsts AS (SELECT string, min(doc_id) AS first_id FROM strings GROUP BY string HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT doc_id, i FROM strings JOIN firsts USING (string) WHERE doc_id > first_id),
 islands AS (
@@ -177,8 +185,9 @@ doc_words AS (
   FROM documents),
 lengths AS (SELECT DISTINCT n FROM windows),
 doc_windows AS (
-  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
-  FROM doc_words, lengths, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i,
+         unnest(list_transform(range(1, len(w) - n + 2), lambda x: array_to_string(w[x : x + n - 1], ' '))) AS win
+  FROM doc_words, lengths WHERE len(w) >= n),
 found AS (SELECT doc_id, i, n, item FROM doc_windows JOIN windows USING (n, win)),
 hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
 items AS (
@@ -188,4 +197,21 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(listed, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM shingled),
+members AS (SELECT doc_id, unnest(list_transform(s, lambda x: md5_number(x))) AS h FROM shingled),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM members a JOIN members b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT DISTINCT a AS doc_id, a AS seen FROM either UNION SELECT r.doc_id, l.b FROM reached r JOIN either l ON l.a = r.seen)
+SELECT z.doc_id, n AS n_shingles, least(z.doc_id, coalesce(min(seen), z.doc_id)) AS component_id
+FROM sizes z LEFT JOIN reached r ON r.doc_id = z.doc_id GROUP BY z.doc_id, n""",
 }
