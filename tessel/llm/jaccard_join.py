@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.blocks import MESSAGE, Block, heads_of, into_blocks, messages, short
-from tessel.llm.common import LAST_ID, keep, partitions, ship
+from tessel.llm.common import keep, pack, partitions, ship
 from tessel.llm.components import connected_components
+from tessel.llm.line_dedup import BLANKS
 from tessel.llm.shingles import Sets, parity_bits, set_hashes, shingle_sets
 from tessel.llm.text_arrays import U, mix, slices
 
@@ -170,7 +171,7 @@ def sort_names(table: pa.Table) -> pa.Table:
     return messages(out)
 
 
-CLASSES = "id long, n_shingles long, c1 long, c2 long, words array<long>, members binary"
+CLASSES = "id long, rid long, n_shingles long, c1 long, c2 long, words array<long>, members binary"
 
 
 def candidates(docs: pa.Table, told: pa.Table, parts: int, size: int, num: int, den: int) -> pa.Table:
@@ -203,7 +204,7 @@ def candidates(docs: pa.Table, told: pa.Table, parts: int, size: int, num: int,
             members[block.heads[c]] = block.sets[c].tobytes()
     return pa.table(
         {
-            "id": pa.array(block.ids, pa.int64()), "n_shingles": pa.array(block.sizes, pa.int64()), "c1": pa.array(block.first.view("i8")), "c2": pa.array(block.second.view("i8")),
+            "id": docs["id"], "rid": docs["rid"], "n_shingles": pa.array(block.sizes, pa.int64()), "c1": pa.array(block.first.view("i8")), "c2": pa.array(block.second.view("i8")),
             "words": pa.array(words, pa.list_(pa.int64())), "members": pa.array(members, pa.binary()),
         }
     )
@@ -274,58 +275,58 @@ def verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 def link_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN, blocks: int | None = None
 ) -> DataFrame:
-    """(id, n_shingles, component, class_id) for each row: the size of its set, the smallest id that links reach, and
-    the smallest id with an equal set.
+    """(id, rid, n_shingles, group, component) for each row: the size of its set, its group, and the group's smallest id.
 
     Shingles are distinct runs of ``size`` words (other than ASCII white space, A-Z in lower case); a text of fewer words
-    is one shingle.  Texts without words have no shingles and link with nothing, not even with each other.  A null id is
-    given as LAST_ID, after all others; rows that share an id are compared like any two rows.  Empty table: empty result.
+    is one shingle.  Groups are what links reach; ``rid`` is a hash of id and text.  Texts without words have no shingles
+    and link with nothing, not even with each other: no group, and their own id.  A null id is given as LAST_ID, after
+    all others.  Rows that share an id are compared like any two rows.  Empty table: empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     n = blocks or partitions(spark)
-    texts = into_blocks(docs, id_col, text_col, n).select("block", "id", "text")
+    texts = into_blocks(docs, id_col, text_col, n).select("block", "id", F.xxhash64("id", F.col("text").cast("string")).alias("rid"), "text")
     names = texts.groupBy("block").applyInArrow(lambda t: send_names(t, n, size, num, den), MESSAGE)
     told = names.groupBy("dest").applyInArrow(sort_names, MESSAGE)
     rows = keep(texts.groupBy("block").cogroup(told.groupBy("dest")).applyInArrow(lambda t, m: candidates(t, m, n, size, num, den), CLASSES))
 
-    classes = keep(rows.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep")))
-    active = rows.where(F.col("members").isNotNull()).join(classes, ["c1", "c2"]).dropDuplicates(["rep"]).select("rep", "n_shingles", "words", "members")
-    active = keep(active)
-    met = active.select("rep", F.explode("words").alias("word"))
-    hubs = met.groupBy("word").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = met.join(hubs, "word").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = connected_components(near)
-    nodes = active.join(groups, F.col("rep") == F.col("node")).select("component", "rep", "n_shingles", "members")
+    # a class is a node of the graph by the first hash of its set
+    active = keep(rows.where(F.col("members").isNotNull()).dropDuplicates(["c1", "c2"]).select(F.col("c1").alias("cls"), "n_shingles", "words", "members"))
+    met = active.select("cls", F.explode("words").alias("word"))
+    hubs = met.groupBy("word").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = met.join(hubs, "word").where(F.col("cls") != F.col("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    nodes = active.join(connected_components(near), F.col("cls") == F.col("node")).select("component", "cls", "n_shingles", "members")
     chunks = nodes.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    own, other = F.col("own"), F.col("other")
     placed = (
         nodes.join(chunks, "component")
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "members")
-    )
+        .select(
+            "component", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "cls",
+            F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side"), "members",
+        )
+    )
     keys = ["component", "i", "j"]
     links = placed.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(lambda b: verify(b, num, den), "a long, b long")
     linked = connected_components(links)
-    named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
-    found = rows.select("id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
-    alone = F.col("n_shingles") == 0
-    return found.select(
-        "id",
-        "n_shingles",
-        F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"),
-        F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-    )
+    sized = rows.where("n_shingles > 0").groupBy("c1").agg(F.min("id").alias("id"))
+    grouped = keep(sized.join(linked, F.col("c1") == F.col("node"), "left").select("c1", "id", F.coalesce("component", "c1").alias("group")))
+    smallest = grouped.groupBy("group").agg(F.min("id").alias("component"))
+    found = rows.select("id", "rid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c1")).alias("c1"))
+    named = grouped.select("c1", "group").join(smallest, "group")
+    return found.join(named, "c1", "left").select("id", "rid", "n_shingles", "group", F.coalesce("component", "id").alias("component"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """The rows whose id is the smallest of its component, with the same columns.
+    """One row of each group, with the same columns: the one with the smallest id.
 
-    Of rows that share an id and a component all but one are dropped, too: the smallest by the hash of the whole row.
-    Rows without words are components of their own, by id.  Rows without an id stay unless they link with others.
+    Of rows that share the smallest id, the one with the smallest hash of its text stays.  Rows without words are in no
+    group and all stay.  Rows without an id come last, but are rows of their own.
     """
     found = link_documents(docs, id_col, text_col, **rules)
-    best = found.where(F.col("id") == F.col("component")).select("id").distinct()
-    ids = F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID))
-    return docs.withColumn("__id", ids).join(best.withColumnRenamed("id", "__id"), "__id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = found.where(F.col("group").isNotNull() & (F.col("id") == F.col("component"))).groupBy("group", "id").agg(F.min("rid").alias("rid"))
+    packed = pack(docs, id_col, text_col).withColumn("rid", F.xxhash64("id", "text"))
+    wordless = F.btrim("text", F.lit(BLANKS)) == ""
+    chosen = packed.where(~wordless).join(stays.select("id", "rid"), ["id", "rid"], "left_semi").dropDuplicates(["id", "rid"])
+    return chosen.select("row").unionByName(packed.where(wordless).select("row")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
