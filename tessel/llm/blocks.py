@@ -39,8 +39,12 @@ class Block:
     """The documents of a block, in one array of bytes."""
 
     def __init__(self, table: pa.Table) -> None:
-        texts = table["text"].to_pylist()
-        self.ids = table["id"].to_numpy()
+        texts, ids = table["text"].to_pylist(), table["id"].to_pylist()
+        # rows come from a shuffle in any order, and messages speak of places in the block: one order for every pass
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        texts = [texts[i] for i in order]
+        self.rows = table["row"].take(pa.array(order, pa.int64()))
+        self.ids = np.array([ids[i] for i in order], "i8")
         self.stops = np.cumsum([len(x) for x in texts])
         self.starts = self.stops - [len(x) for x in texts]
         self.data = np.frombuffer(b"".join(texts), "u1")
@@ -90,12 +94,16 @@ def sort_names(table: pa.Table) -> pa.Table:
     everything = np.sort(np.concatenate([d for _, _, d in sent]))
     again = everything[1:][everything[1:] == everything[:-1]]
     shared = np.unique(np.concatenate([again, *(d for _, k, d in sent if k == SHARED_IN_BLOCK)]))
-    return messages([(s, sorter, NAMES, own.tobytes()) for s, _, d in sent if len(own := d[np.isin(d, shared)])])
+    return messages([(s, sorter, NAMES, own.tobytes()) for s, _, d in sent if len(own := d[among(d, shared)])])
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in ``known``, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def is_shared(names: np.ndarray, told: pa.Table, parts: int) -> np.ndarray:
     """Which names the sorters called shared."""
     shared = np.concatenate([np.frombuffer(d, "<u4").astype(U) | U(s << 32) for s, d in zip(told["src"].to_pylist(), told["data"].to_pylist(), strict=True)])
     shared.sort()
-    key = short(names, parts)
-    return shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
+    return among(short(names, parts), shared)

@@ -11,12 +11,12 @@ from tessel.llm.common import LAST_ID, table
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = substring_dedup.mark_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return marked.select(
+    cut = substring_dedup.cut_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
         "row.doc_id",
-        F.size("sentences").cast("long").alias("n_sentences"),
-        F.size("covered").cast("long").alias("n_removed"),
-        F.sha2(substring_dedup.kept_text().cast("binary"), 256).alias("kept_sha256"),
+        "n_sentences",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 
@@ -119,14 +119,17 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
 WITH parted AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t-\r]+|\n[ \t-\r]*)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
-listed AS (SELECT doc_id, CASE WHEN len(p) > 1 AND p[-1] = '' THEN p[: len(p) - 1] ELSE p END AS s FROM parted),
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?][ \t-\r]|\n)([^ \t-\r\x01])', '\1' || chr(1) || '\2', 'g') AS p FROM documents),
+listed AS (
+  SELECT doc_id, string_split(regexp_replace(p, '([.!?][ \t-\r]|\n)([^ \t-\r\x01])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM parted),
 keyed AS (
   SELECT doc_id, s, list_transform(s, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k FROM listed),
 spans AS (
-  SELECT doc_id, i, array_to_string(k[i : i + 2], chr(1)) AS span, length(array_to_string(k[i : i + 2], '')) AS chars
-  FROM keyed, unnest(range(1, greatest(len(k) - 2, 1) + 1)) AS t(i)),
+  SELECT doc_id, unnest(range(1, greatest(len(k) - 2, 1) + 1)) AS i,
+         unnest(list_transform(range(1, greatest(len(k) - 2, 1) + 1), lambda x: array_to_string(k[x : x + 2], chr(1)))) AS span,
+         unnest(list_transform(range(1, greatest(len(k) - 2, 1) + 1), lambda x: length(array_to_string(k[x : x + 2], '')))) AS chars
+  FROM keyed),
 ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS nth FROM spans WHERE chars >= 40),
 covered AS (SELECT DISTINCT doc_id, j FROM ranked, unnest(range(i, i + 3)) AS t(j) WHERE nth > 1),
 sentences AS (SELECT doc_id, j, s[j] AS sentence FROM keyed, unnest(range(1, len(s) + 1)) AS t(j))

@@ -1,92 +1,183 @@
 """Substring dedup by sliding sentence spans: a run of consecutive sentences that occurred before loses its sentences.
 
-DataFrame functions alone.  Spans are hashed to 128 bits and met by hash; what is shuffled by span is hashes and
-positions, and a text is shuffled once, by its own document.
+Every run of three consecutive sentences is hashed, the hashes meet globally, and all occurrences but the first lose their
+sentences.  Texts are shuffled once, into blocks; what meets globally is packed hashes (see blocks.py): first 32 bits of
+each run, to leave out those that occur once, then the full hash and the first place in the block of the others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from tessel.llm.common import content_key, keep, pack
-from tessel.llm.line_dedup import BLANKS, ascii_lower
-
-#: A sentence begins at a character that isn't blank, after a line break, or after one of .!? and blanks.
-SENTENCE_START = r"(?<=[.!?]\s{1,99}|\n\s{0,99})(?=\S)"
-
-
-def sentence_key(sentence: Column) -> Column:
-    return ascii_lower(F.btrim(sentence, F.lit(BLANKS)))
-
-
-def mark_repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_chars: int = 40
-) -> DataFrame:
-    """(row, sentences, covered): each row, its sentences, and the positions of those inside a non-first repeated span.
-
-    A span is ``span`` consecutive sentences (all of them in a shorter document), compared without surrounding ASCII
-    white space and with A-Z in lower case; spans of fewer than ``min_chars`` code points are left alone.  The first
-    occurrence is that of the smallest id, then of the smallest position.  Joined, the sentences are the text.
-
-    Null and empty texts: one empty sentence, nothing covered.  Null ids: one document that comes last.  Rows with equal
-    id and text count as one document, so they lose the same sentences; rows that share an id alone are compared like
-    two places of one document, and the smallest position comes first.  Empty table: empty result.
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from tessel.llm.blocks import MESSAGE, Block, into_blocks, is_shared, messages, place, send_unique, sort_names
+from tessel.llm.common import partitions, ship
+from tessel.llm.text_arrays import BLANK, LOWER, U, mix, run_hashes, slices
+
+SPAN = 3
+MIN_CHARS = 40
+CHUNK = 2_000_000
+RECORDS, MEMO, FOUND = range(2, 5)
+RECORD = np.dtype([("name", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("pos", "<i8")])
+STOP = np.zeros(256, bool)
+STOP[[ord(c) for c in ".!?"]] = True
+
+
+class Sentences(Block):
+    """The sentences of a block: where each begins in the block's bytes, and the first sentence of each document."""
+
+    def __init__(self, table: pa.Table) -> None:
+        super().__init__(table)
+        data = self.data
+        blank = BLANK[data]
+        begins = np.zeros(len(data), bool)
+        if len(data) > 1:
+            begins[1:] = ~blank[1:] & (data[:-1] == 10)
+            begins[2:] |= ~blank[2:] & blank[1:-1] & STOP[data[:-2]]
+            second = self.starts[self.stops - self.starts > 1] + 1  # what comes before belongs to another document
+            begins[second] = ~blank[second] & (data[second - 1] == 10)
+        filled = self.starts[self.stops > self.starts]
+        begins[filled] = True
+        self.begin = np.flatnonzero(begins)
+        self.first = np.searchsorted(self.begin, np.append(self.starts, len(data)))
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+
+    def spans(self, span: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document row, first sentence within it, name, check) of each run that is long enough."""
+        stop = np.append(self.begin[1:], len(self.data))
+        stop = np.minimum(stop, self.stops[self.doc]) if len(stop) else stop
+        n = np.diff(self.first)
+        hashes = np.zeros(len(self.begin), U)
+        chars = np.zeros(len(self.begin), "i8")
+        for part in slices((self.stops - self.starts).tolist(), CHUNK):
+            a, b = self.first[part.start], self.first[part.stop]
+            low = self.starts[part.start]
+            own = self.data[low : self.stops[part.stop - 1]]
+            lower = np.frombuffer(own.tobytes().translate(LOWER), "u1")
+            full = np.flatnonzero(~BLANK[own])
+            left = np.searchsorted(full, self.begin[a:b] - low)
+            right = np.searchsorted(full, stop[a:b] - low)
+            some = right > left
+            begin, end = np.zeros(b - a, "i8"), np.zeros(b - a, "i8")
+            begin[some], end[some] = full[left[some]], full[right[some] - 1] + 1
+            hashes[a:b] = run_hashes(lower, begin, end)
+            letters = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+            chars[a:b] = letters[end] - letters[begin]
+        width = np.minimum(n, span)
+        count = np.where(n > 0, n - width + 1, 0)
+        doc = np.repeat(np.arange(len(n)), count)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        at = self.first[doc] + pos
+        name, check, total = np.zeros(len(doc), U), np.full(len(doc), U(7)), np.zeros(len(doc), "i8")
+        for i in range(span):
+            ok = np.flatnonzero(i < width[doc])
+            h = hashes[at[ok] + i]
+            name[ok] = mix(name[ok] * U(0x9E3779B97F4A7C15) + h + U(1))
+            check[ok] = mix((check[ok] ^ h) * U(0xD6E8FEB86659FD93) + U(3))
+            total[ok] += chars[at[ok] + i]
+        long_enough = total >= min_chars
+        return doc[long_enough], pos[long_enough], name[long_enough], check[long_enough]
+
+
+def send_records(docs: pa.Table, told: pa.Table, parts: int, span: int, min_chars: int) -> pa.Table:
+    if not docs.num_rows or not told.num_rows:
+        return messages([])
+    block, number = Sentences(docs), docs["block"][0].as_py()
+    doc, pos, name, check = block.spans(span, min_chars)
+    some = is_shared(name, told, parts)
+    doc, pos, name, check = doc[some], pos[some], name[some], check[some]
+    ids, sorter = block.ids[doc], place(name, parts)
+    order = np.lexsort((pos, ids, check, name, sorter))
+    doc, pos, ids, name, check, sorter = (x[order] for x in (doc, pos, ids, name, check, sorter))
+    new = np.append(True, (name[1:] != name[:-1]) | (check[1:] != check[:-1]))[: len(name)]
+    variant, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+    first = (ids == ids[heads][variant]) & (pos == pos[heads][variant])
+    memo = np.stack([doc, pos, variant, first], axis=1).astype("<u4").tobytes()
+    record = np.zeros(len(heads), RECORD)
+    for k, v in (("name", name), ("check", check), ("doc", ids), ("pos", pos)):
+        record[k] = v[heads]
+    bounds = np.searchsorted(sorter[heads], np.arange(parts + 1))
+    out = [(p, number, RECORDS, record[bounds[p] : bounds[p + 1]].tobytes()) for p in range(parts) if bounds[p] < bounds[p + 1]]
+    return messages([*out, (number % parts, number, MEMO, memo)])
+
+
+def sort_records(table: pa.Table) -> pa.Table:
+    """For each record whether it is the first place of its run, in all blocks."""
+    sorter = table["dest"][0].as_py()
+    rows = list(zip(*(table[c].to_pylist() for c in ("src", "kind", "data")), strict=True))
+    out = [(s, sorter, MEMO, d) for s, k, d in rows if k == MEMO]
+    sent = [(s, np.frombuffer(d, RECORD)) for s, k, d in rows if k == RECORDS]
+    if not sent:
+        return messages(out)
+    record = np.concatenate([d for _, d in sent])
+    order = np.lexsort((record["pos"], record["doc"], record["check"], record["name"]))
+    own = record[order]
+    new = np.append(True, (own["name"][1:] != own["name"][:-1]) | (own["check"][1:] != own["check"][:-1]))
+    first = np.zeros(len(record), "u1")
+    first[order[new]] = 1
+    bounds = np.cumsum([0] + [len(d) for _, d in sent])
+    out += [(s, sorter, FOUND, first[a:b].tobytes()) for (s, _), a, b in zip(sent, bounds, bounds[1:], strict=False)]
+    return messages(out)
+
+
+def cut(docs: pa.Table, told: pa.Table, span: int) -> pa.Table:
+    """Take the sentences of all but first occurrences out of each document."""
+    block = Sentences(docs) if docs.num_rows else None
+    if block is None:
+        return pa.table({"row": docs["row"], "n_sentences": pa.array([], pa.int64()), "removed": pa.array([], pa.list_(pa.int64())), "kept": pa.array([], pa.binary())})
+    n = np.diff(block.first)
+    gone = np.zeros(len(block.begin) + 1, "i4")
+    order = np.argsort(told["src"].to_numpy(), kind="stable").tolist() if told.num_rows else []
+    kinds, data = told["kind"].to_pylist(), told["data"].to_pylist()
+    answers = np.concatenate([np.zeros(0, "u1"), *(np.frombuffer(data[i], "u1") for i in order if kinds[i] == FOUND)])
+    for i in order:
+        if kinds[i] == MEMO:
+            doc, pos, variant, first = np.frombuffer(data[i], "<u4").reshape(-1, 4).astype("i8").T
+            again = (first == 0) | (answers[variant] == 0)
+            at = block.first[doc[again]] + pos[again]
+            np.add.at(gone, at, 1)
+            np.add.at(gone, np.minimum(at + span, block.first[doc[again] + 1]), -1)
+    gone = np.cumsum(gone[:-1]) > 0
+    kept, removed = [], []
+    for i, (a, b) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)):
+        own = gone[a:b]
+        if own.any():
+            cuts = np.append(block.begin[a:b], block.stops[i])
+            kept.append(b"".join(block.data[cuts[k] : cuts[k + 1]].tobytes() for k in np.flatnonzero(~own)))
+            removed.append(np.flatnonzero(own).tolist())
+        else:
+            kept.append(block.data[block.starts[i] : block.stops[i]].tobytes())
+            removed.append([])
+    return pa.table({"row": block.rows, "n_sentences": pa.array(np.maximum(n, 1), pa.int64()), "removed": pa.array(removed, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
+
+
+def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, min_chars: int = MIN_CHARS, blocks: int | None = None) -> DataFrame:
+    """(row, n_sentences, removed, kept): the id, the number of sentences, the positions of those removed, and the rest.
+
+    A sentence begins at a character that isn't blank, right after a line break, or after one of .!? and one blank (ASCII
+    white space); together, the sentences are the text.  A span is ``span`` consecutive sentences (all of them in a shorter
+    document), compared without surrounding blanks and with A-Z in lower case; spans of fewer than ``min_chars`` code
+    points are left alone.  The first occurrence is that of the smallest id, then of the smallest position, and all
+    others lose their sentences, in the same document too.  ``kept`` is the UTF-8 text of what is left.
+
+    Null and empty texts: one empty sentence, nothing removed.  Null ids: one document that comes last.  Rows with equal
+    id and text lose the same sentences; rows that share an id alone are compared like places of one document.  Empty
+    table: empty result.
     """
-    packed = pack(docs, id_col, text_col).withColumns(
-        {"sentences": F.split("text", SENTENCE_START), "rid": F.xxhash64("id", "text")}
-    )
-    keys = F.transform(
-        "sentences", lambda s: F.struct(F.length(sentence_key(s)).alias("chars"), *content_key(sentence_key(s)))
-    )
-    width = F.least(F.size("keys"), F.lit(span))
-
-    def spanned(pos: Column) -> Column:
-        own = F.slice("keys", pos + 1, width)
-        return F.struct(
-            pos.alias("pos"),
-            F.aggregate(own, F.lit(0), lambda a, x: a + x["chars"]).alias("chars"),
-            F.xxhash64(own["k1"]).alias("k1"),
-            F.xxhash64(own["k2"]).alias("k2"),
-        )
-
-    spans = keep(
-        packed.select("rid", "id", keys.alias("keys"))
-        .select("rid", "id", F.inline(F.filter(F.transform(F.sequence(F.lit(0), F.size("keys") - width), spanned), lambda x: x["chars"] >= min_chars)))
-        .drop("chars")
-    )
-    counted = spans.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    repeated = keep(spans.join(counted.where(F.col("n") > 1).drop("n"), ["k1", "k2"]))
-    firsts = repeated.where(F.col("id") == F.col("first_id")).groupBy("k1", "k2").agg(F.min("pos").alias("first_pos"))
-    covered = (
-        repeated.join(firsts, ["k1", "k2"])
-        .where((F.col("id") != F.col("first_id")) | (F.col("pos") != F.col("first_pos")))
-        .groupBy("id", "rid")
-        .agg(F.collect_set("pos").alias("starts"))
-    )
-    return packed.join(covered, ["id", "rid"], "left").select(
-        "row", "sentences", covered_positions(F.col("starts"), F.size("sentences"), span).alias("covered")
-    )
-
-
-def covered_positions(starts: Column, n: Column, span: int) -> Column:
-    """Positions below n inside [start, start + span) of any start."""
-    last = n - 1
-    each = F.transform(starts, lambda s: F.sequence(s, F.least(s + span - 1, last)))
-    return F.coalesce(F.array_sort(F.array_distinct(F.flatten(each))), F.array().cast("array<int>"))
-
-
-def kept_text() -> Column:
-    positions = F.array_except(F.sequence(F.lit(0), F.size("sentences") - 1), F.col("covered"))
-    return F.array_join(F.transform(positions, lambda p: F.get("sentences", p)), "")
-
-
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """The same rows and columns with the covered sentences taken out of the text; a null text stays null."""
-    marked = mark_repeated_spans(docs, id_col, text_col, **rules).withColumn("kept", kept_text())
-    return marked.select(
-        *[
-            F.when(F.col(f"row.`{c}`").isNotNull(), F.col("kept")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
-            for c in docs.columns
-        ]
-    )
+    ship(docs.sparkSession)
+    n = blocks or partitions(docs.sparkSession)
+    texts = into_blocks(docs, id_col, text_col, n)
+
+    def send(table: pa.Table) -> pa.Table:
+        block = Sentences(table)
+        _, _, name, _ = block.spans(span, min_chars)
+        return send_unique(name, np.arange(len(name)), table["block"][0].as_py(), n)
+
+    names = texts.groupBy("block").applyInArrow(send, MESSAGE)
+    shared = names.groupBy("dest").applyInArrow(sort_names, MESSAGE)
+    records = texts.groupBy("block").cogroup(shared.groupBy("dest")).applyInArrow(lambda t, m: send_records(t, m, n, span, min_chars), MESSAGE)
+    found = records.groupBy("dest").applyInArrow(sort_records, MESSAGE)
+    schema = T.StructType([texts.schema["row"], T.StructField("n_sentences", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
+    return texts.groupBy("block").cogroup(found.groupBy("dest")).applyInArrow(lambda t, m: cut(t, m, span), schema)
