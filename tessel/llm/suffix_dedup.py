@@ -14,6 +14,8 @@ Texts are shuffled once, into blocks (see blocks.py), and a document's results a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,6 +92,27 @@ def send_names(table: pa.Table, parts: int) -> pa.Table:
     return send_unique(names, block.ids[rows], table["block"][0].as_py(), parts)
 
 
+@dataclass
+class Memo:
+    """What a block tells itself: spans to cut, and places whose records wait for an answer, each record's first marked."""
+
+    start: np.ndarray
+    stop: np.ndarray
+    asking: np.ndarray
+    begins: np.ndarray
+
+    def packed(self) -> bytes:
+        sizes = np.array([len(self.start), len(self.asking)], "<i8")
+        return b"".join(x.tobytes() for x in (sizes, self.start.astype("<u4"), self.stop.astype("<u4"), self.asking.astype("<u4"), np.packbits(self.begins)))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Memo:
+        n, m = np.frombuffer(data, "<i8", 2).tolist()
+        numbers = np.frombuffer(data, "<u4", 2 * n + m, 16).astype("i8")
+        begins = np.unpackbits(np.frombuffer(data, "u1", -1, 16 + 4 * len(numbers)), count=m).astype(bool)
+        return cls(numbers[:n], numbers[n : 2 * n], numbers[2 * n :], begins)
+
+
 def flank_hash(record: np.ndarray) -> np.ndarray:
     raw = np.ascontiguousarray(np.concatenate([record["left"], record["right"], record["before"][:, None], record["after"][:, None]], axis=1))
     h = np.zeros(len(record), U)
@@ -126,13 +149,12 @@ def send_records(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     heads = np.flatnonzero(new)
     later = record["doc"] != record["doc"][heads][variant]  # an earlier document of this block has all of it
     most, least = record["before"].astype("i8"), np.maximum(0, FLANK - record["after"].astype("i8"))
-    covered = np.stack([at[later] - most[later], at[later] - least[later] + LENGTH], axis=1)
-    asking = np.stack([at[~later], variant[~later]], axis=1)
-    memo = np.array([len(covered), len(asking)], "<i8").tobytes() + covered.astype("<i8").tobytes() + asking.astype("<i8").tobytes()
+    # places of the others in the order of their records, and which of them begins a new one
+    memo = Memo(at[later] - most[later], at[later] - least[later] + LENGTH, at[~later], new[~later])
     bounds = np.searchsorted(sorter[heads], np.arange(parts + 1))
     own = record[heads]
     out = [(p, number, RECORDS, own[bounds[p] : bounds[p + 1]].tobytes()) for p in range(parts) if bounds[p] < bounds[p + 1]]
-    return messages([*out, (number % parts, number, MEMO, memo)])
+    return messages([*out, (number % parts, number, MEMO, memo.packed())])
 
 
 def sort_records(table: pa.Table) -> pa.Table:
@@ -180,13 +202,10 @@ def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
     answers = np.concatenate([np.zeros((0, 2), "i8"), *(np.frombuffer(data[i], "u1").reshape(-1, 2).astype("i8") for i in order if kinds[i] == FOUND)])
     for i in order:
         if kinds[i] == MEMO:
-            memo = np.frombuffer(data[i], "<i8")
-            n, m = memo[:2].tolist()
-            covered, asking = memo[2 : 2 + 2 * n].reshape(-1, 2), memo[2 + 2 * n : 2 + 2 * n + 2 * m].reshape(-1, 2)
-            least, most = answers[asking[:, 1]].T
+            memo = Memo.unpacked(data[i])
+            least, most = answers[np.cumsum(memo.begins) - 1].T
             hit = least != NONE
-            found = np.stack([asking[hit, 0] - most[hit], asking[hit, 0] - least[hit] + LENGTH], axis=1)
-            for a, b in ((covered[:, 0], covered[:, 1]), (found[:, 0], found[:, 1])):
+            for a, b in ((memo.start, memo.stop), (memo.asking[hit] - most[hit], memo.asking[hit] - least[hit] + LENGTH)):
                 np.add.at(edge, a, 1)
                 np.add.at(edge, b, -1)
     gone = np.cumsum(edge[:-1]) > 0
@@ -195,7 +214,7 @@ def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
         own = gone[a:b]
         kept.append(block.data[a:b][~own].tobytes() if own.any() else block.data[a:b].tobytes())
         spans.append([{"start": s, "stop": e} for s, e in zip(*(x.tolist() for x in runs(own)), strict=True)] if own.any() else [])
-    return pa.table({"row": docs["row"], "n_bytes": pa.array(block.stops - block.starts, pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())})
+    return pa.table({"row": block.rows, "n_bytes": pa.array(block.stops - block.starts, pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())})
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
