@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import pack
@@ -21,15 +21,20 @@ MESSAGE = "dest int, src int, kind int, data binary"
 NAMES, SHARED_IN_BLOCK = range(2)
 
 
-def into_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
-    """(block, id, row, text): the only shuffle of the texts; row is a struct of the id as it was."""
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+
+
+def into_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int, *more: Column) -> DataFrame:
+    """(block, id, row, text, more): the only shuffle of the texts; row is a struct of the id as it was."""
     return (
         pack(docs, id_col, text_col)
         .select(
-            F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
+            block_of(blocks),
             "id",
             F.struct(F.col(f"row.`{id_col}`").alias(id_col)).alias("row"),
             F.col("text").cast("binary").alias("text"),
+            *more,
         )
         .repartition(blocks, "block")
     )
@@ -43,6 +48,7 @@ class Block:
         # rows come from a shuffle in any order, and messages speak of places in the block: one order for every pass
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         texts = [texts[i] for i in order]
+        self.order = np.array(order, "i8")
         self.rows = table["row"].take(pa.array(order, pa.int64()))
         self.ids = np.array([ids[i] for i in order], "i8")
         self.stops = np.cumsum([len(x) for x in texts])
@@ -90,11 +96,15 @@ def send_unique(names: np.ndarray, owners: np.ndarray, number: int, parts: int)
 def sort_names(table: pa.Table) -> pa.Table:
     """Tell each block which of its names occur elsewhere too; 32 bits may let a few more pass, never fewer."""
     sorter = table["dest"][0].as_py()
-    sent = [(s, k, np.frombuffer(d, "<u4")) for s, k, d in zip(*(table[c].to_pylist() for c in ("src", "kind", "data")), strict=True)]
+    rows = list(zip(*(table[c].to_pylist() for c in ("src", "kind", "data")), strict=True))
+    passed = [(s, sorter, k, d) for s, k, d in rows if k not in (NAMES, SHARED_IN_BLOCK)]  # what a block tells itself
+    sent = [(s, k, np.frombuffer(d, "<u4")) for s, k, d in rows if k in (NAMES, SHARED_IN_BLOCK)]
+    if not sent:
+        return messages(passed)
     everything = np.sort(np.concatenate([d for _, _, d in sent]))
     again = everything[1:][everything[1:] == everything[:-1]]
     shared = np.unique(np.concatenate([again, *(d for _, k, d in sent if k == SHARED_IN_BLOCK)]))
-    return messages([(s, sorter, NAMES, own.tobytes()) for s, _, d in sent if len(own := d[among(d, shared)])])
+    return messages(passed + [(s, sorter, NAMES, own.tobytes()) for s, _, d in sent if len(own := d[among(d, shared)])])
 
 
 def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -104,6 +114,6 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def is_shared(names: np.ndarray, told: pa.Table, parts: int) -> np.ndarray:
     """Which names the sorters called shared."""
-    shared = np.concatenate([np.frombuffer(d, "<u4").astype(U) | U(s << 32) for s, d in zip(told["src"].to_pylist(), told["data"].to_pylist(), strict=True)])
+    shared = np.concatenate([np.zeros(0, U), *(np.frombuffer(d, "<u4").astype(U) | U(s << 32) for s, d in zip(told["src"].to_pylist(), told["data"].to_pylist(), strict=True))])
     shared.sort()
     return among(short(names, parts), shared)

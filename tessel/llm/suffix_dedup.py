@@ -4,6 +4,8 @@ Prefix doubling over a sparse set of suffixes.  A suffix array of every byte wou
 only sampled positions are ranked, and the sample loses no match: of the 19 positions at which a 32-byte prefix fits into
 a 50-byte string, the one with the smallest fingerprint is always in it, and equal strings choose the same one.
 
+Later copies of a whole text are cut by a hash of the text and take no part: the first copy has all their strings.
+
 1. In a document, names of 1, 2, 4, 8, 16 and 32 bytes come from pairs of names at growing offsets.
 2. Spark brings the sampled names of 32 bytes together; those of one document alone are unique and drop out.
 3. The others are extended to all 50-byte strings around them (offsets 0 to 18) and sorted again, with the smallest
@@ -18,11 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.blocks import MESSAGE, Block, heads_of, into_blocks, is_shared, messages, place, send_unique, sort_names
-from tessel.llm.common import partitions, ship
+from tessel.llm.blocks import MESSAGE, NAMES, Block, block_of, heads_of, into_blocks, is_shared, messages, place, send_unique, sort_names
+from tessel.llm.common import content_key, pack, partitions, ship
 from tessel.llm.text_arrays import U, mix, runs, slices
 
 LENGTH = 50
@@ -30,7 +34,7 @@ PREFIX = 32
 FLANK = LENGTH - PREFIX
 #: Bytes that go through the array operations at once, small enough for the processor's cache.
 CHUNK = 300_000
-RECORDS, MEMO, FOUND = range(2, 5)
+RECORDS, MEMO, FOUND, COPIES = range(2, 6)
 RECORD = np.dtype([("name", "<u8"), ("doc", "<i8"), ("left", "u1", FLANK), ("right", "u1", FLANK), ("before", "u1"), ("after", "u1")])
 NONE = 255
 
@@ -73,8 +77,8 @@ def sampled(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np
 
 
 class Suffixes(Block):
-    def sample(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions, names, rows of the documents)."""
+    def sample(self, own_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, names, rows of the documents) of the documents picked."""
         at, names = [], []
         for part in slices((self.stops - self.starts).tolist(), CHUNK):
             first = self.starts[part.start]
@@ -83,13 +87,21 @@ class Suffixes(Block):
             at.append(a + first)
             names.append(n)
         at, names = np.concatenate([np.zeros(0, "i8"), *at]), np.concatenate([np.zeros(0, U), *names])
-        return at, names, np.searchsorted(self.stops, at, side="right")
+        rows = np.searchsorted(self.stops, at, side="right")
+        some = own_rows[rows]
+        return at[some], names[some], rows[some]
 
 
-def send_names(table: pa.Table, parts: int) -> pa.Table:
-    block = Suffixes(table)
-    _, names, rows = block.sample()
-    return send_unique(names, block.ids[rows], table["block"][0].as_py(), parts)
+def send_names(docs: pa.Table, copies: pa.Table, parts: int) -> pa.Table:
+    """Names of all documents but later copies of a whole text, which go as they are: the first has all their strings."""
+    if not docs.num_rows:
+        return messages([])
+    block, number = Suffixes(docs), docs["block"][0].as_py()
+    later = set(zip(copies["id"].to_pylist(), copies["t1"].to_pylist(), strict=True))
+    whole = np.array([x in later for x in zip(docs["id"].to_pylist(), docs["t1"].to_pylist(), strict=True)], bool)[block.order]
+    _, names, rows = block.sample(~whole)
+    told = send_unique(names, block.ids[rows], number, parts)
+    return pa.concat_tables([told, messages([(number % parts, number, COPIES, np.packbits(whole).tobytes())])])
 
 
 @dataclass
@@ -128,8 +140,10 @@ def send_records(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     if not docs.num_rows or not told.num_rows:
         return messages([])
     block, number = Suffixes(docs), docs["block"][0].as_py()
-    at, names, rows = block.sample()
-    some = is_shared(names, told, parts)
+    marks = next(d for k, d in zip(told["kind"].to_pylist(), told["data"].to_pylist(), strict=True) if k == COPIES)
+    whole = np.unpackbits(np.frombuffer(marks, "u1"), count=docs.num_rows).astype(bool)
+    at, names, rows = block.sample(~whole)
+    some = is_shared(names, told.filter(pc.equal(told["kind"], NAMES)), parts)
     at, names, rows = at[some], names[some], rows[some]
     record = np.zeros(len(at), RECORD)
     record["name"], record["doc"] = names, block.ids[rows]
@@ -144,13 +158,15 @@ def send_records(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     flank, sorter = flank_hash(record), place(names, parts)
     order = np.lexsort((record["doc"], flank, names, sorter))
     record, at, sorter, flank = record[order], at[order], sorter[order], flank[order]
-    new = np.append(True, (record["name"][1:] != record["name"][:-1]) | (flank[1:] != flank[:-1]))
+    new = np.append(True, (record["name"][1:] != record["name"][:-1]) | (flank[1:] != flank[:-1]))[: len(record)]
     variant = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     later = record["doc"] != record["doc"][heads][variant]  # an earlier document of this block has all of it
     most, least = record["before"].astype("i8"), np.maximum(0, FLANK - record["after"].astype("i8"))
     # places of the others in the order of their records, and which of them begins a new one
-    memo = Memo(at[later] - most[later], at[later] - least[later] + LENGTH, at[~later], new[~later])
+    gone = whole & (block.stops - block.starts >= LENGTH)
+    start, stop = at[later] - most[later], at[later] - least[later] + LENGTH
+    memo = Memo(np.append(start, block.starts[gone]), np.append(stop, block.stops[gone]), at[~later], new[~later])
     bounds = np.searchsorted(sorter[heads], np.arange(parts + 1))
     own = record[heads]
     out = [(p, number, RECORDS, own[bounds[p] : bounds[p + 1]].tobytes()) for p in range(parts) if bounds[p] < bounds[p + 1]]
@@ -234,8 +250,11 @@ def cut_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship(spark)
     n = blocks or partitions(spark)
-    texts = into_blocks(docs, id_col, text_col, n)
-    names = texts.groupBy("block").applyInArrow(lambda t: send_names(t, n), MESSAGE)
+    texts = into_blocks(docs, id_col, text_col, n, F.xxhash64("text").alias("t1"))
+    keys = pack(docs, id_col, text_col).select(block_of(n), "id", *[k.alias(c) for k, c in zip(content_key("text"), ("t1", "t2"), strict=True)])
+    firsts = keys.groupBy("t1", "t2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = keys.join(firsts, ["t1", "t2"]).where(F.col("id") != F.col("first_id")).select("block", "id", "t1").distinct()
+    names = texts.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(lambda t, c: send_names(t, c, n), MESSAGE)
     shared = names.groupBy("dest").applyInArrow(sort_names, MESSAGE)
     records = texts.groupBy("block").cogroup(shared.groupBy("dest")).applyInArrow(lambda t, m: send_records(t, m, n), MESSAGE)
     found = records.groupBy("dest").applyInArrow(sort_records, MESSAGE)
