@@ -9,6 +9,11 @@ WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x0B\x{1C}-\x{1F}\x{85}\p{Z}"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, also where the body's own lambdas use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_text(text: Column) -> Column:
     """Tags and characters other than words, blanks, hyphens and apostrophes become blanks; runs of blanks become one."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")

@@ -30,11 +30,12 @@ def joined(*words: Column) -> Column:
 
 
 def cleaned(products: DataFrame) -> DataFrame:
-    """``p``: the fields as clean text, and ``low``: the same in lower case; a missing column counts as empty."""
+    """``p_``: the fields as clean text, and ``low_``: the same in lower case; a missing column counts as empty.
+
+    They are columns of their own, not a struct: the optimizer would copy a struct's expressions to every use of a field.
+    """
     own = {f: clean_text(F.col(f).cast("string")) if f in products.columns else F.lit("") for f in FIELDS}
-    return products.withColumn("p", F.struct(*[c.alias(f) for f, c in own.items()])).withColumn(
-        "low", F.struct(*[F.lower(F.col(f"p.{f}")).alias(f) for f in FIELDS])
-    )
+    return products.withColumns({f"p_{f}": c for f, c in own.items()}).withColumns({f"low_{f}": F.lower(F.col(f"p_{f}")) for f in FIELDS})
 
 
 def attribute_ngrams(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -43,8 +44,8 @@ def attribute_ngrams(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFra
     N-grams of the title, and colour, gender and usage bound to the article and its synonyms; unisex binds nothing.
     """
     rows = cleaned(products)
-    rows = rows.withColumn("entry", lexicon_entry(F.col("low.articleType"), lexicon)).withColumn("words", tokens_of_clean(F.col("low.productDisplayName")))
-    colour, gender_all, article, usage = (F.col(f"low.{f}") for f in ("baseColour", "gender", "articleType", "usage"))
+    rows = rows.withColumn("entry", lexicon_entry(F.col("low_articleType"), lexicon)).withColumn("words", tokens_of_clean(F.col("low_productDisplayName")))
+    colour, gender_all, article, usage = (F.col(f"low_{f}") for f in ("baseColour", "gender", "articleType", "usage"))
     gender = F.when(gender_all != "unisex", gender_all).otherwise("")
     synonyms = F.coalesce(F.col("entry.synonyms"), F.array().cast("array<string>"))
 
@@ -69,11 +70,13 @@ def attribute_ngrams(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFra
 def with_chunks(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """All columns and ``chunks``: array of (chunk_id, chunk_type, text), numbered from 0 without gaps."""
     rows = attribute_ngrams(products, lexicon)
-    p, low = (lambda f: F.col(f"p.{f}")), (lambda f: F.col(f"low.{f}"))
+    rows = rows.withColumn("meaning", F.coalesce(F.col("entry"), lexicon_entry(F.col("low_subCategory"), lexicon)))
+    p, low = (lambda f: F.col(f"p_{f}")), (lambda f: F.col(f"low_{f}"))
     title = p("productDisplayName")
     owner = F.when(given(low("gender")) & (low("gender") != "unisex"), F.concat(low("gender"), F.lit("'s")))
     thing = F.when(given(low("articleType")), low("articleType")).when(given(low("subCategory")), low("subCategory"))
-    phrase = F.array_join(present(F.when(given(low("baseColour")), low("baseColour")), owner, thing), " ")
+    rows = rows.withColumn("phrase", F.array_join(present(F.when(given(low("baseColour")), low("baseColour")), owner, thing), " "))
+    phrase = F.col("phrase")
     more = given(phrase) & ~F.contains(low("productDisplayName"), phrase)
     caption = (
         F.when(given(title) & more, F.concat(F.lit("A photo of "), title, F.lit(", a "), phrase, F.lit(".")))
@@ -90,7 +93,7 @@ def with_chunks(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     style = F.when(F.size(clauses) > 0, F.concat(title, F.lit(". "), F.array_join(clauses, ", "), F.lit(".")))
     phrases = F.concat(F.slice("bigrams", 1, 6), F.slice("trigrams", 1, 4))
     grams = F.when(F.size(phrases) > 0, F.concat(F.lit("Key product phrases and n-grams: "), F.array_join(phrases, ", "), F.lit(".")))
-    meaning = F.coalesce(F.col("entry"), lexicon_entry(low("subCategory"), lexicon))
+    meaning = F.col("meaning")
     path = F.array_join(present(*[F.when(given(p(f)), p(f)) for f in ("masterCategory", "subCategory", "articleType")]), " > ")
     parts = present(
         F.when(given(p("masterCategory")) | given(p("subCategory")), F.concat(F.lit("Category hierarchy: "), path)),
@@ -108,11 +111,12 @@ def with_chunks(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
         F.array(*[F.struct(F.lit(kind).alias("kind"), text.alias("text")) for kind, text in named]),
         F.transform(details, lambda s: F.struct(F.lit("description_detail").alias("kind"), s.alias("text"))),
     )
+    made = ("entry", "words", "unigrams", "bigrams", "trigrams", "meaning", "phrase", "listed")
     numbered = F.transform(
-        F.filter(all_, lambda x: x["text"].isNotNull()),
+        F.filter("listed", lambda x: x["text"].isNotNull()),
         lambda x, i: F.struct(i.alias("chunk_id"), x["kind"].alias("chunk_type"), x["text"].alias("text")),
     )
-    return rows.withColumn("chunks", numbered).drop("p", "low", "entry", "words", "unigrams", "bigrams", "trigrams")
+    return rows.withColumn("listed", all_).withColumn("chunks", numbered).drop(*[f"{k}_{f}" for k in ("p", "low") for f in FIELDS], *made)
 
 
 def chunk_points(products: DataFrame, id_col: str = "id", per_product: int = 1000) -> DataFrame:

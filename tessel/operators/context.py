@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessel.functions.scores import clip
 from tessel.functions.text import clean_text, contains_word, ngrams, stem, stemmed_set, tokens_of_clean
-from tessel.operators.intent import first_of
 from tessel.plans import lexicon as lx
 from tessel.plans.lexicon import DEFAULT, Lexicon
 
@@ -40,7 +39,7 @@ def category_multiplier(target: Column, article: Column, sub: Column, master: Co
     """0 for an incompatible category or another master group, 1.3 for a dress, 1.25 for a term of the category, else .6."""
     near = stemmed_set(tokens_of_clean(F.concat_ws(" ", article, sub)))
     wide = stemmed_set(tokens_of_clean(F.concat_ws(" ", article, sub, master, name)))
-    pick = lambda values: first_of(*[(target == c.name, _strings(values(c))) for c in lexicon.categories])
+    pick = lambda values: F.try_element_at(F.create_map(*[x for c in lexicon.categories for x in (F.lit(c.name), _strings(values(c)))]), target)
     valid = pick(lambda c: c.terms)
     excluded = pick(lambda c: [t for k in lexicon.incompatible.get(c.name, ()) if (other := lexicon.named(k)) for t in other.terms])
     clash = F.arrays_overlap(excluded, near) & ~F.arrays_overlap(valid, near)
@@ -64,8 +63,8 @@ def with_context_score(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame
     without tokens scores 0.5.
     """
     text = lambda c: F.lower(clean_text(F.col(c))) if c in rows.columns else F.lit("")
-    own = rows.withColumn("t", F.struct(*[text(c).alias(k) for k, c in TEXTS.items()]))
-    t = lambda k: F.col(f"t.{k}")
+    own = rows.withColumns({f"t_{k}": text(c) for k, c in TEXTS.items()})
+    t = lambda k: F.col(f"t_{k}")
     own = own.withColumn("full", F.concat_ws(" ", *[t(k) for k in TEXTS]))
     words = F.col("intent.tokens")
     name, chunk = tokens_of_clean(t("name")), tokens_of_clean(t("chunk"))
@@ -113,4 +112,4 @@ def with_context_score(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame
         F.col("c").alias("category_multiplier"),
         F.round(multiplier, 2).alias("context_multiplier"),
     )
-    return own.withColumn("context", context).drop("t", "full", "q2", "q3", "c2", "c3", "unigram", "bigram", "trigram", "exact", "g", "k", "c")
+    return own.withColumn("context", context).drop(*[f"t_{k}" for k in TEXTS], "full", "q2", "q3", "c2", "c3", "unigram", "bigram", "trigram", "exact", "g", "k", "c")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.text import clean_text, has_word, stem, tokens_of_clean
+from tessel.functions.text import clean_text, has_word, let, stem, stem_of, tokens_of_clean
 from tessel.plans import lexicon as lx
 from tessel.plans.lexicon import DEFAULT, Lexicon
 
@@ -69,8 +69,6 @@ def parse_intent(queries: DataFrame, text_col: str = "query", lexicon: Lexicon =
 def entry_array(lexicon: Lexicon) -> Column:
     """The lexicon as one literal array, in its order."""
     strings = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    from tessel.functions.text import stem_of
-
     return F.array(
         *[
             F.struct(
@@ -84,15 +82,23 @@ def entry_array(lexicon: Lexicon) -> Column:
 
 def lexicon_entry(category: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The entry for a catalog's category: by name, by stem, by synonym, or by a part of either; null where none fits."""
-    c = F.lower(F.trim(F.coalesce(category, F.lit(""))))
-    s, entries = stem(c), entry_array(lexicon)
-    tiers = [
-        lambda x: x["name"] == c,
-        lambda x: x["name"] == s,
-        lambda x: (x["stem"] == s) | F.array_contains(x["synonyms"], c) | F.array_contains(x["stems"], s),
-        lambda x: F.contains(c, x["name"]) | F.contains(x["name"], s) | F.exists(x["synonyms"], lambda y: F.contains(c, y) | F.contains(y, c)),
-    ]
-    return F.when(c != "", F.coalesce(*[F.get(F.filter(entries, t), F.lit(0)) for t in tiers]))
+    entries = entry_array(lexicon)
+
+    def cascade(b: Column) -> Column:
+        c, s = b["c"], b["s"]
+        tiers = [
+            lambda x: x["name"] == c,
+            lambda x: x["name"] == s,
+            lambda x: (x["stem"] == s) | F.array_contains(x["synonyms"], c) | F.array_contains(x["stems"], s),
+            lambda x: F.contains(c, x["name"]) | F.contains(x["name"], s) | F.exists(x["synonyms"], lambda y: F.contains(c, y) | F.contains(y, c)),
+        ]
+        return F.when(c != "", F.coalesce(*[F.get(F.filter(entries, t), F.lit(0)) for t in tiers]))
+
+    def stemmed(b: Column) -> Column:
+        return F.struct(b["c"].alias("c"), stem(b["c"]).alias("s"))
+
+    lowered = F.struct(F.lower(F.trim(F.coalesce(category, F.lit("")))).alias("c"))
+    return let(let(lowered, stemmed), cascade)
 
 
 def prompts(query: Column, lexicon: Lexicon = DEFAULT) -> Column:

@@ -20,17 +20,22 @@ class Cliff:
         return self.image_floor if mode == "image" else self.text_floor
 
 
-def _above_floor(rows: DataFrame, rule: Cliff, mode: str, score: Column, keys: list[str], order: list[Column]) -> DataFrame:
-    """Rows above the floor with their 0-based place, the next score and the position after which the list ends."""
+def _above_floor(rows: DataFrame, rule: Cliff, mode: str, score: Column, keys: list[str], ties: list[Column]) -> DataFrame:
+    """Rows above the floor with their 0-based place, the next score and the position after which the list ends.
+
+    Rows below it are ordered last and left out after the windows: a filter before them would be pushed down through the
+    whole computation of the score and repeat it.
+    """
     lists = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    ranked = rows.where((score > 0) & (score >= rule.floor(mode))).withColumn("_s", score)
-    ordered = lists.orderBy(*order)
+    counts = F.when((score > 0) & (score >= rule.floor(mode)), score)
+    ordered = lists.orderBy(F.desc_nulls_last("_s"), *ties)
+    ranked = rows.withColumn("_s", counts)
     ranked = ranked.withColumns({"_i": F.row_number().over(ordered) - 1, "_next": F.lead("_s").over(ordered), "_top": F.first("_s").over(ordered)})
     least = F.greatest(F.lit(rule.floor(mode)), F.col("_top") * rule.least_ratio)
     gap = (F.col("_s") - F.col("_next") >= rule.gap) & (F.col("_i") >= 1)
     low = (F.col("_next") < least) & (F.col("_i") >= 2)
     ranked = ranked.withColumns({"_gap": gap, "_stop": F.coalesce(gap | low, F.lit(False))})
-    return ranked.withColumn("_end", F.min(F.when(F.col("_stop"), F.col("_i"))).over(lists))
+    return ranked.withColumn("_end", F.min(F.when(F.col("_stop"), F.col("_i"))).over(lists)).where(F.col("_s").isNotNull())
 
 
 def cut_at_cliff(rows: DataFrame, score_col: str, mode: str, rule: Cliff = Cliff(), keys: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
@@ -39,14 +44,14 @@ def cut_at_cliff(rows: DataFrame, score_col: str, mode: str, rule: Cliff = Cliff
     A list ends after its second row or later if the next score falls by ``gap``, and after its third or later if the next
     one is below the floor or ``least_ratio`` of the best.  Rows at or below 0 and below the floor never count.
     """
-    marked = _above_floor(rows, rule, mode, F.col(score_col), list(keys), [F.desc(score_col), *map(F.col, ties)])
+    marked = _above_floor(rows, rule, mode, F.col(score_col), list(keys), list(map(F.col, ties)))
     kept = marked.where((F.coalesce(F.col("_end"), F.lit(1 << 30)) >= F.col("_i")) & (F.col("_i") < rule.most))
     return kept.withColumn("rank", F.col("_i") + 1).drop("_s", "_i", "_next", "_top", "_gap", "_stop", "_end")
 
 
 def cliff_report(rows: DataFrame, score_col: str, mode: str, rule: Cliff = Cliff(), keys: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
     """One row for each list: candidates, kept and eliminated rows, and the gap if one ended the list."""
-    marked = _above_floor(rows, rule, mode, F.col(score_col), list(keys), [F.desc(score_col), *map(F.col, ties)])
+    marked = _above_floor(rows, rule, mode, F.col(score_col), list(keys), list(map(F.col, ties)))
     at_end = F.col("_i") == F.col("_end")
     found = marked.groupBy(*keys).agg(
         F.count("*").alias("valid"),
