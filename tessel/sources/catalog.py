@@ -20,7 +20,7 @@ def valid_products(catalog: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows with an id and a title (blanks collapsed), the id as long; with a limit, the first ones by id."""
     title = standard_title(F.col("productDisplayName"))
     rows = catalog.where(F.col("id").isNotNull() & (F.trim(F.col("id").cast("string")) != "")).withColumn("productDisplayName", title).where(F.col("productDisplayName") != "")
-    rows = rows.withColumn("id", F.col("id").cast("long")).where(F.col("id").isNotNull())
+    rows = rows.withColumn("id", F.col("id").try_cast("long")).where(F.col("id").isNotNull())
     return rows if limit is None else rows.orderBy("id").limit(limit)
 
 
