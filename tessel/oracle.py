@@ -52,6 +52,11 @@ def union(a: str, b: str) -> str:
     return f"list_filter({both}, lambda x, i: list_position({both}, x) = i)"
 
 
+def either(a: str, b: str) -> str:
+    """The same as a set."""
+    return f"list_distinct(list_concat({a}, {b}))"
+
+
 def has_word(q: str, *terms: str) -> str:
     return f"regexp_matches({q}, {quoted(word_pattern(*terms))})"
 
@@ -240,28 +245,29 @@ def overlap(a: str, b: str) -> str:
 
 def context_ctes(rows: str) -> str:
     """``rows`` gives products' texts in lower case, gender, and the query's intent; scored has scores and multipliers."""
-    valid = case((f"target_category = {quoted(c.name)}", listed(c.terms)) for c in DEFAULT.categories)
-    excluded = case((f"target_category = {quoted(c.name)}", listed(t for k in DEFAULT.incompatible.get(c.name, ()) if (o := DEFAULT.named(k)) for t in o.terms)) for c in DEFAULT.categories)
+    excluded = lambda c: [t for k in DEFAULT.incompatible.get(c.name, ()) if (o := DEFAULT.named(k)) for t in o.terms]
+    cats = ", ".join(f"({quoted(c.name)}, {listed(c.terms)}, {listed(excluded(c))})" for c in DEFAULT.categories)
     outside = " OR ".join(
         f"(target_category IN ({', '.join(map(quoted, cs))}) AND master <> '' AND master NOT IN ({', '.join(map(quoted, ms))}))" for cs, ms in lx.MASTER_GROUPS
     )
     other = " OR ".join(f"(target_color <> {quoted(k)} AND raw_colour IN ({', '.join(map(quoted, v))}))" for k, v in DEFAULT.colours.items())
     edge = f"[^{WORD}]"
-    named = lambda t: f"regexp_matches({t}, '(^|{edge})' || target_color || '($|{edge})')"
-    return f"""cr AS ({rows}),
+    # a pattern that isn't constant is compiled for each row, so rows without the term are ruled out before
+    named = lambda t: f"CASE WHEN contains({t}, target_color) THEN regexp_matches({t}, '(^|{edge})' || target_color || '($|{edge})') ELSE false END"
+    return f"""cr AS ({rows}), cats(cat, terms, banned) AS (VALUES {cats}),
 c1 AS (
   SELECT *, concat_ws(' ', name, article, sub, master, colour, usage, chunk) AS f, {words('name')} AS nw, {words('chunk')} AS cw, {ngrams('tokens', 2)} AS q2, {ngrams('tokens', 3)} AS q3,
-         {union('tokens', stems('tokens'))} AS qs FROM cr),
+         {either('tokens', stems('tokens'))} AS qs FROM cr),
 c2 AS (
-  SELECT *, {union(words(clean('lower(f)')), stems(words(clean('lower(f)'))))} AS fs, list_concat({ngrams('nw', 2)}, {ngrams('cw', 2)}, [colour || ' ' || article, usage || ' ' || article]) AS g2,
-         list_concat({ngrams('nw', 3)}, {ngrams('cw', 3)}) AS g3, coalesce({valid}, []::VARCHAR[]) AS valid, coalesce({excluded}, []::VARCHAR[]) AS excluded,
-         {union(words(clean("concat_ws(' ', article, sub)")), stems(words(clean("concat_ws(' ', article, sub)"))))} AS near,
-         {union(words(clean("concat_ws(' ', article, sub, master, name)")), stems(words(clean("concat_ws(' ', article, sub, master, name)"))))} AS wide FROM c1),
+  SELECT *, {either(words(clean('lower(f)')), stems(words(clean('lower(f)'))))} AS fs, list_concat({ngrams('nw', 2)}, {ngrams('cw', 2)}, [colour || ' ' || article, usage || ' ' || article]) AS g2,
+         list_concat({ngrams('nw', 3)}, {ngrams('cw', 3)}) AS g3, coalesce(terms, []::VARCHAR[]) AS valid, coalesce(banned, []::VARCHAR[]) AS excluded,
+         {either(words(clean("concat_ws(' ', article, sub)")), stems(words(clean("concat_ws(' ', article, sub)"))))} AS near,
+         {either(words(clean("concat_ws(' ', article, sub, master, name)")), stems(words(clean("concat_ws(' ', article, sub, master, name)"))))} AS wide FROM c1 LEFT JOIN cats ON cat = target_category),
 c3 AS (
   SELECT *, least(1.0::DOUBLE, len(list_intersect(qs, fs))::DOUBLE / greatest(1, len(tokens))) AS u,
     CASE WHEN len(q2) > 0 THEN len(list_filter(q2, lambda x: list_contains(g2, x) OR contains(f, x) OR contains(f, array_to_string({stems("string_split(x, ' ')")}, ' '))))::DOUBLE / len(q2) END AS b0,
     CASE WHEN len(q3) > 0 THEN len(list_filter(q3, lambda x: list_contains(g3, x) OR contains(f, x)))::DOUBLE / len(q3) END AS t0,
-    CASE WHEN regexp_matches(f, '(^|{edge})' || q || '($|{edge})') THEN 1.0 ELSE 0.0 END::DOUBLE AS e,
+    CASE WHEN NOT contains(f, q) THEN 0.0 WHEN regexp_matches(f, '(^|{edge})' || q || '($|{edge})') THEN 1.0 ELSE 0.0 END::DOUBLE AS e,
     CASE WHEN target_gender = 'Women' AND gender IN ('Men', 'Boys') THEN 0 WHEN target_gender = 'Women' AND gender IN ('Women', 'Girls') THEN 1.1
          WHEN target_gender = 'Men' AND gender IN ('Women', 'Girls') THEN 0 WHEN target_gender = 'Men' AND gender IN ('Men', 'Boys') THEN 1.1 ELSE 1 END::DOUBLE AS g,
     CASE WHEN target_color IS NULL THEN 1 WHEN list_contains(shades, raw_colour) OR {named('name')} OR {named('chunk')} THEN 1.35 WHEN {other} THEN 0 ELSE 0.25 END::DOUBLE AS k,
