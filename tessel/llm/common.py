@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.session import ship, table
+from tessel.session import ship as ship_package
+from tessel.session import table
 
 __all__ = ["LAST_ID", "content_key", "keep", "pack", "partitions", "scratch", "ship", "table"]
 
@@ -16,6 +17,16 @@ __all__ = ["LAST_ID", "content_key", "keep", "pack", "partitions", "scratch", "s
 LAST_ID = 2**63 - 1
 
 
+def ship(spark: SparkSession) -> None:
+    """Make Python workers ready: they get the package, and texts in batches of rows that stay small with long texts.
+
+    Only Spark's default number of rows in a batch is lowered; a number that the session has set stays.
+    """
+    ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder path below the shared checkpoint folder of the session; a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)

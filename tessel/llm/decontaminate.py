@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import content_key, ship
+from tessel.llm.text_arrays import field_of
 
 #: Words are runs of digits, letters and non-ASCII bytes; everything else becomes a blank, and A-Z become a-z.
 NORMAL = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -80,11 +81,11 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: i
     return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _scan(docs: DataFrame, automaton_of: DataFrame, size: int) -> DataFrame:
+def _scan(docs: DataFrame, text_col: str, automaton_of: DataFrame, size: int) -> DataFrame:
     spark = docs.sparkSession
     items = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in automaton_of.collect()])  # below BLOCK_BYTES
 
-    kept = len(docs.columns) - 1
+    kept = len(docs.columns)  # the first is the row
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:kept]) + ", " + SCAN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def _scan(docs: DataFrame, automaton_of: DataFrame, size: int) -> DataFrame:
         hit = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string())]))
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
-            found = [scan_text(x, automaton) for x in batch.column(kept).to_pylist()]
+            found = [scan_text(x, automaton) for x in field_of(batch.column(0), text_col).to_pylist()]
             n, hits, spans = ([x[i] for x in found] for i in range(3))
             names = [*batch.schema.names[:kept], "n_words", "hits", "spans"]
             made = [pa.array(n, pa.int64()), pa.array(hits, hit), pa.array(spans, span)]
@@ -134,13 +135,13 @@ def find_contamination(
     """
     ship(docs.sparkSession)
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = docs.select(row)
     blocks = blocks_of(benchmark, item_col, item_text_col, block_bytes)
     if len(blocks) == 1:
-        found = _scan(rows, blocks[0], size)
+        found = _scan(rows, text_col, blocks[0], size)
     else:
-        keys = rows.select("row", *content_key("row"), "text")
-        scans = [_scan(keys, b, size) for b in blocks]
+        keys = rows.select("row", *content_key("row"))
+        scans = [_scan(keys, text_col, b, size) for b in blocks]
         found = scans[0].withColumn("block", F.lit(0))
         for i, s in enumerate(scans[1:], 1):
             found = found.unionByName(s.withColumn("block", F.lit(i)))

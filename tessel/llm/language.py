@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.llm.common import ship
-from tessel.llm.text_arrays import U, has_letter, letter_table, mix, runs, slices
+from tessel.llm.text_arrays import U, field_of, has_letter, letter_table, mix, parts_of, runs
 
 BUCKETS = 1 << 16
 #: Labelled documents that are learnt from, in expectation; the share of all labelled ones that a hash of the id picks.
@@ -27,8 +27,8 @@ SAMPLE = 20_000
 SWITCH = 12.0
 #: A language is a candidate for a script if so large a share of its words has it.
 CANDIDATE_SHARE = 0.002
-#: Code points that a task turns into arrays at once; a longer text comes alone.
-CHARS = 6_000_000
+#: Bytes of text that a task turns into arrays at once; a longer text comes alone.
+CHARS = 2_000_000
 STEP = 500_000
 UNDETERMINED = "und"
 
@@ -168,13 +168,14 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = batch.column(1).to_pylist(), np.array(batch.column(0).to_pylist(), object)
-            for part in slices([len(x) for x in texts], CHARS):
-                words = words_of(texts[part])
+            langs, done = np.array(batch.column(0).to_pylist(), object), 0
+            for texts in parts_of(batch.column(1), CHARS):
+                words, part = words_of(texts), langs[done : done + len(texts)]
+                done += len(texts)
                 text_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-                own = langs[part][text_of]
+                own = part[text_of]
                 by_letter = np.repeat(own, words.length)
-                for lang in dict.fromkeys(langs[part]):
+                for lang in dict.fromkeys(part):
                     for key, values in (("trigram", words.trigrams[by_letter == lang]), ("script", words.script[own == lang])):
                         found, times = np.unique(values, return_counts=True)
                         yield pa.RecordBatch.from_arrays(
@@ -213,8 +214,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # buckets x languages
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("lang", T.StringType())])
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
@@ -222,13 +222,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             names, share, spans = [], [], []
-            for part in slices([len(x) for x in texts], CHARS):
+            for texts in parts_of(field_of(batch.column(0), text_col), CHARS):
                 if own.languages:
-                    a, b, c = label_texts(texts[part], own, switch)
+                    a, b, c = label_texts(texts, own, switch)
                 else:
-                    a, b, c = [UNDETERMINED] * len(texts[part]), [0.0] * len(texts[part]), [[] for _ in texts[part]]
+                    a, b, c = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
                 names += a
                 share += b
                 spans += c

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.llm.common import ship
-from tessel.llm.text_arrays import BLANK, LOWER, U, run_hashes, runs, slices
+from tessel.llm.text_arrays import BLANK, LOWER, U, field_of, parts_of, run_hashes, runs
 
 #: Words of a passage; the last one of a document has fewer.
 PASSAGE = 64
 #: Labelled documents that are learnt from, in expectation.
 SAMPLE = 4_000
 #: Bytes that a task turns into arrays at once; a longer text comes alone.
-BYTES = 2_000_000
+BYTES = 500_000
 FEATURES = 256 + 5
 
 
@@ -63,6 +63,7 @@ def passages_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out[:, 258] = distinct / n
         out[:, 259] = np.log1p(n) / np.log1p(PASSAGE)
         out[:, 260] = np.sqrt(np.bincount(own, length > 20, minlength=total) / n)
+        out[np.bincount(own, minlength=total) == 0] = 0  # without words, whatever else is in the batch
     return out, count
 
 
@@ -170,15 +171,13 @@ def predict(docs: DataFrame, network: Network, text_col: str = "text") -> DataFr
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(network)  # a few thousand numbers
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            scores = [own.score(*passages_of(texts[part])) for part in slices([len(x) for x in texts], BYTES)]
+            scores = [own.score(*passages_of(texts)) for texts in parts_of(field_of(batch.column(0), text_col), BYTES)]
             made = np.concatenate(scores).astype("f8") if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["row", "score"])
 

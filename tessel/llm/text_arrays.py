@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -25,7 +27,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, U(_MULTIPLIER)), np.full(n, U(_INVERSE))
     up[0] = down[0] = U(1)
@@ -61,6 +63,17 @@ def slices(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(first, len(sizes))
 
 
+def field_of(rows: pa.StructArray, name: str) -> pa.Array:
+    """A text field of a column of structs, empty where it is null: a text travels once, inside its row."""
+    return pc.fill_null(rows.field(rows.type.get_field_index(name)), "")
+
+
+def parts_of(column: pa.Array, most: int) -> Iterator[list[str]]:
+    """A column of texts as lists of consecutive ones, each of at most ``most`` bytes in total, or one longer text."""
+    for part in slices(pc.binary_length(column).to_pylist(), most):
+        yield column.slice(part.start, part.stop - part.start).to_pylist()
+
+
 @lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
     """Whether a code point is a letter or a mark that belongs to one."""
