@@ -9,7 +9,7 @@ differ by a factor of NUM / DEN at most.
    changes one word at most: the words that differ, like the Hamming distance of one-bit words, are a lower bound of
    |A ^ B|.  By the pigeonhole principle at least slack + 1 words of linked sets are equal.
 3. So each set may leave out ``slack`` words and still meets every set that it links with, as long as all leave out by
-   one order: words of fewer than two shingles first, then the most frequent.  Hot words, such as those of a passage that
+   one order: words without a shingle first, then the most frequent.  Hot words, such as those of a passage that
    a third of all documents share, drop out like that.
 4. Sets that share a word left in are candidates.  Connected candidates come together in tasks, in chunks of bounded
    size, where parity bits of the sets (again a lower bound) leave few pairs to be compared by their members.  Only links
@@ -36,10 +36,11 @@ from tessel.llm.text_arrays import U, mix, slices
 
 SIZE, NUM, DEN = 4, 85, 100
 #: Words of a sketch beyond d + 1, as a share of d + 1.
-SLACK = 0.25
-CHUNK = 2_000_000
+SLACK = 0.35
+#: Bytes of text, and shingles, that go through the array operations at once.
+CHUNK = 500_000
 #: Shingles of a chunk of candidates that a task compares with another; a larger group is cut into chunks.
-CHUNK_SHINGLES = 500_000
+CHUNK_SHINGLES = 3_000_000
 ENTRY = np.dtype([("name", "<u4"), ("times", "<u2")])
 TOLD = np.dtype([("name", "<u4"), ("times", "<u4")])
 
@@ -70,10 +71,9 @@ class Classes(Block):
         texts = table["text"].to_pylist()
         self.ids = table["id"].to_numpy()
         parts = [shingle_sets(texts[p], size) for p in slices([len(x) for x in texts], CHUNK)]
-        self.members = np.concatenate([np.zeros(0, U), *(p.members for p in parts)])
+        hashes = [set_hashes(p) for p in parts]
+        self.first, self.second = (np.concatenate([np.zeros(0, U), *(h[i] for h in hashes)]) for i in (0, 1))
         self.sizes = np.concatenate([np.zeros(0, "i8"), *(p.sizes for p in parts)])
-        every = Sets(self.members, np.concatenate([[0], np.cumsum(self.sizes)]))
-        self.first, self.second = set_hashes(every)
         order = np.lexsort((self.ids, self.second, self.first))
         new = np.ones(len(order), bool)
         new[1:] = (self.first[order][1:] != self.first[order][:-1]) | (self.second[order][1:] != self.second[order][:-1])
@@ -82,45 +82,54 @@ class Classes(Block):
         self.heads = heads
         pick = np.zeros(len(texts), bool)
         pick[heads] = True
-        self.sets = Sets(self.members[np.repeat(pick, self.sizes)], np.concatenate([[0], np.cumsum(self.sizes[heads])]))
+        members, done = [np.zeros(0, U)], 0
+        while parts:  # each part is let go as it is copied
+            p = parts.pop(0)
+            n = len(p.sizes)
+            members.append(p.members[np.repeat(pick[done : done + n], p.sizes)])
+            done += n
+        self.sets = Sets(np.concatenate(members), np.concatenate([[0], np.cumsum(self.sizes[heads])]))
 
-    def words(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(class, group, name, room) of each word that takes part.
+    def words(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(class, group, name, room) of each word that takes part, a slice of the classes at a time.
 
         ``group`` tells the two bands of a class apart; ``room`` is how many more words of the group may be left out.
         """
         sizes = self.sets.sizes
         bands = Bands(int(sizes.max(initial=1)), num, den)
-        owner, found = self.sets.of_each(), []
-        for step in (0, 1):
-            band = bands.of(sizes) + step
-            k = np.where(bands.most[band] > 0, bands.words[band], 0)  # without differences only equal sets link
-            base = np.cumsum(k) - k
-            some = k[owner] > 0
-            own, member = owner[some], self.sets.members[some]
-            word = ((member >> U(20)) % k[own].astype(U)).astype("i8")
-            slot = base[own] + word
-            total = int(k.sum())
-            value = np.zeros(total, U)
-            np.bitwise_xor.at(value, slot, mix(member ^ (band[own].astype(U) << U(48))))
-            filled = np.bincount(slot, minlength=total)
-            cls = np.repeat(np.arange(len(k)), k)
-            number = np.arange(total) - base[cls]
-            empty = np.bincount(cls, filled == 0, minlength=len(k)).astype("i8")
-            small = np.bincount(cls, filled < 2, minlength=len(k)).astype("i8")
-            slack = np.where(k > 0, bands.slack[band], 0)
-            least = np.where(small <= slack, 2, np.where(empty <= slack, 1, 0))  # shingles of a word that takes part
-            room = np.where(small <= slack, slack - small, 0)
-            part = np.flatnonzero(filled >= least[cls])
-            name = mix(value[part] ^ mix(number[part].astype(U) ^ (band[cls[part]].astype(U) << U(40))))
-            found.append((cls[part], 2 * cls[part] + step, name, room[cls[part]]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        for part in slices(sizes.tolist(), CHUNK):
+            for step in (0, 1):
+                yield self.words_of(part, bands, step)
+
+    def words_of(self, part: slice, bands: Bands, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``words`` of consecutive classes in their own band (step 0) or the next."""
+        sizes = self.sets.sizes[part]
+        member = self.sets.members[self.sets.bounds[part.start] : self.sets.bounds[part.stop]]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        band = bands.of(sizes) + step
+        k = np.where(bands.most[band] > 0, bands.words[band], 0)  # without differences only equal sets link
+        base = np.cumsum(k) - k
+        some = k[owner] > 0
+        owner, member = owner[some], member[some]
+        slot = base[owner] + ((member >> U(20)) % k[owner].astype(U)).astype("i8")
+        total = int(k.sum())
+        value = np.zeros(total, U)
+        np.bitwise_xor.at(value, slot, mix(member ^ (band[owner].astype(U) << U(48))))
+        filled = np.bincount(slot, minlength=total)
+        cls = np.repeat(np.arange(len(k)), k)
+        number = np.arange(total) - base[cls]
+        empty = np.bincount(cls, filled == 0, minlength=len(k)).astype("i8")
+        slack = np.where(k > 0, bands.slack[band], 0)
+        least = np.where(empty <= slack, 1, 0)  # shingles of a word that takes part
+        room = np.where(empty <= slack, slack - empty, 0)
+        at = np.flatnonzero(filled >= least[cls])
+        name = mix(value[at] ^ mix(number[at].astype(U) ^ (band[cls[at]].astype(U) << U(40))))
+        return cls[at] + part.start, 2 * (cls[at] + part.start) + step, name, room[cls[at]]
 
 
 def send_names(table: pa.Table, parts: int, size: int, num: int, den: int) -> pa.Table:
     """Each word of the block once, and how many classes of the block have it."""
-    _, _, name, _ = Classes(table, size).words(num, den)
-    key = np.sort(short(name, parts))
+    key = np.sort(np.concatenate([np.zeros(0, U), *(short(name, parts) for _, _, name, _ in Classes(table, size).words(num, den))]))
     heads = heads_of(key)
     times = np.minimum(65535, np.diff(np.append(heads, len(key))))
     own = key[heads]
@@ -180,16 +189,18 @@ def candidates(docs: pa.Table, told: pa.Table, parts: int, size: int, num: int,
     words: list[list[int] | None] = [None] * len(block.ids)
     members: list[bytes | None] = [None] * len(block.ids)
     if told.num_rows and len(block.heads):
-        cls, group, name, room = block.words(num, den)
         all_ = [(np.frombuffer(d, TOLD), s) for s, d in zip(told["src"].to_pylist(), told["data"].to_pylist(), strict=True)]
         known = np.concatenate([d["name"].astype(U) | U(s << 32) for d, s in all_])
         times = np.concatenate([d["times"] for d, _ in all_])
         order = np.argsort(known)
         known, times = known[order], times[order]
-        key = short(name, parts)
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        hit = np.flatnonzero(known[at] == key)
-        cls, group, name, room, f, key = cls[hit], group[hit], name[hit], room[hit], times[at[hit]].astype("i8"), key[hit]
+        shared = []
+        for cls, group, name, room in block.words(num, den):
+            key = short(name, parts)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = np.flatnonzero(known[at] == key)
+            shared.append((cls[hit], group[hit], name[hit], room[hit], times[at[hit]].astype("i8"), key[hit]))
+        cls, group, name, room, f, key = (np.concatenate(x) for x in zip(*shared, strict=True))
         order = np.lexsort((key, -f, group))
         cls, group, name, room = cls[order], group[order], name[order], room[order]
         heads = heads_of(group)
