@@ -1,7 +1,7 @@
 """Sharding by longest processing time: groups that must stay together go, largest first, to the least-loaded shard.
 
 The heap runs on the driver over a bounded number of units.  Every group of at least 1/(shards * UNITS) of all bytes is
-a unit of its own, so there are at most shards * UNITS / 1 of them; smaller groups are pooled by hash into UNITS pools,
+a unit of its own, so there are at most shards * UNITS of them; smaller groups are pooled by hash into UNITS pools,
 each one unit.  A small table is scheduled group by group, and on a large one a pool is a vanishing part of a shard.
 """
 
