@@ -38,13 +38,19 @@ def cleaned(products: DataFrame) -> DataFrame:
     return products.withColumns({f"p_{f}": c for f, c in own.items()}).withColumns({f"low_{f}": F.lower(F.col(f"p_{f}")) for f in FIELDS})
 
 
+def with_entry(rows: DataFrame, key: str, out: str, lexicon: Lexicon) -> DataFrame:
+    """``out``: the lexicon entry for ``key``, looked up once for each different key and joined back."""
+    kinds = rows.select(F.col(key).alias("_kind")).distinct().withColumn("_entry", lexicon_entry(F.col("_kind"), lexicon))
+    return rows.join(kinds, F.col(key) == F.col("_kind"), "left").withColumnRenamed("_entry", out).drop("_kind")
+
+
 def attribute_ngrams(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """All columns, ``p``, ``low``, ``entry``, and sorted distinct ``unigrams``, ``bigrams`` and ``trigrams``.
 
     N-grams of the title, and colour, gender and usage bound to the article and its synonyms; unisex binds nothing.
     """
     rows = cleaned(products)
-    rows = rows.withColumn("entry", lexicon_entry(F.col("low_articleType"), lexicon)).withColumn("words", tokens_of_clean(F.col("low_productDisplayName")))
+    rows = with_entry(rows, "low_articleType", "entry", lexicon).withColumn("words", tokens_of_clean(F.col("low_productDisplayName")))
     colour, gender_all, article, usage = (F.col(f"low_{f}") for f in ("baseColour", "gender", "articleType", "usage"))
     gender = F.when(gender_all != "unisex", gender_all).otherwise("")
     synonyms = F.coalesce(F.col("entry.synonyms"), F.array().cast("array<string>"))
@@ -70,7 +76,7 @@ def attribute_ngrams(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFra
 def with_chunks(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """All columns and ``chunks``: array of (chunk_id, chunk_type, text), numbered from 0 without gaps."""
     rows = attribute_ngrams(products, lexicon)
-    rows = rows.withColumn("meaning", F.coalesce(F.col("entry"), lexicon_entry(F.col("low_subCategory"), lexicon)))
+    rows = with_entry(rows, "low_subCategory", "other", lexicon).withColumn("meaning", F.coalesce("entry", "other"))
     p, low = (lambda f: F.col(f"p_{f}")), (lambda f: F.col(f"low_{f}"))
     title = p("productDisplayName")
     owner = F.when(given(low("gender")) & (low("gender") != "unisex"), F.concat(low("gender"), F.lit("'s")))
@@ -111,7 +117,7 @@ def with_chunks(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
         F.array(*[F.struct(F.lit(kind).alias("kind"), text.alias("text")) for kind, text in named]),
         F.transform(details, lambda s: F.struct(F.lit("description_detail").alias("kind"), s.alias("text"))),
     )
-    made = ("entry", "words", "unigrams", "bigrams", "trigrams", "meaning", "phrase", "listed")
+    made = ("entry", "other", "words", "unigrams", "bigrams", "trigrams", "meaning", "phrase", "listed")
     numbered = F.transform(
         F.filter("listed", lambda x: x["text"].isNotNull()),
         lambda x, i: F.struct(i.alias("chunk_id"), x["kind"].alias("chunk_type"), x["text"].alias("text")),
