@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans: a run of consecutive sentences that occurred before loses its sentences.
 
-Every run of three consecutive sentences is hashed, the hashes meet globally, and all occurrences but the first lose their
-sentences.  Texts are shuffled once, into blocks; what meets globally is packed hashes (see blocks.py): first 32 bits of
+Every run of three consecutive sentences, or of more where those are short, is hashed, the hashes meet globally, and all
+occurrences but the first lose their sentences.  Texts are shuffled once, into blocks; what meets globally is packed hashes (see blocks.py): first 32 bits of
 each run, to leave out those that occur once, then the full hash and the first place in the block of the others.
 """
 
@@ -44,8 +44,12 @@ class Sentences(Block):
         self.first = np.searchsorted(self.begin, np.append(self.starts, len(data)))
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
 
-    def spans(self, span: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document row, first sentence within it, name, check) of each run that is long enough."""
+    def spans(self, span: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document row, first sentence within it, number of sentences, name, check) of each run.
+
+        From each sentence on, and back from each, the shortest run that is long enough: so each sentence of a longer one
+        is in a run within it, also a short sentence at its end.  A document that isn't long enough is one run.
+        """
         stop = np.append(self.begin[1:], len(self.data))
         stop = np.minimum(stop, self.stops[self.doc]) if len(stop) else stop
         n = np.diff(self.first)
@@ -65,36 +69,42 @@ class Sentences(Block):
             hashes[a:b] = run_hashes(lower, begin, end)
             letters = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
             chars[a:b] = letters[end] - letters[begin]
-        width = np.minimum(n, span)
-        count = np.where(n > 0, n - width + 1, 0)
-        doc = np.repeat(np.arange(len(n)), count)
-        pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        at = self.first[doc] + pos
-        name, check, total = np.zeros(len(doc), U), np.full(len(doc), U(7)), np.zeros(len(doc), "i8")
-        for i in range(span):
-            ok = np.flatnonzero(i < width[doc])
+        first, last = np.repeat(self.first[:-1], n), np.repeat(self.first[1:], n)
+        total, here = np.concatenate([[0], np.cumsum(chars)]), np.arange(len(self.begin))
+        least = np.minimum(span, last - first)  # all sentences of a shorter document
+        upto = np.maximum(here + least, np.searchsorted(total, total[:-1] + min_chars))
+        since = np.minimum(here + 1 - least, np.searchsorted(total, total[1:] - min_chars, "right") - 1)
+        on, back = upto <= last, since >= first
+        back[back] = upto[since[back]] != here[back] + 1  # the others are there already
+        size = total[self.first[1:]] - total[self.first[:-1]]
+        short = (size > 0) & (size < min_chars)
+        at = np.concatenate([here[on], since[back], self.first[:-1][short]])
+        width = np.concatenate([(upto - here)[on], (here + 1 - since)[back], n[short]])
+        name, check = np.zeros(len(at), U), np.full(len(at), U(7))
+        ok = np.arange(len(at))
+        for i in range(int(width.max(initial=0))):
+            ok = ok[width[ok] > i]
             h = hashes[at[ok] + i]
             name[ok] = mix(name[ok] * U(0x9E3779B97F4A7C15) + h + U(1))
             check[ok] = mix((check[ok] ^ h) * U(0xD6E8FEB86659FD93) + U(3))
-            total[ok] += chars[at[ok] + i]
-        long_enough = total >= min_chars
-        return doc[long_enough], pos[long_enough], name[long_enough], check[long_enough]
+        doc = self.doc[at]
+        return doc, at - self.first[doc], width, name, check
 
 
 def send_records(docs: pa.Table, told: pa.Table, parts: int, span: int, min_chars: int) -> pa.Table:
     if not docs.num_rows or not told.num_rows:
         return messages([])
     block, number = Sentences(docs), docs["block"][0].as_py()
-    doc, pos, name, check = block.spans(span, min_chars)
-    some = is_shared(name, told, parts)
-    doc, pos, name, check = doc[some], pos[some], name[some], check[some]
+    found = block.spans(span, min_chars)
+    some = is_shared(found[3], told, parts)
+    doc, pos, width, name, check = (x[some] for x in found)
     ids, sorter = block.ids[doc], place(name, parts)
     order = np.lexsort((pos, ids, check, name, sorter))
-    doc, pos, ids, name, check, sorter = (x[order] for x in (doc, pos, ids, name, check, sorter))
+    doc, pos, width, ids, name, check, sorter = (x[order] for x in (doc, pos, width, ids, name, check, sorter))
     new = np.append(True, (name[1:] != name[:-1]) | (check[1:] != check[:-1]))[: len(name)]
     variant, heads = np.cumsum(new) - 1, np.flatnonzero(new)
     first = (ids == ids[heads][variant]) & (pos == pos[heads][variant])
-    memo = np.stack([doc, pos, variant, first], axis=1).astype("<u4").tobytes()
+    memo = np.stack([block.first[doc] + pos, width, variant, first], axis=1).astype("<u4").tobytes()
     record = np.zeros(len(heads), RECORD)
     for k, v in (("name", name), ("check", check), ("doc", ids), ("pos", pos)):
         record[k] = v[heads]
@@ -122,7 +132,7 @@ def sort_records(table: pa.Table) -> pa.Table:
     return messages(out)
 
 
-def cut(docs: pa.Table, told: pa.Table, span: int) -> pa.Table:
+def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
     """Take the sentences of all but first occurrences out of each document."""
     block = Sentences(docs) if docs.num_rows else None
     if block is None:
@@ -134,11 +144,10 @@ def cut(docs: pa.Table, told: pa.Table, span: int) -> pa.Table:
     answers = np.concatenate([np.zeros(0, "u1"), *(np.frombuffer(data[i], "u1") for i in order if kinds[i] == FOUND)])
     for i in order:
         if kinds[i] == MEMO:
-            doc, pos, variant, first = np.frombuffer(data[i], "<u4").reshape(-1, 4).astype("i8").T
+            at, width, variant, first = np.frombuffer(data[i], "<u4").reshape(-1, 4).astype("i8").T
             again = (first == 0) | (answers[variant] == 0)
-            at = block.first[doc[again]] + pos[again]
-            np.add.at(gone, at, 1)
-            np.add.at(gone, np.minimum(at + span, block.first[doc[again] + 1]), -1)
+            np.add.at(gone, at[again], 1)
+            np.add.at(gone, (at + width)[again], -1)
     gone = np.cumsum(gone[:-1]) > 0
     kept, removed = [], []
     for i, (a, b) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)):
@@ -158,8 +167,8 @@ def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A sentence begins at a character that isn't blank, right after a line break, or after one of .!? and one blank (ASCII
     white space); together, the sentences are the text.  A span is ``span`` consecutive sentences (all of them in a shorter
-    document), compared without surrounding blanks and with A-Z in lower case; spans of fewer than ``min_chars`` code
-    points are left alone.  The first occurrence is that of the smallest id, then of the smallest position, and all
+    document), and as many more as it takes to have ``min_chars`` code points; sentences are compared without surrounding
+    blanks and with A-Z in lower case.  A document of fewer code points in all is one span, which only its copies have.  The first occurrence is that of the smallest id, then of the smallest position, and all
     others lose their sentences, in the same document too.  ``kept`` is the UTF-8 text of what is left.
 
     Null and empty texts: one empty sentence, nothing removed.  Null ids: one document that comes last.  Rows with equal
@@ -172,7 +181,7 @@ def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def send(table: pa.Table) -> pa.Table:
         block = Sentences(table)
-        _, _, name, _ = block.spans(span, min_chars)
+        name = block.spans(span, min_chars)[3]
         return send_unique(name, np.arange(len(name)), table["block"][0].as_py(), n)
 
     names = texts.groupBy("block").applyInArrow(send, MESSAGE)
@@ -180,4 +189,4 @@ def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     records = texts.groupBy("block").cogroup(shared.groupBy("dest")).applyInArrow(lambda t, m: send_records(t, m, n, span, min_chars), MESSAGE)
     found = records.groupBy("dest").applyInArrow(sort_records, MESSAGE)
     schema = T.StructType([texts.schema["row"], T.StructField("n_sentences", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
-    return texts.groupBy("block").cogroup(found.groupBy("dest")).applyInArrow(lambda t, m: cut(t, m, span), schema)
+    return texts.groupBy("block").cogroup(found.groupBy("dest")).applyInArrow(cut, schema)

@@ -79,6 +79,18 @@ def test_awkward_spans(spark):
     assert both == {2: ([], copy), 9: ([0, 1, 2], ""), None: ([0, 1, 2], "")}
 
 
+def test_spans_of_short_sentences(spark):
+    """Copies made of short sentences, and short sentences at the end of a passage, go whole."""
+    words = "go on. come in. sit. look. yes. no! why? so it is. run. stop. wait. oh."
+    listed = "- oil\n- salt\n- rice\n- tea\n- eggs\n- flour\n- milk\n- soap\n- wax"
+    tail = "This is a rather long sentence that stands at the front. Yes. No. Ok. Go. Hm. "
+    rows = [(1, words), (2, words), (3, listed), (4, "Shopping of today:\n" + listed), (5, tail + "One ends here."), (6, tail + "Another ends so."), (7, "Yes. No. Ok."), (8, "Yes. No. Ok.")]
+    found = {r.row.doc_id: (r.n_sentences, r.removed, r.kept.decode()) for r in substring_dedup.cut_repeated_spans(docs(spark, rows), blocks=3).collect()}
+    kept = {2: "", 4: "Shopping of today:\n", 6: "Another ends so.", 8: ""}
+    assert {i: x[2] for i, x in found.items()} == dict(rows) | kept
+    assert found[2][:2] == (12, list(range(12))) and found[6][1] == list(range(6))
+
+
 def brute_bytes(rows, n=50):
     first = {}
     for i, t in rows:
