@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans: a run of consecutive sentences that occurred before loses its sentences.
 
 Every run of three consecutive sentences, or of more where those are short, is hashed, the hashes meet globally, and all
-occurrences but the first lose their sentences.  Texts are shuffled once, into blocks; what meets globally is packed hashes (see blocks.py): first 32 bits of
+occurrences but the first lose their sentences.  A sentence or two of fifty words are such a run as well.  Passages of fifty
+words that hold no run of sentences, because they begin and end within long ones, are met by pieces: of any five pieces of
+46 words that follow each other, the one with the least hash stands for all.  Texts are shuffled once, into blocks; what meets globally is packed hashes (see blocks.py): first 32 bits of
 each run, to leave out those that occur once, then the full hash and the first place in the block of the others.
 """
 
@@ -18,6 +20,8 @@ from tessel.llm.text_arrays import BLANK, LOWER, U, mix, run_hashes, slices
 
 SPAN = 3
 MIN_CHARS = 40
+STRETCH = 50
+PIECE = 46
 CHUNK = 2_000_000
 RECORDS, MEMO, FOUND = range(2, 5)
 RECORD = np.dtype([("name", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("pos", "<i8")])
@@ -44,8 +48,11 @@ class Sentences(Block):
         self.first = np.searchsorted(self.begin, np.append(self.starts, len(data)))
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
 
-    def spans(self, span: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document row, first sentence within it, number of sentences, name, check) of each run.
+    def spans(self, span: int, min_chars: int) -> tuple[np.ndarray, ...]:
+        """(document row, place within it, first byte, byte after the last, reach, name, check) of each run and piece.
+
+        Places are counted in sentences for runs and in words for pieces; one that begins less than ``reach`` after
+        another in the same document is no second occurrence.
 
         From each sentence on, and back from each, the shortest run that is long enough: so each sentence of a longer one
         is in a run within it, also a short sentence at its end.  A document that isn't long enough is one run.
@@ -55,6 +62,7 @@ class Sentences(Block):
         n = np.diff(self.first)
         hashes = np.zeros(len(self.begin), U)
         chars = np.zeros(len(self.begin), "i8")
+        words, word_hashes = [np.zeros(0, "i8")], [np.zeros(0, U)]
         for part in slices((self.stops - self.starts).tolist(), CHUNK):
             a, b = self.first[part.start], self.first[part.stop]
             low = self.starts[part.start]
@@ -66,14 +74,22 @@ class Sentences(Block):
             some = right > left
             begin, end = np.zeros(b - a, "i8"), np.zeros(b - a, "i8")
             begin[some], end[some] = full[left[some]], full[right[some] - 1] + 1
-            hashes[a:b] = run_hashes(lower, begin, end)
+            own_words, word_ends = self.words(part)
+            both = run_hashes(lower, np.append(begin, own_words), np.append(end, word_ends))
+            hashes[a:b] = both[: b - a]
+            words.append(own_words + low)
+            word_hashes.append(both[b - a :])
             letters = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
             chars[a:b] = letters[end] - letters[begin]
+        words, word_hashes = np.concatenate(words), np.concatenate(word_hashes)
+        word_at = np.searchsorted(words, np.append(self.begin, len(self.data)))
         first, last = np.repeat(self.first[:-1], n), np.repeat(self.first[1:], n)
         total, here = np.concatenate([[0], np.cumsum(chars)]), np.arange(len(self.begin))
         least = np.minimum(span, last - first)  # all sentences of a shorter document
         upto = np.maximum(here + least, np.searchsorted(total, total[:-1] + min_chars))
         since = np.minimum(here + 1 - least, np.searchsorted(total, total[1:] - min_chars, "right") - 1)
+        upto = np.minimum(upto, np.searchsorted(word_at, word_at[:-1] + STRETCH))
+        since = np.maximum(since, np.searchsorted(word_at, word_at[1:] - STRETCH, "right") - 1)
         on, back = upto <= last, since >= first
         back[back] = upto[since[back]] != here[back] + 1  # the others are there already
         size = total[self.first[1:]] - total[self.first[:-1]]
@@ -88,7 +104,57 @@ class Sentences(Block):
             name[ok] = mix(name[ok] * U(0x9E3779B97F4A7C15) + h + U(1))
             check[ok] = mix((check[ok] ^ h) * U(0xD6E8FEB86659FD93) + U(3))
         doc = self.doc[at]
-        return doc, at - self.first[doc], width, name, check
+        run = (doc, at - self.first[doc], self.begin[at], stop[at + width - 1], np.ones(len(at), "i8"), name, check)
+        piece = self.pieces(words, word_hashes, word_at, total, span, min_chars)
+        return tuple(np.concatenate(x) for x in zip(run, piece, strict=True))
+
+    def words(self, part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of some documents begin and end, from the first of them on.
+
+        A word is what stands between blanks; in scripts without blanks (and others of three bytes a character), one character.
+        """
+        low = self.starts[part.start]
+        own = self.data[low : self.stops[part.stop - 1]]
+        blank = BLANK[own]
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        filled = self.starts[part][self.stops[part] > self.starts[part]] - low
+        begins[filled] = ~blank[filled]
+        wide = (own >= 0xE0) & (own != 0xE2)  # but for punctuation, U+2000 to U+2FFF
+        if wide.any():
+            lead = np.flatnonzero((own & 0xC0) != 0x80)
+            after = lead[1:][wide[lead[:-1]]]
+            begins |= wide
+            begins[after] = ~blank[after]
+        begin, marks = np.flatnonzero(begins), np.flatnonzero(begins | blank)
+        return begin, np.append(marks, len(own))[np.searchsorted(marks, begin) + 1]
+
+    def pieces(self, words: np.ndarray, hashes: np.ndarray, word_at: np.ndarray, total: np.ndarray, span: int, min_chars: int) -> tuple[np.ndarray, ...]:
+        """Pieces for stretches of STRETCH words without a run of whole sentences; what ``spans`` says of each."""
+        first = np.searchsorted(words, np.append(self.starts, len(self.data)))
+        n = np.diff(first)
+        names, checks, found = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, "i8")]
+        for part in slices(n.tolist(), CHUNK):
+            a, b = first[part.start], first[part.stop]
+            own = hashes[a:b]
+            g = np.arange(b - a)
+            g = g[a + g + STRETCH <= np.repeat(first[1:][part], n[part])]
+            one, other = np.searchsorted(word_at, a + g, "right"), np.searchsorted(word_at, a + g + STRETCH) - 1
+            g = g[(other - one < span) | (total[other] - total[one] < min_chars)]
+            if not len(g):
+                continue
+            h = run_hashes(own, np.arange(len(own) - PIECE + 1), np.arange(PIECE, len(own) + 1))
+            at = g
+            for i in range(1, STRETCH - PIECE + 1):
+                at = np.where(h[g + i] < h[at], g + i, at)
+            at = np.unique(at)
+            names.append(mix(h[at] ^ U(0xA5A5A5A5A5A5A5A5)))
+            checks.append(run_hashes(mix(own ^ U(0x5851F42D4C957F2D)), at, at + PIECE))
+            found.append(a + at)
+        at = np.concatenate(found)
+        doc = np.repeat(np.arange(len(n)), n)[at]
+        end = np.where(at + PIECE < first[1:][doc], np.append(words, 0)[np.minimum(at + PIECE, len(words))], self.stops[doc])
+        return doc, at - first[doc], words[at], end, np.full(len(at), PIECE), np.concatenate(names), np.concatenate(checks)
 
 
 def send_records(docs: pa.Table, told: pa.Table, parts: int, span: int, min_chars: int) -> pa.Table:
@@ -96,15 +162,15 @@ def send_records(docs: pa.Table, told: pa.Table, parts: int, span: int, min_char
         return messages([])
     block, number = Sentences(docs), docs["block"][0].as_py()
     found = block.spans(span, min_chars)
-    some = is_shared(found[3], told, parts)
-    doc, pos, width, name, check = (x[some] for x in found)
+    some = is_shared(found[5], told, parts)
+    doc, pos, begin, end, reach, name, check = (x[some] for x in found)
     ids, sorter = block.ids[doc], place(name, parts)
     order = np.lexsort((pos, ids, check, name, sorter))
-    doc, pos, width, ids, name, check, sorter = (x[order] for x in (doc, pos, width, ids, name, check, sorter))
+    pos, begin, end, reach, ids, name, check, sorter = (x[order] for x in (pos, begin, end, reach, ids, name, check, sorter))
     new = np.append(True, (name[1:] != name[:-1]) | (check[1:] != check[:-1]))[: len(name)]
     variant, heads = np.cumsum(new) - 1, np.flatnonzero(new)
-    first = (ids == ids[heads][variant]) & (pos == pos[heads][variant])
-    memo = np.stack([block.first[doc] + pos, width, variant, first], axis=1).astype("<u4").tobytes()
+    first = (ids == ids[heads][variant]) & (pos < pos[heads][variant] + reach)
+    memo = np.stack([begin, end, variant, first], axis=1).astype("<u4").tobytes()
     record = np.zeros(len(heads), RECORD)
     for k, v in (("name", name), ("check", check), ("doc", ids), ("pos", pos)):
         record[k] = v[heads]
@@ -133,43 +199,48 @@ def sort_records(table: pa.Table) -> pa.Table:
 
 
 def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
-    """Take the sentences of all but first occurrences out of each document."""
+    """Take the sentences and pieces of all but first occurrences out of each document."""
     block = Sentences(docs) if docs.num_rows else None
     if block is None:
         return pa.table({"row": docs["row"], "n_sentences": pa.array([], pa.int64()), "removed": pa.array([], pa.list_(pa.int64())), "kept": pa.array([], pa.binary())})
     n = np.diff(block.first)
-    gone = np.zeros(len(block.begin) + 1, "i4")
+    begins, ends = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     order = np.argsort(told["src"].to_numpy(), kind="stable").tolist() if told.num_rows else []
     kinds, data = told["kind"].to_pylist(), told["data"].to_pylist()
     answers = np.concatenate([np.zeros(0, "u1"), *(np.frombuffer(data[i], "u1") for i in order if kinds[i] == FOUND)])
     for i in order:
         if kinds[i] == MEMO:
-            at, width, variant, first = np.frombuffer(data[i], "<u4").reshape(-1, 4).astype("i8").T
+            begin, end, variant, first = np.frombuffer(data[i], "<u4").reshape(-1, 4).astype("i8").T
             again = (first == 0) | (answers[variant] == 0)
-            np.add.at(gone, at[again], 1)
-            np.add.at(gone, (at + width)[again], -1)
-    gone = np.cumsum(gone[:-1]) > 0
+            begins.append(begin[again])
+            ends.append(end[again])
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    heads = np.flatnonzero(np.append(True, begin[1:] >= end[:-1])[: len(begin)])
+    begin, end = begin[heads], end[np.append(heads[1:], len(end))[: len(heads)] - 1]
+    touched = np.zeros(len(block.begin) + 1, "i4")
+    np.add.at(touched, np.searchsorted(block.begin, begin, "right") - 1, 1)
+    np.add.at(touched, np.searchsorted(block.begin, end), -1)
+    gone = np.cumsum(touched[:-1]) > 0
+    own = np.searchsorted(begin, np.append(block.starts, len(block.data)))
     kept, removed = [], []
-    for i, (a, b) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)):
-        own = gone[a:b]
-        if own.any():
-            cuts = np.append(block.begin[a:b], block.stops[i])
-            kept.append(b"".join(block.data[cuts[k] : cuts[k + 1]].tobytes() for k in np.flatnonzero(~own)))
-            removed.append(np.flatnonzero(own).tolist())
-        else:
-            kept.append(block.data[block.starts[i] : block.stops[i]].tobytes())
-            removed.append([])
+    for i, (a, b) in enumerate(zip(own[:-1].tolist(), own[1:].tolist(), strict=True)):
+        cuts = [block.starts[i], *np.stack([begin[a:b], end[a:b]], axis=1).ravel().tolist(), block.stops[i]] if a < b else [block.starts[i], block.stops[i]]
+        kept.append(b"".join(block.data[x:y].tobytes() for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
+        removed.append(np.flatnonzero(gone[block.first[i] : block.first[i + 1]]).tolist() if a < b else [])
     return pa.table({"row": block.rows, "n_sentences": pa.array(np.maximum(n, 1), pa.int64()), "removed": pa.array(removed, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 
 
 def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, min_chars: int = MIN_CHARS, blocks: int | None = None) -> DataFrame:
-    """(row, n_sentences, removed, kept): the id, the number of sentences, the positions of those removed, and the rest.
+    """(row, n_sentences, removed, kept): the id, the number of sentences, the positions of those that lose text, and the rest.
 
     A sentence begins at a character that isn't blank, right after a line break, or after one of .!? and one blank (ASCII
     white space); together, the sentences are the text.  A span is ``span`` consecutive sentences (all of them in a shorter
-    document), and as many more as it takes to have ``min_chars`` code points; sentences are compared without surrounding
-    blanks and with A-Z in lower case.  A document of fewer code points in all is one span, which only its copies have.  The first occurrence is that of the smallest id, then of the smallest position, and all
-    others lose their sentences, in the same document too.  ``kept`` is the UTF-8 text of what is left.
+    document), and as many more as it takes to have ``min_chars`` code points, or fewer that have STRETCH words; sentences are compared without surrounding
+    blanks and with A-Z in lower case.  A document of fewer code points in all is one span, which only its copies have.  A passage of STRETCH words without a span inside it
+    (blanks aside) loses its words as well, but for at most STRETCH - PIECE at each end.  The first occurrence is that of the smallest id, then of the smallest position, and all
+    others lose their text, in the same document too.  ``kept`` is the UTF-8 text of what is left.
 
     Null and empty texts: one empty sentence, nothing removed.  Null ids: one document that comes last.  Rows with equal
     id and text lose the same sentences; rows that share an id alone are compared like places of one document.  Empty
@@ -181,7 +252,7 @@ def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def send(table: pa.Table) -> pa.Table:
         block = Sentences(table)
-        name = block.spans(span, min_chars)[3]
+        name = block.spans(span, min_chars)[5]
         return send_unique(name, np.arange(len(name)), table["block"][0].as_py(), n)
 
     names = texts.groupBy("block").applyInArrow(send, MESSAGE)

@@ -91,6 +91,32 @@ def test_spans_of_short_sentences(spark):
     assert found[2][:2] == (12, list(range(12))) and found[6][1] == list(range(6))
 
 
+def test_passages_within_long_sentences(spark):
+    """Fifty words that repeat are found where no three whole sentences are among them."""
+    word = lambda seed, n: [f"{w}{seed}" for w in ("ar be co du el fo gi ha il jo ka lu mo ny ox pa ri so tu uv".split() * n)[:n]]
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    passage = " ".join(f"p{k}" + "." * (k == 30) for k in range(53))
+    two = " ".join(f"q{k}" for k in range(28)) + ". " + " ".join(f"r{k}" for k in range(28)) + ". "
+    han = "".join(chr(0x4E00 + 37 * k) for k in range(80))
+    rows = []
+    for i in (1, 2):
+        rows.append((i, f"{own(i, 20)} {passage} {own(i + 90, 20)}. A last one {i}."))
+        rows.append((i + 10, f"{own(i + 10, 9)}. {two}{own(i + 20, 9)}."))
+        rows.append((i + 30, "".join(chr(0x7000 + 100 * i + k) for k in range(30)) + han + "".join(chr(0x8000 + 100 * i + k) for k in range(30))))
+    rows.append((50, " ".join([own(50, 5), *word(1, 19), own(51, 60), *word(1, 19)])))  # too short to count
+    rows.append((60, f"{own(60, 5)} {own(61, 60)} {own(62, 5)} {own(61, 60)} {own(63, 5)}"))
+    found = {r.row.doc_id: (r.removed, r.kept.decode()) for r in substring_dedup.cut_repeated_spans(docs(spark, rows), blocks=3).collect()}
+    text = dict(rows)
+    assert all(found[i] == ([], text[i]) for i in (1, 11, 31, 50))
+    assert found[12] == ([1, 2], f"{own(12, 9)}. {own(22, 9)}.")
+    left = found[2][1].split()
+    assert found[2][0] == [0, 1] and left[:20] == own(2, 20).split() and left[-24:-4] == (own(92, 20) + ".").split() and len(left) - 44 <= 8
+    left = found[32][1]
+    assert left.startswith(text[32][:30]) and left.endswith(text[32][-30:]) and len(left) - 60 <= 8
+    left = found[60][1].split()
+    assert left[:70] == text[60].split()[:70] and left[-5:] == own(63, 5).split() and len(left) - 75 <= 8
+
+
 def brute_bytes(rows, n=50):
     first = {}
     for i, t in rows:
