@@ -1,7 +1,7 @@
 """The lexicon of a catalog: categories with synonyms, colour families, and what excludes what.
 
-A lexicon is a parameter of every operator that uses one.  ``DEFAULT`` has the four leading synonyms of each category; a
-fuller one comes from a table (category, ord, synonyms, context) through ``Lexicon.from_rows``.
+A lexicon is a parameter of every operator that uses one.  ``DEFAULT`` has all synonyms of each category; another
+one comes from a table (category, ord, synonyms, context) through ``Lexicon.from_rows``.
 """
 
 from __future__ import annotations
@@ -11,56 +11,56 @@ from dataclasses import dataclass, field
 
 from tessel.functions.text import stem_of
 
-# Fixed values, in their order: (category, leading synonyms, context).
+# Fixed values, in their order: (category, synonyms, context).
 CATEGORIES: list[tuple[str, tuple[str, ...], str]] = [
-    ("jeans", ("jean", "jeans", "denim", "denim pants"), "casual denim bottomwear"),
-    ("trousers", ("trouser", "trousers", "pant", "pants"), "tailored bottomwear trousers pants"),
-    ("shorts", ("short", "shorts", "bermuda", "bermudas"), "casual summer bottomwear shorts"),
-    ("track pants", ("track pants", "track pant", "trackpants", "sweatpants"), "athletic lounge bottomwear track pants"),
-    ("tshirts", ("t-shirt", "t-shirts", "tshirt", "tshirts"), "casual topwear t-shirt"),
-    ("shirts", ("shirt", "shirts", "dress shirt", "button-down"), "collared button-down topwear shirt"),
-    ("tops", ('top', 'tops', 'crop top', 'blouse'), "women's topwear blouse top"),
-    ("sweatshirts", ("sweatshirt", "sweatshirts", "hoodie", "hoodies"), "casual warm topwear sweatshirt hoodie"),
-    ("sweaters", ("sweater", "sweaters", "cardigan", "cardigans"), "warm knitted winter sweater cardigan"),
-    ("jackets", ("jacket", "jackets", "outerwear", "coat"), "outerwear layer jacket coat"),
-    ("dresses", ('dress', 'dresses', 'dresse', 'gown'), "women's fashion dress gown"),
-    ("kurtas", ("kurta", "kurtas", "kurti", "kurtis"), "traditional ethnic tunic kurta"),
-    ("sarees", ("saree", "sarees", "sari", "saris"), "traditional ethnic draped saree"),
-    ("skirts", ('skirt', 'skirts', 'mini skirt', 'maxi skirt'), "women's bottomwear skirt"),
-    ("jumpsuits", ("jumpsuit", "jumpsuits", "romper", "rompers"), "full body one-piece jumpsuit"),
-    ("leggings", ("legging", "leggings", "tights", "churidar"), "elastic stretch bottomwear leggings"),
-    ("shoes", ("shoe", "shoes", "footwear", "sneakers"), "footwear shoes sneakers"),
-    ("sports shoes", ("sports shoes", "running shoes", "running shoe", "trainers"), "athletic sports running footwear"),
-    ("casual shoes", ("casual shoes", "loafers", "loafer", "slip-on"), "everyday casual footwear shoes"),
-    ("formal shoes", ("formal shoes", "oxfords", "derbys", "derby"), "formal business dress footwear"),
-    ("sandals", ("sandal", "sandals", "strappy sandals", "gladiator sandals"), "open strap summer footwear sandals"),
-    ("flip flops", ("flip flop", "flip flops", "flipflop", "flipflops"), "casual open toe flip flops slippers"),
-    ("heels", ('heels', 'heel', 'high heels', 'stilettos'), "elevated heeled women's footwear"),
-    ("flats", ('flats', 'flat', 'ballerinas', 'ballerina'), "flat sole women's footwear"),
-    ("socks", ("sock", "socks", "ankle socks", "crew socks"), "hosiery foot wear socks"),
-    ("watches", ("watch", "watches", "watche", "timepiece"), "wrist timepiece accessory watch"),
-    ("sunglasses", ("sunglasses", "sunglass", "sunglasse", "shades"), "eye protection fashion eyewear sunglasses"),
-    ("handbags", ("handbag", "handbags", "purse", "shoulder bag"), "fashion accessory handbag purse"),
-    ("backpacks", ("backpack", "backpacks", "rucksack", "bookbag"), "travel and utility shoulder backpack"),
-    ("clutches", ("clutch", "clutches", "clutche", "clutch bag"), "compact handheld evening clutch bag"),
-    ("wallets", ("wallet", "wallets", "billfold", "coin purse"), "compact pocket personal accessory wallet"),
-    ("belts", ("belt", "belts", "waistband", "leather belt"), "waist accessory buckle belt"),
-    ("caps", ("cap", "caps", "hat", "hats"), "headwear accessory cap hat"),
-    ("ties", ("tie", "ties", "necktie", "bow tie"), "formal neckwear tie"),
-    ("earrings", ("earring", "earrings", "studs", "hoops"), "ear jewellery earrings"),
-    ("necklaces", ("necklace", "necklaces", "pendant", "pendants"), "neck jewellery necklace pendant"),
-    ("bracelets", ("bracelet", "bracelets", "bangle", "bangles"), "wrist jewellery bracelet bangle"),
-    ("rings", ("ring", "rings", "finger ring", "band"), "finger jewellery ring"),
+    ("jeans", ("jean", "jeans", "denim", "denim pants", "skinny jeans", "ripped jeans", "distressed jeans"), "casual denim bottomwear"),
+    ("trousers", ("trouser", "trousers", "pant", "pants", "chinos", "chino", "slacks", "formal trousers", "cargo pants", "khakis", "bottomwear"), "tailored bottomwear trousers pants"),
+    ("shorts", ("short", "shorts", "bermuda", "bermudas", "cargo shorts", "denim shorts", "sweat shorts", "bottomwear"), "casual summer bottomwear shorts"),
+    ("track pants", ("track pants", "track pant", "trackpants", "sweatpants", "sweat pants", "joggers", "jogger", "track trousers"), "athletic lounge bottomwear track pants"),
+    ("tshirts", ("t-shirt", "t-shirts", "tshirt", "tshirts", "tee", "tees", "crewneck", "v-neck", "polo shirt", "polo", "graphic tee"), "casual topwear t-shirt"),
+    ("shirts", ("shirt", "shirts", "dress shirt", "button-down", "formal shirt", "casual shirt", "oxford shirt", "topwear"), "collared button-down topwear shirt"),
+    ("tops", ("top", "tops", "crop top", "blouse", "blouses", "camisole top", "peplum top", "topwear"), "women's topwear blouse top"),
+    ("sweatshirts", ("sweatshirt", "sweatshirts", "hoodie", "hoodies", "pullover", "fleece", "hooded sweatshirt"), "casual warm topwear sweatshirt hoodie"),
+    ("sweaters", ("sweater", "sweaters", "cardigan", "cardigans", "knitwear", "jumper", "knitted pullover"), "warm knitted winter sweater cardigan"),
+    ("jackets", ("jacket", "jackets", "outerwear", "coat", "coats", "blazer", "blazers", "windbreaker", "bomber jacket", "biker jacket", "leather jacket"), "outerwear layer jacket coat"),
+    ("dresses", ("dress", "dresses", "dresse", "gown", "gowns", "frock", "frocks", "one-piece", "sundress", "cocktail dress", "maxi dress", "midi dress"), "women's fashion dress gown"),
+    ("kurtas", ("kurta", "kurtas", "kurti", "kurtis", "tunic", "tunics", "ethnic tunic", "anarkali"), "traditional ethnic tunic kurta"),
+    ("sarees", ("saree", "sarees", "sari", "saris", "traditional sari"), "traditional ethnic draped saree"),
+    ("skirts", ("skirt", "skirts", "mini skirt", "maxi skirt", "pleated skirt"), "women's bottomwear skirt"),
+    ("jumpsuits", ("jumpsuit", "jumpsuits", "romper", "rompers", "dungarees", "playsuit", "one-piece suit"), "full body one-piece jumpsuit"),
+    ("leggings", ("legging", "leggings", "tights", "churidar", "churidars", "jeggings", "capri", "capris"), "elastic stretch bottomwear leggings"),
+    ("shoes", ("shoe", "shoes", "footwear", "sneakers", "trainers", "athletic shoes", "kicks"), "footwear shoes sneakers"),
+    ("sports shoes", ("sports shoes", "running shoes", "running shoe", "trainers", "athletic footwear", "sneakers", "jogging shoes", "gym shoes"), "athletic sports running footwear"),
+    ("casual shoes", ("casual shoes", "loafers", "loafer", "slip-on", "slip-ons", "boat shoes", "canvas shoes"), "everyday casual footwear shoes"),
+    ("formal shoes", ("formal shoes", "oxfords", "derbys", "derby", "brogues", "leather dress shoes", "formal footwear", "monk strap"), "formal business dress footwear"),
+    ("sandals", ("sandal", "sandals", "strappy sandals", "gladiator sandals", "flat sandals", "heeled sandals"), "open strap summer footwear sandals"),
+    ("flip flops", ("flip flop", "flip flops", "flipflop", "flipflops", "slippers", "slipper", "slides", "thongs", "chappals"), "casual open toe flip flops slippers"),
+    ("heels", ("heels", "heel", "high heels", "stilettos", "pumps", "wedges", "wedge", "heeled footwear"), "elevated heeled women's footwear"),
+    ("flats", ("flats", "flat", "ballerinas", "ballerina", "loafers", "slip-ons", "flat shoes", "bellies"), "flat sole women's footwear"),
+    ("socks", ("sock", "socks", "ankle socks", "crew socks", "cotton socks", "athletic socks", "hosiery"), "hosiery foot wear socks"),
+    ("watches", ("watch", "watches", "watche", "timepiece", "wrist watch", "chronograph", "analog watch", "digital watch"), "wrist timepiece accessory watch"),
+    ("sunglasses", ("sunglasses", "sunglass", "sunglasse", "shades", "eyewear", "sun glasses", "goggles", "aviators", "wayfarers"), "eye protection fashion eyewear sunglasses"),
+    ("handbags", ("handbag", "handbags", "purse", "shoulder bag", "tote", "tote bag", "satchel", "crossbody bag", "crossbody"), "fashion accessory handbag purse"),
+    ("backpacks", ("backpack", "backpacks", "rucksack", "bookbag", "travel pack", "knapsack", "laptop backpack"), "travel and utility shoulder backpack"),
+    ("clutches", ("clutch", "clutches", "clutche", "clutch bag", "pouch", "evening bag", "wristlet"), "compact handheld evening clutch bag"),
+    ("wallets", ("wallet", "wallets", "billfold", "coin purse", "pocketbook", "card holder", "leather wallet"), "compact pocket personal accessory wallet"),
+    ("belts", ("belt", "belts", "waistband", "leather belt", "buckle belt", "strap"), "waist accessory buckle belt"),
+    ("caps", ("cap", "caps", "hat", "hats", "baseball cap", "beanie", "sun hat", "headwear", "snapback"), "headwear accessory cap hat"),
+    ("ties", ("tie", "ties", "necktie", "bow tie", "formal tie", "cravat"), "formal neckwear tie"),
+    ("earrings", ("earring", "earrings", "studs", "hoops", "drop earrings", "danglers", "jhumkas"), "ear jewellery earrings"),
+    ("necklaces", ("necklace", "necklaces", "pendant", "pendants", "chain", "chains", "locket", "choker"), "neck jewellery necklace pendant"),
+    ("bracelets", ("bracelet", "bracelets", "bangle", "bangles", "wristlet", "wristband", "kada"), "wrist jewellery bracelet bangle"),
+    ("rings", ("ring", "rings", "finger ring", "band", "diamond ring"), "finger jewellery ring"),
     ("cufflinks", ("cufflinks", "cufflink", "cuff links"), "formal shirt accessory cufflinks"),
-    ("scarves", ("scarf", "scarves", "scarve", "stole"), "neckwear fashion accessory scarf stole"),
-    ("dupattas", ("dupatta", "dupattas", "chunni", "chunari"), "ethnic traditional draped dupatta"),
-    ("bra", ("bra", "bras", "brassiere", "sports bra"), "intimate innerwear support bra"),
-    ("briefs", ("brief", "briefs", "underwear", "boxers"), "intimate innerwear briefs underwear"),
-    ("nightwear", ("nightdress", "night suit", "night suits", "nightwear"), "comfortable sleeping lounge nightwear"),
-    ("swimwear", ("swimwear", "swimsuit", "bathing suit", "swimming trunks"), "swimming athletic beach swimwear"),
-    ("perfumes", ("perfume", "perfumes", "fragrance", "scent"), "scent fragrance perfume"),
-    ("deodorants", ("deodorant", "deodorants", "body spray", "anti-perspirant"), "personal care deodorant spray"),
-    ("lipstick", ("lipstick", "lipsticks", "lip color", "lip colour"), "cosmetic lip makeup lipstick"),
+    ("scarves", ("scarf", "scarves", "scarve", "stole", "stoles", "muffler", "wrap", "shawl"), "neckwear fashion accessory scarf stole"),
+    ("dupattas", ("dupatta", "dupattas", "chunni", "chunari", "traditional stole"), "ethnic traditional draped dupatta"),
+    ("bra", ("bra", "bras", "brassiere", "sports bra", "padded bra", "lingerie bra"), "intimate innerwear support bra"),
+    ("briefs", ("brief", "briefs", "underwear", "boxers", "boxer briefs", "trunks", "underpants", "panties", "panty"), "intimate innerwear briefs underwear"),
+    ("nightwear", ("nightdress", "night suit", "night suits", "nightwear", "sleepwear", "pajamas", "pyjamas", "lounge wear", "loungewear"), "comfortable sleeping lounge nightwear"),
+    ("swimwear", ("swimwear", "swimsuit", "bathing suit", "swimming trunks", "bikini", "swim shorts"), "swimming athletic beach swimwear"),
+    ("perfumes", ("perfume", "perfumes", "fragrance", "scent", "eau de parfum", "cologne", "body mist", "mist"), "scent fragrance perfume"),
+    ("deodorants", ("deodorant", "deodorants", "body spray", "anti-perspirant", "deodorant spray", "fragrance spray"), "personal care deodorant spray"),
+    ("lipstick", ("lipstick", "lipsticks", "lip color", "lip colour", "lip shade", "lip gloss", "lipgloss", "lip lacquer"), "cosmetic lip makeup lipstick"),
     ("nail polish", ("nail polish", "nail lacquer", "nail enamel", "nail paint"), "cosmetic nail care polish lacquer"),
 ]
 

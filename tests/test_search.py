@@ -67,6 +67,26 @@ def test_intents(spark):
     assert found == INTENTS
 
 
+LATE = {"tee": "tshirts", "polo": "tshirts", "joggers": "track pants", "chinos": "trousers", "blazer": "jackets", "frock": "dresses", "tote bag": "handbags", "kada": "bracelets"}
+
+
+def test_late_synonyms(spark):
+    """Synonyms beyond the first four count, in queries, in the lookup and in products' n-grams."""
+    rows = intent.parse_intent(spark.createDataFrame([(q,) for q in LATE], "query string")).collect()
+    assert {r.query: r.intent.target_category for r in rows} == LATE
+    found = spark.createDataFrame([(q,) for q in LATE], "q string").select("q", intent.lexicon_entry(F.col("q"))["name"].alias("entry")).collect()
+    assert {r.q: r.entry for r in found} == LATE
+    grams = chunks.attribute_ngrams(spark.createDataFrame([JEANS], COLUMNS)).first()
+    assert "ripped jeans" in grams.unigrams and "blue ripped jeans" in grams.bigrams and "men blue ripped jeans" in grams.trigrams
+
+
+def test_topwear_and_bottomwear_decide(spark):
+    asked = intent.parse_intent(spark.createDataFrame([("handbag",), ("trousers",)], "query string"))
+    rows = spark.createDataFrame([("Plain one", "Men", "", "Topwear", "Tunic", "", ""), ("Plain one", "Men", "", "Bottomwear", "Cargos", "", "")], COLUMNS)
+    found = {(r.query, r.subCategory): r.context.category_multiplier for r in context.with_context_score(rows.crossJoin(asked)).collect()}
+    assert found == {("handbag", "Topwear"): 0.0, ("handbag", "Bottomwear"): 0.6, ("trousers", "Topwear"): 0.6, ("trousers", "Bottomwear"): 1.25}
+
+
 def test_a_lexicon_is_a_parameter(spark):
     own = Lexicon((Category("gizmos", ("gizmo", "gadget"), "small things"),))
     rows = intent.parse_intent(spark.createDataFrame([("shiny gadget",)], "query string"), lexicon=own)
