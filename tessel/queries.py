@@ -63,7 +63,7 @@ def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     found = search.batch_top_hits(points_of(spark, sf_dir), asked, 10)
     return found.select("query_id", "point_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -160,14 +160,14 @@ def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of an original and a crop for every tenth vector: the crop is the next vector."""
+    """Results of an original and a crop for every tenth vector: the crop is the next vector.  None is its own result."""
     rows = table(spark, sf_dir, "embeddings")
     points = points_of(spark, sf_dir)
 
     def results(shift: int) -> DataFrame:
-        asked = rows.where((F.col("vec_id") >= shift) & ((F.col("vec_id") - shift) % 50 == 0)).select((F.col("vec_id") - shift).alias("query_id"), F.col("embedding").alias("query"))
-        others = points.where(F.col("point_id") % 50 > 1)
-        found = search.batch_top_hits(others, asked, 3)
+        asked = rows.where((F.col("vec_id") >= shift) & ((F.col("vec_id") - shift) % 10 == 0)).select((F.col("vec_id") - shift).alias("query_id"), F.col("embedding").alias("query"))
+        found = search.batch_top_hits(points, asked, 4).where(F.col("point_id") != F.col("query_id") + shift)
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= 3)
         return found.select(F.col("query_id").alias("image_id"), F.col("rank").cast("long").alias("rank"), F.col("point_id").alias("product_id"), F.col("score").alias("image_score"), F.col("score").alias("final_score"))
 
     shown = domain.arbitrate(results(0), results(1), keep_from=0.4, in_domain_from=0.35)
@@ -330,10 +330,12 @@ def exploded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events before a point of time are the old table, later ones the new rows, keyed by user."""
+    """Events up to the middle of all ids are the old table, later ones the new rows, keyed by user."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    old = index.latest(rows.where("event_id % 3 = 0"), "user_id", "event_id")
-    return index.upsert(old, rows.where("event_id % 3 = 1"), "user_id", "event_id")
+    middle = rows.agg(((F.min("event_id") + F.max("event_id")) / 2).alias("middle"))
+    rows = rows.crossJoin(F.broadcast(middle))
+    before, after = (rows.where(c).drop("middle") for c in ("event_id <= middle", "event_id > middle"))
+    return index.upsert(index.latest(before, "user_id", "event_id"), after, "user_id", "event_id")
 
 
 def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

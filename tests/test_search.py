@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import scores, vector
 from tessel.operators import chunks, context, domain, index, intent, ranking, search
+from tessel import queries
 from tessel.plans.lexicon import Category, Lexicon
 
 
@@ -153,3 +154,23 @@ def test_domain_rules(spark):
     assert {r.image_id: r.detector_ood for r in domain.detector_domain(rows).collect()} == {1: True, 2: False}
     assert {r.image_id: r.box_index for r in domain.choose_box(rows).collect()} == {1: 0, 2: 0}
     assert {r.image_id: r.box_index for r in domain.choose_box(rows, explicit=F.lit(1)).collect()}[2] == 1
+
+
+def test_registered_queries_take_all_rows(spark):
+    """Batch queries, originals and crops, and both sides of the upsert, against brute force over all rows."""
+    sf_dir = "/root/testdata/sf0.001"
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+
+    def best(q, n, but=None):
+        dots = {i: sum(a * b for a, b in zip(vectors[q], v, strict=True)) for i, v in vectors.items() if i != but}
+        return sorted(dots, key=lambda i: (-dots[i], i))[:n]
+
+    found = {(r.query_id, r["rank"]): r.point_id for r in queries.QUERIES["batch_query_topk"](spark, sf_dir).collect()}
+    assert found == {(q, k): i for q in vectors if q % 20 == 0 for k, i in enumerate(best(q, 10), 1)}
+    shown = queries.QUERIES["crop_arbitration"](spark, sf_dir).collect()
+    assert {r.image_id for r in shown} == {i for i in vectors if i % 10 == 0} and len(shown) == 3 * len({r.image_id for r in shown})
+    assert all(r.product_id == best(q := r.image_id + (r.source == "crop"), 3, but=q)[r["rank"] - 1] for r in shown)
+    latest = {}
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect():
+        latest[r.user_id] = max(latest.get(r.user_id, -1), r.event_id)
+    assert {r.user_id: r.event_id for r in queries.QUERIES["upsert_latest"](spark, sf_dir).collect()} == latest
