@@ -320,7 +320,7 @@ ORACLE_SQL = {
   round(embedding[1]::DOUBLE / sqrt({dot('embedding', 'embedding')}), 6) AS first FROM embeddings""",
     "batch_query_topk": f"""SELECT a.vec_id AS query_id, b.vec_id AS point_id, round({dot('a.embedding', 'b.embedding')}, 6) AS score,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY {dot('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank
-FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10""",
+FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 10""",
     "group_modality_scores": f"WITH {scored()}, {hits(100)}, {GROUPED} SELECT product_id, round(image_score, 6) AS image_score, round(title_score, 6) AS title_score, image_rank, title_rank FROM g",
     "counterpart_fill": f"""WITH {scored()}, {hits(100)}, {GROUPED}
 SELECT product_id, round(coalesce(image_score, image, 0), 6) AS image_score, round(coalesce(title_score, title, 0), 6) AS title_score FROM g LEFT JOIN both_sides USING (product_id)""",
@@ -354,7 +354,7 @@ SELECT image_id, top_label, round(top_p, 4) AS top_p, top_label IN ('sports_ball
     "crop_arbitration": f"""WITH r AS (
   SELECT source, (a.vec_id - shift) AS image_id, b.vec_id AS product_id, {dot('a.embedding', 'b.embedding')} AS score,
          row_number() OVER (PARTITION BY source, a.vec_id ORDER BY {dot('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank
-  FROM (VALUES ('original', 0), ('crop', 1)) AS v(source, shift), embeddings a, embeddings b WHERE a.vec_id >= shift AND (a.vec_id - shift) % 50 = 0 AND b.vec_id % 50 > 1 QUALIFY rank <= 3),
+  FROM (VALUES ('original', 0), ('crop', 1)) AS v(source, shift), embeddings a, embeddings b WHERE a.vec_id >= shift AND (a.vec_id - shift) % 20 = 0 AND b.vec_id <> a.vec_id QUALIFY rank <= 3),
 t AS (SELECT image_id, max(CASE WHEN source = 'original' THEN score END) AS o, max(CASE WHEN source = 'crop' THEN score END) AS c FROM r WHERE rank = 1 GROUP BY image_id),
 d AS (SELECT *, c IS NULL OR coalesce(o, -1) >= 0.4 OR coalesce(o, -1) >= c AS stays FROM t)
 SELECT r.image_id, source, rank, product_id, round(score, 6) AS image_score, coalesce(CASE WHEN stays THEN o ELSE c END, 0) >= 0.35 AS in_domain_by_match
@@ -398,8 +398,9 @@ x AS (
 SELECT product_id, score, i + 1 AS rank FROM x WHERE i <= coalesce(last, 1073741824) AND i < 10""",
     "explode_points": """SELECT 2 * p_partkey + t AS point_id, p_partkey AS product_id, p_name AS name, CASE t WHEN 0 THEN 'image' ELSE 'title' END AS embedding_type
 FROM part, (VALUES (0), (1)) AS v(t)""",
-    "upsert_latest": """WITH o AS (SELECT * FROM events WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
-n AS (SELECT * FROM events WHERE event_id % 3 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    "upsert_latest": """WITH m AS (SELECT (min(event_id) + max(event_id)) / 2 AS middle FROM events),
+o AS (SELECT events.* FROM events, m WHERE event_id <= middle QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+n AS (SELECT events.* FROM events, m WHERE event_id > middle QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
 SELECT user_id, event_id, event_type, value FROM n UNION ALL SELECT user_id, event_id, event_type, value FROM o WHERE user_id NOT IN (SELECT user_id FROM n)""",
     "index_stats": f"""WITH {CHUNKS} SELECT 'unified' AS collection, count(*) AS n FROM embeddings UNION ALL SELECT 'image', count(*) FROM embeddings WHERE vec_id % 2 = 0
 UNION ALL SELECT 'chunks', count(*) FROM points""",

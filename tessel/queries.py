@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import boxes, scores, text, vector
 from tessel.operators import chunks, context, domain, index, intent, ranking, search
 from tessel.plans.lexicon import DEFAULT
-from tessel.session import ship, table
+from tessel.session import scratch, table
 from tessel.sources import catalog
 from tessel.streaming import build
 
@@ -160,12 +158,12 @@ def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of an original and a crop for every tenth vector: the crop is the next vector.  None is its own result."""
+    """Results of an original and a crop for each vector whose id is divisible by 20: the crop is the next vector.  None is its own result."""
     rows = table(spark, sf_dir, "embeddings")
     points = points_of(spark, sf_dir)
 
     def results(shift: int) -> DataFrame:
-        asked = rows.where((F.col("vec_id") >= shift) & ((F.col("vec_id") - shift) % 10 == 0)).select((F.col("vec_id") - shift).alias("query_id"), F.col("embedding").alias("query"))
+        asked = rows.where((F.col("vec_id") >= shift) & ((F.col("vec_id") - shift) % 20 == 0)).select((F.col("vec_id") - shift).alias("query_id"), F.col("embedding").alias("query"))
         found = search.batch_top_hits(points, asked, 4).where(F.col("point_id") != F.col("query_id") + shift)
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= 3)
         return found.select(F.col("query_id").alias("image_id"), F.col("rank").cast("long").alias("rank"), F.col("point_id").alias("product_id"), F.col("score").alias("image_score"), F.col("score").alias("final_score"))
@@ -372,10 +370,8 @@ def popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An incremental build over the events, then the number of users by the type of their latest event."""
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessel-stream-')}"
-    folder = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(source))))}"
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    folder = scratch(spark)
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     build.stream_versions(stream, "user_id", "event_id", f"{folder}/table", f"{folder}/state").awaitTermination()
     rows = build.current(spark.read.parquet(f"{folder}/table"), "user_id", "event_id")
     return rows.groupBy("event_type").agg(F.count("*").alias("users"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_tessel_shipped"
+_SCRATCH = "_tessel_scratch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,3 +31,17 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder path below ``spark.checkpoint.dir``, which the driver and all executors must share.
+
+    Where it is unset, a local folder serves if the master is local; on a cluster that would lose rows, so it is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = getattr(spark.sparkContext, _SCRATCH, None) or f"file://{tempfile.mkdtemp(prefix='tessel-scratch-')}"
+        setattr(spark.sparkContext, _SCRATCH, base)
+    return f"{base.rstrip('/')}/tessel-{uuid.uuid4().hex}"

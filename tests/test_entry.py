@@ -26,16 +26,17 @@ def test_same_as_sql(spark, name):
     compare(spark, queries.QUERIES[name], oracle.ORACLE_SQL[name])
 
 
-def test_the_rest_works_without_the_training_data_part(tmp_path):
-    """A copy of the repository without that part still imports and registers the other queries."""
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_the_rest_works_without_the_training_data_part(tmp_path, also):
+    """A copy of the repository without its two folders, and without the pipeline too, registers the other queries."""
     for f in ROOT.glob("*.py"):
-        if f.name != "corpus_pipeline.py":
+        if f.name not in also:
             (tmp_path / f.name).write_text(f.read_text())
     for f in (ROOT / "tessel").rglob("*.py"):
         if "llm" not in f.relative_to(ROOT).parts:
             target = tmp_path / f.relative_to(ROOT)
             target.parent.mkdir(parents=True, exist_ok=True)
             target.write_text(f.read_text())
-    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()), 'pipeline' in e.queries())"
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()), 'pipeline' in e.queries(), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
-    assert out.stdout.split() == [str(len(queries.QUERIES)), "False", "False"], out.stderr
+    assert out.stdout.split() == [str(len(queries.QUERIES)), "False", "False", str(len(oracle.ORACLE_SQL))], out.stderr

@@ -168,7 +168,7 @@ def test_registered_queries_take_all_rows(spark):
     found = {(r.query_id, r["rank"]): r.point_id for r in queries.QUERIES["batch_query_topk"](spark, sf_dir).collect()}
     assert found == {(q, k): i for q in vectors if q % 20 == 0 for k, i in enumerate(best(q, 10), 1)}
     shown = queries.QUERIES["crop_arbitration"](spark, sf_dir).collect()
-    assert {r.image_id for r in shown} == {i for i in vectors if i % 10 == 0} and len(shown) == 3 * len({r.image_id for r in shown})
+    assert {r.image_id for r in shown} == {i for i in vectors if i % 20 == 0} and len(shown) == 3 * len({r.image_id for r in shown})
     assert all(r.product_id == best(q := r.image_id + (r.source == "crop"), 3, but=q)[r["rank"] - 1] for r in shown)
     latest = {}
     for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect():
