@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions.scores import clip
@@ -25,9 +25,8 @@ def gender_multiplier(target: Column, gender: Column) -> Column:
 def colour_multiplier(target: Column, shades: Column, colour: Column, name: Column, chunk: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """1.35 for a shade of the colour or its name in the text, 0 for a shade of another family, .25 for none, 1 if not asked."""
     named = F.array_contains(shades, colour) | contains_word(name, target) | contains_word(chunk, target)
-    other = F.lit(False)
-    for family, all_shades in lexicon.colours.items():
-        other = other | ((target != family) & colour.isin(*all_shades))
+    families = F.array(*[F.struct(F.lit(family).alias("name"), _strings(list(shades)).alias("shades")) for family, shades in lexicon.colours.items()])
+    other = F.exists(families, lambda f: (f["name"] != target) & F.array_contains(f["shades"], colour))
     return F.when(target.isNull(), 1.0).when(named, 1.35).when(other, 0.0).otherwise(0.25)
 
 
@@ -35,13 +34,19 @@ def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def category_multiplier(target: Column, article: Column, sub: Column, master: Column, name: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """0 for an incompatible category or another master group, 1.3 for a dress, 1.25 for a term of the category, else .6."""
+def category_terms(spark: SparkSession, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(category, valid, excluded): the terms of each category and of what it excludes; a row for each entry of the lexicon."""
+    rows = [(c.name, c.terms, [t for k in lexicon.incompatible.get(c.name, ()) if (other := lexicon.named(k)) for t in other.terms]) for c in lexicon.categories]
+    return spark.createDataFrame(rows, "category string, valid array<string>, excluded array<string>")
+
+
+def category_multiplier(target: Column, valid: Column, excluded: Column, article: Column, sub: Column, master: Column, name: Column) -> Column:
+    """0 for an incompatible category or another master group, 1.3 for a dress, 1.25 for a term of the category, else .6.
+
+    ``valid`` and ``excluded`` are the target's terms and those of categories that it excludes, see ``category_terms``.
+    """
     near = stemmed_set(tokens_of_clean(F.concat_ws(" ", article, sub)))
     wide = stemmed_set(tokens_of_clean(F.concat_ws(" ", article, sub, master, name)))
-    pick = lambda values: F.try_element_at(F.create_map(*[x for c in lexicon.categories for x in (F.lit(c.name), _strings(values(c)))]), target)
-    valid = pick(lambda c: c.terms)
-    excluded = pick(lambda c: [t for k in lexicon.incompatible.get(c.name, ()) if (other := lexicon.named(k)) for t in other.terms])
     clash = F.arrays_overlap(excluded, near) & ~F.arrays_overlap(valid, near)
     outside = F.lit(False)
     for categories, masters in lx.MASTER_GROUPS:
@@ -63,7 +68,9 @@ def with_context_score(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame
     without tokens scores 0.5.
     """
     text = lambda c: F.lower(clean_text(F.col(c))) if c in rows.columns else F.lit("")
-    own = rows.withColumns({f"t_{k}": text(c) for k, c in TEXTS.items()})
+    terms = category_terms(rows.sparkSession, lexicon).select(F.col("category").alias("_target"), F.col("valid").alias("_valid"), F.col("excluded").alias("_excluded"))
+    own = rows.join(F.broadcast(terms), F.col("intent.target_category") == F.col("_target"), "left")  # a row for each category
+    own = own.withColumns({f"t_{k}": text(c) for k, c in TEXTS.items()})
     t = lambda k: F.col(f"t_{k}")
     own = own.withColumn("full", F.concat_ws(" ", *[t(k) for k in TEXTS]))
     words = F.col("intent.tokens")
@@ -93,7 +100,7 @@ def with_context_score(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame
             "exact": exact,
             "g": gender_multiplier(target("target_gender"), gender),
             "k": colour_multiplier(target("target_color"), target("color_shades"), colour, t("name"), t("chunk"), lexicon),
-            "c": category_multiplier(target("target_category"), t("article"), t("sub"), t("master"), t("name"), lexicon),
+            "c": category_multiplier(target("target_category"), F.col("_valid"), F.col("_excluded"), t("article"), t("sub"), t("master"), t("name")),
         }
     )
     out = (F.col("g") == 0) | (F.col("k") == 0) | (F.col("c") == 0)
@@ -112,4 +119,4 @@ def with_context_score(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame
         F.col("c").alias("category_multiplier"),
         F.round(multiplier, 2).alias("context_multiplier"),
     )
-    return own.withColumn("context", context).drop(*[f"t_{k}" for k in TEXTS], "full", "q2", "q3", "c2", "c3", "unigram", "bigram", "trigram", "exact", "g", "k", "c")
+    return own.withColumn("context", context).drop(*[f"t_{k}" for k in TEXTS], "full", "q2", "q3", "c2", "c3", "unigram", "bigram", "trigram", "exact", "g", "k", "c", "_target", "_valid", "_excluded")

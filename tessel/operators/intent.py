@@ -2,49 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.text import clean_text, has_word, let, stem, stem_of, tokens_of_clean
+from tessel.functions.text import clean_text, let, stem, stem_of, tokens_of_clean, word_pattern
 from tessel.plans import lexicon as lx
 from tessel.plans.lexicon import DEFAULT, Lexicon
 
 
-def first_of(*pairs: tuple[Column, Column]) -> Column:
-    """The value of the first condition that holds."""
-    out = F
-    for condition, value in pairs:
-        out = out.when(condition, value)
-    return out
+def first_named(q: Column, named: Iterable[tuple[str, Iterable[str]]]) -> Column:
+    """The first name of which the text has a term as a whole word.
+
+    Patterns and names are one literal array: a chain of conditions as long as a lexicon would outgrow generated code.
+    """
+    rows = F.array(*[F.struct(F.lit(word_pattern(*terms)).alias("pattern"), F.lit(name).alias("name")) for name, terms in named])
+    return F.get(F.filter(rows, lambda x: F.rlike(q, x["pattern"])), F.lit(0))["name"]
 
 
 def gender_of(q: Column) -> Column:
-    return first_of(*[(has_word(q, *words), F.lit(gender)) for gender, words in lx.GENDER_WORDS.items()])
+    return first_named(q, lx.GENDER_WORDS.items())
 
 
 def category_of(q: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The category of the longest name that the query has, by its name, a synonym or their stems, as whole words."""
-    return first_of(*[(has_word(q, *c.terms), F.lit(c.name)) for c in lexicon.by_priority()])
+    return first_named(q, [(c.name, c.terms) for c in lexicon.by_priority()])
 
 
 def colour_of(q: Column) -> Column:
-    return first_of(*[(has_word(q, c), F.lit(c)) for c in lx.QUERY_COLOURS])
+    return first_named(q, [(c, [c]) for c in lx.QUERY_COLOURS])
 
 
 def shades_of(colour: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """Shades of the colour's family, sorted; a colour without one is its own shade; no colour, no shades."""
-    families = {k: sorted(set(v) | {k}) for k, v in lexicon.colours.items()}
-    known = first_of(*[(colour == k, F.array(*map(F.lit, v))) for k, v in families.items()])
-    return F.when(colour.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(known, F.array(colour)))
+    families = F.create_map(*[x for k, v in lexicon.colours.items() for x in (F.lit(k), F.array(*map(F.lit, sorted({*v, k}))))])
+    return F.when(colour.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(F.try_element_at(families, colour), F.array(colour)))
 
 
 def off_domain_term(q: Column) -> Column:
     """The longest off-domain term of a query that has nothing of the domain in it."""
-    about = F.lit(False)
-    for word in lx.IN_DOMAIN:
-        about = about | F.contains(q, F.lit(word))
-    longest = sorted(lx.OFF_DOMAIN, key=lambda t: (-len(t), t))
-    return F.when(~about, first_of(*[(has_word(q, t), F.lit(t)) for t in longest]))
+    about = F.exists(F.array(*map(F.lit, lx.IN_DOMAIN)), lambda word: F.contains(q, word))
+    return F.when(~about, first_named(q, [(t, [t]) for t in sorted(lx.OFF_DOMAIN, key=lambda t: (-len(t), t))]))
 
 
 def parse_intent(queries: DataFrame, text_col: str = "query", lexicon: Lexicon = DEFAULT) -> DataFrame:

@@ -44,7 +44,10 @@ def cut_at_cliff(rows: DataFrame, score_col: str, mode: str, rule: Cliff = Cliff
     A list ends after its second row or later if the next score falls by ``gap``, and after its third or later if the next
     one is below the floor or ``least_ratio`` of the best.  Rows at or below 0 and below the floor never count.
     """
-    marked = _above_floor(rows, rule, mode, F.col(score_col), list(keys), list(map(F.col, ties)))
+    lists = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    first = rows.withColumn("_n", F.row_number().over(lists.orderBy(F.desc_nulls_last(score_col), *ties)))
+    head = first.where(F.col("_n") <= rule.most + 1).drop("_n")  # tasks send their best ones alone, also of a long list
+    marked = _above_floor(head, rule, mode, F.col(score_col), list(keys), list(map(F.col, ties)))
     kept = marked.where((F.coalesce(F.col("_end"), F.lit(1 << 30)) >= F.col("_i")) & (F.col("_i") < rule.most))
     return kept.withColumn("rank", F.col("_i") + 1).drop("_s", "_i", "_next", "_top", "_gap", "_stop", "_end")
 

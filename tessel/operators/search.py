@@ -1,7 +1,7 @@
 """Vector search over product points, and fusion of image and title hits.
 
 Points are (point_id, vector) with product = point_id div 2 and type = point_id mod 2 (0 image, 1 title).  One query is a
-one-row table and is broadcast; a batch of queries is scored in blocks, by one matrix product for each pair of blocks.
+one-row table and is broadcast; a batch of queries is broadcast in blocks of a checked size, and the points stream past.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from tessel.functions.scores import fuse_mean, fuse_ranks, fuse_weighted
 from tessel.functions.vector import dot
 from tessel.session import ship
 
+#: Bytes of query vectors that are broadcast at once.
+QUERY_BYTES = 64_000_000
+
 
 def scored(points: DataFrame, query: DataFrame, id_col: str = "point_id", vector_col: str = "vector") -> DataFrame:
     """Every point with its dot product with the one query row (column ``query``)."""
@@ -31,35 +34,83 @@ def top_hits(points: DataFrame, query: DataFrame, n: int, id_col: str = "point_i
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
-def batch_top_hits(points: DataFrame, queries: DataFrame, k: int, id_col: str = "point_id", vector_col: str = "vector", block: int = 1024) -> DataFrame:
-    """(query_id, point_id, score, rank): the k best points of each query (query_id, query).
+class Best:
+    """The k best (score, id) so far of each of n queries, ties to the smaller id, in flat arrays."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.floor = np.full(n, -np.inf)  # a score below the k-th best can't come in any more
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of queries from ``first`` on (rows) with points (columns)."""
+        floor = self.floor[first : first + len(scores)]
+        if scores.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        row, column = np.nonzero(scores >= floor[:, None])
+        self.parts.append((row + first, scores[row, column], ids[column]))
+        self.waiting += len(row)
+        if self.waiting > 4 * self.k * len(self.floor) + 1_000_000:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of the best, ordered."""
+        query, score, ids = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, "i8"), np.zeros(0), np.zeros(0, "i8"))
+        order = np.lexsort((ids, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        start = np.searchsorted(query, np.arange(len(self.floor)))
+        nth = np.arange(len(query)) - start[query]
+        kept = nth < self.k
+        last = nth == self.k - 1
+        self.floor[query[last]] = score[last]
+        self.parts, self.waiting = [(query[kept], score[kept], ids[kept])], int(kept.sum())
+        return self.parts[0]
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as a matrix, without a Python object for each number."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def batch_top_hits(
+    points: DataFrame, queries: DataFrame, k: int, id_col: str = "point_id", vector_col: str = "vector", block_bytes: int = QUERY_BYTES
+) -> DataFrame:
+    """(query_id, point_id, score, rank): the k best points of each query (query_id, query), in double precision.
 
-    Queries are packed into blocks, and each task of points meets the blocks one after the other: a block of points and one
-    of queries give k candidates for each query, which are then merged by query.  Scores are in double precision.
+    The queries are broadcast in blocks whose size is counted first, and points stream past them: a task keeps the k best
+    of each query, so k rows for each task and query are shuffled.  One block, the usual case, is one scan of the points;
+    more queries take one scan for each ``block_bytes`` of vectors.  Rows without a vector take no part.
     """
-    ship(points.sparkSession)
-    packed = queries.select(F.col("query_id"), F.col("query").cast("array<double>").alias("query"))
-    numbered = packed.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))).alias("block")).agg(
-        F.collect_list(F.struct("query_id", "query")).alias("queries")
-    )
-    grouped = points.select(F.col(id_col).alias("point_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.array([q["query_id"] for q in row["queries"]])
-                q = np.array([q["query"] for q in row["queries"]])
-                own = np.array([p["point_id"] for p in row["points"]])
-                scores = q @ np.array([p["vector"] for p in row["points"]]).T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.take_along_axis(scores, best, axis=1).ravel())],
-                    ["query_id", "point_id", "score"],
-                )
-
-    parts = grouped.groupBy(F.expr(f"point_id div {8 * block}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("point_id", "vector"))).alias("points"))
-    met = parts.crossJoin(numbered)
-    found = met.select("queries", "points").mapInArrow(run, "query_id long, point_id long, score double")
+    spark = points.sparkSession
+    ship(spark)
+    asked = queries.where(F.col("query").isNotNull()).select(F.col("query_id"), F.col("query").cast("array<double>").alias("query"))
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("query")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // block_bytes))
+    rows = points.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("point_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+
+    def past(number: int) -> DataFrame:
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        shared = spark.sparkContext.broadcast(own.toArrow())  # block_bytes in expectation
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value
+            names, q = table["query_id"], matrix_of(table["query"].combine_chunks())
+            best = Best(len(q), k)
+            for batch in batches:
+                if len(q) and len(batch):
+                    ids, own = batch.column(0).to_numpy(), matrix_of(batch.column(1))
+                    step = max(1, 4_000_000 // len(own))
+                    for a in range(0, len(q), step):
+                        best.add(a, q[a : a + step] @ own.T, ids)
+            query, score, ids = best.settle()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)).combine_chunks(), pa.array(ids), pa.array(score)], ["query_id", "point_id", "score"])
+
+        return rows.mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, point_id long, score double")
+
+    found = past(0)
+    for i in range(1, blocks):
+        found = found.unionByName(past(i))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -71,10 +122,13 @@ def split_points(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     )
 
 
-def group_hits(hits: DataFrame) -> DataFrame:
-    """One row for each product of (product_id, is_title, score, rank): best score and first rank of each type, and its place."""
+def group_hits(hits: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each product of (product_id, is_title, score, rank): best score and first rank of each type, and its place.
+
+    ``keys`` tell the hits of several queries apart.
+    """
     image, title = ~F.col("is_title"), F.col("is_title")
-    return hits.groupBy("product_id").agg(
+    return hits.groupBy(*keys, "product_id").agg(
         F.max(F.when(image, F.col("score"))).alias("image_score"),
         F.max(F.when(title, F.col("score"))).alias("title_score"),
         F.min(F.when(image, F.col("rank"))).alias("image_rank"),
@@ -83,30 +137,35 @@ def group_hits(hits: DataFrame) -> DataFrame:
     )
 
 
-def merge_modalities(unified: DataFrame, images: DataFrame) -> DataFrame:
-    """Full outer merge of grouped unified hits and image hits (product_id, score, rank) in one shuffle.
+def merge_modalities(unified: DataFrame, images: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Full outer merge of grouped unified hits and image hits (product_id, score, rank), which has a product once.
 
     The better image score and the unified image rank win; products of the image list alone come after all others.
     """
-    both = unified.select("product_id", "image_score", "title_score", "image_rank", "title_rank", "place", F.lit(None).cast("int").alias("late")).unionByName(
-        images.select(
-            "product_id", F.col("score").alias("image_score"), F.lit(None).cast("double").alias("title_score"), F.col("rank").alias("late"),
-            *[F.lit(None).cast("int").alias(c) for c in ("image_rank", "title_rank", "place")],
-        )
-    )
-    merged = both.groupBy("product_id").agg(*[F.max(c).alias(c) for c in ("image_score", "title_score", "image_rank", "title_rank", "place", "late")])
-    return merged.withColumn("image_rank", F.coalesce("image_rank", "late")).withColumn("seq", F.coalesce(F.col("place"), F.lit(1 << 30) + F.col("late"))).drop("late", "place")
-
-
-def fill_counterparts(merged: DataFrame, points: DataFrame, query: DataFrame) -> DataFrame:
-    """Look up the missing side's point and score it; a side without a point scores 0.  Ranks stay as they are."""
-    wanted = merged.where(F.col("image_score").isNull() | F.col("title_score").isNull()).select("product_id").distinct()
-    sides = scored(points.join(wanted, "product_id", "left_semi"), query).join(points.select("point_id", "product_id", "is_title"), "point_id")
-    known = sides.groupBy("product_id").agg(
+    late = images.select(*keys, "product_id", F.col("score").alias("late_score"), F.col("rank").alias("late"))
+    return (
+        unified.join(late, [*keys, "product_id"], "full_outer")
+        .withColumn("image_score", F.greatest("image_score", "late_score"))
+        .withColumn("image_rank", F.coalesce("image_rank", "late"))
+        .withColumn("seq", F.coalesce(F.col("place"), F.lit(1 << 30) + F.col("late")))
+        .drop("late", "late_score", "place")
+    )
+
+
+def fill_counterparts(merged: DataFrame, points: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Look up the missing side's point and score it; a side without a point scores 0.  Ranks stay as they are.
+
+    Without keys, ``queries`` is the one query row; else it has a row (keys, query) for each query.
+    """
+    wanted = merged.where(F.col("image_score").isNull() | F.col("title_score").isNull()).select(*keys, "product_id")
+    sides = points.join(wanted, "product_id")
+    sides = sides.join(queries.select(*keys, "query"), list(keys)) if keys else sides.crossJoin(F.broadcast(queries.select("query").limit(1)))
+    sides = sides.withColumn("score", dot(F.col("vector"), F.col("query")))
+    known = sides.groupBy(*keys, "product_id").agg(
         F.max(F.when(~F.col("is_title"), F.col("score"))).alias("own_image"), F.max(F.when(F.col("is_title"), F.col("score"))).alias("own_title")
     )
     return (
-        merged.join(known, "product_id", "left")
+        merged.join(known, [*keys, "product_id"], "left")
         .withColumn("image_score", F.coalesce("image_score", "own_image", F.lit(0.0)))
         .withColumn("title_score", F.coalesce("title_score", "own_title", F.lit(0.0)))
         .drop("own_image", "own_title")
@@ -130,40 +189,68 @@ def search_unified(
     ``points`` are as from ``split_points``.  Scores are rounded to four digits before they are ordered; ties keep the
     order of the hits.  ``top_k`` None gives all candidates; below 1 is an error.
     """
+    pool = pool_size(top_k, candidate_pool)
+    hits = top_hits(points, query, pool)
+    images = top_hits(points.where(~F.col("is_title")), query, pool)
+    return _fuse_hits(hits, images, points, query, mode, top_k, pool, strategy, weights, ())
+
+
+def search_unified_batch(
+    points: DataFrame, queries: DataFrame, mode: str = "image", top_k: int | None = 10, candidate_pool: int = 100, strategy: str = "weighted_sum", weights: tuple[float, float] | None = None
+) -> DataFrame:
+    """``search_unified`` for each row of ``queries`` (query_id, query): its rows, with the query_id before them."""
+    pool = pool_size(top_k, candidate_pool)
+    hits = batch_top_hits(points, queries, pool)
+    images = batch_top_hits(points.where(~F.col("is_title")), queries, pool)
+    return _fuse_hits(hits, images, points, queries, mode, top_k, pool, strategy, weights, ("query_id",))
+
+
+def pool_size(top_k: int | None, candidate_pool: int) -> int:
     if top_k is not None and top_k < 1:
         raise ValueError("top_k must be at least 1")
-    pool = max(candidate_pool, 8 * (top_k or 1))
-    hits = top_hits(points, query, pool).withColumn("product_id", F.expr("point_id div 2")).withColumn("is_title", F.col("point_id") % 2 == 1)
-    images = top_hits(points.where(~F.col("is_title")), query, pool).withColumn("product_id", F.expr("point_id div 2"))
-    rows = fill_counterparts(merge_modalities(group_hits(hits), images), points, query)
+    return max(candidate_pool, 8 * (top_k or 1))
+
+
+def _fuse_hits(hits, images, points, queries, mode, top_k, pool, strategy, weights, keys) -> DataFrame:
+    hits = hits.withColumn("product_id", F.expr("point_id div 2")).withColumn("is_title", F.col("point_id") % 2 == 1)
+    images = images.withColumn("product_id", F.expr("point_id div 2"))
+    rows = fill_counterparts(merge_modalities(group_hits(hits, keys), images, keys), points, queries, keys)
     rows = rows.withColumn("final_score", F.round(fused(rows, mode, strategy, pool, weights), 4))
-    order = Window.orderBy(F.desc("final_score"), "seq", "product_id")  # two pools of rows at most
+    order = (Window.partitionBy(*keys) if keys else Window).orderBy(F.desc("final_score"), "seq", "product_id")  # two pools of rows at most
     ranked = rows.withColumn("rank", F.row_number().over(order))
     out = ranked if top_k is None else ranked.where(F.col("rank") <= top_k)
-    return out.select("product_id", "rank", "final_score", F.round("image_score", 4).alias("image_score"), F.round("title_score", 4).alias("title_score"), "image_rank", "title_rank")
+    return out.select(
+        *keys, "product_id", "rank", "final_score", F.round("image_score", 4).alias("image_score"), F.round("title_score", 4).alias("title_score"), "image_rank", "title_rank"
+    )
 
 
-def best_chunks(image_hits: DataFrame, chunk_hits: DataFrame) -> DataFrame:
+def best_chunks(image_hits: DataFrame, chunk_hits: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Candidates of a contextual search, one row for each product: (product_id, image_score, text_score, best_chunk, seq).
 
     Image hits (product_id, score, rank) come first, clamped at 0; of a product's chunk hits (product_id, score, rank, text)
-    the best counts, the earlier one on ties.  On a product that images found only chunks above 0 count.
+    the best counts, the earlier one on ties.  On a product that images found only chunks above 0 count.  ``keys`` tell the
+    hits of several queries apart.
     """
     chunks = chunk_hits.where(F.coalesce(F.col("product_id"), F.lit(0)) != 0)
-    best = chunks.groupBy("product_id").agg(F.max("score").alias("text_score"), F.max_by("text", F.struct("score", -F.col("rank"))).alias("best_chunk"), F.min("rank").alias("late"))
-    images = image_hits.groupBy("product_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("image_score"), F.min("rank").alias("early"))
-    rows = images.join(best, "product_id", "full_outer")
-    counts = F.col("early").isNull() | (F.col("text_score") > 0)
+    best = chunks.groupBy(*keys, "product_id").agg(
+        F.max("score").alias("own_text"), F.max_by("text", F.struct("score", -F.col("rank"))).alias("own_chunk"), F.min("rank").alias("late")
+    )
+    images = image_hits.groupBy(*keys, "product_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("own_image"), F.min("rank").alias("early"))
+    rows = images.join(best, [*keys, "product_id"], "full_outer")
+    counts = F.col("early").isNull() | (F.col("own_text") > 0)
     return rows.select(
+        *keys,
         "product_id",
-        F.coalesce("image_score", F.lit(0.0)).alias("image_score"),
-        F.coalesce(F.when(counts, F.col("text_score")), F.lit(0.0)).alias("text_score"),
-        F.coalesce(F.when(counts, F.col("best_chunk")), F.lit("")).alias("best_chunk"),
+        F.coalesce("own_image", F.lit(0.0)).alias("image_score"),
+        F.coalesce(F.when(counts, F.greatest(F.lit(0.0), F.col("own_text"))), F.lit(0.0)).alias("text_score"),
+        F.coalesce(F.when(counts, F.col("own_chunk")), F.lit("")).alias("best_chunk"),
         F.coalesce(F.col("early"), F.lit(1 << 30) + F.col("late")).alias("seq"),
     )
 
 
-def image_floor(rows: DataFrame, floor: float = 0.38) -> DataFrame:
-    """All rows, or none if the best image score is below the floor."""
+def image_floor(rows: DataFrame, floor: float = 0.38, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All rows, or none if the best image score (of each key) is below the floor."""
+    if keys:
+        return rows.withColumn("best_image", F.max("image_score").over(Window.partitionBy(*keys))).where(F.col("best_image") >= floor).drop("best_image")
     best = rows.agg(F.max("image_score").alias("best_image"))
     return rows.crossJoin(F.broadcast(best)).where(F.col("best_image") >= floor).drop("best_image")

@@ -8,7 +8,7 @@ from tessel.functions.text import SPACE, WORD, word_pattern
 from tessel.functions.text import stem_of
 from tessel.plans import lexicon as lx
 from tessel.plans.lexicon import DEFAULT
-from tessel.queries import BOXES, LABELS, QUERY_TEXTS, RULE
+from tessel.queries import BOXES, DETECTED, LABELS, QUERY_TEXTS, RULE
 
 
 def quoted(x: str | None) -> str:
@@ -272,7 +272,7 @@ c3 AS (
          WHEN target_gender = 'Men' AND gender IN ('Women', 'Girls') THEN 0 WHEN target_gender = 'Men' AND gender IN ('Men', 'Boys') THEN 1.1 ELSE 1 END::DOUBLE AS g,
     CASE WHEN target_color IS NULL THEN 1 WHEN list_contains(shades, raw_colour) OR {named('name')} OR {named('chunk')} THEN 1.35 WHEN {other} THEN 0 ELSE 0.25 END::DOUBLE AS k,
     CASE WHEN target_category IS NULL THEN 1 WHEN ({overlap('excluded', 'near')} AND NOT {overlap('valid', 'near')}) OR {outside} THEN 0
-         WHEN target_category = 'dresses' THEN CASE WHEN contains(article, 'dress') OR contains(sub, 'dress') OR contains(name, 'dresses') OR contains(name, 'gown') OR contains(name, 'frock') THEN 1.3 ELSE 0 END
+         WHEN target_category = 'dresses' THEN CASE WHEN contains(article, 'dress') OR contains(sub, 'dress') OR contains(name, 'dresses') OR contains(name, 'gown') OR contains(name, 'sundress') OR contains(name, 'frock') THEN 1.3 ELSE 0 END
          WHEN {overlap('valid', 'wide')} THEN 1.25 ELSE 0.6 END::DOUBLE AS c FROM c2),
 c4 AS (SELECT *, coalesce(b0, u) AS b, coalesce(t0, b0, u) AS t FROM c3),
 context AS (
@@ -286,7 +286,7 @@ def product_texts(chunk: str) -> str:
 
 
 CONTEXT = f"""WITH {intent_ctes()}, {PRODUCTS},
-{context_ctes(f"SELECT {product_texts("'A photo of ' || title || '.'")}, query_id, q, tokens, target_category, target_gender, target_color, shades FROM products, intents WHERE query IN ('red ring', 'red dress for women', 'blue jeans', 'men t-shirt', 'analog watch', '')")}"""
+{context_ctes(f"SELECT {product_texts("'A photo of ' || title || '.'")}, query_id, q, tokens, target_category, target_gender, target_color, shades FROM products, intents")}"""
 
 BEST = f"""{scored(2)}, {hits(120)},
 ih AS (SELECT point_id // 4 AS product_id, greatest(0.0::DOUBLE, max(score)) AS image_score, min(rank) AS early FROM h WHERE NOT is_title GROUP BY 1),
@@ -295,11 +295,116 @@ ch AS (
   FROM h WHERE is_title AND point_id // 4 <> 0 GROUP BY 1),
 best AS (
   SELECT coalesce(ih.product_id, ch.product_id) AS product_id, coalesce(image_score, 0) AS image_score,
-    CASE WHEN early IS NULL OR text_score > 0 THEN coalesce(text_score, 0) ELSE 0 END AS text_score,
+    CASE WHEN early IS NULL OR text_score > 0 THEN greatest(0.0::DOUBLE, coalesce(text_score, 0)) ELSE 0 END AS text_score,
     CASE WHEN early IS NULL OR text_score > 0 THEN coalesce(best_chunk, '') ELSE '' END AS best_chunk, coalesce(early, 1073741824 + late) AS seq
   FROM ih FULL JOIN ch ON ih.product_id = ch.product_id)"""
 
 
+def by_query(mode: str) -> str:
+    """CTEs of a contextual search: asked has the queries and why some are turned away, cand the candidates, x the ranked rows."""
+    if mode == "text":
+        asked = """SELECT i.*, embedding AS vector, CASE WHEN i.query_id = 10 THEN 'out_of_domain' WHEN trim(query) = '' THEN 'empty_query'
+           WHEN non_fashion_term IS NOT NULL THEN 'non_fashion_query' END AS why FROM intents i JOIN embeddings ON vec_id = i.query_id"""
+        limit, floor = 120, 0.05
+    else:
+        asked = "SELECT vec_id - 2 AS query_id, embedding AS vector, NULL::VARCHAR AS why FROM embeddings WHERE vec_id % 20 = 2"
+        limit, floor = 50, 0.38
+    product = f"id, coalesce(title, 'Product #' || product_id) AS title, {', '.join(f"coalesce({c}, '') AS {c}" for c in ('article', 'sub', 'master', 'colour', 'usage', 'gender'))}"
+    start = f"""WITH {intent_ctes()}, {PRODUCTS},
+asked AS ({asked}),
+cs AS (SELECT query_id, vec_id AS point_id, vec_id // 4 AS product_id, {dot('embedding', 'vector')} AS score FROM embeddings, asked WHERE why IS NULL),
+ci AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM cs WHERE point_id % 4 = 0 QUALIFY rank <= {limit}),
+cc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM cs WHERE point_id % 4 <> 0 QUALIFY rank <= {2 * limit}),
+ch AS (
+  SELECT query_id, product_id, max(score) AS text_score, arg_max('chunk ' || point_id, score) AS best_chunk, min(rank) AS late FROM cc WHERE product_id <> 0 GROUP BY 1, 2),
+best AS (
+  SELECT coalesce(ci.query_id, ch.query_id) AS query_id, coalesce(ci.product_id, ch.product_id) AS product_id, greatest(0.0::DOUBLE, coalesce(ci.score, 0)) AS image_score,
+    CASE WHEN rank IS NULL OR text_score > 0 THEN greatest(0.0::DOUBLE, coalesce(text_score, 0)) ELSE 0 END AS text_score,
+    CASE WHEN rank IS NULL OR text_score > 0 THEN coalesce(best_chunk, '') ELSE '' END AS best_chunk, coalesce(rank, 1073741824 + late) AS seq
+  FROM ci FULL JOIN ch ON ci.query_id = ch.query_id AND ci.product_id = ch.product_id),
+cand AS (SELECT b.*, max(image_score) OVER (PARTITION BY query_id) AS best_image, {product} FROM best b LEFT JOIN products ON id = product_id)"""
+    if mode == "text":
+        rows = f"SELECT {product_texts('best_chunk')}, title, product_id, image_score, text_score, best_chunk, seq, best_image, c.query_id, q, tokens, target_category, target_gender, target_color, shades FROM cand c JOIN asked USING (query_id)"
+        mixed = f"""{context_ctes(rows)},
+b1 AS (SELECT *, 0.75 * text_score + 0.25 * ({calibrate('image_score')}) AS base FROM context),
+b2 AS (SELECT *, round(CASE WHEN out THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.7 * base + 0.3 * CASE WHEN ngram > 0 THEN ngram ELSE base END)) END, 4) AS score FROM b1)"""
+        passed = "true"
+    else:
+        mixed = f"b2 AS (SELECT *, round(0.75 * image_score + 0.25 * ({calibrate('text_score')}), 4) AS score FROM cand)"
+        passed = "best_image >= 0.38"
+    return f"""{start}, {mixed},
+v AS (
+  SELECT *, row_number() OVER w - 1 AS i, lead(score) OVER w AS nxt, first(score) OVER w AS top FROM b2 WHERE score > 0 AND score >= {floor} AND {passed}
+  WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, seq, product_id)),
+e AS (SELECT *, score - nxt >= 0.12::DOUBLE AND i >= 1 AS gap, (score - nxt >= 0.12::DOUBLE AND i >= 1) OR (nxt < greatest({floor}::DOUBLE, top * 0.5) AND i >= 2) AS stop FROM v),
+x AS (SELECT *, min(CASE WHEN stop THEN i END) OVER (PARTITION BY query_id) AS last FROM e)"""
+
+
+SHOWN = """SELECT query_id, product_id, title AS name, '/media/images/' || product_id || '.jpg' AS image_url, round(image_score, 4) AS image_score, round(text_score, 4) AS text_score,
+  best_chunk AS best_matching_chunk, score, i + 1 AS rank FROM x WHERE i <= coalesce(last, 1073741824) AND i < 10"""
+
+def gates(mode: str) -> str:
+    low = "WHEN valid IS NULL AND best_image < 0.38 THEN 'low_similarity_floor' " if mode == "image" else ""
+    return f""",
+n AS (SELECT query_id, count(*) AS total, max(best_image) AS best_image FROM b2 GROUP BY 1),
+k AS (SELECT query_id, count(*) AS valid, min(last) AS last, max(CASE WHEN i = last AND gap THEN i + 1 END) AS gap_rank FROM x GROUP BY 1),
+r AS (
+  SELECT a.query_id, coalesce(total, 0) AS total, CASE WHEN valid IS NULL THEN 0 ELSE least(coalesce(last + 1, valid), valid, 10) END AS kept, gap_rank,
+    CASE WHEN why IS NOT NULL THEN why {low}WHEN valid IS NULL THEN 'all_below_quality_or_incompatible' END AS reason
+  FROM asked a LEFT JOIN n ON n.query_id = a.query_id LEFT JOIN k ON k.query_id = a.query_id)
+SELECT query_id, total AS total_candidates, kept AS kept_count, total - kept AS eliminated_count, gap_rank IS NOT NULL AS gap_detected, gap_rank, reason,
+  coalesce(reason IN ('out_of_domain', 'non_fashion_query', 'low_similarity_floor'), false) AS is_out_of_domain, kept AS total_found FROM r"""
+
+
+def unified_of_each(queries: str) -> str:
+    """CTEs: u has the ten best products of an image search for each row (qid, query)."""
+    return f"""s AS (SELECT qid, vec_id AS point_id, vec_id // 2 AS product_id, vec_id % 2 = 1 AS is_title, {dot('embedding', 'query')} AS score FROM embeddings, {queries}),
+both_sides AS (SELECT qid, product_id, max(CASE WHEN NOT is_title THEN score END) AS image, max(CASE WHEN is_title THEN score END) AS title FROM s GROUP BY ALL),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, point_id) AS rank FROM s QUALIFY rank <= 100),
+g AS (
+  SELECT qid, product_id, max(CASE WHEN NOT is_title THEN score END) AS image_score, max(CASE WHEN is_title THEN score END) AS title_score, min(rank) AS place FROM h GROUP BY ALL),
+im AS (SELECT qid, product_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, point_id) AS late FROM s WHERE NOT is_title QUALIFY late <= 100),
+m AS (
+  SELECT coalesce(g.qid, im.qid) AS qid, coalesce(g.product_id, im.product_id) AS product_id, coalesce(greatest(image_score, im.score), image_score, im.score) AS image_score, title_score,
+         coalesce(place, 1073741824 + late) AS seq FROM g FULL JOIN im ON g.qid = im.qid AND g.product_id = im.product_id),
+f AS (
+  SELECT m.qid, m.product_id, seq, coalesce(image_score, b.image, 0) AS i, coalesce(title_score, b.title, 0) AS t FROM m LEFT JOIN both_sides b ON b.qid = m.qid AND b.product_id = m.product_id),
+o AS (SELECT *, round({weighted('i', 't', 'image')}, 4) AS final_score FROM f),
+u AS (
+  SELECT qid, product_id, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, seq, product_id) AS rank, final_score, round(i, 4) AS image_score, round(t, 4) AS title_score
+  FROM o QUALIFY rank <= 10)"""
+
+
+IMAGES = f"""WITH qs AS (
+  SELECT {{'image_id': a.vec_id, 'source': 'original'}} AS qid, list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE + b.embedding[i]::DOUBLE) / 2) AS query
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 3 WHERE a.vec_id % 20 = 0
+  UNION ALL SELECT {{'image_id': vec_id - 2, 'source': 'crop'}}, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 40 = 2),
+{unified_of_each('qs')},
+tops AS (
+  SELECT qid.image_id AS image_id, max(CASE WHEN qid.source = 'original' THEN image_score END) AS oi, max(CASE WHEN qid.source = 'crop' THEN image_score END) AS ci FROM u WHERE rank = 1 GROUP BY 1),
+picked AS (
+  SELECT image_id, CASE WHEN stays THEN 'original' ELSE 'crop' END AS source, coalesce(CASE WHEN stays THEN oi ELSE ci END, 0) >= 0.8 AS sure
+  FROM (SELECT *, ci IS NULL OR coalesce(oi, -1) >= 0.65 OR coalesce(oi, -1) >= ci AS stays FROM tops)),
+l AS (SELECT {listed(LABELS)}[vec_id + 1] AS label, embedding FROM embeddings WHERE vec_id < {len(LABELS)}),
+zs AS (SELECT qid.image_id AS image_id, l.label, {dot('query', 'l.embedding')} AS s FROM qs, l WHERE qid.source = 'original'),
+zx AS (SELECT *, exp((s - max(s) OVER (PARTITION BY image_id)) / 0.05::DOUBLE) AS e FROM zs),
+zp AS (SELECT *, e / sum(e) OVER (PARTITION BY image_id) AS p FROM zx),
+za AS (
+  SELECT image_id, arg_max(label, p) IN ('sports_ball', 'animal', 'vehicle', 'food') AND max(p) >= 0.5 AND max(CASE WHEN label = 'fashion' THEN p END) < 0.25 AS label_ood FROM zp GROUP BY 1),
+det AS (
+  SELECT vec_id AS image_id, {listed(DETECTED)}[label + 1] NOT IN ('backpack', 'umbrella', 'handbag', 'tie', 'suitcase', 'person') AND 0.5 + (vec_id % 50) / 100 >= 0.65::DOUBLE AS detector_ood
+  FROM embeddings WHERE vec_id % 20 = 0),
+facts AS (
+  SELECT p.image_id, source, NOT sure AND (detector_ood OR label_ood) AS ood FROM picked p JOIN det ON det.image_id = p.image_id JOIN za ON za.image_id = p.image_id),
+shown AS (SELECT u.*, fa.image_id, fa.source FROM u JOIN facts fa ON u.qid.image_id = fa.image_id AND u.qid.source = fa.source WHERE NOT ood),
+v AS (
+  SELECT *, row_number() OVER w - 1 AS i, lead(final_score) OVER w AS nxt, first(final_score) OVER w AS top FROM shown WHERE final_score > 0 AND final_score >= 0.38
+  WINDOW w AS (PARTITION BY image_id ORDER BY final_score DESC, rank, product_id)),
+e AS (
+  SELECT *, final_score - nxt >= 0.12::DOUBLE AND i >= 1 AS gap, (final_score - nxt >= 0.12::DOUBLE AND i >= 1) OR (nxt < greatest(0.38::DOUBLE, top * 0.5) AND i >= 2) AS stop FROM v),
+x AS (SELECT *, min(CASE WHEN stop THEN i END) OVER (PARTITION BY image_id) AS last FROM e)"""
+
+
 def word_query(expression: str) -> str:
     return f"WITH t AS (SELECT conv_id, turn, {words(f'lower({clean("text")})')} AS w FROM conversations) SELECT conv_id, turn, array_to_string({expression}, '|') AS words FROM t"
 
@@ -386,16 +491,22 @@ k AS (SELECT DISTINCT article AS category FROM products UNION ALL SELECT unnest(
     "context_multipliers": f"{CONTEXT} SELECT query_id, id, g AS gender_multiplier, k AS color_multiplier, c AS category_multiplier FROM context",
     "ngram_context_score": f"""{CONTEXT} SELECT query_id, id, round(ngram, 6) AS score, out AS is_disqualified, round(u, 3) AS unigram_recall, round(b, 3) AS bigram_score,
   round(t, 3) AS trigram_score, e = 1 AS exact_match FROM context""",
-    "contextual_search": f"""WITH {intent_ctes()}, {PRODUCTS}, {BEST},
-bp AS (SELECT b.*, p.* FROM best b JOIN products p ON p.id = b.product_id),
-{context_ctes(f"SELECT {product_texts('best_chunk')}, product_id, image_score, text_score, seq, q, tokens, target_category, target_gender, target_color, shades FROM bp, intents WHERE query = 'red ring'")},
-b1 AS (SELECT *, 0.75 * text_score + 0.25 * ({calibrate('image_score')}) AS base FROM context),
-b2 AS (SELECT *, round(CASE WHEN out THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.7 * base + 0.3 * CASE WHEN ngram > 0 THEN ngram ELSE base END)) END, 4) AS score FROM b1),
-v AS (
-  SELECT *, row_number() OVER w - 1 AS i, lead(score) OVER w AS nxt, first(score) OVER w AS top FROM b2 WHERE score > 0 AND score >= 0.05 WINDOW w AS (ORDER BY score DESC, seq, product_id)),
-x AS (
-  SELECT *, min(CASE WHEN (score - nxt >= 0.12::DOUBLE AND i >= 1) OR (nxt < greatest(0.05::DOUBLE, top * 0.5) AND i >= 2) THEN i END) OVER () AS last FROM v)
-SELECT product_id, score, i + 1 AS rank FROM x WHERE i <= coalesce(last, 1073741824) AND i < 10""",
+    "contextual_search": f"{by_query('text')} {SHOWN}",
+    "contextual_gates": f"{by_query('text')} {gates('text')}",
+    "contextual_search_image": f"{by_query('image')} {SHOWN}",
+    "contextual_gates_image": f"{by_query('image')} {gates('image')}",
+    "unified_payload": f"""WITH {PRODUCTS}, qs AS (SELECT vec_id AS qid, embedding AS query FROM embeddings WHERE vec_id % 20 = 0), {unified_of_each('qs')}
+SELECT qid AS query_id, product_id, rank, coalesce(title, 'Product #' || product_id) AS name, '/media/images/' || product_id || '.jpg' AS image_url, coalesce(gender, '') AS gender,
+  coalesce(article, '') AS "articleType", coalesce(usage, '') AS usage, final_score, image_score, title_score AS text_score FROM u LEFT JOIN products ON id = product_id""",
+    "image_pipeline": f"""{IMAGES} SELECT image_id, source, product_id, i + 1 AS rank, final_score, image_score, title_score FROM x WHERE i <= coalesce(last, 1073741824) AND i < 10""",
+    "image_pipeline_report": f"""{IMAGES},
+k AS (SELECT image_id, count(*) AS valid, min(last) AS last, max(CASE WHEN i = last AND gap THEN i + 1 END) AS gap_rank FROM x GROUP BY image_id),
+n AS (SELECT image_id, count(*) AS total FROM shown GROUP BY image_id),
+c AS (
+  SELECT f.image_id, source, ood, coalesce(total, 0) AS total, CASE WHEN valid IS NULL THEN 0 ELSE least(coalesce(last + 1, valid), valid, 10) END AS kept, gap_rank, valid
+  FROM facts f LEFT JOIN n ON n.image_id = f.image_id LEFT JOIN k ON k.image_id = f.image_id)
+SELECT image_id, source, ood AS is_out_of_domain, total AS total_candidates, kept AS kept_count, total - kept AS eliminated_count, gap_rank IS NOT NULL AS gap_detected, gap_rank,
+  CASE WHEN ood THEN 'out_of_domain' WHEN total = 0 THEN 'no_matches' WHEN valid IS NULL THEN 'all_below_quality_or_incompatible' END AS reason FROM c""",
     "explode_points": """SELECT 2 * p_partkey + t AS point_id, p_partkey AS product_id, p_name AS name, CASE t WHEN 0 THEN 'image' ELSE 'title' END AS embedding_type
 FROM part, (VALUES (0), (1)) AS v(t)""",
     "upsert_latest": """WITH m AS (SELECT (min(event_id) + max(event_id)) / 2 AS middle FROM events),
@@ -407,7 +518,11 @@ UNION ALL SELECT 'chunks', count(*) FROM points""",
     "point_lookup": "SELECT vec_id AS point_id, vec_id // 2 AS product_id, vec_id % 2 = 1 AS is_title FROM embeddings WHERE vec_id IN (SELECT p_partkey * 7 FROM part)",
     "semi_valid_products": "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey IN (SELECT vec_id * 2 FROM embeddings)",
     "anti_rejected_products": "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT vec_id * 2 FROM embeddings)",
-    "ingest_summary": "SELECT count(*) FILTER (WHERE p_partkey % 2 = 0) > 0 AS success, count(*) FILTER (WHERE p_partkey % 2 = 0) AS indexed_count, count(*) AS total_products FROM part",
+    "ingest_summary": f"WITH {PRODUCTS} SELECT count(*) FILTER (WHERE usage <> '') > 0 AS success, count(*) FILTER (WHERE usage <> '') AS indexed_count, count(*) AS total_products FROM products",
+    "index_build": f"""WITH {CHUNKS}, ready AS (SELECT p_partkey FROM part WHERE p_size % 5 <> 0),
+k AS (SELECT count(*) AS n FROM points WHERE product_id IN (FROM ready) AND chunk_type <> 'description_detail')
+SELECT count(*) > 0 AS success, count(*) AS indexed_count, count(*) AS total_products, 2 * count(*) AS unified, count(*) AS image, max(k.n) AS chunks FROM ready, k""",
+    "title_vectors": "SELECT DISTINCT p_name AS name, 1.0::DOUBLE AS norm FROM part",
     "catalog_popularity": f"""WITH {PRODUCTS}, s AS (SELECT l_partkey, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_partkey)
 SELECT article AS "articleType", count(*) AS products, coalesce(sum(quantity), 0) AS quantity, coalesce(max(orders), 0) AS most_orders FROM products LEFT JOIN s ON id = l_partkey GROUP BY article""",
     "stream_index_counts": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)

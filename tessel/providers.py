@@ -1,30 +1,140 @@
-"""Encoders are producers of vector columns; engines take any.  This one needs no model: hashed n-grams of characters."""
+"""Encoders and detectors are producers of columns; the operators take any that have these methods.
+
+The ones here need no model and no network.  They are deterministic stand-ins, not neural encoders: hashed n-grams for
+texts, colour shares for images, and the whole image as the one box.
+"""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.text import or_default
+from tessel.functions.vector import mean_of, normalised
+from tessel.operators.intent import prompts
+from tessel.plans.lexicon import DEFAULT, Lexicon
+
+#: Sides of the grey image that stands for one that can't be read, and its level.
+GREY_SIDE, GREY = 224, 128
+MOST_PROMPTS = 6
+
+
+class TextEncoder(Protocol):
+    dim: int
+
+    def encode(self, text: Column) -> Column:
+        """A unit vector (array of floats) for each text."""
+
+
+class ImageEncoder(Protocol):
+    dim: int
+
+    def encode(self, image: Column) -> Column:
+        """A unit vector for each image, a struct as Spark's image source has it."""
+
+
+class Detector(Protocol):
+    def boxes(self, image: Column) -> Column:
+        """An array of (box, confidence, class_name) for each image."""
+
+
+def _unit(counts: np.ndarray) -> pd.Series:
+    length = np.linalg.norm(counts, axis=1, keepdims=True)
+    return pd.Series(list((counts / np.where(length > 0, length, 1)).astype("f4")))
+
+
+def _hashed(texts: list[str], dim: int, n: int) -> np.ndarray:
+    """Signed counts of hashed n-grams of characters, for all texts at once."""
+    padded = [f" {t} ".lower() if t else "" for t in texts]
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    size = np.array([len(x) for x in padded], "i8")
+    owner = np.repeat(np.arange(len(padded)), size)
+    at = np.arange(max(0, len(code) - n + 1))
+    at = at[owner[at] == owner[at + n - 1]] if len(at) else at
+    h = np.zeros(len(at), "u8")
+    for i in range(n):
+        h = (h ^ code[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    slot = owner[at] * dim + (h % np.uint64(dim)).astype("i8")
+    return np.bincount(slot, np.where(h >> np.uint64(63), 1.0, -1.0), minlength=len(padded) * dim).reshape(len(padded), dim)
+
 
 def hashed_ngrams(text: Column, dim: int = 64, n: int = 3) -> Column:
-    """A unit vector of hashed character n-grams, signed by the hash; not a neural encoder.  Empty text: zeros."""
+    """A unit vector of hashed character n-grams, signed by the hash; not a neural encoder.  Null and empty text: zeros."""
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            out = []
-            for t in texts:
-                v = np.zeros(dim)
-                padded = f" {t or ''} ".lower()
-                for i in range(len(padded) - n + 1 if t else 0):
-                    h = zlib.crc32(padded[i : i + n].encode())
-                    v[h % dim] += 1 if h >> 31 else -1
-                out.append((v / (np.linalg.norm(v) or 1)).astype("f4"))
-            yield pd.Series(out)
+            yield _unit(_hashed([t or "" for t in texts], dim, n))
 
     return encode(text)
+
+
+class HashedText:
+    """Hashed n-grams; null and blank texts count as a default one."""
+
+    def __init__(self, dim: int = 64, n: int = 3, default: str = "fashion product") -> None:
+        self.dim, self.n, self.default = dim, n, default
+
+    def encode(self, text: Column) -> Column:
+        return hashed_ngrams(or_default(text, self.default), self.dim, self.n)
+
+
+def can_be_read(image: Column) -> Column:
+    return F.coalesce((image["height"] > 0) & (F.octet_length(image["data"]) > 0), F.lit(False))
+
+
+def readable(image: Column) -> Column:
+    """The image, or a grey one where it is missing or couldn't be decoded."""
+    size = F.greatest(F.coalesce(image["height"], F.lit(0)), F.lit(0)) * 0 + GREY_SIDE * GREY_SIDE * 3  # by row: no plan holds the pixels
+    grey = F.struct(
+        F.coalesce(image["origin"], F.lit("")).alias("origin"), F.lit(GREY_SIDE).alias("height"), F.lit(GREY_SIDE).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"),
+        F.unhex(F.repeat(F.lit(f"{GREY:02x}"), size)).alias("data"),
+    )
+    return F.when(can_be_read(image), image).otherwise(grey)
+
+
+class ColourImage:
+    """Shares of colours in a coarse cube, ``side`` levels a channel; grey images count their level in each channel."""
+
+    def __init__(self, side: int = 4) -> None:
+        self.side, self.dim = side, side**3
+
+    def encode(self, image: Column) -> Column:
+        side, dim = self.side, self.dim
+
+        @F.pandas_udf("array<float>")
+        def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for data, channels in batches:
+                counts = np.zeros((len(data), dim))
+                for i, (raw, n) in enumerate(zip(data, channels, strict=True)):
+                    level = np.frombuffer(raw, "u1").reshape(-1, int(n))[:, :3].astype("i8") * side // 256 if raw is not None else np.array([[GREY * side // 256]])
+                    cell = level @ np.array([side * side, side, 1]) if level.shape[1] == 3 else level[:, 0] * (side * side + side + 1)
+                    counts[i] = np.bincount(cell, minlength=dim)
+                yield _unit(counts)
+
+        ok = can_be_read(image)
+        return encode(F.when(ok, image["data"]), F.when(ok, image["nChannels"]))
+
+
+class WholeImage:
+    """One box that is the whole image, as something in focus."""
+
+    def boxes(self, image: Column) -> Column:
+        side = lambda c: F.when(can_be_read(image), image[c]).otherwise(GREY_SIDE).cast("double")
+        edge = [F.lit(0.0), F.lit(0.0), side("width"), side("height")]
+        return F.array(F.struct(F.array(*edge).alias("box"), F.lit(0.88).alias("confidence"), F.lit("focused_product").alias("class_name")))
+
+
+def with_ensemble(queries: DataFrame, encoder: TextEncoder, text_col: str = "query", out_col: str = "vector", lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """All columns and ``out_col``: the unit mean of the vectors of a query's phrasings (see ``prompts``), six at most."""
+    rows = queries.withColumn("_phrases", prompts(F.col(text_col), lexicon))
+    rows = rows.withColumns({f"_v{i}": encoder.encode(F.get("_phrases", F.lit(i))) for i in range(MOST_PROMPTS)})
+    vectors = F.slice(F.array(*[f"_v{i}" for i in range(MOST_PROMPTS)]), F.lit(1), F.size("_phrases"))
+    rows = rows.withColumn(out_col, normalised(mean_of(vectors, encoder.dim)).cast("array<float>"))
+    return rows.drop("_phrases", *[f"_v{i}" for i in range(MOST_PROMPTS)])

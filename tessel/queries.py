@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import boxes, scores, text, vector
-from tessel.operators import chunks, context, domain, index, intent, ranking, search
-from tessel.plans.lexicon import DEFAULT
+from tessel.operators import chunks, context, contextual, domain, image_search, index, intent, ranking, search
+from tessel import providers
+from tessel.plans import build as plan
 from tessel.session import scratch, table
 from tessel.sources import catalog
 from tessel.streaming import build
@@ -291,10 +292,9 @@ def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog against the queries that name something in it."""
-    asked = query_table(spark).where(F.col("query").isin("red ring", "red dress for women", "blue jeans", "men t-shirt", "analog watch", ""))
+    """The catalog against all queries of the query table."""
     chunk = F.concat(F.lit("A photo of "), F.col("name"), F.lit("."))
-    return products(spark, sf_dir).withColumn("best_chunk", chunk).crossJoin(F.broadcast(intent.parse_intent(asked)))
+    return products(spark, sf_dir).withColumn("best_chunk", chunk).crossJoin(F.broadcast(intent.parse_intent(query_table(spark))))
 
 
 def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,15 +309,74 @@ def multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "id", *[F.col(f"context.{c}") for c in ("gender_multiplier", "color_multiplier", "category_multiplier")])
 
 
-def contextual_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of a vector and the text of a query: merge, context score, blend, order, cut at the cliff."""
-    rows = search.best_chunks(*chunk_hits(spark, sf_dir)).join(products(spark, sf_dir).withColumnRenamed("id", "product_id"), "product_id")
-    asked = intent.parse_intent(query_table(spark).where(F.col("query") == "red ring")).where(~F.col("intent.is_non_fashion_query"))
-    rows = context.with_context_score(rows.crossJoin(F.broadcast(asked)))
-    blended_score = scores.blend_text(F.col("image_score"), F.col("text_score"), F.col("context.score"), F.col("context.is_disqualified"))
-    rows = rows.withColumn("score", F.round(blended_score, 4))
-    kept = ranking.cut_at_cliff(rows, "score", "text", ranking.Cliff(text_floor=0.05), ties=("seq", "product_id"))
-    return kept.select("product_id", "score", F.col("rank").cast("long").alias("rank"))
+def collections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Images and chunks from the vectors: of four in a row the first is the product's image, the others its chunks."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 4").alias("product_id"), F.col("embedding").alias("vector"))
+    image = F.col("vec_id") % 4 == 0
+    chunk = F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("chunk_text")
+    return rows.where(image).drop("vec_id"), rows.where(~image).select(F.col("vec_id").alias("point_id"), "product_id", chunk, "vector")
+
+
+def by_text(spark: SparkSession, sf_dir: str) -> contextual.Found:
+    """Every query text with the vector of its number; one of them is flagged as out of the domain."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = query_table(spark).join(vectors, "query_id").withColumn("is_out_of_domain", F.col("query_id") == 10)
+    return contextual.search_contextual(asked, *collections(spark, sf_dir), products(spark, sf_dir), rule=ranking.Cliff(text_floor=0.05))
+
+
+def by_image(spark: SparkSession, sf_dir: str) -> contextual.Found:
+    """For each id divisible by 20, the vector two places on, which is a chunk, as an image."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 2").select((F.col("vec_id") - 2).alias("query_id"), F.lit(None).cast("string").alias("query"), F.col("embedding").alias("vector"))
+    return contextual.search_contextual(asked, *collections(spark, sf_dir), products(spark, sf_dir), mode="image")
+
+
+def shown_results(found):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return found(spark, sf_dir).results.select("query_id", F.col("id").alias("product_id"), "name", "image_url", "image_score", "text_score", "best_matching_chunk", "score", F.col("rank").cast("long").alias("rank"))
+
+    return run
+
+
+def shown_gates(found):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return found(spark, sf_dir).report.drop("details")
+
+    return run
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unified search for each id divisible by 20, with the products' fields."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = image_search.unified_payload(search.search_unified_batch(points_of(spark, sf_dir), rows), products(spark, sf_dir))
+    return found.select("query_id", "product_id", F.col("rank").cast("long").alias("rank"), "name", "image_url", "gender", "articleType", "usage", "final_score", "image_score", "text_score")
+
+
+DETECTED = ("handbag", "dog", "person", "tie", "car", "cat", "chair", "umbrella", "ball", "truck")
+
+
+def image_pipeline(spark: SparkSession, sf_dir: str) -> image_search.Found:
+    """For each id divisible by 20 the mean of its vector and one three places on is the image; the label gives its box a class.
+
+    Every second image has a crop, which is the vector two places on.
+    """
+    rows = table(spark, sf_dir, "embeddings")
+    other = rows.select((F.col("vec_id") - 3).alias("vec_id"), F.col("embedding").alias("other"))
+    middle = F.zip_with(vector.doubles(F.col("embedding")), vector.doubles(F.col("other")), lambda x, y: (x + y) / 2)
+    originals = rows.where("vec_id % 20 = 0").join(other, "vec_id").select(F.col("vec_id").alias("image_id"), middle.alias("vector"))
+    crops = rows.where("vec_id % 40 = 2").select((F.col("vec_id") - 2).alias("image_id"), F.col("embedding").alias("vector"))
+    seen = F.element_at(F.array(*map(F.lit, DETECTED)), F.col("label") + 1)
+    detections = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("image_id"), (F.lit(0.5) + F.col("vec_id") % 50 / 100).alias("confidence"), seen.alias("class_name"))
+    name = F.element_at(F.array(*map(F.lit, LABELS)), F.col("vec_id").cast("int") + 1)
+    labels = rows.where(F.col("vec_id") < len(LABELS)).select(name.alias("label"), F.col("embedding").alias("vector"))
+    return image_search.search_images(points_of(spark, sf_dir), originals, crops, detections, labels)
+
+
+def image_pipeline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_pipeline(spark, sf_dir).results.select("image_id", "source", "product_id", F.col("rank").cast("long").alias("rank"), "final_score", "image_score", "title_score")
+
+
+def image_pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_pipeline(spark, sf_dir).report
 
 
 # -- index -----------------------------------------------------------------------------------------------------------
@@ -357,7 +416,32 @@ def rejected_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.ingest_summary(products(spark, sf_dir), product_chunks(spark, sf_dir).where("product_id % 2 = 0"))
+    """The catalog, of which the products with chunks about a style for a usage count as indexed."""
+    return index.ingest_summary(products(spark, sf_dir), product_chunks(spark, sf_dir).where(F.col("chunk_text").contains("designed for")))
+
+
+def pictures(rows: DataFrame, key: str) -> DataFrame:
+    """(id, image): a small picture made from the key; every seventh can't be decoded."""
+    data = F.when(F.col(key) % 7 != 0, F.unhex(F.repeat(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 6), 64)))
+    size = F.when(F.col(key) % 7 != 0, 8).otherwise(-1)
+    image = F.struct(F.lit("").alias("origin"), size.alias("height"), size.alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))
+    return rows.select(F.col(key).alias("id"), image.alias("image"))
+
+
+def index_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build the index of all products that have a picture, in two parts, and summarise it."""
+    folder = scratch(spark)
+    files = pictures(table(spark, sf_dir, "part").where("p_size % 5 <> 0"), "p_partkey")
+    ready = products(spark, sf_dir).drop("description")
+    ready = plan.prepare_products(ready.withColumn("id", F.col("id").cast("string")), files)
+    found = plan.build_index(ready, folder, providers.HashedText(), providers.ColourImage(), parts=2)
+    return found.select("success", "indexed_count", "total_products", *[F.col(f"stats.{c}").alias(c) for c in ("unified", "image", "chunks")])
+
+
+def hashed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different title with the length of its vector, to four digits."""
+    rows = products(spark, sf_dir).select("name").distinct()
+    return rows.select("name", F.round(vector.norm(providers.HashedText().encode(F.col("name"))), 4).alias("norm"))
 
 
 def popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +526,13 @@ QUERIES = {
     "best_chunk_per_product": best_chunk,
     "context_multipliers": multipliers,
     "ngram_context_score": context_scores,
-    "contextual_search": contextual_search,
+    "contextual_search": shown_results(by_text),
+    "contextual_gates": shown_gates(by_text),
+    "contextual_search_image": shown_results(by_image),
+    "contextual_gates_image": shown_gates(by_image),
+    "unified_payload": payloads,
+    "image_pipeline": image_pipeline_results,
+    "image_pipeline_report": image_pipeline_report,
     "explode_points": exploded_points,
     "upsert_latest": upserted,
     "index_stats": collection_counts,
@@ -450,6 +540,8 @@ QUERIES = {
     "semi_valid_products": valid_images,
     "anti_rejected_products": rejected_images,
     "ingest_summary": summary,
+    "index_build": index_built,
+    "title_vectors": hashed_titles,
     "catalog_popularity": popularity,
     "stream_index_counts": streamed,
     "box_selection": box_choice,

@@ -17,11 +17,7 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(oracle.ORACLE_SQL) <= set(queries.QUERIES)
 
 
-#: Left out here for time alone; the driver compares them too.
-SLOW = ("ngram_context_score",)
-
-
-@pytest.mark.parametrize("name", [n for n in oracle.ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(oracle.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     compare(spark, queries.QUERIES[name], oracle.ORACLE_SQL[name])
 

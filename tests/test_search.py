@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions import scores, vector
-from tessel.operators import chunks, context, domain, index, intent, ranking, search
+from tessel.operators import chunks, context, contextual, domain, index, intent, ranking, search
 from tessel import queries
 from tessel.plans.lexicon import Category, Lexicon
 
@@ -136,7 +136,7 @@ def test_unified_search_invariants(spark):
 def test_batch_search_equals_single_searches(spark):
     points = search.split_points(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
     asked = points.where("point_id < 6").select(F.col("point_id").alias("query_id"), F.col("vector").alias("query"))
-    found = {(r.query_id, r["rank"]): r.point_id for r in search.batch_top_hits(points, asked, 5, block=2).collect()}
+    found = {(r.query_id, r["rank"]): r.point_id for r in search.batch_top_hits(points, asked, 5, block_bytes=1024).collect()}
     for q in range(6):
         single = search.top_hits(points, asked.where(F.col("query_id") == q), 5).collect()
         assert [found[q, i] for i in range(1, 6)] == [r.point_id for r in sorted(single, key=lambda r: r["rank"])]
@@ -174,3 +174,34 @@ def test_registered_queries_take_all_rows(spark):
     for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect():
         latest[r.user_id] = max(latest.get(r.user_id, -1), r.event_id)
     assert {r.user_id: r.event_id for r in queries.QUERIES["upsert_latest"](spark, sf_dir).collect()} == latest
+
+
+def found_by(spark, queries, mode="text", **more):
+    """Contextual search over three products with vectors along the axes."""
+    unit = lambda i: [float(i == k) for k in range(3)]
+    images = spark.createDataFrame([(i + 1, unit(i)) for i in range(3)], "product_id long, vector array<double>")
+    parts = spark.createDataFrame([(1000 * (i + 1), i + 1, f"chunk of {i + 1}", unit(i)) for i in range(3)], "point_id long, product_id long, chunk_text string, vector array<double>")
+    goods = spark.createDataFrame([(1, *JEANS, None), (2, *SHIRT, "plain")], "id long, " + COLUMNS + ", name string")
+    return contextual.search_contextual(spark.createDataFrame(queries, "query_id int, query string, vector array<double>, is_out_of_domain boolean"), images, parts, goods, mode, **more)
+
+
+def test_gates_and_payload_of_contextual_search(spark):
+    asked = [(1, "blue jeans", [1.0, 0.1, 0.0], None), (2, "dog", [1.0, 0.0, 0.0], False), (3, "  ", [1.0, 0.0, 0.0], None), (4, "red dress", [1.0, 0.0, 0.0], True), (5, None, [0.0, 0.0, 1.0], None)]
+    found = found_by(spark, asked)
+    report = {r.query_id: r for r in found.report.collect()}
+    assert {k: r.reason for k, r in report.items()} == {1: None, 2: "non_fashion_query", 3: "empty_query", 4: "out_of_domain", 5: None}
+    assert "dog" in report[2].details and report[2].is_out_of_domain and not report[3].is_out_of_domain and report[1].total_candidates == 3
+    rows = sorted(found.results.collect())
+    first = {r.query_id: r for r in rows if r["rank"] == 1}
+    assert first[1].id == 1 and first[1].name == "Product #1" and first[1].display_name == JEANS[0] and first[1].image_filename == "1.jpg" and first[1].best_matching_chunk == "chunk of 1"
+    assert first[5].id == 3 and first[5].name == "Product #3" and first[5].gender == "" and first[5].ngram_score is None and report[5].kept_count == 1
+    for r in report.values():
+        assert r.kept_count + r.eliminated_count == r.total_candidates
+
+
+def test_image_floor_of_contextual_search(spark):
+    asked = [(1, None, [0.3, 0.1, 0.0], None), (2, None, [0.0, 0.9, 0.3], None)]
+    found = found_by(spark, asked, "image", eliminate_noise=False)
+    report = {r.query_id: r for r in found.report.collect()}
+    assert report[1].reason == "low_similarity_floor" and "0.30" in report[1].details and report[1].eliminated_count == 3
+    assert [(r.query_id, r.id) for r in found.results.orderBy("rank").collect()] == [(2, 2), (2, 3)] and report[2].kept_count == 2

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessel import providers
+from tessel.plans import build as plan
 from tessel.sources import catalog
 from tessel.streaming import build
 
@@ -39,3 +40,39 @@ def test_incremental_build_keeps_the_latest_rows(spark, tmp_path):
 def test_hashed_encoder_gives_unit_vectors(spark):
     rows = spark.createDataFrame([("red dress",), ("red dress",), ("blue jeans",), ("",)], "t string").select("t", providers.hashed_ngrams(F.col("t")).alias("v")).collect()
     assert rows[0].v == rows[1].v != rows[2].v and abs(sum(x * x for x in rows[0].v) - 1) < 1e-5 and not any(rows[3].v)
+
+
+def test_default_text_and_prompt_mean(spark):
+    encoder = providers.HashedText()
+    rows = spark.createDataFrame([(1, None), (2, "  "), (3, "fashion product"), (4, "red dress")], "i int, t string")
+    found = {r.i: r for r in providers.with_ensemble(rows, encoder, "t", "e").withColumn("v", encoder.encode(F.col("t"))).collect()}
+    assert found[1].v == found[2].v == found[3].v != found[4].v
+    assert all(abs(sum(x * x for x in r.e) - 1) < 1e-5 for r in found.values()) and found[4].e != found[4].v
+
+
+def test_images_that_cannot_be_read_are_grey(spark):
+    plain = lambda level: bytes([level]) * 12
+    rows = [(1, ("", 2, 2, 3, 16, plain(250))), (2, ("", -1, -1, -1, -1, None)), (3, None), (4, ("", 2, 2, 1, 0, bytes([250]) * 4)), (5, ("", 2, 2, 3, 16, plain(128)))]
+    images = spark.createDataFrame(rows, "id long, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    found = {r.id: (r.v, r.b[0].box) for r in images.select("id", providers.ColourImage().encode(F.col("image")).alias("v"), providers.WholeImage().boxes(F.col("image")).alias("b")).collect()}
+    shown = {r.id: r.s for r in images.select("id", providers.readable(F.col("image")).alias("s")).collect()}
+    assert (shown[3].width, bytes(shown[3].data)) == (224, bytes([128]) * (224 * 224 * 3)) and shown[1].data == rows[0][1][5]
+    assert found[2] == found[3] and found[2][1] == [0.0, 0.0, 224.0, 224.0] and found[2][0] == found[5][0] != found[1][0] == found[4][0]
+
+
+def test_index_build_versions_and_progress(spark, tmp_path):
+    catalog.write_sample(spark, str(tmp_path / "catalog"))
+    rows = catalog.read_catalog(spark, str(tmp_path / "catalog"))
+    ids = spark.range(1000, 1012).select("id", F.lit(None).cast("struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>").alias("image"))
+    styles = spark.createDataFrame([(1000, "A soft one to wear")], "id long, description string")
+    ready, heard, path = plan.prepare_products(rows, ids, styles), [], str(tmp_path / "index")
+    assert {r.id: r.description for r in ready.collect()}[1000] == "A soft one to wear" and ready.count() == 12
+    built = lambda p, **more: plan.build_index(p, path, providers.HashedText(), providers.ColourImage(), **more).first()
+    first = built(ready, parts=3, progress=lambda done, total: heard.append((done, total)))
+    assert first.success and (first.indexed_count, first.stats.unified, first.stats.image) == (12, 24, 12) and heard[-1] == (12, 12) and heard == sorted(heard)
+    again = built(ready.where("id < 1003").withColumn("usage", F.lit("Sports")))
+    assert again.stats == first.stats
+    assert {r.usage for r in plan.open_table(spark, path, "image").where("product_id < 1003").collect()} == {"Sports"}
+    assert built(ready.where("id < 1002"), clear_existing=True).stats.image == 2
+    none = built(ready.limit(0))
+    assert not none.success and none.error and none.stats.image == 0
