@@ -1,10 +1,10 @@
 """Blocks of documents that exchange packed arrays with sorters.
 
-Documents are dealt into blocks by a hash of the id, and names (64-bit hashes of pieces of text) to sorters by the name.
+Documents are dealt into blocks by a hash of id and text, and names (64-bit hashes of pieces of text) to sorters by the name.
 A message is one row for a pair of block and sorter and holds a packed array, so Spark shuffles few rows of many numbers.
 A block sends a name once, however often it has it: a hot piece of text costs a sorter one entry a block, and no task
-gets all its occurrences.  Blocks hold some tens of megabytes of text each; their number follows the input through
-spark.sql.shuffle.partitions.  All exchanges are Spark's, in one plan, so a lost executor's part is computed again.
+gets all its occurrences.  The bytes of the input give the number of blocks, of BLOCK_BYTES each, and that of sorters, which is
+an eighth of it; neither is below spark.sql.shuffle.partitions.  All exchanges are Spark's, in one plan, so a lost executor's part is computed again.
 """
 
 from __future__ import annotations
@@ -14,15 +14,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import pack
+from tessel.llm.common import column, field, pack, partitions
 from tessel.llm.text_arrays import U
 
 MESSAGE = "dest int, src int, kind int, data binary"
 NAMES, SHARED_IN_BLOCK = range(2)
 
 
+#: Bytes of text in a block, in expectation.
+BLOCK_BYTES = 32_000_000
+
+
+def layout(docs: DataFrame, text_col: str, blocks: int | None = None) -> tuple[int, int]:
+    """How many blocks and sorters the texts need; with ``blocks`` given, as many of each."""
+    if blocks:
+        return blocks, blocks
+    least = partitions(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length(column(docs, text_col)))).first()[0] or 0
+    return max(least, -(-int(total) // BLOCK_BYTES)), max(least, -(-int(total) // (8 * BLOCK_BYTES)))
+
+
 def block_of(blocks: int) -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    """By id and text: rows without an id, or with one that many share, are spread like others; equal rows stay together."""
+    return F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")
 
 
 def into_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int, *more: Column) -> DataFrame:
@@ -32,7 +46,7 @@ def into_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int, *more:
         .select(
             block_of(blocks),
             "id",
-            F.struct(F.col(f"row.`{id_col}`").alias(id_col)).alias("row"),
+            F.struct(field("row", id_col).alias(id_col)).alias("row"),
             F.col("text").cast("binary").alias("text"),
             *more,
         )

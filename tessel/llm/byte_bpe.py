@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import ship
+from tessel.llm.common import column, ship
 
 #: Where the letters that stand for bytes begin: no spaces, no surrogates, and nothing that a normaliser would touch.
 FIRST_LETTER = 0x100
@@ -131,16 +131,17 @@ def decode(docs: DataFrame, vocabulary: list[bytes], ids_col: str = "token_ids",
 
 def _map_column(docs: DataFrame, in_col: str, out_col: str, prepare, nothing: str | bytes) -> DataFrame:
     kept = [c for c in docs.columns if c != out_col]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out_col, T.BinaryType())])
+    plain = [f"c{i}" for i in range(len(kept) + 1)]  # mapInArrow takes columns by their names, which may have dots
+    own = docs.select(*[column(docs, c).alias(n) for c, n in zip(kept, plain, strict=False)], column(docs, in_col).alias("given"))
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField(plain[-1], T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = prepare()
         for batch in batches:
-            own = batch.column(batch.schema.get_field_index("in"))
-            made = pa.array([f(nothing if x is None else x) for x in own.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), made], [*kept, out_col])
+            made = pa.array([f(nothing if x is None else x) for x in batch.column(len(kept)).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), made], plain)
 
-    return docs.select(*[docs[f"`{c}`"] for c in kept], docs[in_col].alias("in")).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).toDF(*kept, out_col)
 
 
 def unpack(packed: str):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import ship
+from tessel.llm.common import column, ship
 from tessel.llm.text_arrays import U, field_of, has_letter, letter_table, mix, parts_of, runs
 
 BUCKETS = 1 << 16
@@ -159,12 +159,12 @@ def fit(
     """
     spark = docs.sparkSession
     ship(spark)
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.select(lang_col).count()
+    labelled = docs.where(column(docs, lang_col).isNotNull() & column(docs, text_col).isNotNull())
+    n = labelled.count()
     parts = 1 << 20
     below = parts if n <= sample else max(1, parts * sample // n)
-    picked = F.pmod(F.xxhash64(sample_key, F.octet_length(text_col)), F.lit(parts)) < below
-    rows = labelled.where(picked).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    picked = F.pmod(F.xxhash64(column(docs, sample_key), F.octet_length(column(docs, text_col))), F.lit(parts)) < below
+    rows = labelled.where(picked).select(column(docs, lang_col).cast("string").alias("lang"), column(docs, text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # buckets x languages
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("lang", T.StringType())])
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))

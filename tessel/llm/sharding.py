@@ -12,7 +12,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import content_key, keep, pack, partitions
+from tessel.llm.common import content_key, field, keep, pack, partitions
 
 #: Bounds what the driver schedules: at most shards * UNITS large groups and UNITS pools.
 UNITS = 8192
@@ -43,7 +43,7 @@ def shard_documents(
     k1, k2 = content_key("text")
     rows = keep(
         pack(docs, id_col, text_col).select(
-            F.struct(F.col(f"row.{id_col}").alias(id_col)).alias("row"),
+            F.struct(field("row", id_col).alias(id_col)).alias("row"),
             "id",
             (F.octet_length("text") + 1).cast("long").alias("size"),
             F.crc32("text").alias("text_crc32"),
