@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import content_key, keep, ship
+from tessel.llm.common import column, content_key, keep, ship
 
 #: Rows that one graph takes: some 30 MB at 64 dimensions.  Small tables are cut into SHARDS all the same, for parallel work.
 SHARD_ROWS = 65_536
@@ -212,6 +212,9 @@ def search_graph(vectors: np.ndarray, layers: list[Layer], queries: np.ndarray,
     return ids[:, :k], scores[:, :k]
 
 
+#: Scores in single precision that differ by no more than this share count as tied.
+TIED = 1e-5
+
 INDEX = "shard int, top_norm double, keys binary, vectors binary, levels array<struct<nodes:binary, links:binary>>"
 
 
@@ -224,10 +227,10 @@ def usable(vector: Column) -> Column:
 def distinct_vectors(rows: DataFrame, id_col: str, vector_col: str, ids: int) -> DataFrame:
     """(k1, k2, vector, ids): each different usable vector with its ``ids`` smallest ids.
 
-    Vectors of another length than the most frequent one take no part.
+    Vectors of another length than the most frequent one take no part: there is no inner product with them.
     """
-    vector = rows[vector_col].cast("array<float>")
-    clean = rows.select(rows[id_col].cast("long").alias("id"), vector.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    vector = column(rows, vector_col).cast("array<double>")
+    clean = rows.select(column(rows, id_col).cast("long").alias("id"), vector.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     length = clean.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     clean = clean.where(F.size("vector") == (length["n"] if length else 0))
     keyed = clean.select("id", "vector", *content_key("vector"))
@@ -244,7 +247,7 @@ def build_index(distinct: DataFrame, shard_rows: int = SHARD_ROWS, shards: int =
     """
     spark = distinct.sparkSession
     ship(spark)
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    norm = dot("vector", "vector")
     n, top = distinct.agg(F.count("*"), F.max(norm)).first()
     count = max(shards, -(-n // shard_rows))
     top = top or 0.0
@@ -279,10 +282,9 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, size: int = BEAM_
     """(q1, q2, c1, c2, near): for each query vector (k1, k2, vector) the best ``k`` found in every shard."""
     spark = index.sparkSession
     ship(spark)
-    shards = index.select("shard")  # a few numbers; each query goes to all of them
-    loaded = index.select("shard", F.lit(0).alias("kind"), "keys", "vectors", "levels", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), F.lit(None).cast("array<float>").alias("vector"))
+    loaded = index.select("shard", F.lit(0).alias("kind"), "keys", "vectors", "levels", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), F.lit(None).cast("array<double>").alias("vector"))
     count = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    asked = queries.select(F.explode(F.array(*[F.lit(i) for i in sorted(r[0] for r in shards.collect())]).cast("array<int>")).alias("shard"), F.lit(1).alias("kind"), *[F.lit(None).cast(index.schema[c].dataType).alias(c) for c in ("keys", "vectors", "levels")], "k1", "k2", "vector")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"), F.lit(1).alias("kind"), *[F.lit(None).cast(index.schema[c].dataType).alias(c) for c in ("keys", "vectors", "levels")], "k1", "k2", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graphs = {}
@@ -314,7 +316,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, size: int = BEAM_
 
 
 def dot(a: str, b: str) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    products = F.zip_with(a, b, lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
@@ -327,12 +329,14 @@ def nearest(rows: DataFrame, query_ids: Column, k: int = 20, id_col: str = "vec_
     """
     distinct = keep(distinct_vectors(rows, id_col, vector_col, k + 1))
     index = keep(build_index(distinct))
-    asking = rows.where(query_ids & usable(rows[vector_col].cast("array<float>"))).select(
-        rows[id_col].cast("long").alias("query_id"), *content_key(rows[vector_col].cast("array<float>"))
-    ).distinct()
+    vector = column(rows, vector_col).cast("array<double>")
+    asking = rows.where(query_ids & usable(vector)).select(column(rows, id_col).cast("long").alias("query_id"), *content_key(vector)).distinct()
     wanted = distinct.join(asking.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "vector")
-    best = Window.partitionBy("q1", "q2").orderBy(F.desc("near"), "c1", "c2")
-    found = search_index(index, wanted, k + 4, size).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 12)
+    own = Window.partitionBy("q1", "q2")
+    found = search_index(index, wanted, k + 4, size).withColumn("nth", F.row_number().over(own.orderBy(F.desc("near"), "c1", "c2")))
+    found = found.withColumn("last", F.max(F.when(F.col("nth") == k + 1, F.col("near"))).over(own))
+    # single precision orders near scores by chance, so all that are about as good as the last one are scored again
+    found = found.where((F.col("nth") <= k + 1) | (F.col("near") >= F.col("last") - TIED * F.abs("last")))
     theirs = distinct.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("vector").alias("candidate"), "ids")
     own = wanted.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), "vector")
     scored = found.join(theirs, ["c1", "c2"]).join(own, ["q1", "q2"]).select("q1", "q2", dot("vector", "candidate").alias("score"), F.explode("ids").alias("id"))
