@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import ship
+from tessel.llm.common import column, field, ship
 from tessel.llm.text_arrays import BLANK, LOWER, U, field_of, parts_of, run_hashes, runs
 
 #: Words of a passage; the last one of a document has fewer.
 PASSAGE = 64
 #: Labelled documents that are learnt from, in expectation.
 SAMPLE = 4_000
+#: Bytes of text that are learnt from at most, and the buckets of hashes by which they are counted.
+SAMPLE_BYTES, BUCKETS = 30_000_000, 256
 #: Bytes that a task turns into arrays at once; a longer text comes alone.
 BYTES = 500_000
 FEATURES = 256 + 5
@@ -137,27 +139,39 @@ def fit_network(
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, **network
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, **network
 ) -> Network:
-    """Learn from the labelled documents; ``sample`` bounds, in expectation, how many of them: the smallest hashes of the id.
+    """Learn from a bounded sample of the labelled documents: the smallest hashes of the id.
 
-    Rows without a label or an id, and labels without a document, are left out; repeated labels count as often as they
-    occur.  Without any labelled document the network is as it was initialised.
+    ``sample`` bounds how many of them, in expectation, and ``sample_bytes`` how much text: the driver gets some three
+    times as many bytes of features.  Hash buckets that would pass the bound are left out.
+
+    Rows without a label or an id, and labels without a document, are left out; a label that is repeated counts once.
+    Without any labelled document the network is as it was initialised.
     """
     spark = docs.sparkSession
     ship(spark)
-    marked = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("label"))
+    marked = labels.where(column(labels, label_col).isNotNull() & column(labels, id_col).isNotNull()).select(column(labels, id_col).alias("id"), column(labels, label_col).cast("double").alias("label")).distinct()
     n, parts = marked.count(), 1 << 20
     below = parts if n <= sample else max(1, parts * sample // n)
-    picked = marked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < below)  # some SAMPLE rows, whatever the size of the table
-    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    place = F.pmod(F.xxhash64("id"), F.lit(parts))
+    picked = marked.where(place < below)  # some SAMPLE rows, whatever the size of the table
+    texts = docs.select(column(docs, id_col).alias("id"), F.coalesce(column(docs, text_col), F.lit("")).alias("text"))
+    known = texts.join(F.broadcast(picked), "id").withColumn("bucket", (place * BUCKETS / below).cast("int"))
+    sizes = known.groupBy("bucket").agg(F.sum(F.octet_length("text"))).sort("bucket").collect()  # BUCKETS rows
+    total, taken = 0, []
+    for bucket, size in sizes:
+        if total + size <= sample_bytes:
+            total += size
+            taken.append(bucket)
+    known = known.where(F.col("bucket").isin(taken)) if len(taken) < len(sizes) else known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [passages_of([x])[0].tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["id", "label", "bag"])
 
-    rows = texts.join(F.broadcast(picked), "id").select("id", "label", "text").mapInArrow(run, "id long, label double, bag binary").toArrow()
+    rows = known.select("id", "label", "text").mapInArrow(run, "id long, label double, bag binary").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("label", "ascending")])
     bags = [np.frombuffer(b, "f4").reshape(-1, FEATURES) for b in rows["bag"].to_pylist()]
     return fit_network(bags, rows["label"].to_numpy(), **network)
@@ -171,7 +185,7 @@ def predict(docs: DataFrame, network: Network, text_col: str = "text") -> DataFr
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(network)  # a few thousand numbers
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +204,4 @@ KEEP = 0.7
 
 def drop_low_quality(docs: DataFrame, network: Network, text_col: str = "text", least: float = KEEP) -> DataFrame:
     """The rows whose score is at least ``least``, with the same columns."""
-    return predict(docs, network, text_col).where(F.col("score") >= least).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return predict(docs, network, text_col).where(F.col("score") >= least).select(*[field("row", c).alias(c) for c in docs.columns])
