@@ -1,7 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the word windows of the benchmark, one scan of each text.
 
 The benchmark is broadcast only below a checked size.  A larger one is cut into blocks, each with an automaton of its
-own, and a document's hits in all blocks are put together before anything is decided.
+own; then texts are scanned for windows whose hashes are in a broadcast array, and the few documents that may have one are
+written and meet the automata, block after block.  So a large benchmark takes two scans of the texts, not one for each block.
 """
 
 from __future__ import annotations
@@ -9,18 +10,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessel.llm.common import content_key, ship
-from tessel.llm.text_arrays import field_of
+from tessel.llm.common import column, field, keep, ship
+from tessel.llm.text_arrays import U, field_of, mix, run_hashes, runs
 
 #: Words are runs of digits, letters and non-ASCII bytes; everything else becomes a blank, and A-Z become a-z.
 NORMAL = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-#: Bytes of benchmark text that one automaton takes, so that it stays below some 200 MB in a worker.
+#: Bytes of benchmark text that one automaton takes; measured, it has 600 MB in a worker for a million of different words.
 BLOCK_BYTES = 1_000_000
+#: Windows whose hashes are broadcast at once (8 bytes each); more take one scan of the texts for each so many.
+HASHED_WINDOWS = 8_000_000
 
-SCAN = "n_words long, hits array<struct<start:int, length:int, item:string>>, spans array<struct<start:int, stop:int>>"
+SCAN = (
+    T.StructField("n_words", T.LongType()),
+    T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("item", T.StringType())]))),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))),
+)
+HIT = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string())]))
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -50,8 +61,6 @@ def build(items: list[tuple[str | None, str]], size: int):
 
 def scan_text(text: str, automaton) -> tuple[int, list[dict], list[dict]]:
     """Number of words; for each window found and each item its first word; its place in the text as character offsets."""
-    import numpy as np
-
     words = words_of(text)
     if not words or automaton is None:
         return len(words), [], []
@@ -73,33 +82,114 @@ def scan_text(text: str, automaton) -> tuple[int, list[dict], list[dict]]:
     return len(words), hits, spans
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in pieces that an automaton takes: by a hash, so many that each stays below the bound."""
-    rows = benchmark.select(benchmark[item_col].cast("string").alias("item"), F.coalesce(benchmark[text_col], F.lit("")).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = 1 + 2 * total // block_bytes if total > block_bytes else 1
-    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
+def window_hashes(texts: list[str], lengths: list[int], items: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each run of so many words; with ``items``, of the windows of items with windows of that size."""
+    data = np.frombuffer(b" ".join(t.encode().translate(NORMAL) for t in texts), "u1")
+    starts, stops = runs(data != 32)
+    words = run_hashes(data, starts, stops)
+    first = np.searchsorted(starts, np.cumsum([0] + [len(t.encode()) + 1 for t in texts]))
+    count = np.diff(first)
+    owner = np.repeat(np.arange(len(texts)), count)
+    end = np.repeat(first[1:], count)
+    out = [(np.zeros(0, "i8"), np.zeros(0, U))]
+    for n in lengths:
+        at = np.flatnonzero(np.arange(len(words)) + n <= end)
+        if items is not None:
+            at = at[(count[owner[at]] >= n) if n == items else (count[owner[at]] == n)]
+        h = np.full(len(at), U(n))
+        for i in range(n):
+            h = mix(h * U(0x9E3779B97F4A7C15) + words[at + i] + U(1))
+        out.append((owner[at], h))
+    own, hashes = zip(*out, strict=True)
+    return np.concatenate(own), np.concatenate(hashes)
+
+
+def _mapped(rows: DataFrame, made: tuple[T.StructField, ...], f) -> DataFrame:
+    """All columns and those that ``f`` makes (as arrays) from the first, a struct."""
+    kept = len(rows.columns)
+    schema = T.StructType([*rows.schema.fields, *made])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = f()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), *own(batch.column(0))], schema.names)
 
-def _scan(docs: DataFrame, text_col: str, automaton_of: DataFrame, size: int) -> DataFrame:
-    spark = docs.sparkSession
-    items = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in automaton_of.collect()])  # below BLOCK_BYTES
+    return rows.mapInArrow(run, schema)
 
-    kept = len(docs.columns)  # the first is the row
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:kept]) + ", " + SCAN
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build(items.value, size)
-        hit = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string())]))
-        span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+def _scan(rows: DataFrame, text_col: str, items: DataFrame, size: int) -> DataFrame:
+    """Hits of the windows of some items, in the texts of the rows."""
+    listed = rows.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in items.collect()])  # below BLOCK_BYTES, see items_in_blocks
+
+    def prepared():
+        automaton = build(listed.value, size)
+
+        def scan(own: pa.StructArray) -> list[pa.Array]:
+            found = [scan_text(x, automaton) for x in field_of(own, text_col).to_pylist()]
+            return [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), HIT, SPAN))]
+
+        return scan
+
+    return _mapped(rows, SCAN, prepared)
+
+
+def _suspects(rows: DataFrame, text_col: str, items: DataFrame, size: int) -> DataFrame:
+    """All rows with ``n_words`` and whether they may have a window of the items: none that has one is passed over."""
+    spark = rows.sparkSession
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scan_text(x, automaton) for x in field_of(batch.column(0), text_col).to_pylist()]
-            n, hits, spans = ([x[i] for x in found] for i in range(3))
-            names = [*batch.schema.names[:kept], "n_words", "hits", "spans"]
-            made = [pa.array(n, pa.int64()), pa.array(hits, hit), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), *made], names)
+            texts = batch.column(1).to_pylist()
+            lengths = sorted({min(size, len(words_of(t))) for t in texts} - {0})
+            for n in lengths:
+                h = np.unique(window_hashes(texts, [n], size)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, "i4")), pa.array(h.view("i8"))], ["n", "h"])
+
+    windows = keep(items.mapInArrow(hashed, "n int, h long").distinct())
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``size``
+    parts = max(1, -(-windows.count() // HASHED_WINDOWS))
+    made = (T.StructField("n_words", T.LongType()), T.StructField("suspect", T.BooleanType()))
+    names = rows.columns
+    for i in range(parts):
+        own = windows.where(F.pmod("h", F.lit(parts)) == i).select("h").toArrow()["h"].to_numpy().view(U)  # HASHED_WINDOWS in expectation
+        known = spark.sparkContext.broadcast(np.sort(own))
+
+        def prepared(known=known):
+            def look(own: pa.StructArray) -> list[pa.Array]:
+                n, suspect = [], []
+                for t in field_of(own, text_col).to_pylist():
+                    h = window_hashes([t], lengths)[1]
+                    at = np.minimum(np.searchsorted(known.value, h), max(0, len(known.value) - 1))
+                    n.append(len(words_of(t)))
+                    suspect.append(bool(len(known.value) and (known.value[at] == h).any()))
+                return [pa.array(n, pa.int64()), pa.array(suspect, pa.bool_())]
+
+            return look
+
+        looked = _mapped(rows, made, prepared)
+        rows = looked if not i else looked.select(*names, "n_words", (F.col("suspect") | F.col("before")).alias("suspect"))
+        if i + 1 < parts:
+            rows = rows.select(*names, F.col("suspect").alias("before"))
+    return rows
+
+
+def items_in_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+    """The benchmark in pieces of at most ``block_bytes`` of text, by running totals; one longer item is a piece of its own."""
+    rows = benchmark.select(column(benchmark, item_col).cast("string").alias("item"), F.coalesce(column(benchmark, text_col), F.lit("")).alias("text"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if total <= block_bytes:
+        return [rows]
+    # so many hash pieces that each is below half the bound in expectation; one that isn't is cut in two again
+    def cut(piece: DataFrame, seed: int, n: int) -> list[DataFrame]:
+        part = F.pmod(F.xxhash64(F.lit(seed), "item", "text"), F.lit(n))
+        sizes = piece.groupBy(part.alias("part")).agg(F.sum(F.octet_length("text")).alias("size"), F.count_distinct("item", "text").alias("items")).collect()
+        out = []
+        for r in sizes:
+            own = piece.where(part == r["part"])
+            out += [own] if r["size"] <= block_bytes or r["items"] == 1 else cut(own, seed + 1, 2)
+        return out
 
-    return docs.mapInArrow(run, schema)
+    return cut(keep(rows.distinct()), 0, 1 + 2 * total // block_bytes)
 
 
 def n_hit(hits: Column) -> Column:
@@ -134,25 +224,25 @@ def find_contamination(
     words but are not listed; ids that occur twice are listed once.  An empty benchmark leaves all clean.
     """
     ship(docs.sparkSession)
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    rows = docs.select(row)
-    blocks = blocks_of(benchmark, item_col, item_text_col, block_bytes)
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"))
+    blocks = items_in_blocks(benchmark, item_col, item_text_col, block_bytes)
     if len(blocks) == 1:
         found = _scan(rows, text_col, blocks[0], size)
     else:
-        keys = rows.select("row", *content_key("row"))
-        scans = [_scan(keys, text_col, b, size) for b in blocks]
-        found = scans[0].withColumn("block", F.lit(0))
-        for i, s in enumerate(scans[1:], 1):
-            found = found.unionByName(s.withColumn("block", F.lit(i)))
-        # equal rows are put together: each of them has one row of every block
-        found = found.groupBy("k1", "k2").agg(
-            F.first("row").alias("row"),
-            F.first("n_words").alias("n_words"),
-            F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.count_if(F.col("block") == 0).cast("int").alias("copies"),
-        ).withColumn("copies", F.explode(F.array_repeat("copies", F.col("copies"))))
+        items = blocks[0]
+        for b in blocks[1:]:
+            items = items.unionByName(b)
+        looked = _suspects(rows, text_col, items, size)
+        suspects = keep(looked.where("suspect").select("row", F.monotonically_increasing_id().alias("nth")))
+        hits = None
+        for b in blocks:  # hits alone are put together; texts are not shuffled
+            own = _scan(suspects, text_col, b, size).where(F.size("hits") > 0).select("nth", "hits", "spans")
+            hits = own if hits is None else hits.unionByName(own)
+        hits = keep(hits).groupBy("nth").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+        none = [F.array().cast(x.dataType).alias(x.name) for x in SCAN[1:]]
+        seen = suspects.join(hits, "nth", "left").select("row", *[F.coalesce(x.name, F.array().cast(x.dataType)).alias(x.name) for x in SCAN[1:]])
+        count = _mapped(seen, SCAN[:1], lambda: lambda own: [pa.array([len(words_of(t)) for t in field_of(own, text_col).to_pylist()], pa.int64())])
+        found = looked.where(~F.col("suspect")).select("row", "n_words", *none).unionByName(count.select("row", "n_words", "hits", "spans"))
     hit = n_hit(F.col("hits"))
     items = F.array_sort(F.array_distinct(F.filter(F.col("hits")["item"], lambda x: x.isNotNull())))
     return found.select(
@@ -163,4 +253,4 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **rules) -> DataFrame:
     """The rows that are not contaminated, with the same columns."""
     found = find_contamination(docs, benchmark, **rules)
-    return found.where(~F.col("contaminated")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return found.where(~F.col("contaminated")).select(*[field("row", c).alias(c) for c in docs.columns])
