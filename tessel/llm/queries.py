@@ -117,25 +117,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op1_substring_dedup": r"""
-WITH parted AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?][ \t-\r]|\n)([^ \t-\r\x01])', '\1' || chr(1) || '\2', 'g') AS p FROM documents),
-listed AS (
-  SELECT doc_id, string_split(regexp_replace(p, '([.!?][ \t-\r]|\n)([^ \t-\r\x01])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM parted),
-keyed AS (
-  SELECT doc_id, s, list_transform(s, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k FROM listed),
-spans AS (
-  SELECT doc_id, unnest(range(1, greatest(len(k) - 2, 1) + 1)) AS i,
-         unnest(list_transform(range(1, greatest(len(k) - 2, 1) + 1), lambda x: array_to_string(k[x : x + 2], chr(1)))) AS span,
-         unnest(list_transform(range(1, greatest(len(k) - 2, 1) + 1), lambda x: length(array_to_string(k[x : x + 2], '')))) AS chars
-  FROM keyed),
-ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS nth FROM spans WHERE chars >= 40),
-covered AS (SELECT DISTINCT doc_id, j FROM ranked, unnest(range(i, i + 3)) AS t(j) WHERE nth > 1),
-sentences AS (SELECT doc_id, j, s[j] AS sentence FROM keyed, unnest(range(1, len(s) + 1)) AS t(j))
-SELECT s.doc_id, count(*) AS n_sentences, count(c.j) AS n_removed,
-       sha256(coalesce(string_agg(sentence, '' ORDER BY s.j) FILTER (WHERE c.j IS NULL), '')) AS kept_sha256
-FROM sentences s LEFT JOIN covered c ON c.doc_id = s.doc_id AND c.j = s.j GROUP BY s.doc_id""",
     "op2_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

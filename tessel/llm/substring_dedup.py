@@ -2,9 +2,11 @@
 
 Every run of three consecutive sentences, or of more where those are short, is hashed, the hashes meet globally, and all
 occurrences but the first lose their sentences.  A sentence or two of fifty words are such a run as well.  Passages of fifty
-words that hold no run of sentences, because they begin and end within long ones, are met by pieces: of any five pieces of
-46 words that follow each other, the one with the least hash stands for all.  Texts are shuffled once, into blocks; what meets globally is packed hashes (see blocks.py): first 32 bits of
-each run, to leave out those that occur once, then the full hash and the first place in the block of the others.
+words that hold no run of sentences, because they begin and end within long ones, are spans too.  They are met by pieces:
+of the five pieces of 46 words in one, that with the least hash stands for it, so fewer names are exchanged.
+
+Texts are shuffled once, into blocks; what meets globally is packed hashes (see blocks.py): first 32 bits of each run and
+piece, to leave out those that occur once, then two full hashes and the first place in the block of the others.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessel.llm.blocks import MESSAGE, Block, into_blocks, is_shared, messages, place, send_unique, sort_names
-from tessel.llm.common import partitions, ship
+from tessel.llm.blocks import MESSAGE, Block, heads_of, into_blocks, layout, is_shared, messages, place, send_unique, sort_names
+from tessel.llm.common import ship
 from tessel.llm.text_arrays import BLANK, LOWER, U, mix, run_hashes, slices
 
 SPAN = 3
-MIN_CHARS = 40
+MIN_CHARS = 100
 STRETCH = 50
 PIECE = 46
 CHUNK = 2_000_000
@@ -49,10 +51,10 @@ class Sentences(Block):
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
 
     def spans(self, span: int, min_chars: int) -> tuple[np.ndarray, ...]:
-        """(document row, place within it, first byte, byte after the last, reach, name, check) of each run and piece.
+        """(document row, place within it, first byte, byte after the last, reach, name, check) of each run.
 
-        Places are counted in sentences for runs and in words for pieces; one that begins less than ``reach`` after
-        another in the same document is no second occurrence.
+        Places are counted in sentences for runs and in words for passages; one that begins less than ``reach`` after
+        another in the same document is no second occurrence.  The words are taken down for ``pieces`` and ``passages``.
 
         From each sentence on, and back from each, the shortest run that is long enough: so each sentence of a longer one
         is in a run within it, also a short sentence at its end.  A document that isn't long enough is one run.
@@ -104,9 +106,8 @@ class Sentences(Block):
             name[ok] = mix(name[ok] * U(0x9E3779B97F4A7C15) + h + U(1))
             check[ok] = mix((check[ok] ^ h) * U(0xD6E8FEB86659FD93) + U(3))
         doc = self.doc[at]
-        run = (doc, at - self.first[doc], self.begin[at], stop[at + width - 1], np.ones(len(at), "i8"), name, check)
-        piece = self.pieces(words, word_hashes, word_at, total, span, min_chars)
-        return tuple(np.concatenate(x) for x in zip(run, piece, strict=True))
+        self.word_begin, self.word_hash, self.word_at, self.chars = words, word_hashes, word_at, total
+        return doc, at - self.first[doc], self.begin[at], stop[at + width - 1], np.ones(len(at), "i8"), name, check
 
     def words(self, part: slice) -> tuple[np.ndarray, np.ndarray]:
         """Where the words of some documents begin and end, from the first of them on.
@@ -129,41 +130,52 @@ class Sentences(Block):
         begin, marks = np.flatnonzero(begins), np.flatnonzero(begins | blank)
         return begin, np.append(marks, len(own))[np.searchsorted(marks, begin) + 1]
 
-    def pieces(self, words: np.ndarray, hashes: np.ndarray, word_at: np.ndarray, total: np.ndarray, span: int, min_chars: int) -> tuple[np.ndarray, ...]:
-        """Pieces for stretches of STRETCH words without a run of whole sentences; what ``spans`` says of each."""
-        first = np.searchsorted(words, np.append(self.starts, len(self.data)))
-        n = np.diff(first)
-        names, checks, found = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, "i8")]
+    def pieces(self, span: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, name of the piece) of each passage of STRETCH words without a run of whole sentences; after ``spans``."""
+        self.word_first = np.searchsorted(self.word_begin, np.append(self.starts, len(self.data)))
+        n = np.diff(self.word_first)
+        found, names = [np.zeros(0, "i8")], [np.zeros(0, U)]
         for part in slices(n.tolist(), CHUNK):
-            a, b = first[part.start], first[part.stop]
-            own = hashes[a:b]
+            a, b = self.word_first[part.start], self.word_first[part.stop]
+            own = self.word_hash[a:b]
             g = np.arange(b - a)
-            g = g[a + g + STRETCH <= np.repeat(first[1:][part], n[part])]
-            one, other = np.searchsorted(word_at, a + g, "right"), np.searchsorted(word_at, a + g + STRETCH) - 1
-            g = g[(other - one < span) | (total[other] - total[one] < min_chars)]
+            g = g[a + g + STRETCH <= np.repeat(self.word_first[1:][part], n[part])]
+            one, other = np.searchsorted(self.word_at, a + g), np.searchsorted(self.word_at, a + g + STRETCH, "right") - 1
+            g = g[(other - one < span) | (self.chars[other] - self.chars[np.minimum(one, other)] < min_chars)]
             if not len(g):
                 continue
             h = run_hashes(own, np.arange(len(own) - PIECE + 1), np.arange(PIECE, len(own) + 1))
             at = g
             for i in range(1, STRETCH - PIECE + 1):
                 at = np.where(h[g + i] < h[at], g + i, at)
-            at = np.unique(at)
+            found.append(a + g)
             names.append(mix(h[at] ^ U(0xA5A5A5A5A5A5A5A5)))
-            checks.append(run_hashes(mix(own ^ U(0x5851F42D4C957F2D)), at, at + PIECE))
-            found.append(a + at)
-        at = np.concatenate(found)
-        doc = np.repeat(np.arange(len(n)), n)[at]
-        end = np.where(at + PIECE < first[1:][doc], np.append(words, 0)[np.minimum(at + PIECE, len(words))], self.stops[doc])
-        return doc, at - first[doc], words[at], end, np.full(len(at), PIECE), np.concatenate(names), np.concatenate(checks)
+        return np.concatenate(found), np.concatenate(names)
+
+    def passages(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What ``spans`` says of each run, for passages of STRETCH words from these words on."""
+        names, checks = [np.zeros(0, U)], [np.zeros(0, U)]
+        for part in np.array_split(at, max(1, len(at) // 100_000)):
+            if len(part):
+                low, high = part[0], part[-1] + STRETCH
+                own = self.word_hash[low:high]
+                names.append(mix(run_hashes(own, part - low, part - low + STRETCH) ^ U(0x1B873593CC9E2D51)))
+                checks.append(run_hashes(mix(own ^ U(0x5851F42D4C957F2D)), part - low, part - low + STRETCH))
+        doc = np.searchsorted(self.word_first, at, "right") - 1
+        after = np.minimum(at + STRETCH, len(self.word_begin))
+        end = np.where(at + STRETCH < self.word_first[1:][doc], np.append(self.word_begin, 0)[after], self.stops[doc])
+        return doc, at - self.word_first[doc], self.word_begin[at], end, np.full(len(at), STRETCH), np.concatenate(names), np.concatenate(checks)
 
 
 def send_records(docs: pa.Table, told: pa.Table, parts: int, span: int, min_chars: int) -> pa.Table:
     if not docs.num_rows or not told.num_rows:
         return messages([])
     block, number = Sentences(docs), docs["block"][0].as_py()
-    found = block.spans(span, min_chars)
-    some = is_shared(found[5], told, parts)
-    doc, pos, begin, end, reach, name, check = (x[some] for x in found)
+    runs = block.spans(span, min_chars)
+    some = is_shared(runs[5], told, parts)
+    at, piece = block.pieces(span, min_chars)
+    passages = block.passages(at[is_shared(piece, told, parts)])
+    doc, pos, begin, end, reach, name, check = (np.concatenate([x[some], y]) for x, y in zip(runs, passages, strict=True))
     ids, sorter = block.ids[doc], place(name, parts)
     order = np.lexsort((pos, ids, check, name, sorter))
     pos, begin, end, reach, ids, name, check, sorter = (x[order] for x in (pos, begin, end, reach, ids, name, check, sorter))
@@ -191,8 +203,9 @@ def sort_records(table: pa.Table) -> pa.Table:
     order = np.lexsort((record["pos"], record["doc"], record["check"], record["name"]))
     own = record[order]
     new = np.append(True, (own["name"][1:] != own["name"][:-1]) | (own["check"][1:] != own["check"][:-1]))
+    heads = own[new][np.cumsum(new) - 1]
     first = np.zeros(len(record), "u1")
-    first[order[new]] = 1
+    first[order] = (own["doc"] == heads["doc"]) & (own["pos"] == heads["pos"])  # rows that share an id may share the place
     bounds = np.cumsum([0] + [len(d) for _, d in sent])
     out += [(s, sorter, FOUND, first[a:b].tobytes()) for (s, _), a, b in zip(sent, bounds, bounds[1:], strict=False)]
     return messages(out)
@@ -238,8 +251,9 @@ def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A sentence begins at a character that isn't blank, right after a line break, or after one of .!? and one blank (ASCII
     white space); together, the sentences are the text.  A span is ``span`` consecutive sentences (all of them in a shorter
     document), and as many more as it takes to have ``min_chars`` code points, or fewer that have STRETCH words; sentences are compared without surrounding
-    blanks and with A-Z in lower case.  A document of fewer code points in all is one span, which only its copies have.  A passage of STRETCH words without a span inside it
-    (blanks aside) loses its words as well, but for at most STRETCH - PIECE at each end.  The first occurrence is that of the smallest id, then of the smallest position, and all
+    blanks and with A-Z in lower case.  A document of fewer code points in all is one span, which only its copies have.  STRETCH
+    consecutive words with no ``span`` whole sentences of ``min_chars`` among them are a span, too; a word is what stands
+    between blanks, or one character of a script without them.  The first occurrence is that of the smallest id, then of the smallest position, and all
     others lose their text, in the same document too.  ``kept`` is the UTF-8 text of what is left.
 
     Null and empty texts: one empty sentence, nothing removed.  Null ids: one document that comes last.  Rows with equal
@@ -247,13 +261,16 @@ def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table: empty result.
     """
     ship(docs.sparkSession)
-    n = blocks or partitions(docs.sparkSession)
-    texts = into_blocks(docs, id_col, text_col, n)
+    blocks, n = layout(docs, text_col, blocks)
+    texts = into_blocks(docs, id_col, text_col, blocks)
 
     def send(table: pa.Table) -> pa.Table:
         block = Sentences(table)
-        name = block.spans(span, min_chars)[5]
-        return send_unique(name, np.arange(len(name)), table["block"][0].as_py(), n)
+        runs = block.spans(span, min_chars)[5]
+        at, piece = block.pieces(span, min_chars)
+        first = heads_of(piece)  # neighbours share their piece: it counts once, as long as it is the same one
+        places = np.concatenate([np.arange(len(runs)), len(runs) + at[first]])
+        return send_unique(np.concatenate([runs, piece[first]]), places, table["block"][0].as_py(), n)
 
     names = texts.groupBy("block").applyInArrow(send, MESSAGE)
     shared = names.groupBy("dest").applyInArrow(sort_names, MESSAGE)
