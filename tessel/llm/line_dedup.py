@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import content_key, keep, pack
+from tessel.llm.common import content_key, field, join_counted, keep, pack
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -53,14 +53,16 @@ def mark_repeated_lines(
             "id", "t1", "t2", F.inline(F.filter(F.transform("lines", described), lambda x: x["chars"] >= min_chars))
         ).drop("chars")
     )
-    repeated = (
-        lines.groupBy("k1", "k2")
-        .agg(F.count_distinct("id").alias("docs"), F.min("id").alias("first_id"))
+    # each document's lines are counted first: a line that a document has often is one row in the shuffle by line
+    repeated = keep(
+        lines.groupBy("k1", "k2", "id").agg(F.count("*").alias("lines"))
+        .groupBy("k1", "k2")
+        .agg(F.count("*").alias("docs"), F.min("id").alias("first_id"), F.sum("lines").alias("n"))
         .where(F.col("docs") >= min_docs)
-        .select("k1", "k2", "first_id")
+        .select("k1", "k2", "first_id", "n")
     )
     dropped = (
-        lines.join(repeated, ["k1", "k2"])
+        join_counted(lines, repeated, ["k1", "k2"])
         .where(F.col("id") != F.col("first_id"))
         .groupBy("id", "t1", "t2")
         .agg(F.collect_set("pos").alias("dropped"))
@@ -82,7 +84,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = mark_repeated_lines(docs, id_col, text_col, **rules).withColumn("kept", kept_text())
     return marked.select(
         *[
-            F.when(F.col(f"row.`{c}`").isNotNull(), F.col("kept")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
+            F.when(field("row", c).isNotNull(), F.col("kept")).alias(c) if c == text_col else field("row", c).alias(c)
             for c in docs.columns
         ]
     )
