@@ -11,9 +11,11 @@ differ by a factor of NUM / DEN at most.
 3. So each set may leave out ``slack`` words and still meets every set that it links with, as long as all leave out by
    one order: words without a shingle first, then the most frequent.  Hot words, such as those of a passage that
    a third of all documents share, drop out like that.
-4. Sets that share a word left in are candidates.  Connected candidates come together in tasks, in chunks of bounded
-   size, where parity bits of the sets (again a lower bound) leave few pairs to be compared by their members.  Only links
-   that join two components leave a task.
+4. Sets that share a word left in are candidates.  Each is compared by its members with the smallest one of each of its
+   words first, and what links forms components.  Words whose sets are in one component by then are done.
+5. Components that the others connect are compared with each other, in chunks of bounded size, where parity bits (again a
+   lower bound) leave few pairs to be compared by members.  Only links that join two components leave a task.  A word of
+   two sets is always done by then, so a chain of accidental pairs connects nothing.
 
 Equal sets are one class from the start.  Texts are shuffled once, into blocks (see blocks.py).
 """
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.blocks import MESSAGE, Block, heads_of, into_blocks, messages, short
-from tessel.llm.common import keep, pack, partitions, ship
+from tessel.llm.blocks import MESSAGE, Block, heads_of, into_blocks, layout, messages, short
+from tessel.llm.common import field, join_counted, keep, pack, ship
 from tessel.llm.components import connected_components
 from tessel.llm.line_dedup import BLANKS
 from tessel.llm.shingles import Sets, parity_bits, set_hashes, shingle_sets
@@ -39,8 +41,10 @@ SIZE, NUM, DEN = 4, 85, 100
 SLACK = 0.35
 #: Bytes of text, and shingles, that go through the array operations at once.
 CHUNK = 500_000
-#: Shingles of a chunk of candidates that a task compares with another; a larger group is cut into chunks.
-CHUNK_SHINGLES = 3_000_000
+#: Shingles and sets of a chunk of candidates that a task compares with another; a larger group is cut into chunks.
+CHUNK_SHINGLES, CHUNK_SETS = 1_000_000, 512
+#: Sets that a task compares with the smallest one of their word.
+STAR = 128
 ENTRY = np.dtype([("name", "<u4"), ("times", "<u2")])
 TOLD = np.dtype([("name", "<u4"), ("times", "<u4")])
 
@@ -221,9 +225,13 @@ def candidates(docs: pa.Table, told: pa.Table, parts: int, size: int, num: int,
     )
 
 
-def links_among(ids: list[int], sets: list[np.ndarray], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join components: of all pairs if all are on one side, else of pairs across the two sides."""
-    root = list(range(len(ids)))
+def links_among(ids: list[int], sets: list[np.ndarray], side: list[int], known: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join components: of all pairs if all are on one side, else of pairs across the two sides.
+
+    ``known`` tells the components that are known before.
+    """
+    place = {c: i for i, c in reversed(list(enumerate(known)))}
+    root = [place[c] for c in known]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -234,6 +242,8 @@ def links_among(ids: list[int], sets: list[np.ndarray], side: list[int], num: in
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sets, ids, sizes, side_of = [sets[i] for i in order], [ids[i] for i in order], sizes[order], np.array(side)[order]
+    back = np.argsort(order)
+    root = [int(back[root[i]]) for i in order]
     across = len(set(side)) > 1
     out = []
     reach = np.searchsorted(sizes, sizes * den // num, side="right")  # sets of up to that size can link with a smaller one
@@ -264,23 +274,89 @@ def links_among(ids: list[int], sets: list[np.ndarray], side: list[int], num: in
     return out
 
 
-def verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Candidates arrive sorted by group; a group is compared when the next one begins."""
+def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if den * small < num * large:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return den * common >= num * (len(a) + len(b) - common)
 
-    def compared(key, rows) -> pa.RecordBatch:
-        pairs = links_among([r[0] for r in rows], [np.frombuffer(r[2], "<u8") for r in rows], [r[1] for r in rows], num, den)
+
+def verify_stars(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) for each set that links with its hub; rows are (hub, salt, kind, cls, members), the hub's own (kind 0) first."""
+    key = middle = None
+    for batch in batches:
+        out = []
+        for hub, salt, kind, cls, members in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            own = np.frombuffer(members, "<u8")
+            if kind == 0:
+                key, middle = (hub, salt), own
+            elif (hub, salt) == key and similar(middle, own, num, den):
+                out.append((hub, cls))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def verify_chunks(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Candidates (group, i, j, cls, component, side, members) arrive sorted by group; one is compared when the next begins."""
+
+    def compared(rows) -> pa.RecordBatch:
+        cls, component, side, members = zip(*rows, strict=True)
+        pairs = links_among(list(cls), [np.frombuffer(m, "<u8") for m in members], list(side), list(component), num, den)
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     key, rows = None, []
     for batch in batches:
-        for g, i, j, rep, side, members in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-            if (g, i, j) != key:
+        for group, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            if (group, i, j) != key:
                 if len(rows) > 1:
-                    yield compared(key, rows)
-                key, rows = (g, i, j), []
-            rows.append((rep, side, members))
+                    yield compared(rows)
+                key, rows = (group, i, j), []
+            rows.append(row)
     if len(rows) > 1:
-        yield compared(key, rows)
+        yield compared(rows)
+
+
+def star_links(active: DataFrame, met: DataFrame, hubs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links between classes and the smallest class of one of their words; a hub's set goes to as many tasks as its star needs."""
+    near = keep(join_counted(met, hubs, ["word"]).where(F.col("cls") != F.col("hub")).select("cls", "hub").distinct())
+    stars = keep(near.groupBy("hub").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / STAR).cast("int")))
+    salt = F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")
+    points = join_counted(near, stars, ["hub"]).select("cls", "hub", salt.alias("salt")).join(active.select("cls", "members"), "cls").select("hub", "salt", F.lit(1).alias("kind"), "cls", "members")
+    middles = active.select(F.col("cls").alias("hub"), "members").join(stars, "hub").select(
+        "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("cls"), "members"
+    )
+    met_there = points.unionByName(middles).repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+    return met_there.mapInArrow(lambda b: verify_stars(b, num, den), "a long, b long")
+
+
+def rest_links(active: DataFrame, met: DataFrame, hubs: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links between classes that share a word of three or more classes and are in different known components.
+
+    Known components that such words connect are compared together, so a class is sent once, however many words it has.
+    """
+    members = join_counted(met, hubs.where("n > 2"), ["word"]).select("word", "cls").join(known, F.col("cls") == F.col("node"), "left")
+    members = keep(members.select("word", "cls", F.coalesce("component", "cls").alias("component")))
+    open_ = keep(members.groupBy("word").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high"))
+    left = keep(join_counted(members, open_, ["word"]).select("cls", "component", "low").distinct())
+    groups = connected_components(left.select(F.col("component").alias("a"), F.col("low").alias("b")))
+    rows = left.select("cls", "component").distinct().join(groups.select(F.col("node").alias("component"), F.col("component").alias("group")), "component")
+    rows = keep(rows.join(active.select("cls", "n_shingles"), "cls"))
+    chunks = F.greatest(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_SETS)).cast("int")
+    sizes = keep(rows.groupBy("group").agg(chunks.alias("chunks"), F.count("*").alias("n")))
+    own, other = F.col("own"), F.col("other")
+    placed = (
+        join_counted(rows.drop("n_shingles"), sizes, ["group"])
+        .join(active.select("cls", "members"), "cls")
+        .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(
+            "group", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "cls", "component",
+            F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side"), "members",
+        )
+    )
+    keys = ["group", "i", "j"]
+    return placed.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(lambda b: verify_chunks(b, num, den), "a long, b long")
 
 
 def link_documents(
@@ -295,31 +371,18 @@ def link_documents(
     """
     spark = docs.sparkSession
     ship(spark)
-    n = blocks or partitions(spark)
-    texts = into_blocks(docs, id_col, text_col, n).select("block", "id", F.xxhash64("id", F.col("text").cast("string")).alias("rid"), "text")
+    blocks, n = layout(docs, text_col, blocks)
+    texts = into_blocks(docs, id_col, text_col, blocks).select("block", "id", F.xxhash64("id", F.col("text").cast("string")).alias("rid"), "text")
     names = texts.groupBy("block").applyInArrow(lambda t: send_names(t, n, size, num, den), MESSAGE)
     told = names.groupBy("dest").applyInArrow(sort_names, MESSAGE)
     rows = keep(texts.groupBy("block").cogroup(told.groupBy("dest")).applyInArrow(lambda t, m: candidates(t, m, n, size, num, den), CLASSES))
 
     # a class is a node of the graph by the first hash of its set
     active = keep(rows.where(F.col("members").isNotNull()).dropDuplicates(["c1", "c2"]).select(F.col("c1").alias("cls"), "n_shingles", "words", "members"))
-    met = active.select("cls", F.explode("words").alias("word"))
-    hubs = met.groupBy("word").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = met.join(hubs, "word").where(F.col("cls") != F.col("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    nodes = active.join(connected_components(near), F.col("cls") == F.col("node")).select("component", "cls", "n_shingles", "members")
-    chunks = nodes.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).cast("int").alias("chunks"))
-    own, other = F.col("own"), F.col("other")
-    placed = (
-        nodes.join(chunks, "component")
-        .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            "component", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "cls",
-            F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side"), "members",
-        )
-    )
-    keys = ["component", "i", "j"]
-    links = placed.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(lambda b: verify(b, num, den), "a long, b long")
+    met = active.select("cls", F.explode("words").alias("word"))  # read again from the written table each time
+    hubs = keep(met.groupBy("word").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    first = keep(star_links(active, met, hubs, n, num, den))
+    links = first.unionByName(rest_links(active, met, hubs, connected_components(first), n, num, den))
     linked = connected_components(links)
     sized = rows.where("n_shingles > 0").groupBy("c1").agg(F.min("id").alias("id"))
     grouped = keep(sized.join(linked, F.col("c1") == F.col("node"), "left").select("c1", "id", F.coalesce("component", "c1").alias("group")))
@@ -340,4 +403,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     packed = pack(docs, id_col, text_col).withColumn("rid", F.xxhash64("id", "text"))
     wordless = F.btrim("text", F.lit(BLANKS)) == ""
     chosen = packed.where(~wordless).join(stays.select("id", "rid"), ["id", "rid"], "left_semi").dropDuplicates(["id", "rid"])
-    return chosen.select("row").unionByName(packed.where(wordless).select("row")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return chosen.select("row").unionByName(packed.where(wordless).select("row")).select(*[field("row", c).alias(c) for c in docs.columns])
