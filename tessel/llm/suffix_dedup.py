@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.blocks import MESSAGE, NAMES, Block, block_of, heads_of, into_blocks, is_shared, messages, place, send_unique, sort_names
-from tessel.llm.common import content_key, pack, partitions, ship
+from tessel.llm.blocks import MESSAGE, NAMES, Block, block_of, heads_of, into_blocks, layout, is_shared, messages, place, send_unique, sort_names
+from tessel.llm.common import content_key, join_counted, keep, pack, ship
 from tessel.llm.text_arrays import U, mix, runs, slices
 
 LENGTH = 50
@@ -244,16 +244,15 @@ def cut_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts: no bytes, nothing removed.  Documents of fewer than 50 bytes stay whole.  A null id counts as
     one document that comes last.  Rows that share an id are one document to each other and don't match; each keeps its
-    own row.  Empty table: empty result.  ``blocks`` defaults to spark.sql.shuffle.partitions; a block should have some
-    tens of megabytes of text.
+    own row.  Empty table: empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    n = blocks or partitions(spark)
-    texts = into_blocks(docs, id_col, text_col, n, F.xxhash64("text").alias("t1"))
-    keys = pack(docs, id_col, text_col).select(block_of(n), "id", *[k.alias(c) for k, c in zip(content_key("text"), ("t1", "t2"), strict=True)])
-    firsts = keys.groupBy("t1", "t2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = keys.join(firsts, ["t1", "t2"]).where(F.col("id") != F.col("first_id")).select("block", "id", "t1").distinct()
+    blocks, n = layout(docs, text_col, blocks)
+    texts = into_blocks(docs, id_col, text_col, blocks, F.xxhash64("text").alias("t1"))
+    keys = keep(pack(docs, id_col, text_col).select(block_of(blocks), "id", *[k.alias(c) for k, c in zip(content_key("text"), ("t1", "t2"), strict=True)]))
+    firsts = keep(keys.groupBy("t1", "t2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
+    copies = join_counted(keys, firsts, ["t1", "t2"]).where(F.col("id") != F.col("first_id")).select("block", "id", "t1").distinct()
     names = texts.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(lambda t, c: send_names(t, c, n), MESSAGE)
     shared = names.groupBy("dest").applyInArrow(sort_names, MESSAGE)
     records = texts.groupBy("block").cogroup(shared.groupBy("dest")).applyInArrow(lambda t, m: send_records(t, m, n), MESSAGE)
