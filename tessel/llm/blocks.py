@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import column, field, pack, partitions
-from tessel.llm.text_arrays import U
+from tessel.llm.text_arrays import U, trim
 
 MESSAGE = "dest int, src int, kind int, data binary"
 NAMES, SHARED_IN_BLOCK = range(2)
@@ -58,6 +58,7 @@ class Block:
     """The documents of a block, in one array of bytes."""
 
     def __init__(self, table: pa.Table) -> None:
+        trim()
         texts, ids = table["text"].to_pylist(), table["id"].to_pylist()
         # rows come from a shuffle in any order, and messages speak of places in the block: one order for every pass
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.llm.common import column, ship
+from tessel.llm.text_arrays import trim
 
 #: Where the letters that stand for bytes begin: no spaces, no surrogates, and nothing that a normaliser would touch.
 FIRST_LETTER = 0x100
@@ -136,6 +137,7 @@ def _map_column(docs: DataFrame, in_col: str, out_col: str, prepare, nothing: st
     schema = T.StructType([*own.schema.fields[:-1], T.StructField(plain[-1], T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         f = prepare()
         for batch in batches:
             made = pa.array([f(nothing if x is None else x) for x in batch.column(len(kept)).to_pylist()], pa.binary())

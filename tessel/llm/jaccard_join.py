@@ -34,7 +34,7 @@ from tessel.llm.common import field, join_counted, keep, pack, ship
 from tessel.llm.components import connected_components
 from tessel.llm.line_dedup import BLANKS
 from tessel.llm.shingles import Sets, parity_bits, set_hashes, shingle_sets
-from tessel.llm.text_arrays import U, mix, slices
+from tessel.llm.text_arrays import U, mix, slices, trim
 
 SIZE, NUM, DEN = 4, 85, 100
 #: Words of a sketch beyond d + 1, as a share of d + 1.
@@ -72,6 +72,7 @@ class Classes(Block):
     """The different shingle sets of a block, and the rows that have each."""
 
     def __init__(self, table: pa.Table, size: int) -> None:
+        trim()
         texts = table["text"].to_pylist()
         self.ids = table["id"].to_numpy()
         parts = [shingle_sets(texts[p], size) for p in slices([len(x) for x in texts], CHUNK)]
@@ -284,6 +285,7 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 def verify_stars(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """(a, b) for each set that links with its hub; rows are (hub, salt, kind, cls, members), the hub's own (kind 0) first."""
+    trim()
     key = middle = None
     for batch in batches:
         out = []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +23,14 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def trim() -> None:
+    """Give memory that finished work left in this Python worker back to the system: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
