@@ -23,7 +23,7 @@ from tessel.llm.text_arrays import trim
 FIRST_LETTER = 0x100
 LETTERS = {b: FIRST_LETTER + b for b in range(256)}
 #: Pre-tokens whose ids a task remembers at most; it forgets all of them then, which changes no result.
-MEMORY = 150_000
+MEMORY = 75_000
 
 
 def read_ranks(path: str) -> list[bytes]:
