@@ -11,19 +11,23 @@ import base64
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.llm.common import column, ship
-from tessel.llm.text_arrays import trim
+from tessel.llm.text_arrays import slices, trim
 
 #: Where the letters that stand for bytes begin: no spaces, no surrogates, and nothing that a normaliser would touch.
 FIRST_LETTER = 0x100
 LETTERS = {b: FIRST_LETTER + b for b in range(256)}
 #: Pre-tokens whose ids a task remembers at most; it forgets all of them then, which changes no result.
-MEMORY = 75_000
+MEMORY = 150_000
+#: Bytes of texts that a task takes at once, or one longer text.
+PART = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -91,14 +95,29 @@ class Encoder:
         for (w, _), ids in zip(rest, self.pieces.encode([x for _, x in rest], out_type=int, num_threads=1), strict=True):
             self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
 
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what several of them hold is encoded once."""
+        split = [self.split(t) for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if new and len(self.known) > MEMORY:
+            self.known.clear()
+            new = words
+        self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+
     def __call__(self, text: str) -> bytes:
-        words = self.split(text)
-        if new := set(words).difference(self.known):
-            if len(self.known) > MEMORY:
-                self.known.clear()
-                new = set(words)
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
+        return self.all([text])[0]
+
+
+class Decoder:
+    """The bytes that packed ids stand for."""
+
+    def __init__(self, vocabulary: list[bytes]) -> None:
+        self.piece = vocabulary.__getitem__
+
+    def __call__(self, ids: bytes) -> bytes:
+        return b"".join(map(self.piece, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encode(
@@ -109,41 +128,76 @@ def encode(
     No special tokens.  Null and empty texts: no ids (empty binary).  Rows are independent of each other, so repeated
     rows and repeated or null ids are as they are; an existing column named ``out_col`` is replaced.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast((model_bytes(vocabulary), vocabulary, pattern))  # bounded by the vocabulary
-    return _map_column(docs, text_col, out_col, lambda: Encoder(*shared.value), "")
+    shared = _shared(docs, (model_bytes(vocabulary), vocabulary, pattern))
+
+    def prepared():
+        encoder = Encoder(*shared.value)
+        return lambda texts: (encoder.all(texts),)
+
+    return _map_column(docs, text_col, [out_col], prepared, docs.columns)
 
 
 def decode(docs: DataFrame, vocabulary: list[bytes], ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """All columns and ``out_col``: the bytes that the packed ids stand for.  Null ids: none."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = _shared(docs, vocabulary)
+
+    def prepared():
+        decoder = Decoder(shared.value)
+        return lambda packed: ([decoder(x) for x in packed],)
+
+    return _map_column(docs, ids_col, [out_col], prepared, docs.columns)
+
+
+def round_trip(
+    docs: DataFrame, vocabulary: list[bytes], pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded"
+) -> DataFrame:
+    """All columns but the text, ``ids_col`` as from ``encode``, and ``out_col``: the bytes that ``decode`` makes of these ids.
+
+    Both happen in one pass: a task needs one Python worker where ``encode`` and ``decode`` in a row need two at once.
+    """
+    shared = _shared(docs, (model_bytes(vocabulary), vocabulary, pattern))
 
     def prepared():
-        import numpy as np
+        encoder, decoder = Encoder(*shared.value), Decoder(shared.value[1])
+
+        def both(texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+            packed = encoder.all(texts)
+            return packed, [decoder(x) for x in packed]
+
+        return both
 
-        pieces = shared.value.__getitem__
-        return lambda ids: b"".join(map(pieces, np.frombuffer(ids, "<u4").tolist()))
+    return _map_column(docs, text_col, [ids_col, out_col], prepared, [c for c in docs.columns if c != text_col])
 
-    return _map_column(docs, ids_col, out_col, prepared, b"")
 
+def _shared(docs: DataFrame, value):
+    """A broadcast variable for Python workers; the vocabulary bounds it."""
+    ship(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(value)
 
-def _map_column(docs: DataFrame, in_col: str, out_col: str, prepare, nothing: str | bytes) -> DataFrame:
-    kept = [c for c in docs.columns if c != out_col]
-    plain = [f"c{i}" for i in range(len(kept) + 1)]  # mapInArrow takes columns by their names, which may have dots
-    own = docs.select(*[column(docs, c).alias(n) for c, n in zip(kept, plain, strict=False)], column(docs, in_col).alias("given"))
-    schema = T.StructType([*own.schema.fields[:-1], T.StructField(plain[-1], T.BinaryType())])
+
+def _map_column(docs: DataFrame, in_col: str, out_cols: list[str], prepare, columns: list[str]) -> DataFrame:
+    """``columns`` but for those named like new ones, and new binary columns made of the values of one, PART bytes at a time."""
+    kept = [c for c in columns if c not in out_cols]
+    plain = [f"c{i}" for i in range(len(kept) + len(out_cols))]  # mapInArrow takes columns by their names, which may have dots
+    own = docs.select(*[column(docs, c).alias(n) for c, n in zip(kept, plain, strict=False)])
+    given = kept.index(in_col) if in_col in kept else len(kept)
+    schema = T.StructType([*own.schema.fields, *(T.StructField(n, T.BinaryType()) for n in plain[len(kept) :])])
+    if given == len(kept):
+        own = docs.select(*[column(docs, c).alias(n) for c, n in zip(kept, plain, strict=False)], column(docs, in_col).alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         f = prepare()
         for batch in batches:
-            made = pa.array([f(nothing if x is None else x) for x in batch.column(len(kept)).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), made], plain)
-
-    return own.mapInArrow(run, schema).toDF(*kept, out_col)
+            values = batch.column(given)
+            for part in slices(pc.fill_null(pc.binary_length(values), 0).to_pylist(), PART):
+                size = part.stop - part.start
+                nothing = b"" if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) else ""
+                made = f([nothing if x is None else x for x in values.slice(part.start, size).to_pylist()])
+                same = [batch.column(i).slice(part.start, size) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(x, pa.binary()) for x in made)], plain)
+
+    return own.mapInArrow(run, schema).toDF(*kept, *out_cols)
 
 
 def unpack(packed: str):

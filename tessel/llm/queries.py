@@ -33,8 +33,7 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).drop("text")
-    return byte_bpe.decode(encoded, vocabulary).select(
+    return byte_bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

@@ -35,6 +35,7 @@ def operators(spark):
     return {
         "spans": lambda d, i, t: substring_dedup.cut_repeated_spans(d, i, t),
         "lines": lambda d, i, t: line_dedup.drop_repeated_lines(d, i, t),
+        "round trip": lambda d, i, t: byte_bpe.round_trip(d, vocabulary(), public_tokenizers.PATTERN, t),
         "bpe": lambda d, i, t: byte_bpe.decode(byte_bpe.encode(d, vocabulary(), public_tokenizers.PATTERN, text_col=t), vocabulary()),
         "shards": lambda d, i, t: sharding.shard_documents(d, 8, i, t),
         "language": lambda d, i, t: language.predict(d, language.fit(d.withColumn("lang", F.lit("en")), t, sample_key=i), t),
@@ -46,7 +47,7 @@ def operators(spark):
     }
 
 
-@pytest.mark.parametrize("name", ["spans", "lines", "bpe", "shards", "language", "quality", "bytes", "contamination", "clean", "links"])
+@pytest.mark.parametrize("name", ["spans", "lines", "bpe", "round trip", "shards", "language", "quality", "bytes", "contamination", "clean", "links"])
 def test_odd_columns_dotted_names_and_empty_tables(spark, name):
     f, table = operators(spark)[name], odd_table(spark)
     assert f(table, "doc_id", "text").count() == table.count()

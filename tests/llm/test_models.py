@@ -29,6 +29,20 @@ def test_token_ids_are_those_of_the_library(spark):
     for r in out:
         ids = known.encode_ordinary(r.text or "")
         assert bytes(r.token_ids) == struct.pack(f"<{len(ids)}I", *ids) and r.ids == ids and bytes(r.decoded) == (r.text or "").encode()
+    both = byte_bpe.round_trip(rows.withColumnRenamed("text", "a text"), vocabulary, public_tokenizers.PATTERN, "a text")
+    assert both.columns == ["doc_id", "token_ids", "decoded"]
+    facts = lambda rows: sorted((r.doc_id or -1, bytes(r.token_ids), bytes(r.decoded)) for r in rows)
+    assert facts(both.collect()) == facts(out)
+
+
+def test_forgotten_words_and_small_parts_change_no_id(spark, monkeypatch):
+    vocabulary = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    model = byte_bpe.model_bytes(vocabulary)
+    texts = [t for _, t in corpus(4, 30, 10)] + ["", "x" * 5000]
+    plain = [byte_bpe.Encoder(model, vocabulary, public_tokenizers.PATTERN)(t) for t in texts]
+    monkeypatch.setattr(byte_bpe, "MEMORY", 5)
+    encoder = byte_bpe.Encoder(model, vocabulary, public_tokenizers.PATTERN)
+    assert [x for i in range(0, len(texts), 7) for x in encoder.all(texts[i : i + 7])] == plain
 
 
 def test_ranks_with_gaps_are_refused(tmp_path):
