@@ -41,8 +41,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, little-endian unsigned 32-bit) and the text that they decode to."""
     vocabulary = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN).drop("text")
-    return byte_bpe.decode(ids, vocabulary).select(
+    return byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN).select(
         "doc_id",
         "lang",
         "source",
