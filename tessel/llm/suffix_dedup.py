@@ -1,7 +1,7 @@
 """Suffix dedup: bytes inside a string of 50 bytes that also starts in an earlier document go.
 
-Names of a sparse set of strings, in place of prefix doubling with sorted ranks over all suffixes (not built, its cost not
-measured): only sampled positions are named, and the sample loses no match: of the 19 positions at which a 32-byte prefix fits into
+Names of a sparse set of strings, in place of prefix doubling with sorted ranks over all suffixes, which shuffles some 80
+times the input (suffix_ranks.py): only sampled positions are named, and the sample loses no match: of the 19 positions at which a 32-byte prefix fits into
 a 50-byte string, the one with the smallest fingerprint is always in it, and equal strings choose the same one.
 
 Later copies of a whole text are cut by a hash of the text and take no part: the first copy has all their strings.
