@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, byte_bpe, decontaminate, jaccard_join, language, line_dedup, quality, sharding, substring_dedup, suffix_dedup
+from tessel.llm import ann, byte_bpe, decontaminate, filter_audit, jaccard_join, language, line_dedup, quality, sharding, substring_dedup, suffix_dedup
 from tessel.llm.common import LAST_ID, table
 
 
@@ -102,6 +102,10 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_substring_dedup": spans,
     "op2_line_dedup": line,
@@ -113,6 +117,7 @@ QUERIES = {
     "op8_suffix_dedup": bytes_cut,
     "op9_decontamination": contamination,
     "op10_jaccard_join": components,
+    "op13_filter_audit": filters,
 }
 
 ORACLE_SQL = {
@@ -197,4 +202,39 @@ either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (SELECT DISTINCT a AS doc_id, a AS seen FROM either UNION SELECT r.doc_id, l.b FROM reached r JOIN either l ON l.a = r.seen)
 SELECT z.doc_id, n AS n_shingles, least(z.doc_id, coalesce(min(seen), z.doc_id)) AS component_id
 FROM sizes z LEFT JOIN reached r ON r.doc_id = z.doc_id GROUP BY z.doc_id, n""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM texts GROUP BY t),
+flagged AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM texts JOIN firsts USING (t) LEFT JOIN flagged USING (doc_id)),
+kinds AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, fails),
+growing AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || f FROM growing, unnest(['A', 'B', 'C', 'D', 'E']) AS l(f) WHERE NOT contains(o, f)),
+steps AS (SELECT o, k, substr(o, k, 1) AS f, substr(o, 1, k - 1) AS done FROM growing, range(1, 6) AS r(k) WHERE length(o) = 5),
+cases AS (
+  SELECT part, o, k, n, good, toxic, contains(fails, f) AS hit, fails = f AS alone,
+         done <> '' AND translate(fails, done, '') <> fails AS gone, length(fails) AS m
+  FROM steps, kinds)
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step,
+  CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT hit), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND hit), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (WHERE gone AND hit), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (WHERE alone), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (WHERE NOT gone AND hit), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (WHERE NOT gone AND hit), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * (120 // greatest(m, 1))) FILTER (WHERE hit), 0) AS BIGINT) AS shapley
+FROM cases GROUP BY part, o, k""",
 }
