@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, byte_bpe, decontaminate, filter_audit, jaccard_join, language, line_dedup, quality, sharding, substring_dedup, suffix_dedup
+from tessel.llm import ann, byte_bpe, decontaminate, filter_audit, jaccard_join, language, line_dedup, quality, sharding, substring_dedup, suffix_dedup, token_alignment
 from tessel.llm.common import LAST_ID, table
 
 
@@ -102,6 +104,13 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level, pieces = (Path(public_tokenizers.path(name)).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_alignment.align_documents(docs, byte_level, public_tokenizers.PATTERN, pieces)
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -117,6 +126,7 @@ QUERIES = {
     "op8_suffix_dedup": bytes_cut,
     "op9_decontamination": contamination,
     "op10_jaccard_join": components,
+    "op12_token_alignment": alignment,
     "op13_filter_audit": filters,
 }
 
