@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, byte_bpe, decontaminate, filter_audit, jaccard_join, language, line_dedup, quality, sharding, substring_dedup, suffix_dedup, token_alignment
+from tessel.llm import ann, byte_bpe, decontaminate, filter_audit, jaccard_join, language, line_dedup, quality, sharding, substring_dedup, suffix_dedup, token_alignment, toxicity
 from tessel.llm.common import LAST_ID, table
 
 
@@ -104,6 +104,17 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.predict(docs, model).select(
+        "row.doc_id",
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"),
+    )
+
+
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte_level, pieces = (Path(public_tokenizers.path(name)).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -126,6 +137,7 @@ QUERIES = {
     "op8_suffix_dedup": bytes_cut,
     "op9_decontamination": contamination,
     "op10_jaccard_join": components,
+    "op11_toxicity": toxic,
     "op12_token_alignment": alignment,
     "op13_filter_audit": filters,
 }

@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,15 +45,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:stop] for each run; equal runs have equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, U)
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+def run_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of starts and stops: 64-bit hashes of data[start:stop]; equal runs have equal hashes wherever they stand."""
+    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(U))
+    return lambda starts, stops: mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(U))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:stop] for each run."""
+    return run_hasher(data)(starts, stops) if len(starts) else np.zeros(0, U)
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,5 +93,11 @@ def letter_table() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
 
 
+def same_length_lower(text: str) -> str:
+    """Lower case, letter by letter where a few letters would become two."""
+    lowered = text.lower()
+    return lowered if len(lowered) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
