@@ -36,3 +36,11 @@ def test_the_rest_works_without_the_training_data_part(tmp_path, also):
     code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()), 'pipeline' in e.queries(), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.stdout.split() == [str(len(queries.QUERIES)), "False", "False", str(len(oracle.ORACLE_SQL))], out.stderr
+
+
+@pytest.mark.parametrize("blocked", ["public_tokenizers", "numpy.linalg._no_such_part", "corpus_pipeline"])
+def test_the_rest_works_if_the_training_data_part_cannot_be_imported(blocked):
+    """A dependency of the training-data part is missing: the other queries are there, and so are its own if only the pipeline fails."""
+    code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; q = e.queries(); print(len([n for n in q if not n.startswith('op') and n != 'pipeline']), 'pipeline' in q, len(e.oracle_sql()) >= {len(oracle.ORACLE_SQL)})"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert out.stdout.split() == [str(len(queries.QUERIES)), str(blocked.startswith("numpy")), "True"], out.stderr
