@@ -35,6 +35,8 @@ SAMPLE = 20_000
 RIDGE = 4.0
 #: Bytes of text that a task turns into arrays at once; a longer text comes alone.
 PART = 500_000
+#: Up to so many labels are sent to all tasks, at some 30 bytes each; more of them meet the texts in a shuffle.
+BROADCAST_LABELS = 2_000_000
 #: From this score on a document counts as toxic.
 TOXIC = 0.5
 
@@ -201,7 +203,7 @@ def fit(
     marked = labels.where(column(labels, label_col).isNotNull() & column(labels, id_col).isNotNull())
     marked = marked.select(column(labels, id_col).alias("id"), (column(labels, label_col) == 1).cast("int").alias("label")).distinct()
     texts = docs.select(column(docs, id_col).alias("id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
-    known = texts.join(marked, "id")
+    known = texts.join(F.broadcast(marked) if marked.count() <= BROADCAST_LABELS else marked, "id")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n, total = sizes.get(1, 0), sum(sizes.values())
     if not n or n == total:
