@@ -15,7 +15,7 @@ from itertools import groupby
 
 import numpy as np
 
-from tessel.llm.text_arrays import U, letter_table, mix, runs, same_length_lower
+from tessel.llm.text_arrays import MIX, U, letter_table, mix, runs, same_length_lower
 
 #: Letters that a sign may stand for.
 LEET = {
@@ -34,6 +34,7 @@ BUCKETS = 1 << 18
 #: Weight of a shorter context in counts, and how many letters are thought possible.
 BACKOFF, ALPHABET = 4.0, 400
 END, START = 0, 1
+MASK = 2**64 - 1
 BLANKS = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
@@ -139,6 +140,7 @@ class CharModel:
 
     counts: np.ndarray  # ORDER x BUCKETS
     known: dict = field(default_factory=dict)
+    spans: Decoder | None = None
 
     def __post_init__(self) -> None:
         self.counts = self.counts.copy()
@@ -149,13 +151,20 @@ class CharModel:
 
     @staticmethod
     def bucket(last_first: tuple) -> int:
-        return int(gram_hash([np.array([x], U) for x in last_first])[0])
+        """``gram_hash`` of one gram, with plain integers."""
+        h = len(last_first)
+        for x in last_first:
+            h = ((h << 21) ^ h ^ x) & MASK
+            h = (h ^ (h >> 32)) * MIX & MASK
+            h = (h ^ (h >> 32)) * MIX & MASK
+            h ^= h >> 32
+        return h % BUCKETS
 
     def cost(self, before: tuple, letter: int) -> float:
         """Negative log probability of ``letter`` after ``before``, the last one first."""
         key = (letter, *before)
         if (found := self.known.get(key)) is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             p = 1 / ALPHABET
             for k in range(1, ORDER + 1):
@@ -164,6 +173,12 @@ class CharModel:
             found = self.known[key] = -math.log(p)
         return found
 
+    def decoder(self) -> Decoder:
+        """One decoder for all tasks of a worker that have this model."""
+        if self.spans is None:
+            self.spans = Decoder(self)
+        return self.spans
+
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
     """What each run of equal signs may stand for; a blank stands for the end of a word."""

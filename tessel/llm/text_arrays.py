@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+MIX = 0xD6E8FEB86659FD93
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 2**64)
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -33,8 +34,8 @@ def trim() -> None:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
-    h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> U(32))) * U(MIX)
+    h = (h ^ (h >> U(32))) * U(MIX)
     return h ^ (h >> U(32))
 
 

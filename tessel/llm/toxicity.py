@@ -80,9 +80,9 @@ def bag_of(texts: list[str], decoder: Decoder, spans: list[list[dict]] | None =
 
 @dataclass
 class Model:
-    """The character model's counts, the terms (sorted hashes) and their weights per rate."""
+    """The character model, the terms (sorted hashes) and their weights per rate."""
 
-    grams: np.ndarray
+    chars: CharModel
     terms: np.ndarray
     weights: np.ndarray
     bias: float
@@ -132,11 +132,11 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def count_documents(known: DataFrame, grams: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
     """(term, n): how many of the documents (text) hold each term, or each of ``only`` (sorted).  Tasks count first."""
-    shared = known.sparkSession.sparkContext.broadcast((grams, only))  # buckets and candidates: bounded
+    shared = known.sparkSession.sparkContext.broadcast((CharModel(grams), only))  # buckets and candidates: bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, only = shared.value
-        decoder = Decoder(CharModel(grams))
+        model, only = shared.value
+        decoder = model.decoder()
         terms, numbers, held = [], [], 0
 
         def summed() -> pa.RecordBatch:
@@ -207,20 +207,20 @@ def fit(
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n, total = sizes.get(1, 0), sum(sizes.values())
     if not n or n == total:
-        return Model(grams, np.zeros(0, U), np.zeros(0), 0.0)
+        return Model(CharModel(grams), np.zeros(0, U), np.zeros(0), 0.0)
     held = count_documents(known.where("label = 1"), grams).where(F.col("n") >= LEAST)
     held = held.orderBy(F.desc("n"), "term").limit(CANDIDATES).toArrow()
     candidates, k = held["term"].to_numpy().view(U), held["n"].to_numpy()
     order = np.argsort(candidates)
     candidates, k = candidates[order], k[order]
     if not len(candidates):
-        return Model(grams, np.zeros(0, U), np.zeros(0), float(np.log(n / (total - n))))
+        return Model(CharModel(grams), np.zeros(0, U), np.zeros(0), float(np.log(n / (total - n))))
     others = count_documents(known.where("label = 0"), grams, candidates).toArrow()
     m = k.copy()
     m[np.searchsorted(candidates, others["term"].to_numpy().view(U))] += others["n"].to_numpy()
     telling = np.where(k * total > m * n, g_squared(k, n, m, total), 0)  # held more often with label 1
     best = np.sort(np.lexsort((candidates, -telling))[:terms])
-    model = Model(grams, candidates[best], np.zeros(len(best)), 0.0)
+    model = Model(CharModel(grams), candidates[best], np.zeros(len(best)), 0.0)
     parts = 1 << 20
     below = parts if total <= sample else max(1, parts * sample // total)
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < below)
@@ -234,8 +234,7 @@ def term_rates(known: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     shared = known.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        decoder = Decoder(CharModel(own.grams))
+        own, decoder = shared.value, shared.value.chars.decoder()
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, at, rate = own.rates(bag_of([text], decoder))
@@ -263,8 +262,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        own = shared.value
-        decoder = Decoder(CharModel(own.grams))
+        own, decoder = shared.value, shared.value.chars.decoder()
         for batch in batches:
             scores, spans = [], []
             for texts in parts_of(field_of(batch.column(0), text_col), PART):

@@ -117,7 +117,7 @@ def test_spelled_over_texts_are_scored_as_what_they_say(spark):
 def test_document_counts_are_those_of_a_plain_count(spark):
     rows = documents(spark, n=60)
     grams = counts_of([r.text for r in rows.collect()])
-    decoder = noisy_channel.Decoder(noisy_channel.CharModel(grams))
+    decoder = noisy_channel.CharModel(grams).decoder()
     want = Counter()
     for r in rows.collect():
         want.update(set(toxicity.bag_of([r.text], decoder).term.view("i8").tolist()))
