@@ -102,7 +102,7 @@ def search_contextual(
     limit = max(top_candidates, 120) if mode == "text" else top_candidates
     merged = candidates(asked.where(F.col("reason").isNull()), images, chunks, limit, 2 * limit)
     merged = merged.withColumn("best_image", F.max("image_score").over(Window.partitionBy("query_id")))
-    rows = with_payload(merged, products).join(F.broadcast(asked.select("query_id", "query", "intent")), "query_id")
+    rows = with_payload(merged, products).join(asked.select("query_id", "query", "intent"), "query_id")
     text = F.col("query").isNotNull()
     if mode == "text":
         rows = with_context_score(rows, lexicon)

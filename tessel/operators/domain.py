@@ -10,12 +10,22 @@ from tessel.functions.vector import dot
 
 # Labels that an image can't have to be in the domain.
 OUTSIDE = ("sports_ball", "animal", "vehicle", "food")
-# Detector classes that belong to the domain.
+# Detector classes that belong to the domain, those that certainly don't, and those that a search prefers.
 INSIDE = ("backpack", "umbrella", "handbag", "tie", "suitcase")
+OUTSIDE_CLASSES = (
+    "dog", "cat", "bird", "horse", "sheep", "cow", "elephant", "bear", "zebra", "giraffe",
+    "car", "motorcycle", "airplane", "bus", "train", "truck", "boat",
+    "traffic light", "fire hydrant", "stop sign", "parking meter", "toilet",
+)
+PREFERRED = ("handbag", "backpack", "tie", "suitcase", "shoe", "dress", "shirt", "focused_product")
+#: So many labels are met with every image at most; their table is broadcast.
+MOST_LABELS = 10_000
 
 
 def label_probabilities(images: DataFrame, labels: DataFrame, temperature: float = 0.05) -> DataFrame:
-    """(image_id, label, p): softmax over the similarities to the few label vectors, which are broadcast."""
+    """(image_id, label, p): softmax over the similarities to the few label vectors, which are counted and broadcast."""
+    if labels.count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     met = images.crossJoin(F.broadcast(labels.select("label", F.col("vector").alias("label_vector"))))
     rows = met.select("image_id", "label", dot(F.col("vector"), F.col("label_vector")).alias("s"))
     own = Window.partitionBy("image_id")
@@ -32,25 +42,35 @@ def zero_shot_domain(probabilities: DataFrame, home: str = "fashion", outside: t
     return rows.select("image_id", "top_label", "top_p", ood.alias("is_ood"))
 
 
-def detector_domain(detections: DataFrame, inside: tuple[str, ...] = INSIDE) -> DataFrame:
-    """(image_id, detector_ood, needs_label): rows are (image_id, box, confidence, class_name)."""
-    home, person = F.col("class_name").isin(*inside), F.col("class_name") == "person"
+def detector_domain(detections: DataFrame, inside: tuple[str, ...] = INSIDE, outside: tuple[str, ...] = OUTSIDE_CLASSES, least: float = 0.65) -> DataFrame:
+    """(image_id, detector_ood, needs_label, entity, has_inside): rows are (image_id, box_index, confidence, class_name).
+
+    An image is out of the domain if a class of ``outside`` has the confidence ``least`` and neither a class of ``inside`` nor a person is
+    there; ``entity`` is the surest such class, the first on ties.  Classes that are in no list decide nothing.  Without a class of
+    the domain or a person the labels are asked as well (``needs_label``).  Names count in lower case.
+    """
+    name = F.lower("class_name")
+    home, person = name.isin(*inside), name == "person"
+    off = name.isin(*outside) & (F.col("confidence") >= least)
     rows = detections.groupBy("image_id").agg(
-        F.coalesce(F.max(home | person), F.lit(False)).alias("seen"), F.max(F.when(~home & ~person, F.col("confidence"))).alias("other")
-    )
-    ood = ~F.col("seen") & F.coalesce(F.col("other") >= 0.65, F.lit(False))
-    return rows.select("image_id", ood.alias("detector_ood"), (~F.col("seen") & ~ood).alias("needs_label"))
+        F.coalesce(F.max(home | person), F.lit(False)).alias("seen"), F.coalesce(F.max(home), F.lit(False)).alias("has_inside"),
+        F.max_by(name, F.when(off, F.struct("confidence", -F.col("box_index")))).alias("entity"), F.coalesce(F.max(off), F.lit(False)).alias("off"),
+    )
+    ood = ~F.col("seen") & F.col("off")
+    return rows.select("image_id", ood.alias("detector_ood"), (~F.col("seen") & ~F.col("off")).alias("needs_label"), F.when(ood, F.col("entity")).alias("entity"), "has_inside")
 
 
-def choose_box(detections: DataFrame, inside: tuple[str, ...] = INSIDE, explicit: Column | None = None) -> DataFrame:
-    """(image_id, box_index, box, class_name): the wanted index, or the largest area x confidence x bonus, first on ties.
+def choose_box(detections: DataFrame, preferred: tuple[str, ...] = PREFERRED, explicit: Column | None = None, outside: Column | None = None) -> DataFrame:
+    """(image_id, box_index, box, class_name): the wanted index if there is such a box, or the largest area x confidence x bonus, first on ties.
 
-    Bonus: 2 for classes of the domain and for a salient box, 1.2 for a person, .5 for the rest.
+    Bonus: 2 for preferred classes, 1.2 for a person, .5 for the rest; names count in lower case.  Of images that are ``outside`` the
+    domain only a wanted box is chosen.
     """
-    bonus = F.when(F.col("class_name").isin(*inside, "focused_product"), 2.0).when(F.col("class_name") == "person", 1.2).otherwise(0.5)
-    rows = detections.withColumn("weight", boxes.area(F.col("box")) * bonus * F.col("confidence"))
-    if explicit is not None:
-        rows = rows.withColumn("weight", F.when(F.col("box_index") == explicit, F.lit(float("inf"))).otherwise(F.col("weight")))
+    name = F.lower("class_name")
+    bonus = F.when(name.isin(*preferred), 2.0).when(name == "person", 1.2).otherwise(0.5)
+    wanted = F.coalesce(F.col("box_index") == explicit, F.lit(False)) if explicit is not None else F.lit(False)
+    open_ = detections.where(~F.coalesce(outside, F.lit(False)) | wanted) if outside is not None else detections
+    rows = open_.withColumn("weight", F.when(wanted, F.lit(float("inf"))).otherwise(boxes.area(F.col("box")) * bonus * F.col("confidence")))
     best = Window.partitionBy("image_id").orderBy(F.desc("weight"), "box_index")
     return rows.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("image_id", "box_index", "box", "class_name")
 

@@ -8,7 +8,7 @@ from tessel.functions.text import SPACE, WORD, word_pattern
 from tessel.functions.text import stem_of
 from tessel.plans import lexicon as lx
 from tessel.plans.lexicon import DEFAULT
-from tessel.queries import BOXES, DETECTED, LABELS, QUERY_TEXTS, RULE
+from tessel.queries import CLASSES, LABELS, QUERY_TEXTS, RULE
 
 
 def quoted(x: str | None) -> str:
@@ -375,33 +375,85 @@ u AS (
   FROM o QUALIFY rank <= 10)"""
 
 
-IMAGES = f"""WITH qs AS (
-  SELECT {{'image_id': a.vec_id, 'source': 'original'}} AS qid, list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE + b.embedding[i]::DOUBLE) / 2) AS query
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 3 WHERE a.vec_id % 20 = 0
-  UNION ALL SELECT {{'image_id': vec_id - 2, 'source': 'crop'}}, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 40 = 2),
-{unified_of_each('qs')},
-tops AS (
-  SELECT qid.image_id AS image_id, max(CASE WHEN qid.source = 'original' THEN image_score END) AS oi, max(CASE WHEN qid.source = 'crop' THEN image_score END) AS ci FROM u WHERE rank = 1 GROUP BY 1),
-picked AS (
-  SELECT image_id, CASE WHEN stays THEN 'original' ELSE 'crop' END AS source, coalesce(CASE WHEN stays THEN oi ELSE ci END, 0) >= 0.8 AS sure
-  FROM (SELECT *, ci IS NULL OR coalesce(oi, -1) >= 0.65 OR coalesce(oi, -1) >= ci AS stays FROM tops)),
+#: Pictures with the boxes that their detector saw; b has a row for each box.
+SKETCHES = f"""k AS (SELECT vec_id AS image_id, label, vec_id * 37 % 1009 AS k FROM embeddings),
+k1 AS (SELECT *, 60 + k % 5 * 10 AS width, 50 + k % 3 * 10 AS height, 8 + k % 7 AS x0, 6 + k % 5 AS y0 FROM k),
+k2 AS (SELECT *, x0 + 24 + k % 20 AS x1, y0 + 22 + k % 18 AS y1 FROM k1),
+sk AS (
+  SELECT *, CASE WHEN x0 > 8 THEN x0 ELSE 0 END AS s0, CASE WHEN y0 > 8 THEN y0 ELSE 0 END AS s1, CASE WHEN width - x1 > 8 THEN x1 ELSE width END AS s2,
+         CASE WHEN height - y1 > 8 THEN y1 ELSE height END AS s3, (s2 - s0) * (s3 - s1) < 0.95 * width * height AS stands_out FROM k2),
+b AS (
+  SELECT image_id, width, height, 0::BIGINT AS box_index, x0 - 1.5::DOUBLE AS l, y0 - 1.5::DOUBLE AS t, x1 + 1.5::DOUBLE AS r, y1 + 1.5::DOUBLE AS m, 0.5::DOUBLE + (k % 50) / 100.0::DOUBLE AS confidence,
+    {listed(CLASSES)}[(label + k) % {len(CLASSES)} + 1] AS class_name FROM sk WHERE k % 4 <> 3
+  UNION ALL SELECT image_id, width, height, 1, 0, 0, width - k % 6, height - k % 4, 0.4::DOUBLE + (k % 60) / 100.0::DOUBLE, {listed(CLASSES)}[(label * 3 + k // 2) % {len(CLASSES)} + 1]
+  FROM sk WHERE k % 4 <> 3 AND k % 3 = 0
+  UNION ALL SELECT image_id, width, height, 2, 5, 5, 15 + k % 20, 12 + k % 25, 0.9, {listed(CLASSES)}[(k // 3) % {len(CLASSES)} + 1] FROM sk WHERE k % 4 <> 3 AND k % 6 = 0)"""
+
+#: These classes are written here once more, so that a slip in the library shows.
+INSIDE = "('backpack', 'umbrella', 'handbag', 'tie', 'suitcase')"
+OUTSIDE = """('dog', 'cat', 'bird', 'horse', 'sheep', 'cow', 'elephant', 'bear', 'zebra', 'giraffe', 'car', 'motorcycle', 'airplane', 'bus', 'train', 'truck', 'boat',
+    'traffic light', 'fire hydrant', 'stop sign', 'parking meter', 'toilet')"""
+BONUS = "CASE WHEN lower(class_name) IN ('handbag', 'backpack', 'tie', 'suitcase', 'shoe', 'dress', 'shirt', 'focused_product') THEN 2 WHEN lower(class_name) = 'person' THEN 1.2 ELSE 0.5 END"
+DOMAIN_RULE = f"""dr AS (
+  SELECT image_id, bool_or(lower(class_name) IN {INSIDE} OR lower(class_name) = 'person') AS seen, bool_or(lower(class_name) IN {INSIDE}) AS has_inside,
+    arg_max(lower(class_name), {{'c': confidence, 'i': -box_index}}) FILTER (WHERE lower(class_name) IN {OUTSIDE} AND confidence >= 0.65::DOUBLE) AS entity FROM b GROUP BY image_id)"""
+
+
+def crop_of(a: str, c: str, d: str, e: str) -> str:
+    """Columns p0 to p3 of a padded box."""
+    w, h = f"({d} - {a}) * 0.05::DOUBLE", f"({e} - {c}) * 0.05::DOUBLE"
+    return f"""trunc(greatest(0, {a} - {w}))::INT AS p0, trunc(greatest(0, {c} - {h}))::INT AS p1,
+    trunc(least(width, {d} + {w}))::INT AS p2, trunc(least(height, {e} + {h}))::INT AS p3"""
+
+
+def colour_vector(area: str, part: str) -> str:
+    """Shares of two colours as a unit vector of 64 numbers: ``part`` pixels of the thing, the rest of ``area`` of the ground."""
+    side = lambda cell, n: f"CASE WHEN i = {cell} THEN ({n} / sqrt(({part})::DOUBLE * ({part}) + (({area}) - ({part}))::DOUBLE * (({area}) - ({part}))))::FLOAT ELSE 0 END"
+    return f"list_transform(range(0, 64), lambda i: ({side('thing', part)} + {side('ground', f'({area} - ({part}))')})::FLOAT)"
+
+
+IMAGES = f"""WITH {SKETCHES}, {DOMAIN_RULE},
+pics AS (
+  SELECT *, 16 * (k // 16 % 2) + 4 * (k // 4 % 2) + k % 2 AS dark, 16 * (2 + k // 32 % 2) + 4 * (2 + k // 8 % 2) + 2 + k // 2 % 2 AS light FROM sk WHERE image_id % 20 = 0),
+pv AS (
+  SELECT *, {colour_vector('width * height', '(x1 - x0) * (y1 - y0)')} AS vector
+  FROM (SELECT *, CASE WHEN k % 4 = 1 THEN light ELSE dark END AS ground, CASE WHEN k % 4 = 1 THEN dark ELSE light END AS thing FROM pics) WHERE k % 11 <> 0),
 l AS (SELECT {listed(LABELS)}[vec_id + 1] AS label, embedding FROM embeddings WHERE vec_id < {len(LABELS)}),
-zs AS (SELECT qid.image_id AS image_id, l.label, {dot('query', 'l.embedding')} AS s FROM qs, l WHERE qid.source = 'original'),
+zs AS (SELECT image_id, l.label, {dot('vector', 'l.embedding')} AS s FROM pv, l),
 zx AS (SELECT *, exp((s - max(s) OVER (PARTITION BY image_id)) / 0.05::DOUBLE) AS e FROM zs),
 zp AS (SELECT *, e / sum(e) OVER (PARTITION BY image_id) AS p FROM zx),
 za AS (
-  SELECT image_id, arg_max(label, p) IN ('sports_ball', 'animal', 'vehicle', 'food') AND max(p) >= 0.5 AND max(CASE WHEN label = 'fashion' THEN p END) < 0.25 AS label_ood FROM zp GROUP BY 1),
-det AS (
-  SELECT vec_id AS image_id, {listed(DETECTED)}[label + 1] NOT IN ('backpack', 'umbrella', 'handbag', 'tie', 'suitcase', 'person') AND 0.5 + (vec_id % 50) / 100 >= 0.65::DOUBLE AS detector_ood
-  FROM embeddings WHERE vec_id % 20 = 0),
-facts AS (
-  SELECT p.image_id, source, NOT sure AND (detector_ood OR label_ood) AS ood FROM picked p JOIN det ON det.image_id = p.image_id JOIN za ON za.image_id = p.image_id),
+  SELECT image_id, arg_max(label, p) AS top_label, arg_max(label, p) IN ('sports_ball', 'animal', 'vehicle', 'food') AND max(p) >= 0.5 AND max(CASE WHEN label = 'fashion' THEN p END) < 0.25 AS label_ood FROM zp GROUP BY 1),
+ru AS (
+  SELECT pv.*, label_ood, coalesce(NOT seen AND entity IS NOT NULL, false) AS detector_ood, NOT coalesce(has_inside, false) AS bare, (seen IS NULL OR (NOT seen AND entity IS NULL)) AND label_ood AS by_label,
+    CASE WHEN NOT seen THEN entity END AS own_entity, replace(top_label, '_', ' ') AS top_label
+  FROM pv LEFT JOIN dr USING (image_id) JOIN za USING (image_id)),
+ro AS (SELECT *, detector_ood OR by_label AS off, coalesce(own_entity, CASE WHEN by_label THEN top_label END) AS detected_entity FROM ru),
+every AS (
+  SELECT b.* FROM b JOIN ro USING (image_id)
+  UNION ALL SELECT image_id, width, height, (SELECT count(*) FROM b WHERE b.image_id = ro.image_id), s0, s1, s2, s3, 0.88::DOUBLE, 'focused_product' FROM ro WHERE NOT off AND bare AND stands_out),
+ch AS (
+  SELECT every.*, CASE WHEN k % 5 = 4 THEN box_index = 1 ELSE false END AS wanted FROM every JOIN ro USING (image_id) WHERE NOT off OR (k % 5 = 4 AND box_index = 1)
+  QUALIFY row_number() OVER (PARTITION BY every.image_id ORDER BY wanted DESC, (r - l) * (m - t) * {BONUS} * confidence DESC, box_index) = 1),
+cp AS (SELECT ch.*, {crop_of('l', 't', 'r', 'm')} FROM ch),
+cr AS (SELECT cp.image_id, p0, p1, p2, p3 FROM cp JOIN ro USING (image_id) WHERE NOT off AND (r - l) * (m - t) < 0.95 * cp.width * cp.height AND p2 - p0 > 20 AND p3 - p1 > 20),
+cv AS (
+  SELECT image_id, {colour_vector('(p2 - p0) * (p3 - p1)', 'greatest(0, least(x1, p2) - greatest(x0, p0)) * greatest(0, least(y1, p3) - greatest(y0, p1))')} AS vector FROM cr JOIN pv USING (image_id)),
+qs AS (
+  SELECT {{'image_id': image_id, 'source': 'original'}} AS qid, vector AS query FROM pv UNION ALL SELECT {{'image_id': image_id, 'source': 'crop'}}, vector FROM cv),
+{unified_of_each('qs')},
+tops AS (
+  SELECT qid.image_id AS image_id, max(CASE WHEN qid.source = 'original' THEN image_score END) AS oi, max(CASE WHEN qid.source = 'crop' THEN image_score END) AS ci FROM u WHERE rank = 1 GROUP BY 1),
+picked AS (
+  SELECT image_id, CASE WHEN stays THEN 'original' ELSE 'crop' END AS source, coalesce(CASE WHEN stays THEN oi ELSE ci END, 0) >= 0.3::DOUBLE AS sure
+  FROM (SELECT *, ci IS NULL OR coalesce(oi, -1) >= 0.25::DOUBLE OR coalesce(oi, -1) >= ci AS stays FROM tops)),
+facts AS (SELECT ro.*, source, NOT sure AND (off OR label_ood) AS ood FROM ro JOIN picked USING (image_id)),
 shown AS (SELECT u.*, fa.image_id, fa.source FROM u JOIN facts fa ON u.qid.image_id = fa.image_id AND u.qid.source = fa.source WHERE NOT ood),
 v AS (
-  SELECT *, row_number() OVER w - 1 AS i, lead(final_score) OVER w AS nxt, first(final_score) OVER w AS top FROM shown WHERE final_score > 0 AND final_score >= 0.38
+  SELECT *, row_number() OVER w - 1 AS i, lead(final_score) OVER w AS nxt, first(final_score) OVER w AS top FROM shown WHERE final_score > 0 AND final_score >= 0.05::DOUBLE
   WINDOW w AS (PARTITION BY image_id ORDER BY final_score DESC, rank, product_id)),
 e AS (
-  SELECT *, final_score - nxt >= 0.12::DOUBLE AND i >= 1 AS gap, (final_score - nxt >= 0.12::DOUBLE AND i >= 1) OR (nxt < greatest(0.38::DOUBLE, top * 0.5) AND i >= 2) AS stop FROM v),
+  SELECT *, final_score - nxt >= 0.03::DOUBLE AND i >= 1 AS gap, (final_score - nxt >= 0.03::DOUBLE AND i >= 1) OR (nxt < greatest(0.05::DOUBLE, top * 0.5) AND i >= 2) AS stop FROM v),
 x AS (SELECT *, min(CASE WHEN stop THEN i END) OVER (PARTITION BY image_id) AS last FROM e)"""
 
 
@@ -409,11 +461,6 @@ def word_query(expression: str) -> str:
     return f"WITH t AS (SELECT conv_id, turn, {words(f'lower({clean("text")})')} AS w FROM conversations) SELECT conv_id, turn, array_to_string({expression}, '|') AS words FROM t"
 
 
-BOX_TABLE = "b(image_id, width, height, box_index, x0, y0, x1, y1, confidence, class_name) AS (VALUES " + ", ".join(
-    f"({i}::BIGINT, {w}, {h}, {k}::BIGINT, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {conf}::DOUBLE, {quoted(name)})" for i, w, h, k, a, b, c, d, conf, name in BOXES
-) + ")"
-HOME = "('backpack', 'umbrella', 'handbag', 'tie', 'suitcase')"
-
 ORACLE_SQL = {
     "unified_image_weighted": unified("image", "weighted_sum"),
     "unified_text_weighted": unified("text", "weighted_sum"),
@@ -500,13 +547,19 @@ SELECT qid AS query_id, product_id, rank, coalesce(title, 'Product #' || product
   coalesce(article, '') AS "articleType", coalesce(usage, '') AS usage, final_score, image_score, title_score AS text_score FROM u LEFT JOIN products ON id = product_id""",
     "image_pipeline": f"""{IMAGES} SELECT image_id, source, product_id, i + 1 AS rank, final_score, image_score, title_score FROM x WHERE i <= coalesce(last, 1073741824) AND i < 10""",
     "image_pipeline_report": f"""{IMAGES},
-k AS (SELECT image_id, count(*) AS valid, min(last) AS last, max(CASE WHEN i = last AND gap THEN i + 1 END) AS gap_rank FROM x GROUP BY image_id),
+kk AS (SELECT image_id, count(*) AS valid, min(last) AS last, max(CASE WHEN i = last AND gap THEN i + 1 END) AS gap_rank FROM x GROUP BY image_id),
 n AS (SELECT image_id, count(*) AS total FROM shown GROUP BY image_id),
+bx AS (
+  SELECT every.image_id, string_agg(every.class_name || ':' || (ch.box_index IS NOT NULL), '|' ORDER BY every.box_index) AS boxes
+  FROM every LEFT JOIN ch ON ch.image_id = every.image_id AND ch.box_index = every.box_index GROUP BY every.image_id),
 c AS (
-  SELECT f.image_id, source, ood, coalesce(total, 0) AS total, CASE WHEN valid IS NULL THEN 0 ELSE least(coalesce(last + 1, valid), valid, 10) END AS kept, gap_rank, valid
-  FROM facts f LEFT JOIN n ON n.image_id = f.image_id LEFT JOIN k ON k.image_id = f.image_id)
-SELECT image_id, source, ood AS is_out_of_domain, total AS total_candidates, kept AS kept_count, total - kept AS eliminated_count, gap_rank IS NOT NULL AS gap_detected, gap_rank,
-  CASE WHEN ood THEN 'out_of_domain' WHEN total = 0 THEN 'no_matches' WHEN valid IS NULL THEN 'all_below_quality_or_incompatible' END AS reason FROM c""",
+  SELECT f.image_id, source, ood, detected_entity, coalesce(boxes, '') AS boxes, ch.box_index, p0, concat_ws(',', coalesce(p0, 0), coalesce(p1, 0), coalesce(p2, f.width), coalesce(p3, f.height)) AS crop_box,
+    coalesce(total, 0) AS total, CASE WHEN valid IS NULL THEN 0 ELSE least(coalesce(last + 1, valid), valid, 10) END AS kept, gap_rank, valid
+  FROM facts f LEFT JOIN n USING (image_id) LEFT JOIN kk USING (image_id) LEFT JOIN bx USING (image_id) LEFT JOIN ch USING (image_id) LEFT JOIN cr USING (image_id))
+SELECT image_id, source, ood AS is_out_of_domain, detected_entity, boxes AS detected_boxes, box_index, p0 IS NOT NULL AS crop_applied, crop_box, total AS total_candidates, kept AS kept_count,
+  total - kept AS eliminated_count, gap_rank IS NOT NULL AS gap_detected, gap_rank,
+  CASE WHEN ood THEN 'out_of_domain' WHEN total = 0 THEN 'no_matches' WHEN valid IS NULL THEN 'all_below_quality_or_incompatible' END AS reason FROM c
+UNION ALL SELECT image_id, NULL, false, NULL, NULL, NULL, false, NULL, 0, 0, 0, false, NULL, 'invalid_image' FROM pics WHERE k % 11 = 0""",
     "explode_points": """SELECT 2 * p_partkey + t AS point_id, p_partkey AS product_id, p_name AS name, CASE t WHEN 0 THEN 'image' ELSE 'title' END AS embedding_type
 FROM part, (VALUES (0), (1)) AS v(t)""",
     "upsert_latest": """WITH m AS (SELECT (min(event_id) + max(event_id)) / 2 AS middle FROM events),
@@ -527,13 +580,10 @@ SELECT count(*) > 0 AS success, count(*) AS indexed_count, count(*) AS total_pro
 SELECT article AS "articleType", count(*) AS products, coalesce(sum(quantity), 0) AS quantity, coalesce(max(orders), 0) AS most_orders FROM products LEFT JOIN s ON id = l_partkey GROUP BY article""",
     "stream_index_counts": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
 SELECT event_type, count(*) AS users FROM l GROUP BY event_type""",
-    "box_selection": f"""WITH {BOX_TABLE} SELECT image_id, box_index, class_name FROM b QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY (x1 - x0) * (y1 - y0) *
-  CASE WHEN class_name IN {HOME} OR class_name = 'focused_product' THEN 2 WHEN class_name = 'person' THEN 1.2 ELSE 0.5 END * confidence DESC, box_index) = 1""",
-    "crop_geometry": f"""WITH {BOX_TABLE}, p AS (
-  SELECT *, trunc(greatest(0, x0 - (x1 - x0) * 0.05::DOUBLE))::INT AS a, trunc(greatest(0, y0 - (y1 - y0) * 0.05::DOUBLE))::INT AS c,
-         trunc(least(width, x1 + (x1 - x0) * 0.05::DOUBLE))::INT AS d, trunc(least(height, y1 + (y1 - y0) * 0.05::DOUBLE))::INT AS e FROM b)
-SELECT image_id, box_index, CASE WHEN (x1 - x0) * (y1 - y0) < 0.95 * width * height AND d - a > 20 AND e - c > 20 THEN concat_ws(',', a, c, d, e) END AS crop FROM p""",
-    "detector_domain_rule": f"""WITH {BOX_TABLE}, r AS (
-  SELECT image_id, bool_or(class_name IN {HOME} OR class_name = 'person') AS seen, max(CASE WHEN class_name NOT IN {HOME} AND class_name <> 'person' THEN confidence END) AS other FROM b GROUP BY image_id)
-SELECT image_id, NOT seen AND coalesce(other >= 0.65, false) AS detector_ood, NOT seen AND NOT (NOT seen AND coalesce(other >= 0.65, false)) AS needs_label FROM r""",
+    "box_selection": f"""WITH {SKETCHES} SELECT image_id, box_index, class_name FROM b QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY (r - l) * (m - t) * {BONUS} * confidence DESC, box_index) = 1""",
+    "crop_geometry": f"""WITH {SKETCHES}, p AS (SELECT *, {crop_of('l', 't', 'r', 'm')} FROM b)
+SELECT image_id, box_index, CASE WHEN (r - l) * (m - t) < 0.95 * width * height AND p2 - p0 > 20 AND p3 - p1 > 20 THEN concat_ws(',', p0, p1, p2, p3) END AS crop FROM p""",
+    "detector_domain_rule": f"""WITH {SKETCHES}, {DOMAIN_RULE}
+SELECT image_id, NOT seen AND entity IS NOT NULL AS detector_ood, NOT seen AND entity IS NULL AS needs_label, CASE WHEN NOT seen THEN entity END AS entity, has_inside FROM dr""",
+    "salient_box": f"WITH {SKETCHES} SELECT image_id, CASE WHEN k % 11 <> 0 AND stands_out THEN concat_ws(',', s0, s1, s2, s3) END AS box FROM sk",
 }

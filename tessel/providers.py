@@ -14,14 +14,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.images import salient
 from tessel.functions.text import or_default
 from tessel.functions.vector import mean_of, normalised
 from tessel.operators.intent import prompts
 from tessel.plans.lexicon import DEFAULT, Lexicon
+from tessel.session import ship_active
 
 #: Sides of the grey image that stands for one that can't be read, and its level.
 GREY_SIDE, GREY = 224, 128
 MOST_PROMPTS = 6
+#: What a detector says of an image.
+BOXES = "array<struct<box:array<double>,confidence:double,class_name:string>>"
 
 
 class TextEncoder(Protocol):
@@ -67,6 +71,8 @@ def _hashed(texts: list[str], dim: int, n: int) -> np.ndarray:
 def hashed_ngrams(text: Column, dim: int = 64, n: int = 3) -> Column:
     """A unit vector of hashed character n-grams, signed by the hash; not a neural encoder.  Null and empty text: zeros."""
 
+    ship_active()
+
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -107,6 +113,7 @@ class ColourImage:
 
     def encode(self, image: Column) -> Column:
         side, dim = self.side, self.dim
+        ship_active()
 
         @F.pandas_udf("array<float>")
         def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -122,6 +129,14 @@ class ColourImage:
         return encode(F.when(ok, image["data"]), F.when(ok, image["nChannels"]))
 
 
+class SalientBox:
+    """At most one box: that of what stands out against the image's edge."""
+
+    def boxes(self, image: Column) -> Column:
+        found = salient(F.when(can_be_read(image), image))
+        return F.when(found.isNull(), F.array().cast(BOXES)).otherwise(F.array(F.struct(found.alias("box"), F.lit(0.88).alias("confidence"), F.lit("focused_product").alias("class_name"))))
+
+
 class WholeImage:
     """One box that is the whole image, as something in focus."""
 

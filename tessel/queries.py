@@ -19,14 +19,6 @@ QUERY_TEXTS = (
     "red floral summer dress", "black leather wallet", "sport running shoes white", "classic silver analog watch",
     "brown formal leather shoes", "dress shirt", "short sleeve shirt", "red ring", "",
 )
-#: (image, width, height, index, left, top, right, bottom, confidence, class)
-BOXES = (
-    (1, 640, 480, 0, 10.0, 20.0, 300.0, 400.0, 0.91, "handbag"), (1, 640, 480, 1, 0.0, 0.0, 630.0, 470.0, 0.55, "person"),
-    (2, 640, 480, 0, 100.0, 100.0, 220.0, 260.0, 0.88, "dog"), (2, 640, 480, 1, 5.0, 5.0, 15.0, 12.0, 0.70, "cat"),
-    (3, 320, 240, 0, 0.0, 0.0, 320.0, 240.0, 0.61, "chair"), (4, 800, 600, 0, 50.0, 60.0, 65.0, 70.0, 0.97, "tie"),
-    (4, 800, 600, 1, 200.0, 100.0, 500.0, 580.0, 0.75, "person"), (5, 100, 100, 0, 10.0, 10.0, 60.0, 60.0, 0.66, "car"),
-    (5, 100, 100, 1, 10.0, 10.0, 60.0, 60.0, 0.66, "truck"),
-)
 
 
 # -- vectors ---------------------------------------------------------------------------------------------------------
@@ -351,24 +343,62 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "product_id", F.col("rank").cast("long").alias("rank"), "name", "image_url", "gender", "articleType", "usage", "final_score", "image_score", "text_score")
 
 
-DETECTED = ("handbag", "dog", "person", "tie", "car", "cat", "chair", "umbrella", "ball", "truck")
+#: What the detector of these tables can see, in the domain, off it, and in neither list.
+CLASSES = (
+    "handbag", "dog", "person", "Tie", "car", "clock", "sports ball", "umbrella", "dress", "shoe", "cat", "book", "suitcase", "truck", "shirt", "vase", "toilet", "scissors", "backpack",
+)
 
 
-def image_pipeline(spark: SparkSession, sf_dir: str) -> image_search.Found:
-    """For each id divisible by 20 the mean of its vector and one three places on is the image; the label gives its box a class.
+def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture for each vector: its sides, a rectangle on a plain ground, two colours, and the boxes that a detector saw, three at most."""
+    k, label = F.col("k"), F.col("label")
+    named = lambda i: F.element_at(F.array(*map(F.lit, CLASSES)), (i % len(CLASSES) + 1).cast("int"))
+    box = lambda *sides: F.array(*[F.lit(x).cast("double") if isinstance(x, int) else x.cast("double") for x in sides])
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "label", (F.col("vec_id") * 37 % 1009).cast("int").alias("k"))
+    rows = rows.select("*", (60 + k % 5 * 10).alias("width"), (50 + k % 3 * 10).alias("height"), (8 + k % 7).alias("x0"), (6 + k % 5).alias("y0"))
+    rows = rows.withColumns({"x1": F.col("x0") + 24 + k % 20, "y1": F.col("y0") + 22 + k % 18})
+    seen = F.array(
+        F.struct(box(F.col("x0") - 1.5, F.col("y0") - 1.5, F.col("x1") + 1.5, F.col("y1") + 1.5).alias("box"), (0.5 + k % 50 / 100).alias("confidence"), named(label + k).alias("class_name")),
+        F.struct(box(0, 0, F.col("width") - k % 6, F.col("height") - k % 4).alias("box"), (0.4 + k % 60 / 100).alias("confidence"), named(label * 3 + F.floor(k / 2)).alias("class_name")),
+        F.struct(box(5, 5, 15 + k % 20, 12 + k % 25).alias("box"), F.lit(0.9).alias("confidence"), named(F.floor(k / 3)).alias("class_name")),
+    )
+    number = F.when(k % 4 == 3, 0).when(k % 3 != 0, 1).when(k % 2 != 0, 2).otherwise(3)
+    return rows.withColumn("boxes", F.slice(seen, F.lit(1), number))
+
+
+def colour(cell: Column) -> Column:
+    """Six hexadecimal digits of a pixel in the middle of a cell of the colour cube."""
+    return F.concat(*[F.lpad(F.lower(F.hex(32 + 64 * (F.floor(cell / n) % 4))), 2, "0") for n in (16, 4, 1)])
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """(image_id, image, boxes, box_index) of sketches; every eleventh can't be decoded, and every fifth asks for its second box."""
+    k = F.col("k")
+    dark, light = F.lit(0), F.lit(0)
+    for n in (16, 4, 1):
+        dark, light = dark + n * (F.floor(k / n) % 2), light + n * (2 + F.floor(k / (2 * n)) % 2)
+    ground, thing = (colour(F.when(k % 4 == 1, a).otherwise(b)) for a, b in ((light, dark), (dark, light)))
+    plain = lambda n: F.repeat(ground, n.cast("int"))
+    middle = F.concat(plain(F.col("x0")), F.repeat(thing, (F.col("x1") - F.col("x0")).cast("int")), plain(F.col("width") - F.col("x1")))
+    lines = F.concat(plain(F.col("width") * F.col("y0")), F.repeat(middle, (F.col("y1") - F.col("y0")).cast("int")), plain(F.col("width") * (F.col("height") - F.col("y1"))))
+    whole = k % 11 != 0
+    image = F.struct(
+        F.lit("").alias("origin"), F.when(whole, F.col("height")).otherwise(-1).cast("int").alias("height"), F.when(whole, F.col("width")).otherwise(-1).cast("int").alias("width"),
+        F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.when(whole, F.unhex(lines)).alias("data"),
+    )
+    return rows.select("image_id", image.alias("image"), "boxes", F.when(k % 5 == 4, 1).alias("box_index"))
 
-    Every second image has a crop, which is the vector two places on.
-    """
+
+def image_pipeline(spark: SparkSession, sf_dir: str) -> image_search.Found:
+    """The pictures of the ids divisible by 20, searched with their detector's boxes."""
     rows = table(spark, sf_dir, "embeddings")
-    other = rows.select((F.col("vec_id") - 3).alias("vec_id"), F.col("embedding").alias("other"))
-    middle = F.zip_with(vector.doubles(F.col("embedding")), vector.doubles(F.col("other")), lambda x, y: (x + y) / 2)
-    originals = rows.where("vec_id % 20 = 0").join(other, "vec_id").select(F.col("vec_id").alias("image_id"), middle.alias("vector"))
-    crops = rows.where("vec_id % 40 = 2").select((F.col("vec_id") - 2).alias("image_id"), F.col("embedding").alias("vector"))
-    seen = F.element_at(F.array(*map(F.lit, DETECTED)), F.col("label") + 1)
-    detections = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("image_id"), (F.lit(0.5) + F.col("vec_id") % 50 / 100).alias("confidence"), seen.alias("class_name"))
     name = F.element_at(F.array(*map(F.lit, LABELS)), F.col("vec_id").cast("int") + 1)
     labels = rows.where(F.col("vec_id") < len(LABELS)).select(name.alias("label"), F.col("embedding").alias("vector"))
-    return image_search.search_images(points_of(spark, sf_dir), originals, crops, detections, labels)
+    pictures = drawn(sketches(spark, sf_dir).where("image_id % 20 = 0"))
+    return image_search.search_images(points_of(spark, sf_dir), pictures, labels, providers.ColourImage(), rule=PICTURE_RULE, keep_from=0.25, in_domain_from=0.3)
+
+
+PICTURE_RULE = ranking.Cliff(gap=0.03, image_floor=0.05)
 
 
 def image_pipeline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,7 +406,9 @@ def image_pipeline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_pipeline(spark, sf_dir).report
+    report = image_pipeline(spark, sf_dir).report
+    shown = F.array_join(F.transform("detected_boxes", lambda b: F.concat_ws(":", b["class_name"], b["is_selected"].cast("string"))), "|")
+    return report.withColumns({"detected_boxes": shown, "crop_box": F.array_join("crop_box", ",")}).drop("width", "height")
 
 
 # -- index -----------------------------------------------------------------------------------------------------------
@@ -464,22 +496,28 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- boxes -----------------------------------------------------------------------------------------------------------
 
 
-def box_table(spark: SparkSession) -> DataFrame:
-    rows = [(i, w, h, k, [a, b, c, d], conf, name) for i, w, h, k, a, b, c, d, conf, name in BOXES]
-    return spark.createDataFrame(rows, "image_id long, width int, height int, box_index long, box array<double>, confidence double, class_name string")
+def box_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height, box_index, box, confidence, class_name) of all pictures' boxes."""
+    return sketches(spark, sf_dir).select("image_id", "width", "height", F.posexplode("boxes").alias("box_index", "b")).select("image_id", "width", "height", "box_index", "b.*")
 
 
 def box_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domain.choose_box(box_table(spark)).select("image_id", "box_index", "class_name")
+    return domain.choose_box(box_table(spark, sf_dir)).select("image_id", F.col("box_index").cast("long").alias("box_index"), "class_name")
 
 
 def box_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = box_table(spark).select("image_id", "box_index", boxes.crop(F.col("box"), F.col("width"), F.col("height")).alias("crop"))
+    rows = box_table(spark, sf_dir).select("image_id", F.col("box_index").cast("long").alias("box_index"), boxes.crop(F.col("box"), F.col("width"), F.col("height")).alias("crop"))
     return rows.select("image_id", "box_index", F.array_join("crop", ",").alias("crop"))
 
 
 def box_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domain.detector_domain(box_table(spark))
+    return domain.detector_domain(box_table(spark, sf_dir))
+
+
+def salient_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands out in each picture that can be decoded."""
+    rows = drawn(sketches(spark, sf_dir)).select("image_id", F.get(providers.SalientBox().boxes(F.col("image")), F.lit(0))["box"].alias("box"))
+    return rows.select("image_id", F.array_join(F.transform("box", lambda x: x.cast("int")), ",").alias("box"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -547,4 +585,5 @@ QUERIES = {
     "box_selection": box_choice,
     "crop_geometry": box_crops,
     "detector_domain_rule": box_domain,
+    "salient_box": salient_boxes,
 }

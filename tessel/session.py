@@ -29,6 +29,12 @@ def ship(spark: SparkSession) -> None:
     setattr(context, _SHIPPED, True)
 
 
+def ship_active() -> None:
+    """The same for the session in use: for functions that make columns and get no session."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,3 +51,10 @@ def scratch(spark: SparkSession) -> str:
         base = getattr(spark.sparkContext, _SCRATCH, None) or f"file://{tempfile.mkdtemp(prefix='tessel-scratch-')}"
         setattr(spark.sparkContext, _SCRATCH, base)
     return f"{base.rstrip('/')}/tessel-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the scratch folder: what is computed once and read several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

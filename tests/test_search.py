@@ -149,13 +149,6 @@ def test_upsert_and_lookup(spark):
     assert index.retrieve(old, spark.createDataFrame([(1,), (1,)], "id long"), "id").count() == 1
 
 
-def test_domain_rules(spark):
-    rows = spark.createDataFrame([(1, [0.0, 0.0, 10.0, 10.0], 0.9, "dog", 0), (2, [0.0, 0.0, 5.0, 5.0], 0.9, "tie", 0), (2, [0.0, 0.0, 6.0, 6.0], 0.9, "dog", 1)], "image_id long, box array<double>, confidence double, class_name string, box_index int")
-    assert {r.image_id: r.detector_ood for r in domain.detector_domain(rows).collect()} == {1: True, 2: False}
-    assert {r.image_id: r.box_index for r in domain.choose_box(rows).collect()} == {1: 0, 2: 0}
-    assert {r.image_id: r.box_index for r in domain.choose_box(rows, explicit=F.lit(1)).collect()}[2] == 1
-
-
 def test_registered_queries_take_all_rows(spark):
     """Batch queries, originals and crops, and both sides of the upsert, against brute force over all rows."""
     sf_dir = "/root/testdata/sf0.001"
