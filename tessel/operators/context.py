@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions.scores import clip
-from tessel.functions.text import clean_text, contains_word, ngrams, stem, stemmed_set, tokens_of_clean
+from tessel.functions.text import WORD, clean_text, contains_word, ngrams, stem, stemmed_set, tokens_of_clean
 from tessel.plans import lexicon as lx
 from tessel.plans.lexicon import DEFAULT, Lexicon
 
@@ -22,12 +22,21 @@ def gender_multiplier(target: Column, gender: Column) -> Column:
     )
 
 
-def colour_multiplier(target: Column, shades: Column, colour: Column, name: Column, chunk: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """1.35 for a shade of the colour or its name in the text, 0 for a shade of another family, .25 for none, 1 if not asked."""
-    named = F.array_contains(shades, colour) | contains_word(name, target) | contains_word(chunk, target)
+def colour_families(colour: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """Names of the families that have the colour as a shade."""
     families = F.array(*[F.struct(F.lit(family).alias("name"), _strings(list(shades)).alias("shades")) for family, shades in lexicon.colours.items()])
-    other = F.exists(families, lambda f: (f["name"] != target) & F.array_contains(f["shades"], colour))
-    return F.when(target.isNull(), 1.0).when(named, 1.35).when(other, 0.0).otherwise(0.25)
+    return F.transform(F.filter(families, lambda f: F.array_contains(f["shades"], colour)), lambda f: f["name"])
+
+
+def colour_multiplier(target: Column, shades: Column, colour: Column, families: Column, name: Column, chunk: Column) -> Column:
+    """1.35 for a shade of the colour or its name in the text, 0 for a shade of another family, .25 for none, 1 if not asked."""
+    named = F.array_contains(shades, colour) | has_term(name, target) | has_term(chunk, target)
+    return F.when(target.isNull(), 1.0).when(named, 1.35).when(F.size(F.array_remove(families, target)) > 0, 0.0).otherwise(0.25)
+
+
+def has_term(text: Column, term: Column) -> Column:
+    """``contains_word``; a pattern that isn't constant is compiled for each row, so rows without the term are ruled out before."""
+    return F.when(F.contains(text, term), contains_word(text, term)).otherwise(F.lit(False))
 
 
 def _strings(values: list[str]) -> Column:
@@ -40,20 +49,16 @@ def category_terms(spark: SparkSession, lexicon: Lexicon = DEFAULT) -> DataFrame
     return spark.createDataFrame(rows, "category string, valid array<string>, excluded array<string>")
 
 
-def category_multiplier(target: Column, valid: Column, excluded: Column, article: Column, sub: Column, master: Column, name: Column) -> Column:
+def category_multiplier(target: Column, valid: Column, excluded: Column, near: Column, wide: Column, master: Column, dress: Column) -> Column:
     """0 for an incompatible category or another master group, 1.3 for a dress, 1.25 for a term of the category, else .6.
 
-    ``valid`` and ``excluded`` are the target's terms and those of categories that it excludes, see ``category_terms``.
+    ``valid`` and ``excluded`` are the target's terms and those of categories that it excludes, see ``category_terms``; ``near`` and ``wide``
+    are the words and stems of the product's categories, without and with its name.
     """
-    near = stemmed_set(tokens_of_clean(F.concat_ws(" ", article, sub)))
-    wide = stemmed_set(tokens_of_clean(F.concat_ws(" ", article, sub, master, name)))
     clash = F.arrays_overlap(excluded, near) & ~F.arrays_overlap(valid, near)
     outside = F.lit(False)
     for categories, masters in lx.MASTER_GROUPS:
         outside = outside | (target.isin(*categories) & (master != "") & ~master.isin(*masters))
-    dress = F.contains(article, F.lit("dress")) | F.contains(sub, F.lit("dress"))
-    for word in ("dresses", "gown", "sundress", "frock"):
-        dress = dress | F.contains(name, F.lit(word))
     return (
         F.when(target.isNull(), 1.0).when(clash | outside, 0.0)
         .when((target == "dresses") & dress, 1.3).when(target == "dresses", 0.0)
@@ -61,62 +66,151 @@ def category_multiplier(target: Column, valid: Column, excluded: Column, article
     )
 
 
-def with_context_score(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """All columns and ``context``: recalls, multipliers, the score in [0, 1] and whether the row is disqualified.
+def words_of(text: Column) -> Column:
+    return stemmed_set(tokens_of_clean(text))
 
-    Rows have ``intent`` (see parse_intent) and the product's columns; missing ones and nulls count as empty.  A query
-    without tokens scores 0.5.
+
+def with_product_features(rows: DataFrame, lexicon: Lexicon = DEFAULT, out_col: str = "_p") -> DataFrame:
+    """All columns and a struct of what the score needs of the product; missing columns and nulls count as empty.
+
+    It depends on the product alone, so it is computed once for each, before it meets a query.
     """
-    text = lambda c: F.lower(clean_text(F.col(c))) if c in rows.columns else F.lit("")
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
+    own = rows.withColumns({f"_t_{k}": F.lower(clean_text(F.col(c))) if c in rows.columns else F.lit("") for k, c in TEXTS.items()})
+    t = lambda k: F.col(f"_t_{k}")
+    pair = lambda a, b: F.concat(t(a), F.lit(" "), t(b))
+    own = own.withColumns({"_full": F.concat_ws(" ", *[t(k) for k in TEXTS]), "_name": tokens_of_clean(t("name")), "_chunk": tokens_of_clean(t("chunk")), "_colour": F.lower(F.trim(given("baseColour")))})
+    dress = F.contains(t("article"), F.lit("dress")) | F.contains(t("sub"), F.lit("dress"))
+    for word in ("dresses", "gown", "sundress", "frock"):
+        dress = dress | F.contains(t("name"), F.lit(word))
+    features = F.struct(
+        F.col("_full").alias("full"), words_of(F.col("_full")).alias("words"), t("name").alias("name"), t("chunk").alias("chunk"), t("master").alias("master"),
+        F.concat(ngrams(F.col("_name"), 2), ngrams(F.col("_chunk"), 2), F.array(pair("colour", "article"), pair("usage", "article"))).alias("bigrams"),
+        F.concat(ngrams(F.col("_name"), 3), ngrams(F.col("_chunk"), 3)).alias("trigrams"),
+        words_of(F.concat_ws(" ", t("article"), t("sub"))).alias("near"), words_of(F.concat_ws(" ", t("article"), t("sub"), t("master"), t("name"))).alias("wide"),
+        dress.alias("dress"), F.trim(given("gender")).alias("gender"), F.col("_colour").alias("colour"), colour_families(F.col("_colour"), lexicon).alias("families"),
+    )
+    return own.withColumn(out_col, features).drop(*[f"_t_{k}" for k in TEXTS], "_full", "_name", "_chunk", "_colour")
+
+
+def with_query_features(rows: DataFrame, lexicon: Lexicon = DEFAULT, out_col: str = "_q") -> DataFrame:
+    """All columns and a struct of what the score needs of the query's ``intent``; computed once for each query."""
     terms = category_terms(rows.sparkSession, lexicon).select(F.col("category").alias("_target"), F.col("valid").alias("_valid"), F.col("excluded").alias("_excluded"))
     own = rows.join(F.broadcast(terms), F.col("intent.target_category") == F.col("_target"), "left")  # a row for each category
-    own = own.withColumns({f"t_{k}": text(c) for k, c in TEXTS.items()})
-    t = lambda k: F.col(f"t_{k}")
-    own = own.withColumn("full", F.concat_ws(" ", *[t(k) for k in TEXTS]))
     words = F.col("intent.tokens")
-    name, chunk = tokens_of_clean(t("name")), tokens_of_clean(t("chunk"))
-    pair = lambda a, b: F.concat(t(a), F.lit(" "), t(b))
-    own = own.withColumns(
-        {
-            "q2": ngrams(words, 2),
-            "q3": ngrams(words, 3),
-            "c2": F.concat(ngrams(name, 2), ngrams(chunk, 2), F.array(pair("colour", "article"), pair("usage", "article"))),
-            "c3": F.concat(ngrams(name, 3), ngrams(chunk, 3)),
-            "unigram": F.least(F.lit(1.0), F.size(F.array_intersect(stemmed_set(words), stemmed_set(tokens_of_clean(F.col("full"))))) / F.greatest(F.lit(1), F.size(words))),
-        }
-    )
-    full = F.col("full")
+    own = own.withColumns({"_q2": ngrams(words, 2), "_q3": ngrams(words, 3)})
     stems = lambda g: F.array_join(F.transform(F.split(g, " "), stem), " ")
-    found2 = F.filter("q2", lambda g: F.array_contains("c2", g) | F.contains(full, g) | F.contains(full, stems(g)))
-    found3 = F.filter("q3", lambda g: F.array_contains("c3", g) | F.contains(full, g))
-    own = own.withColumn("bigram", F.when(F.size("q2") > 0, F.size(found2) / F.size("q2")).otherwise(F.col("unigram")))
-    own = own.withColumn("trigram", F.when(F.size("q3") > 0, F.size(found3) / F.size("q3")).otherwise(F.col("bigram")))
-    exact = F.when(contains_word(full, F.col("intent.clean_query")), 1.0).otherwise(0.0)
-    target = lambda k: F.col(f"intent.{k}")
-    gender = F.trim(F.coalesce(F.col("gender"), F.lit(""))) if "gender" in rows.columns else F.lit("")
-    colour = F.lower(F.trim(F.coalesce(F.col("baseColour"), F.lit("")))) if "baseColour" in rows.columns else F.lit("")
-    own = own.withColumns(
+    features = F.struct(
+        F.col("intent.*"), F.size(words).alias("n"), stemmed_set(words).alias("words"), F.col("_q3").alias("trigrams"),
+        F.transform("_q2", lambda g: F.struct(g.alias("own"), stems(g).alias("stem"))).alias("bigrams"), F.col("_valid").alias("valid"), F.col("_excluded").alias("excluded"),
+    )
+    return own.withColumn(out_col, features).drop("_target", "_valid", "_excluded", "_q2", "_q3")
+
+
+def context_of(rows: DataFrame, p: str = "_p", q: str = "_q") -> DataFrame:
+    """All columns but the two structs of features, and ``context``: what only the pair of product and query decides."""
+    own, asked = (lambda k: F.col(f"{p}.{k}")), (lambda k: F.col(f"{q}.{k}"))
+    full = own("full")
+    found2 = F.filter(asked("bigrams"), lambda g: F.array_contains(own("bigrams"), g["own"]) | F.contains(full, g["own"]) | F.contains(full, g["stem"]))
+    found3 = F.filter(asked("trigrams"), lambda g: F.array_contains(own("trigrams"), g) | F.contains(full, g))
+    share = lambda found, of, otherwise: F.when(F.size(of) > 0, F.size(found) / F.size(of)).otherwise(otherwise)
+    rows = rows.withColumn("_unigram", F.least(F.lit(1.0), F.size(F.array_intersect(asked("words"), own("words"))) / F.greatest(F.lit(1), asked("n"))))
+    rows = rows.withColumn("_bigram", share(found2, asked("bigrams"), F.col("_unigram")))
+    rows = rows.withColumns(
         {
-            "exact": exact,
-            "g": gender_multiplier(target("target_gender"), gender),
-            "k": colour_multiplier(target("target_color"), target("color_shades"), colour, t("name"), t("chunk"), lexicon),
-            "c": category_multiplier(target("target_category"), F.col("_valid"), F.col("_excluded"), t("article"), t("sub"), t("master"), t("name")),
+            "_trigram": share(found3, asked("trigrams"), F.col("_bigram")),
+            "_exact": F.when(has_term(full, asked("clean_query")), 1.0).otherwise(0.0),
+            "_g": gender_multiplier(asked("target_gender"), own("gender")),
+            "_k": colour_multiplier(asked("target_color"), asked("color_shades"), own("colour"), own("families"), own("name"), own("chunk")),
+            "_c": category_multiplier(asked("target_category"), asked("valid"), asked("excluded"), own("near"), own("wide"), own("master"), own("dress")),
         }
     )
-    out = (F.col("g") == 0) | (F.col("k") == 0) | (F.col("c") == 0)
-    raw = 0.35 * F.col("unigram") + 0.35 * F.col("bigram") + 0.15 * F.col("trigram") + 0.15 * F.col("exact")
-    multiplier = F.col("g") * F.col("c") * F.col("k")
-    empty = F.size(words) == 0
+    out = (F.col("_g") == 0) | (F.col("_k") == 0) | (F.col("_c") == 0)
+    raw = 0.35 * F.col("_unigram") + 0.35 * F.col("_bigram") + 0.15 * F.col("_trigram") + 0.15 * F.col("_exact")
+    multiplier = F.col("_g") * F.col("_c") * F.col("_k")
+    empty = asked("n") == 0
     context = F.struct(
         F.when(empty, 0.5).when(out, 0.0).otherwise(clip(raw * multiplier)).alias("score"),
         (~empty & out).alias("is_disqualified"),
-        F.round("unigram", 3).alias("unigram_recall"),
-        F.round("bigram", 3).alias("bigram_score"),
-        F.round("trigram", 3).alias("trigram_score"),
-        (F.col("exact") == 1.0).alias("exact_match"),
-        F.col("g").alias("gender_multiplier"),
-        F.col("k").alias("color_multiplier"),
-        F.col("c").alias("category_multiplier"),
+        F.round("_unigram", 3).alias("unigram_recall"),
+        F.round("_bigram", 3).alias("bigram_score"),
+        F.round("_trigram", 3).alias("trigram_score"),
+        (F.col("_exact") == 1.0).alias("exact_match"),
+        F.col("_g").alias("gender_multiplier"),
+        F.col("_k").alias("color_multiplier"),
+        F.col("_c").alias("category_multiplier"),
         F.round(multiplier, 2).alias("context_multiplier"),
     )
-    return own.withColumn("context", context).drop(*[f"t_{k}" for k in TEXTS], "full", "q2", "q3", "c2", "c3", "unigram", "bigram", "trigram", "exact", "g", "k", "c", "_target", "_valid", "_excluded")
+    return rows.withColumn("context", context).drop(p, q, "_unigram", "_bigram", "_trigram", "_exact", "_g", "_k", "_c")
+
+
+def with_context_score(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """All columns and ``context``: recalls, multipliers, the score in [0, 1] and whether the row is disqualified.
+
+    Rows have ``intent`` (see parse_intent) and the product's columns; missing ones and nulls count as empty.  A query
+    without tokens scores 0.5.  For a whole catalog against many queries there is ``context_pairs``.
+    """
+    return context_of(with_query_features(with_product_features(rows, lexicon), lexicon))
+
+
+# -- a whole catalog against many queries, by an inverted index --------------------------------------------------------
+
+#: Up to so many keys of queries are sent to all tasks; more of them meet the index in a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def _pieces(text: Column) -> Column:
+    return F.filter(F.split(text, f"[^{WORD}]+"), lambda x: x != "")
+
+
+def _edge(before: Column, after: Column) -> Column:
+    """A key for two words next to each other: the last two letters of the one, a blank, the other."""
+    return F.concat(F.substring(before, -2, 2), F.lit(" "), after)
+
+
+def index_keys(p: str = "_p") -> Column:
+    """Keys of a product.  A query with tokens that has none of them scores 0.
+
+    A score above 0 needs a common word or stem, or the query in the text as whole words, so all pieces between its signs, or two of its words
+    next to each other: the first one ends a word of the text and the second one begins the next.  So keys are words, stems, pieces,
+    and for each two neighbours the end of the one with every beginning of the other.
+    """
+    words = F.split(F.col(f"{p}.full"), " ")
+
+    def beginnings(i: Column) -> Column:
+        before, after = F.get(words, i), F.get(words, i + 1)
+        lengths = F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(after)))
+        return F.transform(lengths, lambda n: _edge(before, F.substring(after, F.lit(1), n)))
+
+    neighbours = F.when(F.size(words) > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 2), beginnings))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(f"{p}.words", _pieces(F.col(f"{p}.full")), neighbours))
+
+
+def query_keys(q: str = "_q") -> Column:
+    two = lambda g: F.transform(F.array(g["own"], g["stem"]), lambda x: _edge(F.split(x, " ")[0], F.split(x, " ")[1]))
+    return F.array_distinct(F.concat(f"{q}.words", _pieces(F.col(f"{q}.clean_query")), F.flatten(F.transform(f"{q}.bigrams", two))))
+
+
+def context_features(products: DataFrame, lexicon: Lexicon = DEFAULT, id_col: str = "id") -> DataFrame:
+    """(id, _p): the features of a catalog, to be written once and asked often."""
+    return with_product_features(products, lexicon).select(F.col(id_col).alias("id"), "_p")
+
+
+def context_index(features: DataFrame) -> DataFrame:
+    """(key, id): the inverted index over features, to be written where many batches of queries ask it."""
+    return features.select(F.explode(index_keys()).alias("key"), "id")
+
+
+def context_pairs(features: DataFrame, queries: DataFrame, index: DataFrame | None = None, lexicon: Lexicon = DEFAULT, query_id: str = "query_id") -> DataFrame:
+    """(query_id, id, context) of the pairs of queries (query_id, intent) and products that have a key in common.
+
+    All other pairs score 0 and aren't formed.  Queries without tokens score 0.5 with everything and are left out.  Ids are unique; nulls
+    in texts count as empty.
+    """
+    asked = with_query_features(queries.where(F.size("intent.tokens") > 0).select(query_id, "intent"), lexicon).select(query_id, "_q")
+    wanted = asked.select(query_id, F.explode(query_keys()).alias("key"))
+    few = wanted.count() <= BROADCAST_KEYS
+    keys = context_index(features) if index is None else index
+    pairs = keys.join(F.broadcast(wanted) if few else wanted, "key").select("id", query_id).distinct()
+    met = pairs.join(features, "id").join(F.broadcast(asked) if few else asked, query_id)
+    return context_of(met)

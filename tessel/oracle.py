@@ -535,9 +535,9 @@ k AS (SELECT DISTINCT article AS category FROM products UNION ALL SELECT unnest(
     "product_chunks": f"WITH {CHUNKS} SELECT point_id, product_id, chunk_id, chunk_type, chunk_text FROM points",
     "chunk_type_counts": f"WITH {CHUNKS} SELECT chunk_type, count(*) AS n, avg(length(chunk_text))::DECIMAL(18, 4)::DOUBLE AS length FROM points GROUP BY chunk_type",
     "best_chunk_per_product": f"WITH {BEST} SELECT product_id, round(image_score, 6) AS image_score, round(text_score, 6) AS text_score, best_chunk FROM best",
-    "context_multipliers": f"{CONTEXT} SELECT query_id, id, g AS gender_multiplier, k AS color_multiplier, c AS category_multiplier FROM context",
+    "context_multipliers": f"{CONTEXT} SELECT query_id, id, g AS gender_multiplier, k AS color_multiplier, c AS category_multiplier FROM context WHERE len(tokens) > 0 AND (round(u, 3) > 0 OR round(b, 3) > 0)",
     "ngram_context_score": f"""{CONTEXT} SELECT query_id, id, round(ngram, 6) AS score, out AS is_disqualified, round(u, 3) AS unigram_recall, round(b, 3) AS bigram_score,
-  round(t, 3) AS trigram_score, e = 1 AS exact_match FROM context""",
+  round(t, 3) AS trigram_score, e = 1 AS exact_match FROM context WHERE len(tokens) > 0 AND ngram > 0""",
     "contextual_search": f"{by_query('text')} {SHOWN}",
     "contextual_gates": f"{by_query('text')} {gates('text')}",
     "contextual_search_image": f"{by_query('image')} {SHOWN}",

@@ -9,7 +9,7 @@ from tessel.functions import boxes, scores, text, vector
 from tessel.operators import chunks, context, contextual, domain, image_search, index, intent, ranking, search
 from tessel import providers
 from tessel.plans import build as plan
-from tessel.session import scratch, table
+from tessel.session import scratch, table, written
 from tessel.sources import catalog
 from tessel.streaming import build
 
@@ -284,20 +284,22 @@ def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog against all queries of the query table."""
+    """The catalog against all queries of the query table: the pairs that have something in common."""
     chunk = F.concat(F.lit("A photo of "), F.col("name"), F.lit("."))
-    return products(spark, sf_dir).withColumn("best_chunk", chunk).crossJoin(F.broadcast(intent.parse_intent(query_table(spark))))
+    features = written(context.context_features(products(spark, sf_dir).withColumn("best_chunk", chunk)))
+    return context.context_pairs(features, intent.parse_intent(query_table(spark)))
 
 
 def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = context.with_context_score(context_rows(spark, sf_dir))
+    rows = context_rows(spark, sf_dir).where(F.col("context.score") > 0)
     return rows.select(
         "query_id", "id", F.round("context.score", 6).alias("score"), "context.is_disqualified", "context.unigram_recall", "context.bigram_score", "context.trigram_score", "context.exact_match"
     )
 
 
 def multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = context.with_context_score(context_rows(spark, sf_dir))
+    """Of pairs that have a word, or two neighbours, in common."""
+    rows = context_rows(spark, sf_dir).where((F.col("context.unigram_recall") > 0) | (F.col("context.bigram_score") > 0))
     return rows.select("query_id", "id", *[F.col(f"context.{c}") for c in ("gender_multiplier", "color_multiplier", "category_multiplier")])
 
 

@@ -198,3 +198,23 @@ def test_image_floor_of_contextual_search(spark):
     report = {r.query_id: r for r in found.report.collect()}
     assert report[1].reason == "low_similarity_floor" and "0.30" in report[1].details and report[1].eliminated_count == 3
     assert [(r.query_id, r.id) for r in found.results.orderBy("rank").collect()] == [(2, 2), (2, 3)] and report[2].kept_count == 2
+
+
+def test_pairs_of_the_index_are_all_that_score(spark):
+    """Every pair of queries and products, scored one by one, against the pairs that the inverted index forms."""
+    goods = [
+        (1, "Red Dress for Women", "Dresses", "Red", "Women"), (2, "colored dresses", "Dresses", None, None), (3, "T-Shirt, blue", "Tshirts", "Blue", "Men"),
+        (4, "Plain shirt", "Shirts", "", "Men"), (5, "it's a men's tie", "Ties", "Black", "Men"), (6, None, None, None, None), (7, "x-y zed drum", "", "Navy", "Girls"), (8, "shoes", "Shoes", "blue", "Unisex"),
+    ]
+    table = spark.createDataFrame(goods, "id long, name string, articleType string, baseColour string, gender string")
+    asked = ["red dress", "ed dr", "shirt", "t-shirt blue", "dresses for women", "navy tie", "", "y", "a b", "--", "men s", "zed drums", "d dr", "shoe", "blue shoes running", "it's"]
+    rows = intent.parse_intent(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"))
+    every = context.with_context_score(table.crossJoin(rows)).where("size(intent.tokens) > 0 and context.score > 0")
+    facts = lambda df: sorted(str((r.query_id, r.id, r.context)) for r in df.collect())
+    want = facts(every)
+    features = context.context_features(table)
+    for index in (None, context.context_index(features)):
+        assert facts(context.context_pairs(features, rows, index).where("context.score > 0")) == want
+    substring = {(r.query_id, r.id) for r in every.where("context.unigram_recall = 0").collect()}
+    assert (1, 1) in substring and want  # a pair without a common word
+    assert context.context_pairs(features.limit(0), rows).count() == context.context_pairs(features, rows.limit(0)).count() == 0
