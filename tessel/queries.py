@@ -463,13 +463,14 @@ def pictures(rows: DataFrame, key: str) -> DataFrame:
 
 
 def index_built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Build the index of all products that have a picture, in two parts, and summarise it."""
+    """Build the index of all products that have a picture, in two parts, then those of some sizes again; a summary of each run."""
     folder = scratch(spark)
     files = pictures(table(spark, sf_dir, "part").where("p_size % 5 <> 0"), "p_partkey")
     ready = products(spark, sf_dir).drop("description")
     ready = plan.prepare_products(ready.withColumn("id", F.col("id").cast("string")), files)
-    found = plan.build_index(ready, folder, providers.HashedText(), providers.ColourImage(), parts=2)
-    return found.select("success", "indexed_count", "total_products", *[F.col(f"stats.{c}").alias(c) for c in ("unified", "image", "chunks")])
+    again = ready.join(table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("id")), "id", "left_semi")
+    runs = [plan.build_index(rows, folder, providers.HashedText(), providers.ColourImage(), parts=2).withColumn("run", F.lit(i).cast("long")) for i, rows in enumerate((ready, again))]
+    return runs[0].unionByName(runs[1]).select("run", "success", "indexed_count", "total_products", *[F.col(f"stats.{c}").alias(c) for c in ("unified", "image", "chunks")])
 
 
 def hashed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

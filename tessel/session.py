@@ -53,6 +53,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessel-{uuid.uuid4().hex}"
 
 
+def filesystem(spark: SparkSession, path: str):
+    """The file system of a path, as Spark reaches it, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the scratch folder: what is computed once and read several times."""
     path = scratch(df.sparkSession)

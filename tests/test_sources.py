@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessel import providers
 from tessel.plans import build as plan
+from tessel.plans import commits
 from tessel.sources import catalog
 from tessel.streaming import build
 
@@ -71,8 +73,56 @@ def test_index_build_versions_and_progress(spark, tmp_path):
     first = built(ready, parts=3, progress=lambda done, total: heard.append((done, total)))
     assert first.success and (first.indexed_count, first.stats.unified, first.stats.image) == (12, 24, 12) and heard[-1] == (12, 12) and heard == sorted(heard)
     again = built(ready.where("id < 1003").withColumn("usage", F.lit("Sports")))
-    assert again.stats == first.stats
+    assert (again.indexed_count, again.total_products) == (3, 3) and again.stats == first.stats  # this run's, and the whole index
     assert {r.usage for r in plan.open_table(spark, path, "image").where("product_id < 1003").collect()} == {"Sports"}
+    rows = lambda name: sorted(map(str, plan.open_table(spark, path, name).collect()))
+    before = {name: rows(name) for name in plan.TABLES}
+    plan.compact(spark, path)
+    assert {name: rows(name) for name in plan.TABLES} == before and len(commits.committed(spark, path)[1]) == 1
+    assert {f.name for f in (tmp_path / "index" / "image").iterdir()} == {f"build={commits.committed(spark, path)[1][0]}"}
     assert built(ready.where("id < 1002"), clear_existing=True).stats.image == 2
     none = built(ready.limit(0))
-    assert not none.success and none.error and none.stats.image == 0
+    assert not none.success and none.error and none.indexed_count == 0 and none.stats.image == 2
+    commits.reset(spark, path)
+    assert built(ready.limit(0)).stats.image == 0 and not list((tmp_path / "index" / "image").iterdir())
+
+
+class Failing(providers.HashedText):
+    """Fails on a title, after other rows have been encoded."""
+
+    def encode(self, text):
+        return F.when(text.contains("rare word"), F.raise_error(F.lit("no vector")).cast("array<float>")).otherwise(super().encode(text))
+
+
+def test_a_build_that_fails_leaves_the_index_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(i, f"title {i}", "Men", "Apparel", "Topwear", "Shirts", "Blue", "Summer", "2012", "Casual") for i in range(1, 9)]
+    names = "id long, name string, gender string, masterCategory string, subCategory string, articleType string, baseColour string, season string, year string, usage string"
+    ready = spark.createDataFrame(rows, names).withColumns({"productDisplayName": F.col("name"), "description": F.lit(""), "image": F.lit(None).cast("struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")})
+    plan.build_index(ready, path, providers.HashedText(), providers.ColourImage(), parts=2)
+    before = sorted(map(str, plan.open_table(spark, path, "chunks").collect()))
+    bad = ready.withColumn("usage", F.when(F.col("id") == 5, "rare word").otherwise("Party"))  # its chunks can't be encoded
+    heard = []
+    with pytest.raises(Exception, match="no vector"):
+        plan.build_index(bad, path, Failing(), providers.ColourImage(), parts=8, progress=lambda *x: heard.append(x))
+    assert heard  # some parts were done
+    assert sorted(map(str, plan.open_table(spark, path, "chunks").collect())) == before
+    left = commits.vacuum(spark, path)
+    assert left and sorted(map(str, plan.open_table(spark, path, "chunks").collect())) == before
+
+
+def test_commits_that_race_keep_both_builds(spark, tmp_path):
+    path, once = str(tmp_path / "x"), []
+
+    def late(builds):
+        if not once:  # another one comes in between
+            once.append(commits.commit(spark, path, lambda b: [*b, "00000001-b"]))
+        return [*builds, "00000001-a"]
+
+    commits.create_if_absent(spark, path)
+    commits.create_if_absent(spark, path)
+    assert commits.committed(spark, path) == (0, [])
+    assert commits.commit(spark, path, late) == ["00000001-b", "00000001-a"] and commits.committed(spark, path)[0] == 2
+    assert commits.versions(spark, path, "image") is None
+    with pytest.raises(ValueError):
+        plan.open_table(spark, path, "image")
