@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.functions.text import clean_text, let, stem, stem_of, tokens_of_clean, word_pattern
+from tessel.functions.text import WORD, clean_text, let, stem, stem_of, tokens_of_clean, word_pattern
 from tessel.plans import lexicon as lx
 from tessel.plans.lexicon import DEFAULT, Lexicon
 
@@ -46,25 +47,80 @@ def off_domain_term(q: Column) -> Column:
     return F.when(~about, first_named(q, [(t, [t]) for t in sorted(lx.OFF_DOMAIN, key=lambda t: (-len(t), t))]))
 
 
+def intent_struct(q: Column, category: Column, gender: Column, colour: Column, term: Column, lexicon: Lexicon) -> Column:
+    return F.struct(
+        category.alias("target_category"),
+        gender.alias("target_gender"),
+        colour.alias("target_color"),
+        shades_of(colour, lexicon).alias("color_shades"),
+        term.isNotNull().alias("is_non_fashion_query"),
+        term.alias("non_fashion_term"),
+        tokens_of_clean(q).alias("tokens"),
+        q.alias("clean_query"),
+    )
+
+
 def parse_intent(queries: DataFrame, text_col: str = "query", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """All columns and ``intent``: category, gender (implied by some categories), colour, shades, off-domain term, tokens."""
     q = F.lower(clean_text(F.col(text_col)))
     parsed = queries.withColumn("_q", q).withColumns({"_category": category_of(F.col("_q"), lexicon), "_colour": colour_of(F.col("_q"))})
     implied = F.when(F.col("_category").isin(*lx.WOMEN_BY_DEFAULT), F.lit("Women"))
     term = off_domain_term(F.col("_q"))
-    intent = F.struct(
-        F.col("_category").alias("target_category"),
-        F.coalesce(gender_of(F.col("_q")), implied).alias("target_gender"),
-        F.col("_colour").alias("target_color"),
-        shades_of(F.col("_colour"), lexicon).alias("color_shades"),
-        term.isNotNull().alias("is_non_fashion_query"),
-        term.alias("non_fashion_term"),
-        tokens_of_clean(F.col("_q")).alias("tokens"),
-        F.col("_q").alias("clean_query"),
-    )
+    intent = intent_struct(F.col("_q"), F.col("_category"), F.coalesce(gender_of(F.col("_q")), implied), F.col("_colour"), term, lexicon)
     return parsed.withColumn("intent", intent).drop("_q", "_category", "_colour")
 
 
+# -- many texts, by an equi-join with the terms -----------------------------------------------------------------------
+
+
+def term_table(spark: SparkSession, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(term, kind, place, name): all terms that an intent looks for; of several of a kind the one with the smallest place counts."""
+    kinds = {
+        "category": [(c.name, c.terms) for c in lexicon.by_priority()],
+        "gender": list(lx.GENDER_WORDS.items()),
+        "colour": [(c, [c]) for c in lx.QUERY_COLOURS],
+        "off": [(t, [t]) for t in sorted(lx.OFF_DOMAIN, key=lambda t: (-len(t), t))],
+    }
+    rows = [(term, kind, place, name) for kind, named in kinds.items() for place, (name, terms) in enumerate(named) for term in dict.fromkeys(terms)]
+    return spark.createDataFrame(rows, "term string, kind string, place int, name string")
+
+
+def pieces_of(term: str) -> int:
+    return len(re.findall(r"\w+", term))
+
+
+def phrases(q: Column, most: int) -> Column:
+    """All runs of up to ``most`` pieces (letters, digits, _) of a text, with what stands between them; each once."""
+    words, between = F.regexp_extract_all(q, F.lit(f"([{WORD}]+)")), F.split(q, f"[{WORD}]+")
+
+    def runs(n: int) -> Column:
+        def run(i: Column) -> Column:
+            return F.concat(F.get(words, i), *[x for k in range(1, n) for x in (F.get(between, i + k), F.get(words, i + k))])
+
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), run)).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(runs, range(1, most + 1))))
+
+
+def parse_intents(queries: DataFrame, key: str, text_col: str = "query", lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """``parse_intent`` for many texts: their phrases meet the table of terms in a hash join, and no pattern is tried on any of them.
+
+    ``key`` is unique and not null.  A term counts as whole words, so it is a run of pieces of the text; rows without one don't
+    meet anything.  Null texts are empty.
+    """
+    terms = term_table(queries.sparkSession, lexicon)
+    most = max(map(pieces_of, [t for c in lexicon.categories for t in c.terms] + [t for ts in (*lx.GENDER_WORDS.values(), lx.QUERY_COLOURS, lx.OFF_DOMAIN) for t in ts]))
+    asked = queries.withColumn("_q", F.lower(clean_text(F.col(text_col))))
+    met = asked.select(F.col(key).alias("_key"), F.explode(phrases(F.col("_q"), most)).alias("term")).join(F.broadcast(terms), "term")  # the lexicon bounds it
+    found = met.groupBy("_key").agg(*[F.min(F.when(F.col("kind") == k, F.struct("place", "name")))["name"].alias(f"_{k}") for k in ("category", "gender", "colour", "off")])
+    rows = asked.join(found, asked[key] == found["_key"], "left")
+    about = F.exists(F.array(*map(F.lit, lx.IN_DOMAIN)), lambda word: F.contains(F.col("_q"), word))
+    term = F.when(F.col("_off").isNotNull(), F.when(~about, F.col("_off")))
+    implied = F.when(F.col("_category").isin(*lx.WOMEN_BY_DEFAULT), F.lit("Women"))
+    intent = intent_struct(F.col("_q"), F.col("_category"), F.coalesce("_gender", implied), F.col("_colour"), term, lexicon)
+    return rows.withColumn("intent", intent).drop("_q", "_key", "_category", "_gender", "_colour", "_off")
+
+
 def entry_array(lexicon: Lexicon) -> Column:
     """The lexicon as one literal array, in its order."""
     strings = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")

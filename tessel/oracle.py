@@ -134,7 +134,12 @@ def case(pairs: Iterable[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in pairs) + " END"
 
 
-def intent_ctes() -> str:
+ASKED = f"""queries(query_id, query) AS (
+  SELECT 'c/' || conv_id || '/' || turn, text FROM conversations
+  UNION ALL SELECT 'p/' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN t ELSE t || ' ' || p_name END FROM (SELECT *, {listed(QUERY_TEXTS)}[p_partkey % {len(QUERY_TEXTS)} + 1] AS t FROM part))"""
+
+
+def intent_ctes(source: str = QUERIES_TABLE) -> str:
     category = case((has_word("q", *c.terms), quoted(c.name)) for c in DEFAULT.by_priority())
     gender = case((has_word("q", *ws), quoted(g)) for g, ws in lx.GENDER_WORDS.items())
     colour = case((has_word("q", c), quoted(c)) for c in lx.QUERY_COLOURS)
@@ -142,7 +147,7 @@ def intent_ctes() -> str:
     off = case((has_word("q", t), quoted(t)) for t in sorted(lx.OFF_DOMAIN, key=lambda t: (-len(t), t)))
     shades = case((f"target_color = {quoted(k)}", listed(sorted({*v, k}))) for k, v in DEFAULT.colours.items())
     women = ", ".join(map(quoted, lx.WOMEN_BY_DEFAULT))
-    return f"""{QUERIES_TABLE},
+    return f"""{source},
 cleaned AS (SELECT *, lower({clean('query')}) AS q FROM queries),
 parsed AS (
   SELECT *, {category} AS target_category, {gender} AS stated, {colour} AS target_color,
@@ -522,11 +527,11 @@ FROM r JOIN d ON d.image_id = r.image_id AND (source = 'original') = stays""",
     "json_extract": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events",
     "json_descriptions": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS description FROM part",
     "request_parse": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS query, CASE WHEN event_id % 5 = 0 THEN 10 ELSE event_id % 20 END AS top_k FROM events",
-    "query_intent": f"""WITH {intent_ctes()} SELECT query_id, query, target_category, target_gender, target_color, array_to_string(shades, '|') AS shades,
+    "query_intent": f"""WITH {intent_ctes(ASKED)} SELECT query_id, target_category, target_gender, target_color, array_to_string(shades, '|') AS shades,
   non_fashion_term IS NOT NULL AS is_non_fashion_query, non_fashion_term, array_to_string(tokens, '|') AS tokens FROM intents""",
-    "prompt_templates": f"""WITH {QUERIES_TABLE}, {LEXICON}, {lookup('lq', 'SELECT lower(trim(query)) AS c FROM queries')},
-p AS (SELECT query_id, trim(query) AS q, list_filter(synonyms, lambda y: NOT contains(lower(trim(query)), y))[1:2] AS also, context FROM queries LEFT JOIN lq ON c = lower(trim(query)))
-SELECT query_id, CASE WHEN q = '' THEN 'fashion item' ELSE array_to_string({parts("q", "'a photo of ' || q", "'a close-up photo of ' || q", "q || ', stylish fashion apparel product'",
+    "prompt_templates": f"""WITH {ASKED}, {LEXICON}, {lookup('lq', 'SELECT lower(trim(query)) AS c FROM queries')},
+p AS (SELECT DISTINCT query, trim(query) AS q, list_filter(synonyms, lambda y: NOT contains(lower(trim(query)), y))[1:2] AS also, context FROM queries LEFT JOIN lq ON c = lower(trim(query)))
+SELECT query, CASE WHEN q = '' THEN 'fashion item' ELSE array_to_string({parts("q", "'a photo of ' || q", "'a close-up photo of ' || q", "q || ', stylish fashion apparel product'",
     "CASE WHEN len(also) > 0 THEN 'a photo of ' || q || ', also known as ' || array_to_string(also, ', ') END", "q || ', ' || context")}, '|') END AS prompts FROM p""",
     "lexicon_lookup": f"""WITH {LEXICON}, {PRODUCTS},
 k AS (SELECT DISTINCT article AS category FROM products UNION ALL SELECT unnest(['Jeans', 'Sports Shoes', 'Running Shoes', 'steel bolt', 'Dress', 'Watches', '', 'Denim', 'Sweatshirts'])),

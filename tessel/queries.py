@@ -214,15 +214,25 @@ def query_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(QUERY_TEXTS)), "query_id long, query string")
 
 
+def asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): what is said in conversations, and the names of products, every second one after a query of the list."""
+    said = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lit("c"), "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    before = F.element_at(F.array(*map(F.lit, QUERY_TEXTS)), (F.col("p_partkey") % len(QUERY_TEXTS) + 1).cast("int"))
+    named = table(spark, sf_dir, "part").select(F.concat_ws("/", F.lit("p"), "p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, before).otherwise(F.concat_ws(" ", before, "p_name")).alias("query"))
+    return said.unionByName(named)
+
+
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = intent.parse_intent(query_table(spark)).select("query_id", "query", "intent.*")
+    i = intent.parse_intents(asked_texts(spark, sf_dir), "query_id").select("query_id", "intent.*")
     return i.select(
-        "query_id", "query", "target_category", "target_gender", "target_color", F.array_join("color_shades", "|").alias("shades"), "is_non_fashion_query", "non_fashion_term", F.array_join("tokens", "|").alias("tokens")
+        "query_id", "target_category", "target_gender", "target_color", F.array_join("color_shades", "|").alias("shades"), "is_non_fashion_query", "non_fashion_term", F.array_join("tokens", "|").alias("tokens")
     )
 
 
 def prompt_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_table(spark).select("query_id", F.array_join(intent.prompts(F.col("query")), "|").alias("prompts"))
+    """Phrasings of each different text."""
+    rows = asked_texts(spark, sf_dir).select("query").distinct()
+    return rows.select("query", F.array_join(intent.prompts(F.col("query")), "|").alias("prompts"))
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,3 +218,13 @@ def test_pairs_of_the_index_are_all_that_score(spark):
     substring = {(r.query_id, r.id) for r in every.where("context.unigram_recall = 0").collect()}
     assert (1, 1) in substring and want  # a pair without a common word
     assert context.context_pairs(features.limit(0), rows).count() == context.context_pairs(features, rows.limit(0)).count() == 0
+
+
+def test_intents_by_a_join_are_those_by_patterns(spark):
+    asked = [*queries.QUERY_TEXTS, None, "T-SHIRT'S dress-shirt", "a  polo-shirt,v-neck", "red-dress", "navy blue's", "running_shoes", "<b>Tie</b> dye", "dog dog's", "hot dog; ball", "-", "track  pants", "men's t-shirts & women", "étui red", "x dress y shirt z hoodie coat"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    facts = lambda df: sorted(str((r.query_id, r.query, r.intent)) for r in df.select("query_id", "query", "intent").collect())
+    assert facts(intent.parse_intents(rows, "query_id")) == facts(intent.parse_intent(rows))
+    assert intent.parse_intents(rows.limit(0), "query_id").count() == 0
+    own = Lexicon.from_rows([("mugs", ("coffee mug set", "mug"), "kitchen")])
+    assert facts(intent.parse_intents(rows, "query_id", lexicon=own)) == facts(intent.parse_intent(rows, lexicon=own))
