@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,38 @@ def retrieve(points: DataFrame, ids: DataFrame, key: str = "point_id") -> DataFr
     return points.join(ids.select(key).distinct(), key, "left_semi")
 
 
+#: Folders of a table that is dealt by product.
+BUCKETS = 64
+
+
+def bucket(product: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(product), F.lit(buckets)).cast("int")
+
+
+def write_points(points: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A table of points (point_id, product_id) for lookups: a folder for each bucket of products, sorted by point.
+
+    Both points of a product share a bucket, and a few ids need a few folders.
+    """
+    dealt = points.withColumn("bucket", bucket(F.col("product_id"), buckets))
+    dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "point_id").write.partitionBy("bucket").parquet(path)
+
+
+def points_near(spark: SparkSession, path: str, ids: DataFrame, product_of: Column, buckets: int = BUCKETS) -> DataFrame:
+    """Those folders of ``write_points`` that may have the wanted products; the driver learns the numbers of the folders alone."""
+    wanted = [r[0] for r in ids.where(product_of.isNotNull()).select(bucket(product_of, buckets)).distinct().collect()]
+    return spark.read.parquet(path).where(F.col("bucket").isin(wanted)).drop("bucket")
+
+
+def lookup(spark: SparkSession, path: str, ids: DataFrame, key: str = "point_id", buckets: int = BUCKETS) -> DataFrame:
+    """``retrieve`` from a table of ``write_points``: by point_id, or by product_id for all points of a product.
+
+    Ids that aren't there, null and repeated ones give no row more.
+    """
+    product = F.col(key) if key == "product_id" else F.expr(f"{key} div 2")
+    return retrieve(points_near(spark, path, ids, product, buckets), ids, key)
+
+
 def stats(**tables: DataFrame) -> DataFrame:
     """(collection, n) for each named table."""
     counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n") for name, t in tables.items()]

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.session import written
+
 
 @dataclass(frozen=True)
 class Cliff:
@@ -52,9 +54,37 @@ def cut_at_cliff(rows: DataFrame, score_col: str, mode: str, rule: Cliff = Cliff
     return kept.withColumn("rank", F.col("_i") + 1).drop("_s", "_i", "_next", "_top", "_gap", "_stop", "_end")
 
 
+def _above_floor_whole(rows: DataFrame, rule: Cliff, mode: str, score: Column, ties: list[Column]) -> DataFrame:
+    """``_above_floor`` for one list of any length, without a task that sees it whole.
+
+    Rows are dealt to ranges of the order and numbered within each; how many rows the ranges before have, and what the next range
+    begins with, follows from one small row for each range.
+    """
+    valid = rows.withColumn("_s", F.when((score > 0) & (score >= rule.floor(mode)), score)).where(F.col("_s").isNotNull())
+    ranged = written(valid.repartitionByRange(F.desc("_s"), *ties).withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy("_range").orderBy(F.desc("_s"), *ties)
+    ranges = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.max("_s").alias("_first"))
+    along = Window.orderBy("_range")  # a row for each range
+    ranges = ranges.select("_range", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.lead("_first").over(along).alias("_after"), F.max("_first").over(Window.partitionBy()).alias("_top"))
+    marked = ranged.withColumns({"_i": F.row_number().over(within) - 1, "_next": F.lead("_s").over(within)}).join(F.broadcast(ranges), "_range")
+    marked = marked.withColumns({"_i": F.col("_i") + F.col("_before"), "_next": F.coalesce("_next", "_after")})
+    least = F.greatest(F.lit(rule.floor(mode)), F.col("_top") * rule.least_ratio)
+    gap = (F.col("_s") - F.col("_next") >= rule.gap) & (F.col("_i") >= 1)
+    stop = F.coalesce(gap | ((F.col("_next") < least) & (F.col("_i") >= 2)), F.lit(False))
+    marked = marked.withColumns({"_gap": gap, "_stop": stop})
+    ends = marked.agg(F.min(F.when(F.col("_stop"), F.col("_i"))).alias("_end"))
+    return marked.crossJoin(F.broadcast(ends))  # one row
+
+
 def cliff_report(rows: DataFrame, score_col: str, mode: str, rule: Cliff = Cliff(), keys: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each list: candidates, kept and eliminated rows, and the gap if one ended the list."""
-    marked = _above_floor(rows, rule, mode, F.col(score_col), list(keys), list(map(F.col, ties)))
+    """One row for each list: candidates, kept and eliminated rows, and the gap if one ended the list.
+
+    Without keys the rows are one list, which may be of any length; ``ties`` must then make its order total.
+    """
+    if keys:
+        marked = _above_floor(rows, rule, mode, F.col(score_col), list(keys), list(map(F.col, ties)))
+    else:
+        marked = _above_floor_whole(rows, rule, mode, F.col(score_col), list(map(F.col, ties)))
     at_end = F.col("_i") == F.col("_end")
     found = marked.groupBy(*keys).agg(
         F.count("*").alias("valid"),

@@ -1,7 +1,7 @@
 """Vector search over product points, and fusion of image and title hits.
 
 Points are (point_id, vector) with product = point_id div 2 and type = point_id mod 2 (0 image, 1 title).  One query is a
-one-row table and is broadcast; a batch of queries is broadcast in blocks of a checked size, and the points stream past.
+one-row table and is broadcast; a batch of queries is broadcast if its size allows, and the points stream past; else both meet in a grid.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from tessel.session import ship
 
 #: Bytes of query vectors that are broadcast at once.
 QUERY_BYTES = 64_000_000
+#: Parts in which what tasks have found for a query is merged first.
+MERGES = 16
 
 
 def scored(points: DataFrame, query: DataFrame, id_col: str = "point_id", vector_col: str = "vector") -> DataFrame:
@@ -54,6 +56,13 @@ class Best:
         if self.waiting > 4 * self.k * len(self.floor) + 1_000_000:
             self.settle()
 
+    def meet(self, queries: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
+        """All queries with these points, in slices that bound the matrix of scores."""
+        if len(queries) and len(ids):
+            step = max(1, 4_000_000 // len(points))
+            for a in range(0, len(queries), step):
+                self.add(a, queries[a : a + step] @ points.T, ids)
+
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, score, id) of the best, ordered."""
         query, score, ids = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, "i8"), np.zeros(0), np.zeros(0, "i8"))
@@ -78,41 +87,68 @@ def batch_top_hits(
 ) -> DataFrame:
     """(query_id, point_id, score, rank): the k best points of each query (query_id, query), in double precision.
 
-    The queries are broadcast in blocks whose size is counted first, and points stream past them: a task keeps the k best
-    of each query, so k rows for each task and query are shuffled.  One block, the usual case, is one scan of the points;
-    more queries take one scan for each ``block_bytes`` of vectors.  Rows without a vector take no part.
+    Up to ``block_bytes`` of query vectors, counted first, are broadcast, and points stream past them in one scan: a task keeps the k
+    best of each query.  More of them meet the points in a grid (see ``grid_top_hits``).  Either way the k best of each task or cell are
+    merged in two levels.  Rows without a vector take no part.
     """
     spark = points.sparkSession
     ship(spark)
     asked = queries.where(F.col("query").isNotNull()).select(F.col("query_id"), F.col("query").cast("array<double>").alias("query"))
     size = asked.agg(F.coalesce(F.sum(8 * F.size("query")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // block_bytes))
     rows = points.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("point_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    if size > block_bytes:
+        return grid_top_hits(rows, asked, k, block_bytes)
+    shared = spark.sparkContext.broadcast(asked.toArrow())  # block_bytes at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        names, q = table["query_id"], matrix_of(table["query"].combine_chunks())
+        best = Best(len(q), k)
+        for batch in batches:
+            best.meet(q, batch.column(0).to_numpy(), matrix_of(batch.column(1)))
+        yield found_rows(best, names)
+
+    found = rows.mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, point_id long, score double")
+    return merged(found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGES))), k)
+
+
+def found_rows(best: Best, names: pa.ChunkedArray) -> pa.RecordBatch:
+    query, score, ids = best.settle()
+    return pa.RecordBatch.from_arrays([names.take(pa.array(query)).combine_chunks(), pa.array(ids), pa.array(score)], ["query_id", "point_id", "score"])
 
-    def past(number: int) -> DataFrame:
-        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        shared = spark.sparkContext.broadcast(own.toArrow())  # block_bytes in expectation
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            names, q = table["query_id"], matrix_of(table["query"].combine_chunks())
-            best = Best(len(q), k)
-            for batch in batches:
-                if len(q) and len(batch):
-                    ids, own = batch.column(0).to_numpy(), matrix_of(batch.column(1))
-                    step = max(1, 4_000_000 // len(own))
-                    for a in range(0, len(q), step):
-                        best.add(a, q[a : a + step] @ own.T, ids)
-            query, score, ids = best.settle()
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)).combine_chunks(), pa.array(ids), pa.array(score)], ["query_id", "point_id", "score"])
-
-        return rows.mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, point_id long, score double")
-
-    found = past(0)
-    for i in range(1, blocks):
-        found = found.unionByName(past(i))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best of (query_id, point_id, score) with their rank: first of each ``part``, so no task sees what all have found."""
+    best = lambda *keys: Window.partitionBy("query_id", *keys).orderBy(F.desc("score"), "point_id")
+    some = found.withColumn("rank", F.row_number().over(best("part"))).where(F.col("rank") <= k).drop("part")
+    return some.withColumn("rank", F.row_number().over(best())).where(F.col("rank") <= k)
+
+
+def grid_top_hits(points: DataFrame, queries: DataFrame, k: int, block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """``batch_top_hits`` for any number of queries (query_id, query) and points (point_id, vector): none of them passes the driver.
+
+    Queries and points are dealt into blocks of some ``block_bytes``; a cell of the grid is a task that gets one block of each.  So
+    queries are copied once for each block of points and points once for each block of queries, and a cell needs two blocks of memory.
+    """
+    ship(points.sparkSession)
+    bytes_of = lambda df, c: int(df.agg(F.coalesce(F.sum(8 * F.size(c)), F.lit(0))).first()[0])
+    across, down = (max(1, -(-bytes_of(df, c) // block_bytes)) for df, c in ((queries, "query"), (points, "vector")))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "query", dealt("query_id", across).alias("q"), every(down).alias("p"))
+    p = points.select("point_id", "vector", dealt("point_id", down).alias("p"), every(across).alias("q"))
+
+    def cell(asked: pa.Table, own: pa.Table) -> pa.Table:
+        names, best = asked["query_id"], Best(asked.num_rows, k)
+        rows = matrix_of(asked["query"].combine_chunks())
+        for batch in own.to_batches(max_chunksize=10_000):
+            best.meet(rows, batch["point_id"].to_numpy(), matrix_of(batch["vector"]))
+        out = found_rows(best, names)
+        part = pa.array([own["p"][0].as_py() % MERGES if own.num_rows else 0] * out.num_rows, pa.int32())
+        return pa.Table.from_batches([out]).append_column("part", part)
+
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, point_id long, score double, part int"
+    return merged(q.groupBy("q", "p").cogroup(p.groupBy("q", "p")).applyInArrow(cell, schema), k)
 
 
 def split_points(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -497,6 +497,18 @@ t AS (SELECT label, count(*) AS total FROM l GROUP BY label),
 k AS (SELECT t.*, a.*, least(coalesce(last + 1, coalesce(valid, 0)), coalesce(valid, 0), {RULE.most}) AS kept FROM t LEFT JOIN a ON a.label = t.label)
 SELECT label, total AS total_candidates, kept AS kept_count, total - kept AS eliminated_count, gap_rank IS NOT NULL AS gap_detected, gap_rank, gap_size,
   CASE WHEN coalesce(valid, 0) = 0 THEN 'all_below_quality_or_incompatible' END AS reason FROM k""",
+    "cliff_whole_list": f"""WITH {scored()},
+l AS (SELECT point_id, round(score + 0.2::DOUBLE, 4) AS score FROM s),
+v AS (
+  SELECT *, row_number() OVER w - 1 AS i, lead(score) OVER w AS nxt, first(score) OVER w AS top FROM l WHERE score > 0 AND score >= {RULE.text_floor} WINDOW w AS (ORDER BY score DESC, point_id)),
+e AS (
+  SELECT *, score - nxt >= 0.004::DOUBLE AND i >= 1 AS gap, (score - nxt >= 0.004::DOUBLE AND i >= 1) OR (nxt < greatest({RULE.text_floor}::DOUBLE, top * 0.5::DOUBLE) AND i >= 2) AS stop FROM v),
+x AS (SELECT *, min(CASE WHEN stop THEN i END) OVER () AS last FROM e),
+a AS (
+  SELECT count(*) AS valid, min(last) AS last, max(CASE WHEN i = last AND gap THEN i + 1 END) AS gap_rank, max(CASE WHEN i = last AND gap THEN round(score - nxt, 4) END) AS gap_size FROM x),
+k AS (SELECT *, (SELECT count(*) FROM l) AS total, least(coalesce(last + 1, valid), valid, 10) AS kept FROM a)
+SELECT total AS total_candidates, kept AS kept_count, total - kept AS eliminated_count, gap_rank IS NOT NULL AS gap_detected, gap_rank, gap_size,
+  CASE WHEN total = 0 THEN 'empty_input' WHEN valid = 0 THEN 'all_below_quality_or_incompatible' END AS reason FROM k""",
     "image_floor_gate": f"""WITH {scored()}, r AS (SELECT product_id, round(image, 6) AS image_score, product_id < 40 AS part FROM both_sides)
 SELECT product_id, image_score FROM (SELECT *, max(image_score) OVER (PARTITION BY part) AS top FROM r) WHERE top >= 0.38""",
     "ensemble_mean_vector": """WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS x FROM embeddings),
@@ -593,3 +605,4 @@ SELECT image_id, box_index, CASE WHEN (r - l) * (m - t) < 0.95 * width * height
 SELECT image_id, NOT seen AND entity IS NOT NULL AS detector_ood, NOT seen AND entity IS NULL AS needs_label, CASE WHEN NOT seen THEN entity END AS entity, has_inside FROM dr""",
     "salient_box": f"WITH {SKETCHES} SELECT image_id, CASE WHEN k % 11 <> 0 AND stands_out THEN concat_ws(',', s0, s1, s2, s3) END AS box FROM sk",
 }
+ORACLE_SQL["grid_query_topk"] = ORACLE_SQL["batch_query_topk"]

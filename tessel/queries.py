@@ -71,7 +71,10 @@ def grouped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, q = points_of(spark, sf_dir), query_vector(spark, sf_dir)
     hits = search.top_hits(points, q, 100).withColumn("product_id", F.expr("point_id div 2")).withColumn("is_title", F.col("point_id") % 2 == 1)
-    rows = search.fill_counterparts(search.group_hits(hits), points, q)
+    grouped, folder = written(search.group_hits(hits)), scratch(spark)
+    index.write_points(points, folder)
+    missing = grouped.where("image_score is null or title_score is null")
+    rows = search.fill_counterparts(grouped, index.points_near(spark, folder, missing, F.col("product_id")), q)
     return rows.select("product_id", *[F.round(c, 6).alias(c) for c in ("image_score", "title_score")])
 
 
@@ -125,6 +128,21 @@ def cliff_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as one list."""
+    rows = label_lists(spark, sf_dir)
+    return ranking.cliff_report(rows, "score", "text", ranking.Cliff(gap=0.004), ties=("point_id",)).drop("top_score")
+
+
+def grid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``batch_query_topk`` finds, by the grid of blocks."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
+    points = rows.select(F.col("vec_id").alias("point_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = search.grid_top_hits(points, asked, 10, block_bytes=1 << 18)
+    return found.select("query_id", "point_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def floor_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = similarities(spark, sf_dir).select("product_id", F.round("image", 6).alias("image_score"))
     return search.image_floor(rows.where(F.col("product_id") < 40)).unionByName(search.image_floor(rows.where(F.col("product_id") >= 40)))
@@ -446,7 +464,9 @@ def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "part").select((F.col("p_partkey") * 7).alias("point_id"))
-    return index.retrieve(points_of(spark, sf_dir), ids).select("point_id", "product_id", "is_title")
+    folder = scratch(spark)
+    index.write_points(points_of(spark, sf_dir), folder)
+    return index.lookup(spark, folder, ids).select("point_id", "product_id", "is_title")
 
 
 def valid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,6 +566,7 @@ QUERIES = {
     "dot_topk": dot_topk,
     "l2_norm_check": norms,
     "batch_query_topk": batch_topk,
+    "grid_query_topk": grid_topk,
     "group_modality_scores": grouped_hits,
     "counterpart_fill": counterparts,
     "near_identical_rule": near_identical,
@@ -553,6 +574,7 @@ QUERIES = {
     "blend_scores": blended,
     "cliff_cutoff": cliff_cut,
     "cliff_metadata": cliff_facts,
+    "cliff_whole_list": whole_list,
     "image_floor_gate": floor_gate,
     "ensemble_mean_vector": ensemble,
     "zero_shot_softmax": zero_shot,

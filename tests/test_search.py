@@ -228,3 +228,45 @@ def test_intents_by_a_join_are_those_by_patterns(spark):
     assert intent.parse_intents(rows.limit(0), "query_id").count() == 0
     own = Lexicon.from_rows([("mugs", ("coffee mug set", "mug"), "kitchen")])
     assert facts(intent.parse_intents(rows, "query_id", lexicon=own)) == facts(intent.parse_intent(rows, lexicon=own))
+
+
+def test_a_grid_finds_what_a_broadcast_finds(spark):
+    """Also with ties, queries of several blocks, and rows without vectors."""
+    rows = spark.range(300).select(F.col("id").alias("point_id"), F.array(F.col("id") % 7, F.col("id") % 5, F.lit(1)).cast("array<double>").alias("vector"))
+    rows = rows.unionByName(spark.createDataFrame([(900, None)], "point_id long, vector array<double>"))
+    asked = spark.range(40).select(F.concat(F.lit("q"), "id").alias("query_id"), F.array(F.col("id") % 3, -(F.col("id") % 4), F.lit(0.5)).cast("array<double>").alias("query"))
+    facts = lambda df: sorted((r.query_id, r["rank"], r.point_id, r.score) for r in df.collect())
+    want = facts(search.batch_top_hits(rows, asked, 6))
+    assert len(want) == 240 and facts(search.batch_top_hits(rows, asked, 6, block_bytes=200)) == want
+    assert facts(search.grid_top_hits(rows.where("vector is not null"), asked, 6, 10**9)) == want
+    assert search.batch_top_hits(rows.limit(0), asked, 6, block_bytes=200).count() == 0
+
+
+def test_a_long_list_without_keys(spark):
+    """One list in ranges against the same list in one window, with gaps at and across the bounds of ranges."""
+    import random
+
+    rng = random.Random(4)
+    for case in range(4):
+        scores_ = sorted((round(0.3 + rng.random() * 0.6, 3) for _ in range(60)), reverse=True)
+        if case == 1:
+            scores_ = [x + 0.2 if i < 30 else x for i, x in enumerate(scores_)]
+        rows = spark.createDataFrame([(i, s, 1) for i, s in enumerate(scores_ if case < 3 else [0.1, 0.2])], "id long, score double, one int").repartition(5)
+        rule = ranking.Cliff(gap=(0.12, 0.15, 0.02, 0.12)[case])
+        whole = ranking.cliff_report(rows, "score", "text", rule, ties=("id",)).collect()
+        assert whole == ranking.cliff_report(rows, "score", "text", rule, ("one",), ("id",)).drop("one").collect()
+    assert ranking.cliff_report(rows.limit(0), "score", "text", ties=("id",)).first().reason == "empty_input"
+
+
+def test_few_ids_read_few_folders(spark, tmp_path):
+    points = spark.range(2000).select(F.col("id").alias("point_id"), F.expr("id div 2").alias("product_id"), (F.col("id") % 2 == 1).alias("is_title"))
+    path = str(tmp_path / "points")
+    index.write_points(points, path)
+    ids = spark.createDataFrame([(4,), (5,), (1999,), (5,), (99999,), (None,)], "point_id long")
+    assert sorted(r.point_id for r in index.lookup(spark, path, ids).collect()) == [4, 5, 1999]
+    goods = spark.createDataFrame([(2,), (7,)], "product_id long")
+    assert sorted(r.point_id for r in index.lookup(spark, path, goods, "product_id").collect()) == [4, 5, 14, 15]
+    read = index.points_near(spark, path, ids, F.expr("point_id div 2"))
+    files = {r[0] for r in read.select(F.input_file_name()).distinct().collect()}
+    assert len(files) <= 3 and len({r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}) > 40
+    assert index.lookup(spark, path, ids.limit(0)).count() == 0
