@@ -167,15 +167,17 @@ class Sentences(Block):
         return doc, at - self.word_first[doc], self.word_begin[at], end, np.full(len(at), STRETCH), np.concatenate(names), np.concatenate(checks)
 
 
-def send_records(docs: pa.Table, told: pa.Table, parts: int, span: int, min_chars: int) -> pa.Table:
+def send_records(docs: pa.Table, told: pa.Table, parts: int, span: int, min_chars: int, passages: bool) -> pa.Table:
     if not docs.num_rows or not told.num_rows:
         return messages([])
     block, number = Sentences(docs), docs["block"][0].as_py()
     runs = block.spans(span, min_chars)
     some = is_shared(runs[5], told, parts)
-    at, piece = block.pieces(span, min_chars)
-    passages = block.passages(at[is_shared(piece, told, parts)])
-    doc, pos, begin, end, reach, name, check = (np.concatenate([x[some], y]) for x, y in zip(runs, passages, strict=True))
+    doc, pos, begin, end, reach, name, check = (x[some] for x in runs)
+    if passages:
+        at, piece = block.pieces(span, min_chars)
+        more = block.passages(at[is_shared(piece, told, parts)])
+        doc, pos, begin, end, reach, name, check = (np.concatenate(x) for x in zip((doc, pos, begin, end, reach, name, check), more, strict=True))
     ids, sorter = block.ids[doc], place(name, parts)
     order = np.lexsort((pos, ids, check, name, sorter))
     pos, begin, end, reach, ids, name, check, sorter = (x[order] for x in (pos, begin, end, reach, ids, name, check, sorter))
@@ -245,14 +247,14 @@ def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
     return pa.table({"row": block.rows, "n_sentences": pa.array(np.maximum(n, 1), pa.int64()), "removed": pa.array(removed, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 
 
-def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, min_chars: int = MIN_CHARS, blocks: int | None = None) -> DataFrame:
+def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, min_chars: int = MIN_CHARS, blocks: int | None = None, passages: bool = True) -> DataFrame:
     """(row, n_sentences, removed, kept): the id, the number of sentences, the positions of those that lose text, and the rest.
 
     A sentence begins at a character that isn't blank, right after a line break, or after one of .!? and one blank (ASCII
     white space); together, the sentences are the text.  A span is ``span`` consecutive sentences (all of them in a shorter
     document), and as many more as it takes to have ``min_chars`` code points, or fewer that have STRETCH words; sentences are compared without surrounding
     blanks and with A-Z in lower case.  A document of fewer code points in all is one span, which only its copies have.  STRETCH
-    consecutive words with no ``span`` whole sentences of ``min_chars`` among them are a span, too; a word is what stands
+    consecutive words with no ``span`` whole sentences of ``min_chars`` among them are a span, too, unless ``passages`` is False; a word is what stands
     between blanks, or one character of a script without them.  The first occurrence is that of the smallest id, then of the smallest position, and all
     others lose their text, in the same document too.  ``kept`` is the UTF-8 text of what is left.
 
@@ -267,6 +269,8 @@ def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def send(table: pa.Table) -> pa.Table:
         block = Sentences(table)
         runs = block.spans(span, min_chars)[5]
+        if not passages:
+            return send_unique(runs, np.arange(len(runs)), table["block"][0].as_py(), n)
         at, piece = block.pieces(span, min_chars)
         first = heads_of(piece)  # neighbours share their piece: it counts once, as long as it is the same one
         places = np.concatenate([np.arange(len(runs)), len(runs) + at[first]])
@@ -274,7 +278,7 @@ def cut_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     names = texts.groupBy("block").applyInArrow(send, MESSAGE)
     shared = names.groupBy("dest").applyInArrow(sort_names, MESSAGE)
-    records = texts.groupBy("block").cogroup(shared.groupBy("dest")).applyInArrow(lambda t, m: send_records(t, m, n, span, min_chars), MESSAGE)
+    records = texts.groupBy("block").cogroup(shared.groupBy("dest")).applyInArrow(lambda t, m: send_records(t, m, n, span, min_chars, passages), MESSAGE)
     found = records.groupBy("dest").applyInArrow(sort_records, MESSAGE)
     schema = T.StructType([texts.schema["row"], T.StructField("n_sentences", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
     return texts.groupBy("block").cogroup(found.groupBy("dest")).applyInArrow(cut, schema)
