@@ -26,6 +26,8 @@ DEGREE = 16
 BEAM_BUILD = 64
 BEAM_SEARCH = 128
 BATCH = 256
+#: Scores in single precision that differ by no more than this share count as tied.
+TIED = 1e-5
 
 
 def hash_levels(count: int, seed: int = 11) -> np.ndarray:
@@ -201,20 +203,33 @@ def build_graph(vectors: np.ndarray) -> list[Layer]:
     return layers
 
 
-def search_graph(vectors: np.ndarray, layers: list[Layer], queries: np.ndarray, k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, scores) of the best k found for each query, -1 where fewer."""
+def search_graph(vectors: np.ndarray, layers: list[Layer], queries: np.ndarray, k: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row number, score) of the best k found for each query, and of all that are tied with the last of them.
+
+    Where a whole beam is tied, there may be more: these queries, and these alone, meet all vectors of the shard.
+    """
     base = layers[-1]
     position = np.arange(len(vectors), dtype="i4")
     start = np.tile(np.linspace(0, len(vectors) - 1, min(8, len(vectors))).astype("i4"), (len(queries), 1))
     if len(layers) > 1:
         start = np.concatenate([descend(vectors, layers[:-1], queries, position, len(vectors))[:, None], start], axis=1)
     ids, scores = beam_search(vectors, base, queries, dedup(start), max(k, size))
-    return ids[:, :k], scores[:, :k]
+    scores = np.where(ids >= 0, scores, -np.inf)
+    if ids.shape[1] > k:
+        last = scores[:, k - 1]
+        bound = np.where(np.isfinite(last), last - TIED * np.abs(last), last)
+    else:
+        bound = np.full(len(ids), -np.inf)
+    full = (ids[:, -1] >= 0) & (scores[:, -1] >= bound) & np.isfinite(bound) & (ids.shape[1] < len(vectors))
+    query, column = np.nonzero((ids >= 0) & (scores >= bound[:, None]) & ~full[:, None])
+    rows, near = ids[query, column], scores[query, column]
+    for q in np.flatnonzero(full).tolist():
+        own = vectors @ queries[q]
+        tied = np.flatnonzero(own >= bound[q])
+        query, rows, near = np.append(query, np.full(len(tied), q)), np.append(rows, tied), np.append(near, own[tied])
+    return query, rows, near
 
 
-#: Scores in single precision that differ by no more than this share count as tied.
-TIED = 1e-5
-
 INDEX = "shard int, top_norm double, keys binary, vectors binary, levels array<struct<nodes:binary, links:binary>>"
 
 
@@ -279,7 +294,7 @@ def build_index(distinct: DataFrame, shard_rows: int = SHARD_ROWS, shards: int =
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, size: int = BEAM_SEARCH) -> DataFrame:
-    """(q1, q2, c1, c2, near): for each query vector (k1, k2, vector) the best ``k`` found in every shard."""
+    """(q1, q2, c1, c2, near): for each query vector (k1, k2, vector) the best ``k`` found in every shard, and those tied with the last one."""
     spark = index.sparkSession
     ship(spark)
     loaded = index.select("shard", F.lit(0).alias("kind"), "keys", "vectors", "levels", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), F.lit(None).cast("array<double>").alias("vector"))
@@ -305,11 +320,10 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, size: int = BEAM_
                     part = batch.take(pa.array(at[a : a + BATCH]))
                     q = part.column(7).flatten().to_numpy().reshape(part.num_rows, -1).astype("f4")
                     q = np.concatenate([q, np.zeros((len(q), 1), "f4")], axis=1)
-                    ids, scores = search_graph(vectors, layers, q, k, size)
-                    r, c = np.nonzero(ids >= 0)
-                    found = keys[ids[r, c]]
+                    r, own_rows, scores = search_graph(vectors, layers, q, k, size)
+                    found = keys[own_rows]
                     asking = [part.column(j).to_numpy()[r] for j in (5, 6)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*asking, found[:, 0].copy(), found[:, 1].copy(), scores[r, c].astype("f4"))], ["q1", "q2", "c1", "c2", "near"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*asking, found[:, 0].copy(), found[:, 1].copy(), scores.astype("f4"))], ["q1", "q2", "c1", "c2", "near"])
 
     met = loaded.unionByName(asked).repartitionById(count, "shard").sortWithinPartitions("kind")
     return met.mapInArrow(run, "q1 long, q2 long, c1 long, c2 long, near float")

@@ -177,3 +177,20 @@ def test_scores_are_exact_for_doubles_and_ties_go_to_the_smaller_id(spark):
     got = [(r.vec_id, r.score) for r in ann.nearest(table, F.col("vec_id") == 0, k=10).orderBy("rank").collect()]
     want = sorted(((i, v[0]) for i, v in near), key=lambda x: (-x[1], x[0]))[:10]
     assert got == want
+
+
+def test_no_tied_neighbour_of_a_shard_is_lost(spark):
+    """Hundreds of different vectors that are nearly or wholly tied, more than a beam holds: the smallest ids are found."""
+    tied = [(i, [0.5, 0.001 * i, 1e-9 * (i % 3)]) for i in range(1, 700)]
+    table = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), *tied], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.nearest(table, F.col("vec_id") == 0, k=10).orderBy("rank").collect()]
+    assert got == [(i, 0.5) for i in range(1, 11)]
+
+
+def test_neighbours_in_a_table_with_clashing_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], 1, 2.0, "x", [3]) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double, k1 string, vector array<int>")
+    plain = ann.nearest(table.select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=5).collect()
+    assert ann.nearest(table, F.col("vec_id") % 20 == 0, k=5).collect() == plain and len(plain) == 10
+    odd = table.withColumnsRenamed({"vec_id": "vec.id", "embedding": "the vector"})
+    assert sorted(ann.nearest(odd, F.col("`vec.id`") % 20 == 0, k=5, id_col="vec.id", vector_col="the vector").collect()) == sorted(plain)
