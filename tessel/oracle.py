@@ -313,7 +313,7 @@ def by_query(mode: str) -> str:
         limit, floor = 120, 0.05
     else:
         asked = "SELECT vec_id - 2 AS query_id, embedding AS vector, NULL::VARCHAR AS why FROM embeddings WHERE vec_id % 20 = 2"
-        limit, floor = 50, 0.38
+        limit, floor = 50, 0.2
     product = f"id, coalesce(title, 'Product #' || product_id) AS title, {', '.join(f"coalesce({c}, '') AS {c}" for c in ('article', 'sub', 'master', 'colour', 'usage', 'gender'))}"
     start = f"""WITH {intent_ctes()}, {PRODUCTS},
 asked AS ({asked}),
@@ -336,7 +336,7 @@ b2 AS (SELECT *, round(CASE WHEN out THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0
         passed = "true"
     else:
         mixed = f"b2 AS (SELECT *, round(0.75 * image_score + 0.25 * ({calibrate('text_score')}), 4) AS score FROM cand)"
-        passed = "best_image >= 0.38"
+        passed = "best_image >= 0.2::DOUBLE"
     return f"""{start}, {mixed},
 v AS (
   SELECT *, row_number() OVER w - 1 AS i, lead(score) OVER w AS nxt, first(score) OVER w AS top FROM b2 WHERE score > 0 AND score >= {floor} AND {passed}
@@ -349,7 +349,7 @@ SHOWN = """SELECT query_id, product_id, title AS name, '/media/images/' || produ
   best_chunk AS best_matching_chunk, score, i + 1 AS rank FROM x WHERE i <= coalesce(last, 1073741824) AND i < 10"""
 
 def gates(mode: str) -> str:
-    low = "WHEN valid IS NULL AND best_image < 0.38 THEN 'low_similarity_floor' " if mode == "image" else ""
+    low = "WHEN valid IS NULL AND best_image < 0.2::DOUBLE THEN 'low_similarity_floor' " if mode == "image" else ""
     return f""",
 n AS (SELECT query_id, count(*) AS total, max(best_image) AS best_image FROM b2 GROUP BY 1),
 k AS (SELECT query_id, count(*) AS valid, min(last) AS last, max(CASE WHEN i = last AND gap THEN i + 1 END) AS gap_rank FROM x GROUP BY 1),
@@ -593,7 +593,8 @@ UNION ALL SELECT 'chunks', count(*) FROM points""",
 k AS (SELECT count(*) AS n FROM points WHERE product_id IN (FROM ready) AND chunk_type <> 'description_detail'),
 runs AS (SELECT 0 AS run, count(*) AS n FROM ready UNION ALL SELECT 1, count(*) FROM part WHERE p_size % 5 <> 0 AND p_size < 10)
 SELECT run, runs.n > 0 AS success, runs.n AS indexed_count, runs.n AS total_products, 2 * (SELECT count(*) FROM ready) AS unified, (SELECT count(*) FROM ready) AS image, k.n AS chunks FROM runs, k""",
-    "title_vectors": "SELECT DISTINCT p_name AS name, 1.0::DOUBLE AS norm FROM part",
+    "title_vectors": "SELECT p_partkey AS id, p_name AS name, 1.0::DOUBLE AS norm, 64 AS components, true AS same FROM part",
+    "prompt_vectors": "SELECT p_name AS query, count(*) AS products, 1 AS vectors, 1.0::DOUBLE AS norm FROM part GROUP BY p_name",
     "catalog_popularity": f"""WITH {PRODUCTS}, s AS (SELECT l_partkey, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_partkey)
 SELECT article AS "articleType", count(*) AS products, coalesce(sum(quantity), 0) AS quantity, coalesce(max(orders), 0) AS most_orders FROM products LEFT JOIN s ON id = l_partkey GROUP BY article""",
     "stream_index_counts": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)

@@ -17,19 +17,24 @@ from tessel.operators.index import latest, unified_points
 from tessel.plans import commits
 from tessel.providers import ImageEncoder, TextEncoder
 from tessel.session import filesystem, scratch
-from tessel.sources.catalog import valid_products, with_descriptions
+from tessel.sources.catalog import ORDER, first_rows, valid_products, with_descriptions
 
 #: Tables of the index and the key of each.
 TABLES = {"unified": "point_id", "image": "product_id", "chunks": "point_id"}
 PRODUCT = ("productDisplayName", "name", "gender", "masterCategory", "subCategory", "articleType", "baseColour", "season", "year", "usage", "description")
 
 
+def in_order(catalog: DataFrame) -> DataFrame:
+    """Valid products with the places that they have in the catalog, if it has any."""
+    places = F.struct(*[c for c in ORDER if c in catalog.columns] or [F.lit(0).alias("none")])
+    return valid_products(catalog.withColumn("_place", places)).select("*", *[F.col(f"_place.{c}").alias(c) for c in ORDER if c in catalog.columns]).drop("_place")
+
+
 def prepare_products(catalog: DataFrame, images: DataFrame, styles: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Products that can be indexed, with their ``image``: a valid id and title, an image file, and the description if any."""
-    rows = valid_products(catalog).join(images.select("id", "image"), "id")
+    rows = in_order(catalog).join(images.select("id", "image"), "id")
     rows = with_descriptions(rows, styles) if styles is not None else rows.withColumn("description", F.lit(""))
-    rows = rows.withColumn("name", F.col("productDisplayName"))
-    return rows if limit is None else rows.orderBy("id").limit(limit)
+    return first_rows(rows.withColumn("name", F.col("productDisplayName")), limit)
 
 
 def encoded_products(products: DataFrame, text: TextEncoder, image: ImageEncoder) -> DataFrame:

@@ -15,15 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.images import salient
-from tessel.functions.text import or_default
-from tessel.functions.vector import mean_of, normalised
+from tessel.functions.text import SPACE, or_default
+from tessel.functions.vector import normalised
 from tessel.operators.intent import prompts
 from tessel.plans.lexicon import DEFAULT, Lexicon
 from tessel.session import ship_active
 
 #: Sides of the grey image that stands for one that can't be read, and its level.
 GREY_SIDE, GREY = 224, 128
-MOST_PROMPTS = 6
 #: What a detector says of an image.
 BOXES = "array<struct<box:array<double>,confidence:double,class_name:string>>"
 
@@ -68,27 +67,39 @@ def _hashed(texts: list[str], dim: int, n: int) -> np.ndarray:
     return np.bincount(slot, np.where(h >> np.uint64(63), 1.0, -1.0), minlength=len(padded) * dim).reshape(len(padded), dim)
 
 
-def hashed_ngrams(text: Column, dim: int = 64, n: int = 3) -> Column:
-    """A unit vector of hashed character n-grams, signed by the hash; not a neural encoder.  Null and empty text: zeros."""
+def hashed_ngrams(text: Column, dim: int = 64, n: int = 3, batch: int = 1024) -> Column:
+    """A unit vector of hashed character n-grams, signed by the hash; not a neural encoder.  Null and empty text: zeros.
+
+    ``batch`` texts are encoded at once.
+    """
 
     ship_active()
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield _unit(_hashed([t or "" for t in texts], dim, n))
+            parts = [_unit(_hashed([t or "" for t in texts[a : a + batch]], dim, n)) for a in range(0, len(texts), batch)]
+            yield pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=object)
 
     return encode(text)
 
 
 class HashedText:
-    """Hashed n-grams; null and blank texts count as a default one."""
+    """Hashed n-grams; null and blank texts count as a default one.  Of a text the first ``limit`` tokens count, between blanks."""
 
-    def __init__(self, dim: int = 64, n: int = 3, default: str = "fashion product") -> None:
-        self.dim, self.n, self.default = dim, n, default
+    def __init__(self, dim: int = 64, n: int = 3, default: str = "fashion product", limit: int = 77, batch: int = 1024) -> None:
+        self.dim, self.n, self.default, self.limit, self.batch = dim, n, default, limit, batch
 
     def encode(self, text: Column) -> Column:
-        return hashed_ngrams(or_default(text, self.default), self.dim, self.n)
+        words = F.split(or_default(text, self.default), f"[{SPACE}]+")
+        return hashed_ngrams(F.array_join(F.slice(words, 1, self.limit), " "), self.dim, self.n, self.batch)
+
+
+def with_vectors(rows: DataFrame, encoder: TextEncoder, text_col: str, out_col: str = "vector") -> DataFrame:
+    """All columns and ``out_col``: each different text is encoded once, however many rows have it.  Null texts count as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    known = rows.select(text.alias("_encoded")).distinct().withColumn(out_col, encoder.encode(F.col("_encoded")))
+    return rows.withColumn("_encoded", text).join(known, "_encoded", "left").drop("_encoded")
 
 
 def can_be_read(image: Column) -> Column:
@@ -147,9 +158,15 @@ class WholeImage:
 
 
 def with_ensemble(queries: DataFrame, encoder: TextEncoder, text_col: str = "query", out_col: str = "vector", lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """All columns and ``out_col``: the unit mean of the vectors of a query's phrasings (see ``prompts``), six at most."""
-    rows = queries.withColumn("_phrases", prompts(F.col(text_col), lexicon))
-    rows = rows.withColumns({f"_v{i}": encoder.encode(F.get("_phrases", F.lit(i))) for i in range(MOST_PROMPTS)})
-    vectors = F.slice(F.array(*[f"_v{i}" for i in range(MOST_PROMPTS)]), F.lit(1), F.size("_phrases"))
-    rows = rows.withColumn(out_col, normalised(mean_of(vectors, encoder.dim)).cast("array<float>"))
-    return rows.drop("_phrases", *[f"_v{i}" for i in range(MOST_PROMPTS)])
+    """All columns and ``out_col``: the unit mean of the vectors of a query's phrasings (see ``prompts``).
+
+    Phrasings follow from the text alone, so each different text is phrased once and each different phrasing encoded once, in one pass.
+    Null queries count as empty ones.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    phrases = queries.select(text.alias("_text")).distinct().select("_text", F.explode(prompts(F.col("_text"), lexicon)).alias("_phrase"))
+    parts = with_vectors(phrases, encoder, "_phrase", "_v").select("_text", F.posexplode("_v").alias("_at", "_x"))
+    means = parts.groupBy("_text", "_at").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    vectors = means.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("_at", "_m")))["_m"].alias("_m"))
+    vectors = vectors.select("_text", normalised(F.col("_m")).cast("array<float>").alias(out_col))
+    return queries.withColumn("_text", text).join(vectors, "_text", "left").drop("_text")

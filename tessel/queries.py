@@ -349,7 +349,7 @@ def by_text(spark: SparkSession, sf_dir: str) -> contextual.Found:
 def by_image(spark: SparkSession, sf_dir: str) -> contextual.Found:
     """For each id divisible by 20, the vector two places on, which is a chunk, as an image."""
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 2").select((F.col("vec_id") - 2).alias("query_id"), F.lit(None).cast("string").alias("query"), F.col("embedding").alias("vector"))
-    return contextual.search_contextual(asked, *collections(spark, sf_dir), products(spark, sf_dir), mode="image")
+    return contextual.search_contextual(asked, *collections(spark, sf_dir), products(spark, sf_dir), mode="image", rule=ranking.Cliff(image_floor=0.2))
 
 
 def shown_results(found):
@@ -504,9 +504,18 @@ def index_built(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each different title with the length of its vector, to four digits."""
-    rows = products(spark, sf_dir).select("name").distinct()
-    return rows.select("name", F.round(vector.norm(providers.HashedText().encode(F.col("name"))), 4).alias("norm"))
+    """Each product with the length of its title's vector, to four digits, and whether the components are those of the title before its
+    first blank and after it, put together again."""
+    rows = products(spark, sf_dir).select("id", "name", F.concat_ws(" ", F.element_at(F.split("name", " "), 1), F.regexp_extract("name", "^\\S+ (.*)$", 1)).alias("again"))
+    encoder = providers.HashedText()
+    both = providers.with_vectors(providers.with_vectors(rows, encoder, "name", "v"), encoder, "again", "w")
+    return both.select("id", "name", F.round(vector.norm(F.col("v")), 4).alias("norm"), F.size("v").cast("long").alias("components"), (F.col("v") == F.col("w")).alias("same"))
+
+
+def ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different vectors the phrasings of all names give, and their lengths."""
+    rows = providers.with_ensemble(products(spark, sf_dir).select("id", F.col("name").alias("query")), providers.HashedText())
+    return rows.groupBy("query").agg(F.count("*").alias("products"), F.count_distinct("vector").alias("vectors"), F.max(F.round(vector.norm(F.col("vector")), 4)).alias("norm"))
 
 
 def popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -615,6 +624,7 @@ QUERIES = {
     "ingest_summary": summary,
     "index_build": index_built,
     "title_vectors": hashed_titles,
+    "prompt_vectors": ensembles,
     "catalog_popularity": popularity,
     "stream_index_counts": streamed,
     "box_selection": box_choice,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions.text import standard_title
@@ -11,17 +11,29 @@ FIELDS = ("id", "gender", "masterCategory", "subCategory", "articleType", "baseC
 SCHEMA = ", ".join(f"{f} STRING" for f in FIELDS)
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings; malformed rows are kept with nulls."""
-    return spark.read.csv(path, header=True, schema=SCHEMA, mode="PERMISSIVE", encoding="UTF-8", escape='"')
+#: Where a row of an ordered catalog stands: the file, the beginning of its block, and a number that grows within it.
+ORDER = ("_file", "_start", "_line")
+
+
+def read_catalog(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """All columns as strings; malformed rows are kept with nulls.  ``ordered`` adds where each row stands (``ORDER``)."""
+    rows = spark.read.csv(path, header=True, schema=SCHEMA, mode="PERMISSIVE", encoding="UTF-8", escape='"')
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.select("*", *[x.alias(c) for x, c in zip(place, ORDER, strict=True)]) if ordered else rows
 
 
 def valid_products(catalog: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows with an id and a title (blanks collapsed), the id as long; with a limit, the first ones by id."""
+    """Rows with an id and a title (blanks collapsed), the id as long; with a limit, the first ones of the file, or by id without an order."""
     title = standard_title(F.col("productDisplayName"))
     rows = catalog.where(F.col("id").isNotNull() & (F.trim(F.col("id").cast("string")) != "")).withColumn("productDisplayName", title).where(F.col("productDisplayName") != "")
     rows = rows.withColumn("id", F.col("id").try_cast("long")).where(F.col("id").isNotNull())
-    return rows if limit is None else rows.orderBy("id").limit(limit)
+    return first_rows(rows, limit)
+
+
+def first_rows(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of the catalog, as many as asked for; the columns of ``ORDER`` go."""
+    order = [c for c in ORDER if c in rows.columns] or ["id"]
+    return (rows if limit is None else rows.orderBy(*order).limit(limit)).drop(*ORDER)
 
 
 def read_styles(spark: SparkSession, path: str) -> DataFrame:
@@ -44,10 +56,36 @@ def with_readable_images(products: DataFrame, files: DataFrame) -> DataFrame:
     return products.join(files.select("id").distinct(), "id", "left_semi")
 
 
+def number_in(path: Column) -> Column:
+    return F.regexp_extract(path, r"(\d+)\.\w+$", 1).try_cast("long")
+
+
 def image_files(spark: SparkSession, path: str) -> DataFrame:
     """(id, image): images that can be decoded, by the number in their name; others are left out."""
     images = spark.read.format("image").option("dropInvalid", True).load(path)
-    return images.select(F.regexp_extract("image.origin", r"(\d+)\.\w+$", 1).cast("long").alias("id"), "image")
+    return images.select(number_in(F.col("image.origin")).alias("id"), "image").where(F.col("id").isNotNull())
+
+
+# How files of an image format begin and end, in hexadecimal digits.
+FORMATS = {"jpeg": ("FFD8FF", "FFD9"), "png": ("89504E470D0A1A0A", "0000000049454E44AE426082"), "gif": ("47494638", "3B")}
+
+
+def image_format(content: Column) -> Column:
+    """The format of which a file has both the beginning and the end; null for empty, truncated and foreign files."""
+    size = F.octet_length(content)
+    out = F.lit(None).cast("string")
+    for name, (begin, end) in FORMATS.items():
+        a, b = len(begin) // 2, len(end) // 2
+        whole = (size >= a + b) & (F.hex(F.substring(content, 1, a)) == begin) & (F.hex(F.substring(content, -b, b)) == end)
+        out = F.when(whole, F.lit(name)).otherwise(out)
+    return out
+
+
+def readable_images(spark: SparkSession, path: str) -> DataFrame:
+    """(id, format, length) of files that look whole, by the number in their name.  Nothing is decoded: see ``image_files`` for that."""
+    files = spark.read.format("binaryFile").load(path)
+    found = files.select(number_in(F.col("path")).alias("id"), image_format(F.col("content")).alias("format"), "length")
+    return found.where(F.col("id").isNotNull() & F.col("format").isNotNull())
 
 
 def write_sample(spark: SparkSession, path: str, form: str = "csv") -> None:

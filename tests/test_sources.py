@@ -126,3 +126,65 @@ def test_commits_that_race_keep_both_builds(spark, tmp_path):
     assert commits.versions(spark, path, "image") is None
     with pytest.raises(ValueError):
         plan.open_table(spark, path, "image")
+
+
+def test_first_rows_of_the_file(spark, tmp_path):
+    """A limit takes the first valid rows in the order of the file, whatever their ids."""
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    lines = ["id,gender,masterCategory,subCategory,articleType,baseColour,season,year,usage,productDisplayName"]
+    ids = [90, 7, "", 55, 3, "x", 12, 1]
+    (folder / "styles.csv").write_text("\n".join(lines + [f"{i},Men,Apparel,Topwear,Shirts,Blue,Summer,2012,Casual,title {i}" for i in ids]))
+    rows = catalog.read_catalog(spark, str(folder), ordered=True)
+    taken = catalog.valid_products(rows, 4)
+    assert [r.id for r in taken.collect()] == [90, 7, 55, 3] and not set(catalog.ORDER) & set(taken.columns)
+    images = spark.createDataFrame([(i, None) for i in (7, 3, 12, 1)], "id long, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    assert sorted(r.id for r in plan.prepare_products(rows, images, limit=2).collect()) == [3, 7]  # the first with an image
+    assert [r.id for r in catalog.valid_products(rows.drop(*catalog.ORDER), 2).collect()] == [1, 3]
+
+
+def png(width, height, pixels):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + pixels[3 * width * y : 3 * width * (y + 1)] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_only_whole_images_are_readable(spark, tmp_path):
+    whole = png(2, 3, bytes(range(18)))
+    files = {"1.png": whole, "2.png": whole[:36], "3.png": b"", "4.jpg": b"no image at all", "5.jpg": b"\xff\xd8\xff\xe0" + b"x" * 50 + b"\xff\xd9", "6.jpg": b"\xff\xd8\xff\xe0" + b"x" * 50, "7.gif": b"GIF89a\x01;", "name.png": whole, "8.jpg": b"\xff\xd8\xff"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = {r.id: (r.format, r.length) for r in catalog.readable_images(spark, str(tmp_path)).collect()}
+    assert found == {1: ("png", len(whole)), 5: ("jpeg", 56), 7: ("gif", 8)}
+    decoded = {r.id: r.image for r in catalog.image_files(spark, str(tmp_path)).collect()}
+    assert list(decoded) == [1] and (decoded[1].width, decoded[1].height) == (2, 3)
+    goods = spark.createDataFrame([(1,), (2,), (9,)], "id long")
+    assert [r.id for r in catalog.with_readable_images(goods, catalog.readable_images(spark, str(tmp_path))).collect()] == [1]
+
+
+def test_texts_are_encoded_once_and_to_their_limit(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = spark.createDataFrame([(1, long), (2, " ".join(f"w{i}" for i in range(77)) + " other end"), (3, None), (4, ""), (5, "red dress"), (6, "red dress")], "i int, t string")
+    vectors = {r.i: r.v for r in providers.with_vectors(rows, providers.HashedText(batch=2), "t", "v").collect()}
+    assert vectors[1] == vectors[2] != vectors[5] == vectors[6] and vectors[3] == vectors[4]
+    assert vectors == {r.i: r.v for r in rows.select("i", providers.HashedText().encode(F.col("t")).alias("v")).collect()}
+    plan_ = providers.with_vectors(rows, providers.HashedText(), "t", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_.count("ArrowEvalPython") == 1 and "Aggregate" in plan_[plan_.index("ArrowEvalPython") :]  # below the encoder texts are distinct
+
+
+def test_a_prompt_mean_is_that_of_its_phrasings(spark):
+    import numpy as np
+
+    from tessel.operators.intent import prompts
+
+    encoder = providers.HashedText()
+    rows = spark.createDataFrame([(1, "running shoes"), (2, "jeans"), (3, " "), (4, None), (5, "jeans")], "i int, q string")
+    got = {r.i: r.vector for r in providers.with_ensemble(rows, encoder, "q").collect()}
+    phrases = rows.select("i", F.explode(prompts(F.col("q"))).alias("p")).select("i", encoder.encode(F.col("p")).alias("v")).collect()
+    for i in range(1, 6):
+        mean = np.mean([np.array(r.v, "f8") for r in phrases if r.i == i], axis=0)
+        assert np.allclose(got[i], mean / np.linalg.norm(mean), atol=1e-6)
+    assert got[2] == got[5] and got[3] == got[4]
