@@ -19,6 +19,8 @@ from tessel.llm.text_arrays import U, trim
 
 MESSAGE = "dest int, src int, kind int, data binary"
 NAMES, SHARED_IN_BLOCK = range(2)
+#: The kind of an answer with names that many blocks have.
+HOT = 9
 
 
 #: Bytes of text in a block, in expectation.
@@ -108,8 +110,11 @@ def send_unique(names: np.ndarray, owners: np.ndarray, number: int, parts: int)
     return messages(out)
 
 
-def sort_names(table: pa.Table) -> pa.Table:
-    """Tell each block which of its names occur elsewhere too; 32 bits may let a few more pass, never fewer."""
+def sort_names(table: pa.Table, hot_from: int | None = None) -> pa.Table:
+    """Tell each block which of its names occur elsewhere too; 32 bits may let a few more pass, never fewer.
+
+    With ``hot_from``, tell apart also which of them so many blocks or more have; all of these blocks hear the same.
+    """
     sorter = table["dest"][0].as_py()
     rows = list(zip(*(table[c].to_pylist() for c in ("src", "kind", "data")), strict=True))
     passed = [(s, sorter, k, d) for s, k, d in rows if k not in (NAMES, SHARED_IN_BLOCK)]  # what a block tells itself
@@ -119,7 +124,11 @@ def sort_names(table: pa.Table) -> pa.Table:
     everything = np.sort(np.concatenate([d for _, _, d in sent]))
     again = everything[1:][everything[1:] == everything[:-1]]
     shared = np.unique(np.concatenate([again, *(d for _, k, d in sent if k == SHARED_IN_BLOCK)]))
-    return messages(passed + [(s, sorter, NAMES, own.tobytes()) for s, _, d in sent if len(own := d[among(d, shared)])])
+    answers = [(s, sorter, NAMES, own.tobytes()) for s, _, d in sent if len(own := d[among(d, shared)])]
+    if hot_from:
+        found, times = np.unique(everything, return_counts=True)
+        answers += [(s, sorter, HOT, own.tobytes()) for s, _, d in sent if len(own := d[among(d, found[times >= hot_from])])]
+    return messages(passed + answers)
 
 
 def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:

@@ -11,6 +11,9 @@ Later copies of a whole text are cut by a hash of the text and take no part: the
 3. The others are extended to all 50-byte strings around them (offsets 0 to 18) and sorted again, with the smallest
    document of each string; that is past the threshold, so doubling ends.
 
+A name that many blocks have may stand in many surroundings.  Its records go to different sorters, each to two: a 50-byte string around a
+name has 9 bytes before it or 10 after it, so strings that are equal meet by the name and these 9 bytes, or by it and these 10.
+
 Texts are shuffled once, into blocks (see blocks.py), and a document's results are put together in its own block.
 """
 
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.blocks import MESSAGE, NAMES, Block, block_of, heads_of, into_blocks, layout, is_shared, messages, place, send_unique, sort_names
+from tessel.llm.blocks import HOT, MESSAGE, NAMES, Block, block_of, heads_of, into_blocks, layout, is_shared, messages, place, send_unique, sort_names
 from tessel.llm.common import content_key, join_counted, keep, pack, ship
 from tessel.llm.text_arrays import U, mix, runs, slices
 
@@ -35,7 +38,9 @@ FLANK = LENGTH - PREFIX
 #: Bytes that go through the array operations at once, small enough for the processor's cache.
 CHUNK = 300_000
 RECORDS, MEMO, FOUND, COPIES = range(2, 6)
-RECORD = np.dtype([("name", "<u8"), ("doc", "<i8"), ("left", "u1", FLANK), ("right", "u1", FLANK), ("before", "u1"), ("after", "u1")])
+RECORD = np.dtype([("name", "<u8"), ("doc", "<i8"), ("left", "u1", FLANK), ("right", "u1", FLANK), ("before", "u1"), ("after", "u1"), ("low", "u1"), ("high", "u1")])
+#: From so many blocks on that have a name its records are spread; and the bytes before a name by which half of them meet.
+HOT_BLOCKS, HALF = 8, FLANK // 2
 NONE = 255
 
 
@@ -135,6 +140,26 @@ def flank_hash(record: np.ndarray) -> np.ndarray:
     return h
 
 
+def spread(record: np.ndarray, at: np.ndarray, names: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records of hot names twice, under a name of their own for each half of the strings around them: those with HALF bytes before, and the rest."""
+    def half(side: str, n: int, salt: int) -> np.ndarray:
+        h = mix(names ^ U(salt))
+        for i in range(n):
+            h = mix(h * U(0x9E3779B97F4A7C15) + record[side][:, i].astype(U) + U(1))
+        return h
+
+    far = np.flatnonzero(hot & (record["before"] >= HALF))
+    near = np.flatnonzero(hot & (record["after"] > FLANK - HALF))
+    cold = np.flatnonzero(~hot)
+    own = np.concatenate([cold, far, near])
+    out = record[own]
+    name = np.concatenate([names[cold], half("left", HALF, 0xC2B2AE3D27D4EB4F)[far], half("right", FLANK - HALF + 1, 0x165667B19E3779F9)[near]])
+    out["name"] = name
+    out["low"][len(cold) : len(cold) + len(far)] = HALF
+    out["high"][len(cold) + len(far) :] = HALF - 1
+    return out, at[own], name
+
+
 def send_records(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     """Send the surroundings of names that others have too; what the block can tell by itself goes into a memo."""
     if not docs.num_rows or not told.num_rows:
@@ -154,6 +179,10 @@ def send_records(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     for side, room, place_of in (("left", before, at[:, None] - 1 - step), ("right", after, at[:, None] + PREFIX + step)):
         ok = step < room[:, None]
         record[side] = np.where(ok, block.data[np.clip(place_of, 0, len(block.data) - 1)], 0)
+    record["high"] = FLANK
+    hot = is_shared(names, told.filter(pc.equal(told["kind"], HOT)), parts)
+    if hot.any():
+        record, at, names = spread(record, at, names, hot)
     # equal surroundings in a block are one record, of the smallest document that has them
     flank, sorter = flank_hash(record), place(names, parts)
     order = np.lexsort((record["doc"], flank, names, sorter))
@@ -162,9 +191,11 @@ def send_records(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     variant = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     later = record["doc"] != record["doc"][heads][variant]  # an earlier document of this block has all of it
-    most, least = record["before"].astype("i8"), np.maximum(0, FLANK - record["after"].astype("i8"))
+    most = np.minimum(record["before"], record["high"]).astype("i8")
+    least = np.maximum(record["low"], np.maximum(0, FLANK - record["after"].astype("i8")))
     # places of the others in the order of their records, and which of them begins a new one
     gone = whole & (block.stops - block.starts >= LENGTH)
+    later &= most >= least
     start, stop = at[later] - most[later], at[later] - least[later] + LENGTH
     memo = Memo(np.append(start, block.starts[gone]), np.append(stop, block.stops[gone]), at[~later], new[~later])
     bounds = np.searchsorted(sorter[heads], np.arange(parts + 1))
@@ -190,7 +221,7 @@ def sort_records(table: pa.Table) -> pa.Table:
             all_.append(mix(all_[-1] * U(0x9E3779B97F4A7C15) + record[side][:, i].astype(U) + U(1)))
     least, most = np.full(len(record), NONE, "u1"), np.full(len(record), NONE, "u1")
     for j in range(FLANK + 1):
-        ok = np.flatnonzero((record["before"] >= j) & (record["after"] >= FLANK - j))
+        ok = np.flatnonzero((record["before"] >= j) & (record["after"] >= FLANK - j) & (record["low"] <= j) & (j <= record["high"]))
         if not len(ok):
             continue
         string = mix(base[ok] ^ mix(left[j][ok] + U(1)) ^ (mix(right[FLANK - j][ok] + U(2)) * U(3)))
@@ -254,7 +285,8 @@ def cut_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = keep(keys.groupBy("t1", "t2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
     copies = join_counted(keys, firsts, ["t1", "t2"]).where(F.col("id") != F.col("first_id")).select("block", "id", "t1").distinct()
     names = texts.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(lambda t, c: send_names(t, c, n), MESSAGE)
-    shared = names.groupBy("dest").applyInArrow(sort_names, MESSAGE)
+    hot = HOT_BLOCKS
+    shared = names.groupBy("dest").applyInArrow(lambda t: sort_names(t, hot), MESSAGE)
     records = texts.groupBy("block").cogroup(shared.groupBy("dest")).applyInArrow(lambda t, m: send_records(t, m, n), MESSAGE)
     found = records.groupBy("dest").applyInArrow(sort_records, MESSAGE)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))

@@ -195,3 +195,37 @@ def test_sampling_keeps_an_anchor_in_every_string():
 def test_digest_of_nothing(spark):
     row = line_dedup.mark_repeated_lines(docs(spark, [(1, None)])).select(F.sha2(line_dedup.kept_text().cast("binary"), 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("hot", [1, 2, 100])
+def test_bytes_around_hot_names(spark, monkeypatch, hot):
+    """One string of 33 to 60 bytes in many surroundings, some of them equal on one side or on both."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
+    rng = random.Random(9)
+    stock = "the one string that very many texts have inside, whatever is around it"
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    sides = [word(30) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        left = rng.choice([word(rng.randrange(25)), rng.choice(sides), rng.choice(sides)[-rng.randrange(5, 20) :]])
+        right = rng.choice([word(rng.randrange(25)), rng.choice(sides), rng.choice(sides)[: rng.randrange(5, 20)]])
+        rows.append((i, left + stock[: rng.choice([33, 33, 40, 49, 60])] + right))
+    found = suffix_dedup.cut_repeated_bytes(docs(spark, rows), blocks=4).collect()
+    assert sorted((r.row.doc_id, len(r.spans), r.kept) for r in found) == brute_bytes(rows)
+
+
+def test_records_of_a_hot_name_are_spread():
+    """A string of 33 bytes in thousands of different surroundings: no sorter gets many more of its records than the others."""
+    import numpy as np
+
+    from tessel.llm.blocks import place
+
+    rng = np.random.default_rng(4)
+    record = np.zeros(4000, suffix_dedup.RECORD)
+    for side in ("left", "right"):
+        record[side] = rng.integers(97, 123, record[side].shape)
+    record["before"] = record["after"] = record["high"] = suffix_dedup.FLANK
+    names = np.full(4000, 12345, "u8")
+    out, at, name = suffix_dedup.spread(record, np.arange(4000), names, np.ones(4000, bool))
+    per_sorter = np.bincount(place(name, 8), minlength=8)
+    assert len(out) == 8000 and per_sorter.max() < 1.2 * per_sorter.mean()
