@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import column, ship
+from tessel.llm.common import column, keep, ship
 from tessel.llm.noisy_channel import BUCKETS, ORDER, CharModel, Decoder, decoded, gram_buckets, scan
 from tessel.llm.text_arrays import U, field_of, mix, parts_of, run_hasher, trim
 
@@ -203,7 +203,8 @@ def fit(
     marked = labels.where(column(labels, label_col).isNotNull() & column(labels, id_col).isNotNull())
     marked = marked.select(column(labels, id_col).alias("id"), (column(labels, label_col) == 1).cast("int").alias("label")).distinct()
     texts = docs.select(column(docs, id_col).alias("id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
-    known = texts.join(F.broadcast(marked) if marked.count() <= BROADCAST_LABELS else marked, "id")
+    few = marked.count() <= BROADCAST_LABELS
+    known = texts.join(F.broadcast(marked), "id") if few else keep(texts.join(marked, "id"))  # else texts are shuffled, but once
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n, total = sizes.get(1, 0), sum(sizes.values())
     if not n or n == total:

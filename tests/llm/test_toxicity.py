@@ -114,6 +114,14 @@ def test_spelled_over_texts_are_scored_as_what_they_say(spark):
         assert not set(toxicity.restored(r.row.text, r.spans)) & set("0135@-")
 
 
+def test_more_labels_than_are_broadcast(spark, monkeypatch):
+    rows = documents(spark, n=90)
+    few = toxicity.fit(rows, rows)
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 5)
+    many = toxicity.fit(rows, rows)
+    assert (few.terms == many.terms).all() and np.allclose(few.weights, many.weights) and len(few.terms)
+
+
 def test_document_counts_are_those_of_a_plain_count(spark):
     rows = documents(spark, n=60)
     grams = counts_of([r.text for r in rows.collect()])
