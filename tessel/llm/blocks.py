@@ -110,7 +110,12 @@ def send_unique(names: np.ndarray, owners: np.ndarray, number: int, parts: int)
     return messages(out)
 
 
-def sort_names(table: pa.Table, hot_from: int | None = None) -> pa.Table:
+def sort_names(table: pa.Table) -> pa.Table:
+    """``answer_names`` for all names alike; Spark would take a second argument for the table."""
+    return answer_names(table)
+
+
+def answer_names(table: pa.Table, hot_from: int | None = None) -> pa.Table:
     """Tell each block which of its names occur elsewhere too; 32 bits may let a few more pass, never fewer.
 
     With ``hot_from``, tell apart also which of them so many blocks or more have; all of these blocks hear the same.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.blocks import HOT, MESSAGE, NAMES, Block, block_of, heads_of, into_blocks, layout, is_shared, messages, place, send_unique, sort_names
+from tessel.llm.blocks import HOT, MESSAGE, NAMES, Block, answer_names, block_of, heads_of, into_blocks, layout, is_shared, messages, place, send_unique
 from tessel.llm.common import content_key, join_counted, keep, pack, ship
 from tessel.llm.text_arrays import U, mix, runs, slices
 
@@ -286,7 +286,7 @@ def cut_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = join_counted(keys, firsts, ["t1", "t2"]).where(F.col("id") != F.col("first_id")).select("block", "id", "t1").distinct()
     names = texts.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(lambda t, c: send_names(t, c, n), MESSAGE)
     hot = HOT_BLOCKS
-    shared = names.groupBy("dest").applyInArrow(lambda t: sort_names(t, hot), MESSAGE)
+    shared = names.groupBy("dest").applyInArrow(lambda t: answer_names(t, hot), MESSAGE)
     records = texts.groupBy("block").cogroup(shared.groupBy("dest")).applyInArrow(lambda t, m: send_records(t, m, n), MESSAGE)
     found = records.groupBy("dest").applyInArrow(sort_records, MESSAGE)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
