@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 
@@ -91,15 +92,19 @@ def pieces_of(term: str) -> int:
 
 def phrases(q: Column, most: int) -> Column:
     """All runs of up to ``most`` pieces (letters, digits, _) of a text, with what stands between them; each once."""
-    words, between = F.regexp_extract_all(q, F.lit(f"([{WORD}]+)")), F.split(q, f"[{WORD}]+")
+    def all_runs(parts: Column) -> Column:
+        words, between = parts["words"], parts["between"]
 
-    def runs(n: int) -> Column:
-        def run(i: Column) -> Column:
-            return F.concat(F.get(words, i), *[x for k in range(1, n) for x in (F.get(between, i + k), F.get(words, i + k))])
+        def runs(n: int) -> Column:
+            def run(i: Column) -> Column:
+                return F.concat(F.get(words, i), *[x for k in range(1, n) for x in (F.get(between, i + k), F.get(words, i + k))])
 
-        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), run)).otherwise(F.array().cast("array<string>"))
+            return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), run)).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*map(runs, range(1, most + 1))))
+        return F.array_distinct(F.concat(*map(runs, range(1, most + 1))))
+
+    # cut once a text, not once for each of its pieces
+    return let(F.struct(F.regexp_extract_all(q, F.lit(f"([{WORD}]+)"), 1).alias("words"), F.split(q, f"[{WORD}]+").alias("between")), all_runs)
 
 
 def parse_intents(queries: DataFrame, key: str, text_col: str = "query", lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -121,18 +126,14 @@ def parse_intents(queries: DataFrame, key: str, text_col: str = "query", lexicon
     return rows.withColumn("intent", intent).drop("_q", "_key", "_category", "_gender", "_colour", "_off")
 
 
+#: An entry of the lexicon as a column.
+ENTRY = "struct<name:string,stem:string,synonyms:array<string>,stems:array<string>,context:string>"
+
+
 def entry_array(lexicon: Lexicon) -> Column:
-    """The lexicon as one literal array, in its order."""
-    strings = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    return F.array(
-        *[
-            F.struct(
-                F.lit(c.name).alias("name"), F.lit(stem_of(c.name)).alias("stem"), strings(c.synonyms).alias("synonyms"),
-                strings([stem_of(s) for s in c.synonyms]).alias("stems"), F.lit(c.context).alias("context"),
-            )
-            for c in lexicon.categories
-        ]
-    )
+    """The lexicon as one array, in its order: a constant that is read from one text, as a literal for each term takes seconds to make."""
+    rows = [{"name": c.name, "stem": stem_of(c.name), "synonyms": c.synonyms, "stems": [stem_of(s) for s in c.synonyms], "context": c.context} for c in lexicon.categories]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{ENTRY}>")
 
 
 def lexicon_entry(category: Column, lexicon: Lexicon = DEFAULT) -> Column:
@@ -159,14 +160,17 @@ def lexicon_entry(category: Column, lexicon: Lexicon = DEFAULT) -> Column:
 def prompts(query: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """Phrasings of a query for a text encoder, with up to two synonyms and the context of its lexicon entry."""
     q = F.trim(F.coalesce(query, F.lit("")))
-    entry = lexicon_entry(q, lexicon)
-    also = F.slice(F.filter(entry["synonyms"], lambda y: ~F.contains(F.lower(q), y)), 1, 2)
-    found = F.array(
-        q,
-        F.concat(F.lit("a photo of "), q),
-        F.concat(F.lit("a close-up photo of "), q),
-        F.concat(q, F.lit(", stylish fashion apparel product")),
-        F.when(F.size(also) > 0, F.concat(F.lit("a photo of "), q, F.lit(", also known as "), F.array_join(also, ", "))),
-        F.concat(q, F.lit(", "), entry["context"]),
-    )
-    return F.when(q == "", F.array(F.lit("fashion item"))).otherwise(F.filter(found, lambda p: p.isNotNull()))
+
+    def phrased(entry: Column) -> Column:
+        also = F.slice(F.filter(entry["synonyms"], lambda y: ~F.contains(F.lower(q), y)), 1, 2)
+        found = F.array(
+            q,
+            F.concat(F.lit("a photo of "), q),
+            F.concat(F.lit("a close-up photo of "), q),
+            F.concat(q, F.lit(", stylish fashion apparel product")),
+            F.when(F.size(also) > 0, F.concat(F.lit("a photo of "), q, F.lit(", also known as "), F.array_join(also, ", "))),
+            F.concat(q, F.lit(", "), entry["context"]),
+        )
+        return F.filter(found, lambda p: p.isNotNull())
+
+    return F.when(q == "", F.array(F.lit("fashion item"))).otherwise(let(lexicon_entry(q, lexicon), phrased))
