@@ -1,8 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the word windows of the benchmark, one scan of each text.
 
-The benchmark is broadcast only below a checked size.  A larger one is cut into blocks, each with an automaton of its
-own; then texts are scanned for windows whose hashes are in a broadcast array, and the few documents that may have one are
-written and meet the automata, block after block.  So a large benchmark takes two scans of the texts, not one for each block.
+The benchmark is broadcast only below a checked size.  Of a larger one, texts are first scanned for windows whose hashes are in
+a broadcast array, and the few documents that may have one are written.  Windows are dealt to blocks by their hashes, so a
+document knows from the hashes it has which blocks it must meet; each block's windows and documents come together in one shuffle, and a
+task holds one automaton after another.  Neither the plan nor the driver grows with the number of blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import column, field, keep, ship
+from tessel.llm.common import column, field, join_counted, keep, ship
 from tessel.llm.text_arrays import U, field_of, mix, run_hashes, runs
 
 #: Words are runs of digits, letters and non-ASCII bytes; everything else becomes a blank, and A-Z become a-z.
@@ -24,6 +25,8 @@ NORMAL = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 6
 BLOCK_BYTES = 1_000_000
 #: Windows whose hashes are broadcast at once (8 bytes each); more take one scan of the texts for each so many.
 HASHED_WINDOWS = 8_000_000
+#: Windows of a block, in expectation, and documents that meet one automaton in a task; more documents of a block go to several tasks.
+BLOCK_WINDOWS, BLOCK_DOCS = 40_000, 2_000
 
 SCAN = (
     T.StructField("n_words", T.LongType()),
@@ -118,8 +121,8 @@ def _mapped(rows: DataFrame, made: tuple[T.StructField, ...], f) -> DataFrame:
 
 
 def _scan(rows: DataFrame, text_col: str, items: DataFrame, size: int) -> DataFrame:
-    """Hits of the windows of some items, in the texts of the rows."""
-    listed = rows.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in items.collect()])  # below BLOCK_BYTES, see items_in_blocks
+    """Hits of the windows of all items, in the texts of the rows."""
+    listed = rows.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in items.collect()])  # below BLOCK_BYTES, see find_contamination
 
     def prepared():
         automaton = build(listed.value, size)
@@ -133,8 +136,54 @@ def _scan(rows: DataFrame, text_col: str, items: DataFrame, size: int) -> DataFr
     return _mapped(rows, SCAN, prepared)
 
 
-def _suspects(rows: DataFrame, text_col: str, items: DataFrame, size: int) -> DataFrame:
-    """All rows with ``n_words`` and whether they may have a window of the items: none that has one is passed over."""
+def _windows(items: DataFrame, size: int) -> DataFrame:
+    """(h, item, text) for each window of the items: its hash, the item's id, and its words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own := windows_of(text, size):
+                    h = window_hashes([text], [min(size, len(words_of(text)))], size)[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array([item] * len(own), pa.string()), pa.array([w.decode() for w in own])], ["h", "item", "text"])
+
+    return items.mapInArrow(cut, "h long, item string, text string").distinct()
+
+
+def _meet(suspects: DataFrame, text_col: str, items: DataFrame, size: int, blocks: int) -> DataFrame:
+    """(nth, hits, spans) of the suspects, for each block of windows of which they have a hash."""
+    block = lambda h: F.pmod(h, F.lit(blocks)).cast("int").alias("block")
+    pairs = keep(suspects.select("nth", F.explode("seen").alias("h")).select("nth", block(F.col("h"))).distinct())
+    sizes = keep(pairs.groupBy("block").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / BLOCK_DOCS).cast("int")))
+    salt = F.pmod(F.xxhash64("nth"), F.col("salts")).cast("int").alias("salt")
+    dealt = join_counted(pairs, sizes, ["block"]).select("nth", "block", salt)
+    texts = dealt.join(suspects.select("nth", field("row", text_col).alias("text")), "nth").select("block", "salt", F.lit(1).alias("kind"), "nth", F.lit(None).cast("string").alias("item"), "text")
+    salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    windows = _windows(items, size).select(block(F.col("h")), "item", "text").join(sizes, "block").select("block", salts, F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("nth"), "item", "text")
+    met = windows.unionByName(texts).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, listed, automaton = None, [], None
+        for batch in batches:
+            out = []
+            for at, s, kind, nth, item, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (at, s) != key:
+                    key, listed, automaton = (at, s), [], None
+                if kind == 0:
+                    listed.append((item, text))
+                    continue
+                if automaton is None and listed:
+                    automaton, listed = build(listed, size), []
+                _, hits, spans = scan_text(text, automaton)
+                if hits:
+                    out.append((nth, hits, spans))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), HIT, SPAN))], ["nth", "hits", "spans"])
+
+    return met.mapInArrow(run, T.StructType([T.StructField("nth", T.LongType()), *SCAN[1:]]))
+
+
+def _suspects(rows: DataFrame, text_col: str, items: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """All rows with ``n_words`` and ``seen``, the hashes of their runs of words that are also those of windows; and how many windows there are."""
     spark = rows.sparkSession
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,49 +196,31 @@ def _suspects(rows: DataFrame, text_col: str, items: DataFrame, size: int) -> Da
 
     windows = keep(items.mapInArrow(hashed, "n int, h long").distinct())
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``size``
-    parts = max(1, -(-windows.count() // HASHED_WINDOWS))
-    made = (T.StructField("n_words", T.LongType()), T.StructField("suspect", T.BooleanType()))
+    total = windows.count()
+    parts = max(1, -(-total // HASHED_WINDOWS))
+    made = (T.StructField("n_words", T.LongType()), T.StructField("seen", T.ArrayType(T.LongType())))
     names = rows.columns
     for i in range(parts):
         own = windows.where(F.pmod("h", F.lit(parts)) == i).select("h").toArrow()["h"].to_numpy().view(U)  # HASHED_WINDOWS in expectation
-        known = spark.sparkContext.broadcast(np.sort(own))
+        known = spark.sparkContext.broadcast(np.unique(own))
 
         def prepared(known=known):
             def look(own: pa.StructArray) -> list[pa.Array]:
-                n, suspect = [], []
+                n, seen = [], []
                 for t in field_of(own, text_col).to_pylist():
-                    h = window_hashes([t], lengths)[1]
+                    h = np.unique(window_hashes([t], lengths)[1])
                     at = np.minimum(np.searchsorted(known.value, h), max(0, len(known.value) - 1))
                     n.append(len(words_of(t)))
-                    suspect.append(bool(len(known.value) and (known.value[at] == h).any()))
-                return [pa.array(n, pa.int64()), pa.array(suspect, pa.bool_())]
+                    seen.append(h[known.value[at] == h].view("i8") if len(known.value) else [])
+                return [pa.array(n, pa.int64()), pa.array(seen, pa.list_(pa.int64()))]
 
             return look
 
         looked = _mapped(rows, made, prepared)
-        rows = looked if not i else looked.select(*names, "n_words", (F.col("suspect") | F.col("before")).alias("suspect"))
+        rows = looked if not i else looked.select(*names, "n_words", F.concat("seen", "before").alias("seen"))
         if i + 1 < parts:
-            rows = rows.select(*names, F.col("suspect").alias("before"))
-    return rows
-
-
-def items_in_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in pieces of at most ``block_bytes`` of text, by running totals; one longer item is a piece of its own."""
-    rows = benchmark.select(column(benchmark, item_col).cast("string").alias("item"), F.coalesce(column(benchmark, text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if total <= block_bytes:
-        return [rows]
-    # so many hash pieces that each is below half the bound in expectation; one that isn't is cut in two again
-    def cut(piece: DataFrame, seed: int, n: int) -> list[DataFrame]:
-        part = F.pmod(F.xxhash64(F.lit(seed), "item", "text"), F.lit(n))
-        sizes = piece.groupBy(part.alias("part")).agg(F.sum(F.octet_length("text")).alias("size"), F.count_distinct("item", "text").alias("items")).collect()
-        out = []
-        for r in sizes:
-            own = piece.where(part == r["part"])
-            out += [own] if r["size"] <= block_bytes or r["items"] == 1 else cut(own, seed + 1, 2)
-        return out
-
-    return cut(keep(rows.distinct()), 0, 1 + 2 * total // block_bytes)
+            rows = rows.select(*names, F.col("seen").alias("before"))
+    return rows, total
 
 
 def n_hit(hits: Column) -> Column:
@@ -212,6 +243,7 @@ def find_contamination(
     item_text_col: str = "text",
     size: int = 13,
     block_bytes: int = BLOCK_BYTES,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """(row, n_words, n_hit, items, spans, contaminated) for each row of ``docs``.
 
@@ -225,24 +257,18 @@ def find_contamination(
     """
     ship(docs.sparkSession)
     rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"))
-    blocks = items_in_blocks(benchmark, item_col, item_text_col, block_bytes)
-    if len(blocks) == 1:
-        found = _scan(rows, text_col, blocks[0], size)
+    items = benchmark.select(column(benchmark, item_col).cast("string").alias("item"), F.coalesce(column(benchmark, item_text_col), F.lit("")).alias("text"))
+    if items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= block_bytes:
+        found = _scan(rows, text_col, items, size)
     else:
-        items = blocks[0]
-        for b in blocks[1:]:
-            items = items.unionByName(b)
-        looked = _suspects(rows, text_col, items, size)
-        suspects = keep(looked.where("suspect").select("row", F.monotonically_increasing_id().alias("nth")))
-        hits = None
-        for b in blocks:  # hits alone are put together; texts are not shuffled
-            own = _scan(suspects, text_col, b, size).where(F.size("hits") > 0).select("nth", "hits", "spans")
-            hits = own if hits is None else hits.unionByName(own)
-        hits = keep(hits).groupBy("nth").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+        items = keep(items.distinct())
+        looked, total = _suspects(rows, text_col, items, size)
+        suspects = keep(looked.where(F.size("seen") > 0).select("row", "n_words", "seen", F.monotonically_increasing_id().alias("nth")))
+        hits = keep(_meet(suspects, text_col, items, size, max(1, -(-total // block_windows)))).groupBy("nth")
+        hits = hits.agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
         none = [F.array().cast(x.dataType).alias(x.name) for x in SCAN[1:]]
-        seen = suspects.join(hits, "nth", "left").select("row", *[F.coalesce(x.name, F.array().cast(x.dataType)).alias(x.name) for x in SCAN[1:]])
-        count = _mapped(seen, SCAN[:1], lambda: lambda own: [pa.array([len(words_of(t)) for t in field_of(own, text_col).to_pylist()], pa.int64())])
-        found = looked.where(~F.col("suspect")).select("row", "n_words", *none).unionByName(count.select("row", "n_words", "hits", "spans"))
+        checked = suspects.join(hits, "nth", "left").select("row", "n_words", *[F.coalesce(x.name, F.array().cast(x.dataType)).alias(x.name) for x in SCAN[1:]])
+        found = looked.where(F.size("seen") == 0).select("row", "n_words", *none).unionByName(checked)
     hit = n_hit(F.col("hits"))
     items = F.array_sort(F.array_distinct(F.filter(F.col("hits")["item"], lambda x: x.isNotNull())))
     return found.select(

@@ -190,15 +190,17 @@ def brute_contamination(text, items, size=13):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1_000_000, 200])
-def test_contamination(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "block_windows", "block_docs"), [(1_000_000, 40_000, 2_000), (200, 40_000, 2_000), (200, 3, 2)])
+def test_contamination(spark, monkeypatch, block_bytes, block_windows, block_docs):
+    """By one automaton, by blocks of windows, and by many small blocks whose documents go to several tasks."""
+    monkeypatch.setattr(decontaminate, "BLOCK_DOCS", block_docs)
     rng = random.Random(6)
     items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice([0, 3, 13, 30])))) for i in range(12)] + [(3, "a b"), (40, None)]
     texts = [" ".join(rng.choice("abcdé") for _ in range(rng.randrange(80))) for _ in range(40)]
     texts += [f"é-{items[k][1].upper()}!  tail" for k in range(12)]
     rows = [*enumerate(texts), (None, None), (1, texts[1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.find_contamination(docs(spark, rows), benchmark, block_bytes=block_bytes).collect()
+    out = decontaminate.find_contamination(docs(spark, rows), benchmark, block_bytes=block_bytes, block_windows=block_windows).collect()
     assert len(out) == len(rows)
     for r in out:
         n, hit, found = brute_contamination(r.row.text, items)
@@ -212,6 +214,18 @@ def test_contamination(spark, block_bytes):
     assert decontaminate.drop_contaminated(odd, benchmark.limit(0)).count() == odd.count()
 
 
+def test_contamination_of_a_large_benchmark_is_that_of_one_automaton(spark):
+    """The whole tables, every column; one item is longer than a block, some have no id, some no words, and ids come twice."""
+    texts = docs(spark, [(i, t) for i, t in enumerate(["the quick brown fox", None, "", "Über-Maß und Ziel " * 40, "a b c d e f g h i j k l m n o p " * 30])])
+    texts = texts.unionByName(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"), allowMissingColumns=True).select("doc_id", "text")
+    more = [("long", "a b c d e f g h i j k l m n o p " * 200), (None, "quick brown"), ("x", None), ("y", "..."), ("x", "maß und"), ("z", "maß und"), ("z", "maß und")]
+    benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet").selectExpr("cast(item_id as string) as item_id", "text").unionByName(spark.createDataFrame(more, "item_id string, text string"))
+    facts = lambda **how: sorted((r.row.doc_id, str(r)) for r in decontaminate.find_contamination(texts, benchmark, **how).select("row", "n_words", "n_hit", "items", "spans", "contaminated").collect())
+    one = facts()
+    assert sum("contaminated=True" in x for _, x in one) > 3
+    assert facts(block_bytes=1000, block_windows=500) == one
+
+
 def test_digest_columns(spark):
     row = QUERIES["op9_decontamination"](spark, SMALL).where("n_items = 0").first()
     assert row.items_sha256 == hashlib.sha256(b"").hexdigest()
