@@ -282,3 +282,11 @@ def test_multipliers_of_every_pair(spark):
     facts = lambda df: sorted(str((r.query_id, r.id, r.context)) for r in df.collect())
     found = facts(context.context_of_all(context.context_features(goods), asked))
     assert len(found) == 12 and found == facts(context.with_context_score(goods.crossJoin(asked)))
+
+
+def test_scores_of_every_pair(spark):
+    """Pairs that score 0 are rows, and a query without words scores 0.5 with everything."""
+    sf = "/root/testdata/sf0.001"
+    pairs, n = queries.context_scores(spark, sf), queries.products(spark, sf).count()
+    assert pairs.count() == len(queries.QUERY_TEXTS) * n and pairs.where("score = 0").count() > 0
+    assert pairs.where((F.col("query_id") == queries.QUERY_TEXTS.index("")) & (F.col("score") == 0.5)).count() == n
