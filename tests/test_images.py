@@ -217,3 +217,13 @@ def test_a_crop_wins_or_is_left_out(spark):
 def test_no_images(spark):
     results, report = searched(spark, [], BOXED)
     assert not results and not report
+
+
+def test_the_report_reads_what_was_found_from_tables(spark):
+    """No task of the report or the results makes the searches again, or holds their sorters."""
+    from tessel import queries
+
+    found = queries.image_pipeline(spark, "/root/testdata/sf0.001")
+    for rows in found:
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("Window [") <= 8, plan.count("Window [")
