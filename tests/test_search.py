@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +291,26 @@ def test_scores_of_every_pair(spark):
     pairs, n = queries.context_scores(spark, sf), queries.products(spark, sf).count()
     assert pairs.count() == len(queries.QUERY_TEXTS) * n and pairs.where("score = 0").count() > 0
     assert pairs.where((F.col("query_id") == queries.QUERY_TEXTS.index("")) & (F.col("score") == 0.5)).count() == n
+
+
+def test_best_hits_are_kept_in_n_by_k(spark, monkeypatch):
+    """What a task keeps doesn't grow with the points it has seen, ties included, and more hits than a task may keep go to the grid."""
+    rng = np.random.default_rng(5)
+    asked, points = rng.integers(-2, 3, (7, 3)).astype("f8"), rng.integers(-2, 3, (900, 3)).astype("f8")
+    best = search.Best(7, 4)
+    for a in range(0, 900, 50):
+        best.meet(asked, np.arange(a, a + 50)[::-1], points[a : a + 50][::-1])
+        assert best.scores.size == best.ids.size == 7 * 4
+    found = [(int(q), float(s), int(i)) for part in best.rows(3) for q, s, i in zip(*part)]
+    scores = asked @ points.T
+    assert found == [(q, scores[q, i], i) for q in range(7) for i in sorted(range(900), key=lambda i: (-scores[q, i], i))[:4]]
+    few = search.Best(2, 5)
+    few.meet(asked[:2], np.array([8, 3]), points[:2])
+    assert few.count.tolist() == [2, 2] and sum(len(part[0]) for part in few.rows()) == 4
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points[:200])], "point_id long, vector array<double>")
+    q = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(asked)], "query_id string, query array<double>")
+    facts = lambda df: sorted((r.query_id, r.rank, r.point_id, r.score) for r in df.collect())
+    want = facts(search.batch_top_hits(p, q, 4))
+    monkeypatch.setattr(search, "KEPT_HITS", 10)
+    grid = search.batch_top_hits(p, q, 4)
+    assert "MapInArrow" not in grid._jdf.queryExecution().optimizedPlan().toString() and facts(grid) == want
