@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessel import providers
+from tessel import providers, queries
 from tessel.plans import build as plan
 from tessel.plans import commits
 from tessel.sources import catalog
@@ -188,3 +188,11 @@ def test_a_prompt_mean_is_that_of_its_phrasings(spark):
         mean = np.mean([np.array(r.v, "f8") for r in phrases if r.i == i], axis=0)
         assert np.allclose(got[i], mean / np.linalg.norm(mean), atol=1e-6)
     assert got[2] == got[5] and got[3] == got[4]
+
+
+def test_encoders_of_a_product_share_a_worker(spark):
+    """Image and title are encoded by one Python worker of a task."""
+    rows = queries.pictures(spark.range(3).withColumnRenamed("id", "key"), "key").withColumn("name", F.lit("red dress"))
+    encoded = plan.encoded_products(rows, providers.HashedText(), providers.ColourImage())
+    assert encoded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [len(r.image_vector) + len(r.title_vector) for r in encoded.collect()] == [128] * 3
