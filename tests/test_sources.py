@@ -196,3 +196,14 @@ def test_encoders_of_a_product_share_a_worker(spark):
     encoded = plan.encoded_products(rows, providers.HashedText(), providers.ColourImage())
     assert encoded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [len(r.image_vector) + len(r.title_vector) for r in encoded.collect()] == [128] * 3
+
+
+def test_a_small_file_of_many_rows_is_dealt_into_tasks(spark):
+    """The work of a scan is dealt by rows, however few bytes they have, and no row is lost."""
+    from tessel.session import spread
+
+    dealt = spread(spark.range(0, 5000, 1, 1), "id", 100)
+    assert dealt.rdd.getNumPartitions() == 50 and dealt.distinct().count() == 5000
+    assert spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == 8
+    rows = queries.context_rows(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" in rows._jdf.queryExecution().optimizedPlan().toString()
