@@ -32,17 +32,20 @@ def tokens_of_clean(clean: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """Plural endings of a word; the first rule that applies decides."""
-    w = F.lower(F.trim(word))
+    return _stem(F.lower(F.trim(word)))
+
+
+def _stem(w: Column) -> Column:
     n = F.length(w)
     less = lambda k: F.substring(w, F.lit(1), n - k)
     keeps = F.endswith(w, F.lit("ss")) | F.endswith(w, F.lit("us")) | F.endswith(w, F.lit("is"))
     long_es = F.endswith(w, F.lit("ches")) | F.endswith(w, F.lit("shes")) | F.endswith(w, F.lit("xes"))
     return (
-        F.when(n <= 3, w)
+        F.when((n <= 3) | ~F.endswith(w, F.lit("s")), w)  # every rule is for words in s
         .when(w == "scarves", F.lit("scarf"))
         .when(F.endswith(w, F.lit("ies")) & (n > 4), F.concat(less(3), F.lit("y")))
         .when(F.endswith(w, F.lit("sses")) | long_es, less(2))
-        .when(F.endswith(w, F.lit("s")) & ~keeps, less(1))
+        .when(~keeps, less(1))
         .otherwise(w)
     )
 
@@ -62,7 +65,8 @@ def stem_of(word: str) -> str:
 
 def stemmed_set(words: Column) -> Column:
     """Words and their stems, each once."""
-    return F.array_union(words, F.transform(words, stem))
+    plain = F.transform(words, lambda w: F.lower(F.trim(w)))  # once a word, not once for each rule
+    return F.array_union(words, F.transform(plain, _stem))
 
 
 def ngrams(words: Column, n: int) -> Column:

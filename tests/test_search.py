@@ -293,6 +293,38 @@ def test_scores_of_every_pair(spark):
     assert pairs.where((F.col("query_id") == queries.QUERY_TEXTS.index("")) & (F.col("score") == 0.5)).count() == n
 
 
+def test_products_that_say_the_same_are_scored_once(spark, tmp_path, monkeypatch):
+    """Twins get the score of one of them, ids and counts stay; with few twins or too many different products each is scored."""
+    parts = [(i, ("red dress", "navy blue shirt", "old bolt")[i % 3], f"Brand#{i % 2}", "SMALL", i % 7, 1.0) for i in range(400)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    facts = lambda df: sorted(map(str, df.collect()))
+    once = queries.context_scores(spark, str(tmp_path))
+    assert "collect_list" in plan_of(once) and "collect_list" in plan_of(queries.multipliers(spark, str(tmp_path)))
+    found = facts(once)
+    monkeypatch.setattr(context, "BROADCAST_PAIRS", 500)
+    each = queries.context_scores(spark, str(tmp_path))
+    assert "collect_list" not in plan_of(each) and found == facts(each) and len(found) == 400 * len(queries.QUERY_TEXTS)
+    goods = [(1, "Red Dress", "", "Women"), (2, "Red Dress", None, "Women"), (3, "Red Dress", "", "Men"), (3, "Red Dress", None, "Women"), (None, "Red Dress", "", "Women"), (6, None, "", None), (7, "", None, "")]
+    table = spark.createDataFrame(goods, "id long, name string, baseColour string, gender string")
+    asked = intent.parse_intent(spark.createDataFrame(list(enumerate(["red dress for women", "", "red dress for women"])), "query_id int, query string"))
+    found = context.context_of_catalog(table, asked)
+    want = context.context_of_all(context.context_features(table), asked).select("query_id", "id", "context")
+    assert "collect_list" in plan_of(found) and len(facts(found)) == 21 and facts(found) == facts(want)
+    assert context.context_of_catalog(table.select("id"), asked).count() == 21
+
+
+def test_runs_of_words_are_found_in_texts_and_among_the_products_own(spark):
+    """A run counts that stands in the text, also inside longer words, or among the words that are left without single letters."""
+    goods = spark.createDataFrame([(1, "red a dressy top"), (2, "red dressy top"), (3, "tired dresses")], "id long, name string")
+    asked = intent.parse_intent(spark.createDataFrame(list(enumerate(["red dressy", "red dress", "red dressy top", "red dresses"])), "query_id int, query string"))
+    rows = context.context_of_all(context.context_features(goods), asked).collect()
+    found = {(r.query_id, r.id): (r.context.bigram_score, r.context.trigram_score) for r in rows}
+    assert found[0, 1] == (1.0, 1.0) and found[1, 1] == (0.0, 0.0) and found[2, 1] == (1.0, 1.0)
+    assert found[0, 2] == found[1, 2] == found[2, 2] == (1.0, 1.0)
+    assert found[0, 3] == (0.0, 0.0) and found[1, 3] == found[3, 3] == (1.0, 1.0) and found[3, 2] == (1.0, 1.0)
+
+
 def test_best_hits_are_kept_in_n_by_k(spark, monkeypatch):
     """What a task keeps doesn't grow with the points it has seen, ties included, and more hits than a task may keep go to the grid."""
     rng = np.random.default_rng(5)
