@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessel.functions import scores, vector
 from tessel.operators import chunks, context, contextual, domain, index, intent, ranking, search
 from tessel import queries
-from tessel.plans.lexicon import Category, Lexicon
+from tessel.plans.lexicon import DEFAULT, Category, Lexicon
 
 
 def one(spark, column):
@@ -325,6 +325,26 @@ def test_runs_of_words_are_found_in_texts_and_among_the_products_own(spark):
     assert found[0, 3] == (0.0, 0.0) and found[1, 3] == found[3, 3] == (1.0, 1.0) and found[3, 2] == (1.0, 1.0)
 
 
+def test_a_pair_compares_categories_and_not_their_terms(spark):
+    """A product's categories are those with one of its words or stems as a term, and a query brings names alone."""
+    from tessel.functions.text import stem_of
+
+    own = Lexicon((Category("gizmos", ("gizmo", "gadget"), ""), Category("boxes", ("box", "big box", "gadget"), "")), incompatible={"gizmos": ("boxes", "none")})
+    for lexicon in (DEFAULT, own):
+        terms = {t for c in lexicon.categories for t in c.terms}
+        texts = [[t] for t in sorted(terms)] + [["plain", "gadgets", "dresses", "t-shirts"], ["ring", "watches"], ["nothing"], []]
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, words array<string>").select("i", context.categories_with(F.col("words"), lexicon).alias("c")).collect()
+        for r in rows:
+            words = {x for w in texts[r.i] if " " not in w for x in (w, stem_of(w))}
+            if not any(" " in w for w in texts[r.i]):
+                assert set(r.c) == {c.name for c in lexicon.categories if words & set(c.terms)}
+        names = spark.createDataFrame([(c.name,) for c in lexicon.categories] + [("no such",), (None,)], "n string")
+        for r in names.select("n", context.excluded_by(F.col("n"), lexicon).alias("e")).collect():
+            assert r.e == [k for k in lexicon.incompatible.get(r.n, ()) if lexicon.named(k)]
+    asked = context.with_query_features(intent.parse_intent(spark.createDataFrame([("red dress",)], "query string")))
+    assert len(asked.first()._q.excluded) == len(DEFAULT.incompatible["dresses"])
+
+
 def test_best_hits_are_kept_in_n_by_k(spark, monkeypatch):
     """What a task keeps doesn't grow with the points it has seen, ties included, and more hits than a task may keep go to the grid."""
     rng = np.random.default_rng(5)
